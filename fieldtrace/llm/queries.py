@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from . import language_crf, minhash_dedup, quality_fm, toxicity_ftrl
+from . import binpack, language_crf, minhash_dedup, mpeg_audio, pii_feistel, quality_fm, secret_links, toxicity_ftrl
 from .common import held_out, read
 
 
+#: The key that the query of pseudonyms uses. A deployment names its own.
+PII_KEY = "example key"
+
+
 def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """Texts with a label; a document with several labels counts once for each."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
@@ -43,6 +46,23 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii_feistel.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return docs.select("doc_id", *(f"n_{k}" for k in pii_feistel.KINDS), "text")
+
+
+def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.secrets(read(spark, sf_dir, "documents"))
+
+
+def op8_binpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack(read(spark, sf_dir, "documents"))
+
+
+def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.media_table(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
