@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, language_crf, minhash_dedup, mpeg_audio, pii_feistel, quality_fm, secret_links, toxicity_ftrl
+from . import binpack, language_crf, latent_decontam, minhash_dedup, mpeg_audio, pii_feistel, quality_fm, secret_links, toxicity_ftrl, training_order
 from .common import held_out, read
 
 
 #: The key that the query of pseudonyms uses. A deployment names its own.
 PII_KEY = "example key"
+#: The key of the epoch that the query of the training order writes.
+ORDER_KEY = 20240229
 
 
 def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
@@ -51,6 +53,15 @@ def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(f"n_{k}" for k in pii_feistel.KINDS), "text")
 
 
+def op3_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = training_order.shards(read(spark, sf_dir, "documents"), ORDER_KEY)
+    return training_order.records(shards).select("doc_id", "piece", "n_ids", "slot", "shard", "at", "ids_crc32")
+
+
 def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_links.secrets(read(spark, sf_dir, "documents"))
 
