@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("joins", "relational")
+_QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     """Registers a query under its function's name, with the SQL of an equal result if there is one."""
 
-    def add(f: Callable[[SparkSession, str], DataFrame]):
+    def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql
+            # expressions that follow the views of views.sql() begin with a comma
+            _SQL[f.__name__] = " ".join(sql.split()).replace(") , ", "), ")
         return f
 
     return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"fieldtrace.plans.{name}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
