@@ -98,7 +98,7 @@ def trailing_state(x: Column, codes: tuple[str, ...]) -> Column:
 
 def place_parts(x: Column) -> Column:
     """Struct place, city, region of a text ``place, city, region``, from its end."""
-    parts = F.transform(F.split(x, ","), F.trim)
+    parts = F.transform(F.split(x, ","), lambda p: F.trim(p))
     n = F.size(parts)
     return F.struct(parts[0].alias("place"), F.when(n >= 2, F.element_at(parts, F.when(n >= 3, -2).otherwise(-1))).alias("city"), F.when(n >= 3, F.element_at(parts, -1)).alias("region"))
 
@@ -133,5 +133,5 @@ def directions(x: Column) -> Column:
         ranged = F.when((F.size(ends) == 2) & low.isNotNull() & high.isNotNull() & ~((low == 0) & (high == 360)), middle)
         return F.when(F.size(ends) == 1, F.when(p != "0", one(p))).otherwise(ranged)
 
-    parts = F.transform(F.split(F.upper(x), "[;,]"), F.trim)
+    parts = F.transform(F.split(F.upper(x), "[;,]"), lambda p: F.trim(p))
     return F.filter(F.transform(parts, lambda p: F.pmod(part(p), F.lit(360.0))), lambda v: v.isNotNull())

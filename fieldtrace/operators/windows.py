@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+PARTS = 32
 
 def with_runs(rows: DataFrame, keys: list[str], order: list[str], breaks: Column, name: str = "run") -> DataFrame:
     """Adds the number of the run (from 0) of each row; a run begins where ``breaks`` holds. ``breaks`` may use ``F.lag`` over ``ordered``."""
@@ -39,21 +40,24 @@ def merged_intervals(rows: DataFrame, keys: list[str], low: str, high: str) -> D
 def fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[dict[str, np.ndarray]], np.ndarray], flag: str = "kept", restart: tuple[str, int] | None = None) -> DataFrame:
     """Adds ``flag``, which ``step`` works out from the ordered columns of one key as numpy arrays (object arrays for text).
 
-    ``restart`` (column, gap) says that the state never reaches across a larger gap of that column; keys are split there.
+    ``restart`` (column, gap) says that the state never reaches across a larger gap of that column; keys are split there, and the parts
+    of a key are dealt to ``PARTS`` groups, so neither one busy key nor many short parts cost much.
     """
     by = list(keys)
     if restart:
-        rows, by = gap_runs(rows, keys, restart[0], restart[1], "__part"), [*keys, "__part"]
+        rows = gap_runs(rows, keys, restart[0], restart[1], "__part").withColumn("__group", F.pmod(F.xxhash64("__part"), F.lit(PARTS)).cast("int"))
+        by = [*keys, "__group"]
     kinds = rows.dtypes
-    sample = "boolean"
 
     def over(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        made = step({c: table[c].to_numpy() for c in table.column_names})
-        return table.append_column(flag, pa.array(np.asarray(made, bool)))
-
-    out = rows.groupBy(*by).applyInArrow(over, ", ".join(f"`{c}` {k}" for c, k in kinds) + f", `{flag}` {sample}")
-    return out.drop("__part")
+        table = table.sort_by([(c, "ascending") for c in (["__part"] if restart else []) + order])
+        columns = {c: table[c].to_numpy() for c in table.column_names}
+        cuts = [0, *(np.flatnonzero(np.diff(columns["__part"])) + 1).tolist()] if restart else [0]
+        made = [np.asarray(step({c: v[a:b] for c, v in columns.items()}), bool) for a, b in zip(cuts, [*cuts[1:], table.num_rows], strict=True)]
+        return table.append_column(flag, pa.array(np.concatenate(made)))
+
+    out = rows.groupBy(*by).applyInArrow(over, ", ".join(f"`{c}` {k}" for c, k in kinds) + f", `{flag}` boolean")
+    return out.drop("__part", "__group")
 
 
 def metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:

@@ -99,7 +99,7 @@ def j08_match_or_insert(spark, d):
 @query(
     sql(
         "observations",
-        """, scans as (select device, t_ms // 86400000 as hour, bssid, max(dbm) as dbm from observations group by all),
+        """, scans as (select device, t_ms // 432000000 as hour, bssid, max(dbm) as dbm from observations group by all),
         heard as (select hour, bssid, dbm from scans where device = 'dev1'),
         epochs as (select device, hour, bssid, dbm from scans where device <> 'dev1')
         select h.hour as scan_hour, e.device, e.hour, count(*) as common, sum(abs(h.dbm - e.dbm)) as gap from heard h join epochs e on h.bssid = e.bssid group by all having count(*) >= 2""",
@@ -107,7 +107,7 @@ def j08_match_or_insert(spark, d):
 )
 def j09_inverted_index_candidates(spark, d):
     """Earlier scans that share at least two transmitters with a scan."""
-    hour = F.floor(F.col("t_ms") / 86_400_000).alias("hour")
+    hour = F.floor(F.col("t_ms") / 432_000_000).alias("hour")
     scans = observations(spark, d).groupBy("device", hour, "bssid").agg(F.max("dbm").alias("dbm"))
     heard = scans.where("device = 'dev1'").select(F.col("hour").alias("scan_hour"), "bssid", F.col("dbm").alias("own"))
     found = heard.join(scans.where("device <> 'dev1'"), "bssid").groupBy("scan_hour", "device", "hour")
@@ -187,14 +187,14 @@ def j14_unambiguous_match(spark, d):
     return J.unambiguous(scored, "want", "score", "offer").select("want", "offer", (-F.col("score")).cast("int").alias("m"))
 
 
-@query(sql("observations", "select a.bssid as bssid_a, b.bssid as bssid_b, count(*) as n from observations a join observations b on a.device = b.device and abs(a.t_ms - b.t_ms) <= 120000 and a.bssid < b.bssid group by all"))
+@query(sql("observations", "select a.bssid as bssid_a, b.bssid as bssid_b, count(*) as n from observations a join observations b on a.device = b.device and abs(a.t_ms - b.t_ms) <= 900000 and a.bssid < b.bssid group by all"))
 def j15_co_occurrence(spark, d):
-    """Pairs of transmitters that one device heard within two minutes."""
+    """Pairs of transmitters that one device heard within a quarter of an hour."""
     o = observations(spark, d).select("device", "t_ms", "bssid")
-    bucket = F.floor(F.col("t_ms") / 120_000)
+    bucket = F.floor(F.col("t_ms") / 900_000)
     a = o.select("device", F.col("t_ms").alias("t"), F.col("bssid").alias("bssid_a"), bucket.alias("b"))
     b = o.select("device", "t_ms", F.col("bssid").alias("bssid_b"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("b"))
-    return a.join(b, ["device", "b"]).where("bssid_a < bssid_b and abs(t - t_ms) <= 120000").groupBy("bssid_a", "bssid_b").agg(F.count("*").alias("n"))
+    return a.join(b, ["device", "b"]).where("bssid_a < bssid_b and abs(t - t_ms) <= 900000").groupBy("bssid_a", "bssid_b").agg(F.count("*").alias("n"))
 
 
 @query(

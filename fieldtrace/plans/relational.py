@@ -45,9 +45,9 @@ def f04_valid_fixes(spark, d):
     return fixes(spark, d).where("acc >= 0 and acc <= 100 and lat is not null and not (lat = 0 and lon = 0)").agg(F.count("*").alias("n"))
 
 
-@query("select p_partkey from part where p_type like 'STEEL%' or p_type like 'B%'")
+@query("select p_partkey from part where p_type like 'ECON%' or p_type like 'S%'")
 def f05_like_prefix(spark, d):
-    return read(spark, d, "part").where(F.col("p_type").startswith("STEEL") | F.col("p_type").like("B%")).select("p_partkey")
+    return read(spark, d, "part").where(F.col("p_type").startswith("ECON") | F.col("p_type").like("S%")).select("p_partkey")
 
 
 @query(sql("fixes", "select event_id from fixes where source not like 'p%' and t_ms between 1704500000000 and 1705500000000"))
@@ -139,9 +139,9 @@ def f18_position_precedence(spark, d):
     return read(spark, d, "customer").withColumn("b", best).select("c_custkey", "b.origin", F.floor("b.v").alias("value"))
 
 
-@query("select p_partkey from part where p_size in (1, 2, 3) and contains(lower(p_name || ' ' || p_type), 'steel')")
+@query("select p_partkey from part where p_size in (1, 2, 3) and contains(lower(p_name || ' ' || p_type), 'promo')")
 def f19_place_filter(spark, d):
-    return read(spark, d, "part").where(F.col("p_size").isin(1, 2, 3) & F.lower(F.concat_ws(" ", "p_name", "p_type")).contains("steel")).select("p_partkey")
+    return read(spark, d, "part").where(F.col("p_size").isin(1, 2, 3) & F.lower(F.concat_ws(" ", "p_name", "p_type")).contains("promo")).select("p_partkey")
 
 
 @query(sql("pois", f", far as (select id, {at_sql(hav_sql('lat', 'lon', 'cast(40.01 as double)', 'cast(-74.99 as double)'))} as mm from pois where size <= 10) select id, mm from far where mm <= 500000 order by mm, id"))
@@ -236,9 +236,9 @@ def u01_pins_override(spark, d):
     return pins.union(s.join(pins, "id", "left_anti").withColumn("origin", F.lit("stored")))
 
 
-@query("select c_custkey as k from customer except select o_custkey from orders")
+@query("select c_custkey as k from customer except select o_custkey from orders where o_orderstatus = 'F'")
 def u02_difference(spark, d):
-    return read(spark, d, "customer").select(F.col("c_custkey").alias("k")).exceptAll(read(spark, d, "orders").select("o_custkey").distinct())
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("k")).exceptAll(read(spark, d, "orders").where("o_orderstatus = 'F'").select("o_custkey").distinct())
 
 
 @query("select (select count(*) from (select c_custkey from customer intersect select o_custkey from orders)) as common, (select count(*) from (select c_custkey from customer union select o_custkey from orders)) as everything")

@@ -38,10 +38,10 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixes with the transmitter that was heard there: bssid, dbm."""
+    """Fixes with the transmitter that was heard there: bssid, dbm. Several devices hear each transmitter."""
     e = read(spark, sf_dir, "events").select("event_id", "user_id")
-    heard = e.select("event_id", F.concat(F.lit("AP"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("bssid"), (-40 - (F.col("event_id") * 17) % 55).cast("int").alias("dbm"))
-    return fixes(spark, sf_dir).join(heard, "event_id")
+    heard = e.select("event_id", F.concat(F.lit("dev"), (F.col("event_id") % 8).cast("string")).alias("device"), F.concat(F.lit("AP"), F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("bssid"), (-40 - (F.col("event_id") * 17) % 55).cast("int").alias("dbm"))
+    return fixes(spark, sf_dir).drop("device").join(heard, "event_id")
 
 
 def cams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "fixes": f"""fixes as (select event_id, 'dev' || cast(user_id % 8 as varchar) as device, epoch_us(ts) // 1000 as t_ms, event_type as source,
   {_place_sql(40.0, "event_id", 7919, 10007)} as lat, {_place_sql(-75.0, "event_id", 104729, 10009)} as lon, cast(5 + (event_id * 31) % 200 as double) as acc from events)""",
-    "observations": f"""observations as (select event_id, 'dev' || cast(user_id % 8 as varchar) as device, epoch_us(ts) // 1000 as t_ms, event_type as source,
+    "observations": f"""observations as (select event_id, 'dev' || cast(event_id % 8 as varchar) as device, epoch_us(ts) // 1000 as t_ms, event_type as source,
   {_place_sql(40.0, "event_id", 7919, 10007)} as lat, {_place_sql(-75.0, "event_id", 104729, 10009)} as lon, cast(5 + (event_id * 31) % 200 as double) as acc,
   'AP' || lpad(cast(user_id as varchar), 4, '0') as bssid, cast(-40 - (event_id * 17) % 55 as integer) as dbm from events)""",
     "cams": f"""cams as (select s_suppkey as id, s_name as operator, {_place_sql(40.0, "s_suppkey + 1", 7919 * 31, 10007)} as lat,
