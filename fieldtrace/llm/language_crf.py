@@ -3,7 +3,7 @@
 Each word is a position of the chain, each language a label. Emission features of a word are its hashed lower-case form (the
 lexicon), its prefixes and suffixes of one to three bytes and its byte bigrams and trigrams; transitions between labels are learned too. Training
 joins pieces of texts of different languages into one chain, so that the transitions know code-switching. Marginals come from the
-forward-backward algorithm over the whole text: blocks of words are first summed up as matrices, so a
+forward-backward algorithm over the whole text, which begins as if after a word of any language: blocks of words are first summed up as matrices, so a
 long text needs a few array steps for each block and none for each word.
 """
 
