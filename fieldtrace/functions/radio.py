@@ -101,5 +101,5 @@ def pass_confidence(read_chance: Column, suspected: Column, misspelt: Column, is
 
 def schedule_hours(mode: Column, failures: Column) -> Column:
     """Hours to the next poll by mode; after failures 1 h, doubled each time, up to 24."""
-    calm = F.when(mode == "leaky", 3).when(mode == "flock", 12).when(mode == "driving", 24).otherwise(168)
+    calm = F.when(mode == "leaky", 3).when(mode == "reader", 12).when(mode == "driving", 24).otherwise(168)
     return F.when(failures > 0, F.least(F.lit(24.0), F.pow(F.lit(2.0), failures - 1))).otherwise(calm.cast("double"))
