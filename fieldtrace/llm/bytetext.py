@@ -97,15 +97,33 @@ def _words(lo: int, hi: int, buf: np.ndarray, bounds: np.ndarray) -> Words:
     after[:-1] = ~inside[1:]
     start = np.flatnonzero(inside & (before | edge[:-1]))
     end = np.flatnonzero(inside & (after | edge[1:])) + 1
-    power, inverse = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[buf] * power[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * inverse[start])
+    h = range_hashes(buf, start, end)
     first = np.searchsorted(start, bounds).astype(np.int64)
     doc = np.repeat(np.arange(hi - lo), np.diff(first))
     return Words(lo, hi, buf, bounds, start, end, h, first, doc)
 
 
+def inner_hashes(w: Words, letter: np.ndarray) -> np.ndarray:
+    """Hashes of the words without the bytes before their first letter and after their last; words without a letter keep theirs."""
+    at = np.flatnonzero(letter[w.buf])
+    if not len(at):
+        return w.hash
+    first, behind = np.searchsorted(at, w.start), np.searchsorted(at, w.end)
+    some = behind > first
+    start = np.where(some, at[np.minimum(first, len(at) - 1)], w.start)
+    end = np.where(some, at[np.maximum(behind - 1, 0)] + 1, w.end)
+    return range_hashes(w.buf, start, end)
+
+
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, as those of words."""
+    n = len(buf)
+    power, inverse = _power_tables(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUE[buf] * power[:n], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start])
+
+
 def sequence_hashes(w: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every run of ``length`` words inside a text, in order."""
     n = len(w.hash) - length + 1

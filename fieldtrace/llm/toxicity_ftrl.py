@@ -1,8 +1,9 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct words, word pairs and pairs with one or two words between them, hashed. Every coordinate has its own rate,
-and the L1 term keeps most weights at exactly zero, so the model that scoring broadcasts is a short list of
-(bucket, weight), whose size is bounded by the number of buckets.
+Features are the distinct words (without marks around them), word pairs and pairs with one or two words between them, hashed. Every
+coordinate has its own rate, and the L1 term keeps most weights at exactly zero, so the model that scoring broadcasts is a short list of
+(bucket, weight), whose size is bounded by the number of buckets. A feature takes part from ``seen`` training texts of a shard on, as one
+that only a text or two hold says nothing of others. ``l1`` is meant for the root of a shard's number of texts.
 """
 
 from __future__ import annotations
@@ -12,28 +13,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import Words, mix, rows_of, words_of
+from .bytetext import Words, inner_hashes, mix, rows_of, words_of
 from .common import map_arrow
 from .training import bounded_sample, fit_by_mixing, sigmoid
 
-BITS = 18
+BITS = 20
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 GAPS = (1, 2, 3)  # distance of the two words of a pair: a bigram, then skip-grams
 
 
 def _buckets(w: Words):
     """(bucket, text) of every word and pair, in turn."""
     shift = np.uint64(64 - BITS)
-    yield (w.hash >> shift).astype(np.int64), w.doc
+    h = inner_hashes(w, _LETTER)
+    yield (h >> shift).astype(np.int64), w.doc
     for gap in GAPS:
-        if len(w.hash) > gap:
+        if len(h) > gap:
             ok = w.doc[gap:] == w.doc[:-gap]
-            pair = mix(w.hash[:-gap] * np.uint64(0x9E3779B97F4A7C15) + w.hash[gap:] + np.uint64(gap))
+            pair = mix(h[:-gap] * np.uint64(0x9E3779B97F4A7C15) + h[gap:] + np.uint64(gap))
             yield (pair[ok] >> shift).astype(np.int64), w.doc[gap:][ok]
 
 
-def _fit(table: pa.Table, weights: np.ndarray, evidence: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float):
+def _fit(table: pa.Table, weights: np.ndarray, evidence: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float, seen: int):
     """Online FTRL-proximal over the shard's rows, from the state that gives the common weights."""
     n = evidence.astype(np.float64)
+    # the sum of n gradients without a meaning grows as the root of n; the bias isn't drawn to zero
+    l1 = np.append(np.full(1 << BITS, l1 * max(table.num_rows, 1) ** 0.5), 0.0)
     z = -weights * ((beta + np.sqrt(n)) / alpha + l2) - np.sign(weights) * l1
     y = np.asarray(table["label"], float)
     rows = []
@@ -42,12 +48,14 @@ def _fit(table: pa.Table, weights: np.ndarray, evidence: np.ndarray, epochs: int
         key = np.unique(np.concatenate([d * (1 << BITS) + b for b, d in parts]))
         cuts = np.searchsorted(key, np.arange(w.hi - w.lo + 1) * (1 << BITS))
         rows += [(key[cuts[i] : cuts[i + 1]] % (1 << BITS)).astype(np.int32) for i in range(w.hi - w.lo)]
+    often = np.bincount(np.concatenate([np.zeros(0, np.int32), *rows]), minlength=1 << BITS) >= seen
+    rows = [f[often[f]] for f in rows]
     bias = np.array([1 << BITS])
     for _ in range(epochs):
         for f, label in zip(rows, y, strict=True):
             f = np.concatenate([bias, f])
-            zf, nf = z[f], n[f]
-            wf = np.where(np.abs(zf) <= l1, 0.0, -(zf - np.sign(zf) * l1) / ((beta + np.sqrt(nf)) / alpha + l2))
+            zf, nf, lf = z[f], n[f], l1[f]
+            wf = np.where(np.abs(zf) <= lf, 0.0, -(zf - np.sign(zf) * lf) / ((beta + np.sqrt(nf)) / alpha + l2))
             g = sigmoid(wf.sum()) - label
             if abs(g) < 1e-4:
                 continue
@@ -58,11 +66,11 @@ def _fit(table: pa.Table, weights: np.ndarray, evidence: np.ndarray, epochs: int
     return w, n
 
 
-def train(rows: DataFrame, label: str, text: str, key: Column, most: int = 20000, rounds: int = 2, epochs: int = 2, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.5, l2: float = 0.1):
+def train(rows: DataFrame, label: str, text: str, key: Column, most: int = 20000, rounds: int = 3, epochs: int = 4, alpha: float = 1.5, beta: float = 1.0, l1: float = 0.3, l2: float = 1.0, seen: int = 3):
     """Sparse weights (bucket, weight) fitted on about ``most`` of ``rows`` (those with a 0/1 label); the last bucket is the bias."""
     chosen = rows.where(F.col(label).isin(0, 1)).select(F.col(text).cast("string").alias("text"), F.col(label).cast("double").alias("label"), key.alias("key"))
     sample = bounded_sample(chosen, F.struct("key", "text"), most).drop("key")
-    weights, _ = fit_by_mixing(sample, lambda t, w, e: _fit(t, w, e, epochs, alpha, beta, l1, l2), np.zeros((1 << BITS) + 1), rounds)
+    weights, _ = fit_by_mixing(sample, lambda t, w, e: _fit(t, w, e, epochs, alpha, beta, l1, l2, seen), np.zeros((1 << BITS) + 1), rounds)
     bucket = np.flatnonzero(weights)
     return bucket, weights[bucket]
 
