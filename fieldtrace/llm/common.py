@@ -27,16 +27,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` for functions that take one batch and give record batches."""
+    """``mapInArrow`` for functions that take one batch and give record batches. Batches come in slices of a few MB."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+        for batch in slices(batches):
+            yield from fn(batch)
 
     return df.mapInArrow(over, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about ``most`` bytes, so that what is made of many long rows doesn't meet in memory."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
+
+
 def held_out(id_col: Column, modulus: int, rest: int) -> Column:
     """True where crc32 of the id, written as text, leaves ``rest``. A null id counts as the empty string."""
     return (F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus) == rest
