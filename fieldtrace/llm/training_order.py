@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytetext import mix, rows_of
-from .common import cut, map_arrow
+from .common import cut, map_arrow, slices
 from .tokens import Tokens
 
 LENGTH = 512
@@ -33,6 +33,7 @@ ROWS = 2048
 PAD = 50256
 ROUNDS = 6
 HEAD = 24
+MOST_PARTS = 200_000
 
 
 def permuted(number: np.ndarray, count: int, key: int) -> np.ndarray:
@@ -65,7 +66,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, length: int, end: int
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, rank = Tokens(), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches, 1 << 20):
             made: list[list] = [[] for _ in range(4)]
             for i, text in zip(rows_of(batch, "id").to_pylist(), rows_of(batch, "text").to_pylist(), strict=True):
                 ids = np.frombuffer(tokens.encode(text or "", end), "<u4").astype("<u2")
@@ -101,7 +102,9 @@ def shards(docs: DataFrame, key: int, id_col: str = "doc_id", text_col: str = "t
     by_part = made.groupBy("part").agg(F.count("*").alias("n"))
     before = by_part.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     count = by_part.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    numbered = made.join(before, "part").withColumn("number", F.col("rank") + F.col("before")).drop("part", "rank", "before")
+    # one small row for each partition of the input: broadcast unless there are very many, so the ids move once only
+    few = made.rdd.getNumPartitions() <= MOST_PARTS
+    numbered = made.join(F.broadcast(before) if few else before, "part").withColumn("number", F.col("rank") + F.col("before")).drop("part", "rank", "before")
     placed = _slots(numbered, count, key).withColumn("shard", F.floor(F.col("slot") / rows).cast("int"))
     held = placed.repartitionById(max(1, -(-count // rows)), "shard").sortWithinPartitions("slot")
     size = stride(length)
@@ -113,7 +116,7 @@ def shards(docs: DataFrame, key: int, id_col: str = "doc_id", text_col: str = "t
         def full() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([now], [now * rows], [n], [size], [bytes(data)]), schema, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in slices(batches, 1 << 20):
             for i, piece, n_ids, ids, _, slot in zip(*(rows_of(batch, c).to_pylist() for c in ("id", "piece", "n_ids", "ids", "number", "slot")), strict=True):
                 if slot // rows != now:
                     if now is not None:
