@@ -17,7 +17,7 @@ from .bytetext import Words, inner_hashes, mix, rows_of, words_of
 from .common import map_arrow
 from .training import bounded_sample, fit_by_mixing, sigmoid
 
-BITS = 20
+BITS = 18
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 GAPS = (1, 2, 3)  # distance of the two words of a pair: a bigram, then skip-grams
