@@ -130,7 +130,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("node").agg(F.max_by("low", F.struct("times", -F.col("low"))).alias("low"), F.max("times").alias("times"))
     )
     stars = leads.select(F.col("node").alias("dst"), F.col("low").alias("src"))
-    wanted = leads.select("node").union(leads.select("low")).distinct()
+    # all that share a table: a class that is the least of its buckets has no lead, and needn't be anyone's
+    wanted = leads.select("node").union(least.select("low")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     sets = cut(full_sets(texts.join(wanted, "node", "left_semi"), shingle).where("n > 0"))
     links = cut(_verified(stars, sets, percent))

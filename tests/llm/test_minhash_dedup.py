@@ -85,3 +85,16 @@ def test_long_chains_of_links(spark):
     ids = rng.sample(range(10_000), 500)
     links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "src long, dst long")
     assert {r.component for r in components(links).collect()} == {min(ids)}
+
+
+def test_a_text_that_no_bucket_mate_chose_is_verified(spark):
+    # the middle of three is at 0.75 to both others, of smaller ids, which mostly share a table, but not always
+    rng = random.Random(3)
+    rows = []
+    for k in range(250):
+        middle = [f"g{k}x{rng.randrange(10**9)}" for _ in range(124)]
+        rows += [(3 * k, middle[30:]), (3 * k + 1, middle[:94]), (3 * k + 2, middle)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = {tuple(r) for r in D.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect()}
+    assert out == brute(rows)
