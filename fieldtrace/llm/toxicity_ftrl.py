@@ -2,8 +2,8 @@
 
 Features are the distinct words (without marks around them), word pairs and pairs with one or two words between them, hashed. Every
 coordinate has its own rate, and the L1 term keeps most weights at exactly zero, so the model that scoring broadcasts is a short list of
-(bucket, weight), whose size is bounded by the number of buckets. A feature takes part from ``seen`` training texts of a shard on, as one
-that only a text or two hold says nothing of others. ``l1`` is meant for the root of a shard's number of texts.
+(bucket, weight), whose size is bounded by the number of buckets. A feature takes part from ``seen`` training texts of the whole sample
+on, as one that only a text or two hold says nothing of others. ``l1`` is meant for the root of a shard's number of texts.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Words, inner_hashes, mix, rows_of, words_of
-from .common import map_arrow
-from .training import bounded_sample, fit_by_mixing, sigmoid
+from .common import map_arrow, slices
+from .training import bounded_sample, fit_sparse_by_mixing, sigmoid
 
-BITS = 18
+BITS = 20
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 GAPS = (1, 2, 3)  # distance of the two words of a pair: a bigram, then skip-grams
@@ -35,21 +35,41 @@ def _buckets(w: Words):
             yield (pair[ok] >> shift).astype(np.int64), w.doc[gap:][ok]
 
 
-def _fit(table: pa.Table, weights: np.ndarray, evidence: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float, seen: int):
+def _features(texts: pa.Array):
+    """The distinct buckets of each text in turn."""
+    for w in words_of(texts):
+        key = np.unique(np.concatenate([d * (1 << BITS) + b for b, d in _buckets(w)]))
+        cuts = np.searchsorted(key, np.arange(w.hi - w.lo + 1) * (1 << BITS))
+        for i in range(w.hi - w.lo):
+            yield (key[cuts[i] : cuts[i + 1]] % (1 << BITS)).astype(np.int32)
+
+
+def _frequent(sample: DataFrame, seen: int) -> np.ndarray:
+    """For each bucket, packed into bits, whether ``seen`` texts of ``sample`` or more have it."""
+
+    def over(batches):
+        many = np.zeros(1 << BITS, np.int32)
+        for batch in slices(batches):
+            for f in _features(rows_of(batch, "text")):
+                many[f] += 1
+        bucket = np.flatnonzero(many)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(many[bucket])], names=["bucket", "many"])
+
+    counts = sample.select("text").mapInArrow(over, "bucket int, many int")
+    often = np.zeros(1 << BITS, bool)
+    often[np.asarray(counts.groupBy("bucket").agg(F.sum("many").alias("many")).where(F.col("many") >= seen).select("bucket").toArrow()["bucket"])] = True
+    return np.packbits(often)
+
+
+def _fit(table: pa.Table, weights: np.ndarray, evidence: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float, frequent: np.ndarray):
     """Online FTRL-proximal over the shard's rows, from the state that gives the common weights."""
     n = evidence.astype(np.float64)
     # the sum of n gradients without a meaning grows as the root of n; the bias isn't drawn to zero
     l1 = np.append(np.full(1 << BITS, l1 * max(table.num_rows, 1) ** 0.5), 0.0)
     z = -weights * ((beta + np.sqrt(n)) / alpha + l2) - np.sign(weights) * l1
     y = np.asarray(table["label"], float)
-    rows = []
-    for w in words_of(table["text"].combine_chunks()):
-        parts = list(_buckets(w))
-        key = np.unique(np.concatenate([d * (1 << BITS) + b for b, d in parts]))
-        cuts = np.searchsorted(key, np.arange(w.hi - w.lo + 1) * (1 << BITS))
-        rows += [(key[cuts[i] : cuts[i + 1]] % (1 << BITS)).astype(np.int32) for i in range(w.hi - w.lo)]
-    often = np.bincount(np.concatenate([np.zeros(0, np.int32), *rows]), minlength=1 << BITS) >= seen
-    rows = [f[often[f]] for f in rows]
+    often = np.unpackbits(frequent).astype(bool)
+    rows = [f[often[f]] for f in _features(table["text"].combine_chunks())]
     bias = np.array([1 << BITS])
     for _ in range(epochs):
         for f, label in zip(rows, y, strict=True):
@@ -70,9 +90,8 @@ def train(rows: DataFrame, label: str, text: str, key: Column, most: int = 20000
     """Sparse weights (bucket, weight) fitted on about ``most`` of ``rows`` (those with a 0/1 label); the last bucket is the bias."""
     chosen = rows.where(F.col(label).isin(0, 1)).select(F.col(text).cast("string").alias("text"), F.col(label).cast("double").alias("label"), key.alias("key"))
     sample = bounded_sample(chosen, F.struct("key", "text"), most).drop("key")
-    weights, _ = fit_by_mixing(sample, lambda t, w, e: _fit(t, w, e, epochs, alpha, beta, l1, l2, seen), np.zeros((1 << BITS) + 1), rounds)
-    bucket = np.flatnonzero(weights)
-    return bucket, weights[bucket]
+    frequent = _frequent(sample, seen)
+    return fit_sparse_by_mixing(sample, lambda t, w, e: _fit(t, w, e, epochs, alpha, beta, l1, l2, frequent), (1 << BITS) + 1, rounds)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

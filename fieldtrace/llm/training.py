@@ -61,5 +61,44 @@ def fit_by_mixing(sample: DataFrame, fit: Fit, start: np.ndarray, rounds: int) -
     return values, evidence
 
 
+def _on_shard_sparse(fit: Fit, size: int, held) -> Callable[[pa.Table], pa.Table]:
+    def over(table: pa.Table) -> pa.Table:
+        index, v0, e0 = held.value
+        values, evidence = np.zeros(size, np.float32), np.zeros(size, np.float32)
+        values[index], evidence[index] = v0, e0
+        table = table.take(pc.sort_indices(table, [("order", "ascending")]))
+        v, e = fit(table, values.copy(), evidence.copy())
+        grown = np.maximum(e.astype(np.float32) - evidence, 0)
+        at = np.flatnonzero(grown)
+        shard = np.full(len(at), table["shard"][0].as_py(), np.int32)
+        return pa.table({"shard": shard, "at": at.astype(np.int32), "v": v[at].astype(np.float32), "grown": grown[at]})
+
+    return over
+
+
+def fit_sparse_by_mixing(sample: DataFrame, fit: Fit, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``fit_by_mixing`` from zeros, for models of which a shard touches a small part: (index, value) of the values that aren't zero.
+
+    Shards emit only the places whose evidence grew, and Spark sums them, in the order of shards, so that the driver holds one
+    sparse model whatever the number of shards.
+    """
+    sc = sample.sparkSession.sparkContext
+    values, evidence = np.zeros(size, np.float32), np.zeros(size, np.float32)
+    shards = sample.select("shard").distinct().count()
+    for _ in range(rounds if shards else 0):
+        index = np.flatnonzero((values != 0) | (evidence != 0))
+        held = sc.broadcast((index, values[index], evidence[index]))
+        parts = sample.groupBy("shard").applyInArrow(_on_shard_sparse(fit, size, held), "shard int, at int, v float, grown float")
+        one = F.sort_array(F.collect_list(F.struct("shard", F.col("grown").cast("double").alias("low"), (F.col("v").cast("double") * F.col("grown")).alias("top"))))
+        total = lambda c: F.aggregate("one", F.lit(0.0), lambda x, y: x + y[c])
+        summed = parts.groupBy("at").agg(one.alias("one")).select("at", total("top").alias("top"), total("low").alias("low")).toArrow()
+        at, top, low = (np.asarray(summed[c]) for c in ("at", "top", "low"))
+        values[at] = top / low
+        evidence[at] += low / shards
+        held.unpersist()
+    index = np.flatnonzero(values)
+    return index, values[index]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))

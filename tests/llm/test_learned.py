@@ -13,6 +13,7 @@ from fieldtrace.llm import quality_fm as Q
 from fieldtrace.llm import toxicity_ftrl as X
 from fieldtrace.llm.bytetext import words_of
 from fieldtrace.llm.common import held_out
+from fieldtrace.llm.training import bounded_sample, fit_by_mixing, fit_sparse_by_mixing
 
 VOICES = {"xx": "ba ke li mo nu".split(), "yy": "stri chto vren quag".split(), "zz": "aei oua eeo".split()}
 
@@ -104,6 +105,32 @@ def test_toxicity(spark):
     assert {r.score for r in X.score(docs, empty).collect()} == {0.5}
 
 
+def test_toxicity_counts_features_over_all_shards(spark):
+    # six texts of one word pair, in eight shards: fewer than three in each of them
+    rng = random.Random(8)
+    rows = [(k, " ".join(words(rng, "xx", 12)) + (" vile oaf" if k % 40 == 7 else ""), int(k % 40 == 7)) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    shards = bounded_sample(docs.select("text", "label", F.col("doc_id").alias("key")), F.struct("key", "text"), 20000).where("label = 1")
+    assert docs.where("label = 1").count() == 6 and max(r["count"] for r in shards.groupBy("shard").count().collect()) < 3
+    model = X.train(docs, "label", "text", F.col("doc_id"), l1=0.01)
+    out = {r.doc_id: r.score for r in X.score(docs, model).collect()}
+    assert min(out[k] for k in out if k % 40 == 7) > max(out[k] for k in out if k % 40 != 7)
+
+
+def test_sparse_mixing_is_mixing(spark):
+    sample = bounded_sample(spark.range(300).select(F.col("id").alias("key"), (F.col("id") % 50).alias("x")), F.col("key"), 1000)
+
+    def fit(table, values, evidence):
+        for x in np.asarray(table["x"]):
+            evidence[x] += 1
+            values[x] += (x - values[x] - 3) / evidence[x]
+        return values, evidence
+
+    dense, _ = fit_by_mixing(sample, fit, np.zeros(60), 3)
+    index, values = fit_sparse_by_mixing(sample, fit, 60, 3)
+    assert list(index) == list(np.flatnonzero(dense)) and np.allclose(values, dense[index], rtol=1e-6)
+
+
 def test_quality(spark):
     def spoil(rng, w):
         w[:] = [x.upper() + "!!" if rng.random() < 0.5 else x for x in w]
