@@ -155,3 +155,13 @@ def test_merge_edge_cases(spark):
 def test_other_queries_give_rows(spark, name):
     size = "0.01" if name == "t07_watched_way" else "0.001"  # ten assets watch no way
     assert catalog.queries()[name](spark, f"/root/testdata/sf{size}").count() > 0
+
+
+def test_plate_fusion_covers_every_asset(spark):
+    from fieldtrace.sources.views import passes
+
+    d = "/root/testdata/sf0.001"
+    want = {f"{r.camera_id}:{r.plate}" for r in passes(spark, d).where("plate <> ''").select("camera_id", "plate").distinct().collect()}
+    got = [r.track for r in catalog.queries()["t22_plate_fusion"](spark, d).select("track").collect()]
+    assert any(int(t.split(":")[0]) >= 5 for t in want)
+    assert len(got) == len(want) and set(got) == want
