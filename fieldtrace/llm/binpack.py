@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from .bytetext import rows_of
-from .common import cut
+from .common import cut, slices, small_batches
 from .tokens import Tokens
 
 ROOM = 1024
@@ -188,13 +189,14 @@ def plan(counts: dict[int, int], room: int = ROOM, nodes: int = 1200, width: int
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, room: int, end: int, ids: bool) -> DataFrame:
     """The pieces of every row: id, piece, start, length, ids_crc32, part and rank (its number among those of its length in the partition)."""
-    fields = [("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())]
+    kind = to_arrow_type(docs.schema[id_col].dataType)
+    fields = [("id", kind), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.binary())] * ids)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part = Tokens(), TaskContext.get().partitionId()
         next_rank = np.zeros(room + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches, 1 << 20):
             made: list[list] = [[] for _ in schema]
             for i, text in zip(rows_of(batch, "id").to_pylist(), rows_of(batch, "text").to_pylist(), strict=True):
                 raw = tokens.encode(text or "", end)
@@ -207,8 +209,9 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, room: int, end: int, ids
                     next_rank[b - a] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(over, "id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * ids)
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(over, f"id {dict(rows.dtypes)['id']}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * ids)
 
 
 def _places(spark: SparkSession, made: list[tuple[Filling, int]], base: int) -> DataFrame:

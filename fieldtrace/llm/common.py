@@ -14,20 +14,52 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that later jobs neither recompute it nor depend on an executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. A local session without one (tests) gets a temporary folder; a cluster must name one."""
+    sc = spark.sparkContext
+    there = sc._jsc.sc().getCheckpointDir()
+    if there.isDefined():
+        return there.get()
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a session without one (tests) gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that later jobs neither recompute it nor depend on an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or what comes of putting underscores before it until no column has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A narrow table that has been written, hinted for a broadcast if it has no more than ``rows`` rows; beyond that, as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+#: What Arrow moves between the JVM and Python at once, unless the session sets it: few enough bytes that long texts don't meet.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of an Arrow batch where they have their defaults."""
+    for key, (default, own) in ARROW_LIMITS.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` for functions that take one batch and give record batches. Batches come in slices of a few MB."""
+    small_batches(df.sparkSession)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -36,6 +68,26 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | Ite
     return df.mapInArrow(over, schema)
 
 
+def column_of(spark: SparkSession, fn: Callable[[pa.RecordBatch], pa.Array], kind: str, **inputs: Column) -> Column:
+    """A column that ``fn`` works out from ``inputs``, in slices of a few MB. Only the inputs go to Python; the other columns stay in the JVM."""
+    small_batches(spark)
+    names = list(inputs)
+
+    def over(arrays: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in arrays:
+            if not isinstance(columns, tuple):
+                columns = (columns,)
+            batch = pa.RecordBatch.from_arrays(list(columns), names=names)
+            if batch.num_rows:
+                yield pa.concat_arrays([fn(part) for part in slices([batch])])
+            else:
+                yield fn(batch)
+
+    # one input comes as arrays, several as tuples of arrays: the annotation tells which
+    over.__annotations__ = {"arrays": Iterator[pa.Array] if len(names) == 1 else Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(over, kind)(*inputs.values())
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of batches in slices of about ``most`` bytes, so that what is made of many long rows doesn't meet in memory."""
     for batch in batches:

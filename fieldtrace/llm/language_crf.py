@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Words, rows_of, words_of
-from .common import map_arrow
-from .training import bounded_sample, fit_by_mixing
+from .common import column_of, free_name
+from .training import fit_by_mixing, sharded
 
 BITS = 16
 BLOCK = 16
@@ -198,29 +198,39 @@ def _fit(table: pa.Table, model: np.ndarray, evidence: np.ndarray, labels: int,
 
 
 def train(rows: DataFrame, label: str, text: str, key: Column, most: int = 4000, rounds: int = 2, epochs: int = 1) -> tuple[list[str], np.ndarray]:
-    """(languages, model) fitted on about ``most`` of the rows that have a language and a text."""
+    """(languages, model) fitted on a sample of the rows that have a language and a text.
+
+    The languages are those of all such rows. Each brings about ``most`` by the number of languages to the sample, or all its rows if
+    it has fewer, so a rare one doesn't vanish. The model has a column for each language; their number bounds it.
+    """
     chosen = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("name"), key.alias("key"))
-    sample = bounded_sample(chosen, F.struct("key", "text"), most)
-    names = sorted(r.name for r in sample.select("name").distinct().collect())
+    sizes = {r.name: r.n for r in chosen.groupBy("name").agg(F.count("*").alias("n")).collect()}  # one row a language
+    names = sorted(sizes)
     if not names:
         return [], np.zeros(0, np.float32)
     index = F.array_position(F.array(*map(F.lit, names)), F.col("name")).cast("long") - 1
-    model, _ = fit_by_mixing(sample.select("text", "shard", "order", index.alias("label")), lambda t, m, e: _fit(t, m, e, len(names), epochs), np.zeros((1 << BITS) * len(names) + len(names) ** 2), rounds)
+    shares = F.array(*(F.lit(min(1.0, most / len(names) / sizes[k])) for k in names))
+    labelled = chosen.withColumn("label", index)
+    sample = sharded(labelled, F.struct("key", "text"), F.element_at(shares, (F.col("label") + 1).cast("int"))).select("text", "shard", "order", "label")
+    model, _ = fit_by_mixing(sample, lambda t, m, e: _fit(t, m, e, len(names), epochs), np.zeros((1 << BITS) * len(names) + len(names) ** 2), rounds)
     return names, model
 
 
-def predict(docs: DataFrame, names: list[str], model: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, lang_pred, score and n_switches for every row.
+def predict(docs: DataFrame, names: list[str], model: np.ndarray, text: str = "text") -> DataFrame:
+    """``docs`` with the columns lang_pred, score and n_switches.
 
-    ``lang_pred`` is the language with the largest mean marginal over the words that have letters, ``score`` that mean, and
-    ``n_switches`` how often the likeliest label changes between such words. A text that is null or has no letter is ``und``, with
-    score 0; so is every text if no language could be learned.
+    ``lang_pred`` is the language with the largest mean marginal over the words that have letters (the first by name of equal ones),
+    ``score`` that mean, and ``n_switches`` how often the likeliest label changes between such words. A text that is null or has no
+    letter is ``und``, with score 0; so is every text if no language could be learned. A text of any length is labelled whole, with
+    some hundred bytes a word at a time. Repeated rows are kept. Columns that already have one of the three names are replaced, other
+    columns stay as they are. An empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     labels = len(names)
+    kinds = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("n_switches", pa.int64())])
 
-    def over(batch: pa.RecordBatch):
-        texts = rows_of(batch, "__text")
+    def over(batch: pa.RecordBatch) -> pa.Array:
+        texts = rows_of(batch, "text")
         has = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         best, score, switches = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         if labels:
@@ -238,8 +248,8 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray, text: str = "t
         else:
             has = np.zeros(len(texts), bool)
         named = pa.array(np.array([*names, "und"], object)[np.where(has, best, labels)], pa.string())
-        yield pa.RecordBatch.from_arrays([*(rows_of(batch, c) for c in keep), named, pa.array(np.where(has, score, 0.0)), pa.array(np.where(has, switches, 0))], names=[*keep, "lang_pred", "score", "n_switches"])
+        return pa.StructArray.from_arrays([named, pa.array(np.where(has, score, 0.0)), pa.array(np.where(has, switches, 0))], fields=list(kinds))
 
-    narrow = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    kinds = dict(narrow.dtypes)
-    return map_arrow(narrow, over, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, n_switches long")
+    made = column_of(docs.sparkSession, over, "lang_pred string, score double, n_switches long", text=F.col(text).cast("string"))
+    held_as = free_name(docs, "found")
+    return docs.withColumn(held_as, made).withColumns({c: F.col(held_as)[c] for c in ("lang_pred", "score", "n_switches")}).drop(held_as)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mix, rows_of, shingle_sets
-from .common import components, cut, map_arrow
+from .common import components, cut, if_small, map_arrow
 
 SKETCH_WORDS = 8
 
@@ -43,11 +43,10 @@ def minhashes(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np
     return low >> np.uint64(24)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, codes: int, rows: int) -> DataFrame:
-    """(id, n_shingles, set_a, set_b, codes) of every row; ``codes`` is null for an empty set."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, codes: int, rows: int, carry: Column | None = None) -> DataFrame:
+    """(node, carried, n_shingles, set_a, set_b, codes) of every row; ``codes`` is null for an empty set. The id keeps its type."""
     family = _hash_family(2 * codes * rows, 1)
     salt = mix(np.arange(1, 2 * codes + 1).astype(np.uint64))
-    schema = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("codes", pa.list_(pa.int64()))])
 
     def over(batch: pa.RecordBatch):
         size, first, second, made = [], [], [], []
@@ -65,16 +64,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, codes:
                 made.append(None)
                 first.append(0)
                 second.append(0)
-        yield pa.RecordBatch.from_arrays([rows_of(batch, "node"), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(made, pa.list_(pa.int64()))], schema=schema)
+        arrays = [rows_of(batch, "node"), rows_of(batch, "carried"), *(pa.array(x, pa.int64()) for x in (size, first, second)), pa.array(made, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["node", "carried", "n_shingles", "set_a", "set_b", "codes"])
 
-    rows_in = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows_in, over, "node long, n_shingles long, set_a long, set_b long, codes array<long>")
+    carried = F.lit(None).cast("long") if carry is None else carry
+    rows_in = docs.select(F.col(id_col).alias("node"), carried.alias("carried"), F.col(text_col).cast("string").alias("text"))
+    kinds = dict(rows_in.dtypes)
+    return map_arrow(rows_in, over, f"node {kinds['node']}, carried {kinds['carried']}, n_shingles long, set_a long, set_b long, codes array<long>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(node, n, set, bits) with the whole set and a sketch of one bit for each of 512 further minhashes."""
     family = _hash_family(64 * SKETCH_WORDS, 2)
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("set", pa.list_(pa.int64())), *((f"b{k}", pa.int64()) for k in range(SKETCH_WORDS))])
+    names = ["node", "n", "set", *(f"b{k}" for k in range(SKETCH_WORDS))]
 
     def over(batch: pa.RecordBatch):
         sets, bits = [], []
@@ -83,30 +85,40 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
             one = (minhashes(s, family) & np.uint64(1)).astype(np.uint8) if len(s) else np.zeros(64 * SKETCH_WORDS, np.uint8)
             bits.append(np.packbits(one).view(np.int64))
         bits = np.array(bits, np.int64).reshape(-1, SKETCH_WORDS)
-        yield pa.RecordBatch.from_arrays([rows_of(batch, "node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64())), *(pa.array(bits[:, k].copy()) for k in range(SKETCH_WORDS))], schema=schema)
+        yield pa.RecordBatch.from_arrays([rows_of(batch, "node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64())), *(pa.array(bits[:, k].copy()) for k in range(SKETCH_WORDS))], names=names)
 
-    return map_arrow(docs, over, "node long, n long, set array<long>, " + ", ".join(f"b{k} long" for k in range(SKETCH_WORDS)))
+    return map_arrow(docs, over, f"node {dict(docs.dtypes)['node']}, n long, set array<long>, " + ", ".join(f"b{k} long" for k in range(SKETCH_WORDS)))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (src, dst) whose sets satisfy 100 * intersection >= percent * union."""
-    left = sets.select(F.col("node").alias("src"), F.col("set").alias("set_s"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 500) -> DataFrame:
+    """The pairs (src, dst) whose sets satisfy 100 * intersection >= percent * union.
+
+    The set of a ``src`` that has more than ``most`` pairs is copied, one copy for each ``most`` of them, and its pairs are dealt to
+    the copies, so that the centre of a large group isn't one key of the join.
+    """
+    fans = pairs.groupBy("src").agg(F.count("*").alias("many")).where(F.col("many") > most).select("src", F.ceil(F.col("many") / most).cast("int").alias("fan"))
+    fans = if_small(cut(fans))
+    turn = F.pmod(F.xxhash64("dst"), F.coalesce("fan", F.lit(1))).cast("int")
+    dealt = pairs.join(fans, "src", "left").select("src", "dst", turn.alias("turn"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1))
+    left = sets.select(F.col("node").alias("src"), F.col("set").alias("set_s")).join(fans, "src", "left").select("src", "set_s", copies.alias("turn"))
     right = sets.select(F.col("node").alias("dst"), F.col("set").alias("set_d"))
-    both = pairs.join(left.hint("merge"), "src").join(right.hint("merge"), "dst")
+    both = dealt.join(left.hint("merge"), ["src", "turn"]).join(right.hint("merge"), "dst")
     shared = F.size(F.array_intersect("set_s", "set_d")).cast("long")
     union = F.size("set_s") + F.size("set_d") - shared
     return both.where(100 * shared >= percent * union).select("src", "dst")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = 5, codes: int = 12, rows: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = 5, codes: int = 12, rows: int = 2, carry: Column | None = None) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable), kept (id = component_id).
 
     Null and word-less texts have an empty set and link with nothing; their component is their id. Equal sets are in one
-    component. Ids need not be unique: each row is judged by its own text, but classes of equal sets whose smallest id is the
-    same count as one. A row with a null id takes the component of the rows of its set, or null (kept) if none of them has an id.
-    An empty table gives an empty result. Other columns are ignored, whatever their names.
+    component. Ids may be of any type that has an order and need not be unique: each row is judged by its own text, but classes of
+    equal sets whose smallest id is the same count as one. A row with a null id takes the component of the rows of its set, or null
+    (kept) if none of them has an id. A text of any length is taken whole, its set as one array. An empty table gives an empty
+    result. Other columns are ignored, whatever their names; the value of ``carry`` comes out as the column ``carried``.
     """
-    rows_sig = cut(signatures(docs, id_col, text_col, shingle, codes, rows))
+    rows_sig = cut(signatures(docs, id_col, text_col, shingle, codes, rows, carry))
     same = ["n_shingles", "set_a", "set_b"]
     some = rows_sig.where("n_shingles > 0 and node is not null")
     classes = cut(some.groupBy(*same).agg(F.min("node").alias("node"), F.first("codes").alias("codes")))
@@ -127,12 +139,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     led = keys.join(least.hint("merge"), "key").where("node <> low")
     leads = cut(
         led.groupBy("node", "low").agg(F.count("*").alias("times"))
-        .groupBy("node").agg(F.max_by("low", F.struct("times", -F.col("low"))).alias("low"), F.max("times").alias("times"))
+        .groupBy("node").agg(F.min_by("low", F.struct(-F.col("times"), "low")).alias("low"))
     )
     stars = leads.select(F.col("node").alias("dst"), F.col("low").alias("src"))
     # all that share a table: a class that is the least of its buckets has no lead, and needn't be anyone's
     wanted = leads.select("node").union(least.select("low")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text"))
     sets = cut(full_sets(texts.join(wanted, "node", "left_semi"), shingle).where("n > 0"))
     links = cut(_verified(stars, sets, percent))
     first = components(links)
@@ -149,40 +161,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     able = cut(
         facts.drop("set").join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
     )
-    more = _verified(_cross_pairs(able, percent), sets, percent)
+    more = _verified(cut(_cross_pairs(able, percent)), sets, percent)
     edges = cut(links.union(more))
     labels = components(edges)
 
     class_of = cut(
         classes.select(*same, F.col("node").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("class_component"))
     )
-    result = rows_sig.drop("codes").join(class_of.hint("merge"), same, "left").withColumn("component_id", F.coalesce("class_component", "node"))
-    return result.select(F.col("node").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("node") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    result = rows_sig.drop("codes", *["carried"] * (carry is None)).join(class_of.hint("merge"), same, "left").withColumn("component_id", F.coalesce("class_component", "node"))
+    kept = F.coalesce(F.col("node") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
+    return result.select(F.col("node").alias(id_col), "n_shingles", "component_id", kept, *["carried"] * (carry is not None))
 
 
 def _reach(shared: Column, n_x: Column, n_y: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n_x + n_y - shared)
 
 
-def _cross_pairs(able: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(able: DataFrame, percent: int, most: int = 200) -> DataFrame:
     """Distinct pairs (src < dst) of different components with a common table and no bound against the threshold.
 
-    A common table is a common code in each half, so one half's codes are the join key and the other half is a condition.
-    A pair is taken at its least common code only. Code, size and sketch bounds are part of the join condition.
+    A common table is a common code in each half. One half's codes are the join key and the other half is a condition; a code that
+    more than ``most`` classes have is split by the codes of the other half, so that its buckets are those of the tables. A pair is
+    taken at its least common codes only. Code, size and sketch bounds are part of the join condition.
     """
-    left = able.select(*(F.col(c).alias(f"x_{c}") for c in able.columns), F.explode("a").alias("code"))
-    right = able.select(*(F.col(c).alias(f"y_{c}") for c in able.columns), F.explode("a").alias("code"))
+    coded = able.withColumn("code", F.explode("a"))
+    busy = if_small(cut(coded.groupBy("code").agg(F.count("*").alias("many")).where(F.col("many") > most).select("code", F.lit(True).alias("split"))))
+    keyed = coded.join(busy, "code", "left").withColumn("second", F.explode(F.when(F.col("split"), F.col("b")).otherwise(F.array(F.lit(0).cast("long")))))
+    side = lambda p: keyed.select(*(F.col(c).alias(f"{p}_{c}") for c in able.columns), "code", "second", F.col("split").alias(f"{p}_split"))
+    left, right = side("x"), side("y")
     shared = F.least("x_most", "y_most")
     differ = sum((F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
     n = 64 * SKETCH_WORDS
     p = (1 - percent / 100) / 2
     limit = n * p + 4.5 * (n * p * (1 - p)) ** 0.5
+    first_of = lambda half: F.array_min(F.array_intersect(f"x_{half}", f"y_{half}"))
     on = (
         (F.col("x_node") < F.col("y_node"))
         & (F.col("x_component") != F.col("y_component"))
         & _reach(shared, F.col("x_n"), F.col("y_n"), percent)
         & (differ <= limit)
-        & F.arrays_overlap("x_b", "y_b")
-        & (F.array_min(F.array_intersect("x_a", "y_a")) == left["code"])
+        & F.when(F.col("x_split"), first_of("b") == left["second"]).otherwise(F.arrays_overlap("x_b", "y_b"))
+        & (first_of("a") == left["code"])
     )
-    return left.join(right.hint("merge"), (left["code"] == right["code"]) & on).select(F.col("x_node").alias("src"), F.col("y_node").alias("dst"))
+    joined = left.join(right.hint("merge"), (left["code"] == right["code"]) & (left["second"] == right["second"]) & on)
+    return joined.select(F.col("x_node").alias("src"), F.col("y_node").alias("dst"))

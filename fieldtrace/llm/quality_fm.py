@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import rows_of, words_of
-from .common import map_arrow
+from .common import column_of
 from .training import bounded_sample, fit_by_mixing, sigmoid
 
 BUCKETS = 1 << 14
@@ -120,7 +120,10 @@ def _fit(table: pa.Table, model: np.ndarray, evidence: np.ndarray, epochs: int,
 
 
 def train(rows: DataFrame, label: str, text: str, stated: str | None, key: Column, most: int = 16000, rounds: int = 3, epochs: int = 3) -> np.ndarray:
-    """Fits on about ``most`` of ``rows`` (those with a 0/1 label). Without any, every score is the prior of 0.5."""
+    """Fits on about ``most`` of ``rows`` (those with a 0/1 label; other labels and null are left out).
+
+    A text with several labels counts once for each. Null texts are learned from as empty ones. Without any row, every score is about 0.5.
+    """
     chosen = rows.where(F.col(label).isin(0, 1)).select(
         F.col(text).cast("string").alias("text"), F.col(label).cast("double").alias("label"), (F.col(stated).cast("double") if stated else F.lit(None).cast("double")).alias("stated"), key.alias("key")
     )
@@ -130,17 +133,21 @@ def train(rows: DataFrame, label: str, text: str, stated: str | None, key: Colum
     return model
 
 
-def score(docs: DataFrame, model: np.ndarray, text: str = "text", stated: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and score (0 to 1) for every row. Null and empty texts are scored by their statistics."""
+def score(docs: DataFrame, model: np.ndarray, text: str = "text", stated: str | None = None, into: str = "score") -> DataFrame:
+    """``docs`` with the column ``into``: the score, 0 to 1, of every row.
+
+    Null and empty texts are scored by their statistics, null lengths by that of being null. A text of any length is scored whole. Equal
+    texts with equal lengths have equal scores; repeated rows are kept. A column that is already named ``into`` is replaced, other
+    columns stay as they are, whatever their names. An empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def over(batch: pa.RecordBatch):
+    def over(batch: pa.RecordBatch) -> pa.Array:
         out = np.empty(batch.num_rows)
-        told = rows_of(batch, "__stated").to_numpy(zero_copy_only=False).astype(float)
-        for lo, hi, f, x, first in features(rows_of(batch, "__text"), told):
+        told = rows_of(batch, "stated").to_numpy(zero_copy_only=False).astype(float)
+        for lo, hi, f, x, first in features(rows_of(batch, "text"), told):
             out[lo:hi] = sigmoid(margins(held.value, f, x, first))
-        yield pa.RecordBatch.from_arrays([*(rows_of(batch, c) for c in keep), pa.array(out)], names=[*keep, "score"])
+        return pa.array(out)
 
-    narrow = docs.select(*keep, F.col(text).cast("string").alias("__text"), (F.col(stated).cast("double") if stated else F.lit(None).cast("double")).alias("__stated"))
-    kinds = dict(narrow.dtypes)
-    return map_arrow(narrow, over, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    told = F.col(stated).cast("double") if stated else F.lit(None).cast("double")
+    return docs.withColumn(into, column_of(docs.sparkSession, over, "double", text=F.col(text).cast("string"), stated=told))

@@ -27,20 +27,20 @@ def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
     names, model = language_crf.train(docs.where(~out), "lang", "text", F.col("doc_id"))
-    return language_crf.predict(docs, names, model).withColumn("held_out", out).select("doc_id", "held_out", "lang_pred", "score", "n_switches")
+    return language_crf.predict(docs.select("doc_id", "text"), names, model).withColumn("held_out", out).select("doc_id", "held_out", "lang_pred", "score", "n_switches")
 
 
 def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 4, 2)
     model = toxicity_ftrl.train(_labelled(spark, sf_dir, "toxic").where(~out), "toxic", "text", F.col("doc_id"))
-    scored = toxicity_ftrl.score(read(spark, sf_dir, "documents"), model)
+    scored = toxicity_ftrl.score(read(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 3, 1)
     model = quality_fm.train(_labelled(spark, sf_dir, "quality").where(~out), "quality", "text", "n_chars", F.col("doc_id"))
-    scored = quality_fm.score(read(spark, sf_dir, "documents"), model, stated="n_chars")
+    scored = quality_fm.score(read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), model, stated="n_chars")
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -52,22 +52,32 @@ KINDS = (
 )
 NAMES = [k.name for k in KINDS]
 STRONG = [k.name for k in KINDS if not k.weak]
-#: True of every text that has a span of any kind, and of few others.
-ANY = (
+#: An assignment to any of the names of strong and weak kinds.
+_NAMED = (
     r"(?i:(?:password|passwd|secret|token|api_?key|client_?id|user_?name|user_?id|user|login|account_?id|account|access_?key_?id|host|host_?name|endpoint|server)"
     + _GIVEN
-    + r"[a-z0-9+/_.=:@-])|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|://|[A-Za-z0-9+/]{40}"
+    + r"[a-z0-9+/_.=:@-])"
 )
+#: A run that may be a hexadecimal or a bare secret, looked for where runs begin.
+_LONG = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}"
+
+
+def candidate(text: Column) -> Column:
+    """True of every text that has a span of any kind, and of few others. What is cheap to look for comes first; null is false."""
+    assigned = (text.contains("=") | text.contains(":")) & text.rlike(_NAMED)
+    return F.coalesce(text.contains("AKIA") | text.contains("://") | text.rlike(_LONG) | assigned, F.lit(False))
+
+
 REACH = 200
 
 _PART = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("turn", T.IntegerType()), T.StructField("gap", T.IntegerType()), T.StructField("hit", T.IntegerType()), T.StructField("fits", T.BooleanType())]))
 
 
 def _with_parts(rows: DataFrame, text: str) -> DataFrame:
-    """Adds ``__parts``: kind, turn, length of the gap before, length of the match, whether the match fits, for every match."""
+    """Adds ``__parts``: kind, turn, length of the gap before, length of the match, whether the match fits, for every match; null without a candidate."""
 
     def lengths(kind: Kind) -> tuple[Column, Column, Column]:
-        here = F.col(text).rlike(kind.pattern)
+        here = F.col("__some") & F.col(text).rlike(kind.pattern)
         hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
         told = hits if kind.group == 0 else F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))
         fits = F.transform(told, lambda x: (F.length(x) >= kind.least) & (x.rlike(kind.also) if kind.also else F.lit(True)))
@@ -82,11 +92,11 @@ def _with_parts(rows: DataFrame, text: str) -> DataFrame:
         made = F.transform(zipped, lambda x, i: F.struct(F.lit(n).alias("kind"), i.alias("turn"), x[f"__gap{n}"].alias("gap"), x[f"__hit{n}"].alias("hit"), x[f"__fits{n}"].alias("fits")))
         return F.filter(made, lambda x: x["hit"].isNotNull())
 
-    out = rows
+    out = rows.withColumn("__some", candidate(F.col(text)))
     for n, kind in enumerate(KINDS):
         out = out.withColumns(dict(zip((f"__gap{n}", f"__hit{n}", f"__fits{n}"), lengths(kind), strict=True)))
-    made = F.concat(*map(listed, range(len(KINDS)))).cast(_PART)
-    return out.withColumn("__parts", made).drop(*(f"__{c}{n}" for n in range(len(KINDS)) for c in ("gap", "hit", "fits")))
+    made = F.when(F.col("__some"), F.concat(*map(listed, range(len(KINDS))))).cast(_PART)
+    return out.withColumn("__parts", made).drop("__some", *(f"__{c}{n}" for n in range(len(KINDS)) for c in ("gap", "hit", "fits")))
 
 
 def _positions(rows: DataFrame) -> DataFrame:
@@ -113,10 +123,9 @@ def _linked(parts: DataFrame, reach: int) -> DataFrame:
     return found.where((F.col("role") != "endpoint") | (F.col("named") & F.col("secret"))).select("__row", "kind", "first", "last")
 
 
-def _candidates(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """The rows with a candidate, with a row number and their parts, written out; texts only if they are kept."""
-    rows = docs.where(F.col(text_col).rlike(ANY)).withColumn("__row", F.monotonically_increasing_id())
-    return cut(_with_parts(rows, text_col).select("__row", "__parts", *keep))
+def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
+    """(__row, __doc, __text): a row number, all columns as one value, so that no name of theirs can clash, and the text."""
+    return docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), F.col(f"`{text_col}`").cast("string").alias("__text"))
 
 
 def _spans_by_row(rows: DataFrame, reach: int) -> DataFrame:
@@ -134,14 +143,18 @@ def _written(spans: Column) -> Column:
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
-    Null and empty texts have no spans. Repeated ids and repeated rows are judged row by row. Other columns are ignored; an empty
-    table gives an empty result.
+    Null and empty texts have no spans. Repeated ids and repeated rows are judged row by row. A text of any length is scanned whole in
+    its own row; only the lengths of its matches are exploded. Other columns are ignored, whatever their names; an empty table gives an
+    empty result. The texts are read and scanned once.
     """
-    docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    rows = _candidates(docs, "__text", ["__id"])
-    found = rows.select("__row", "__id").join(_spans_by_row(rows, reach), "__row", "left").select("__id", "spans")
-    clean = docs.where(~F.coalesce(F.col("__text").rlike(ANY), F.lit(False))).select("__id", F.lit(None).cast("array<struct<first:bigint,kind:int,last:bigint>>").alias("spans"))
-    everything = found.union(clean).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<first:bigint,kind:int,last:bigint>>")))
+    scanned = _numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
+    # one pass over the texts: what comes out of it has no text
+    rows = cut(_with_parts(scanned, "__text").select("__row", F.col("__doc.id").alias("__id"), "__parts"))
+    found = rows.where("__parts is not null")
+    spanned = found.select("__row", "__id").join(_spans_by_row(found, reach), "__row", "left").select("__id", "spans")
+    kind = "array<struct<first:bigint,kind:int,last:bigint>>"
+    clean = rows.where("__parts is null").select("__id", F.lit(None).cast(kind).alias("spans"))
+    everything = spanned.union(clean).withColumn("spans", F.coalesce("spans", F.array().cast(kind)))
     base = F.filter("spans", lambda s: _of(s["kind"], STRONG))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == NAMES.index(k))).cast("long")
     return everything.select(
@@ -156,11 +169,12 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rea
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", reach: int = REACH) -> DataFrame:
     """``docs`` with every reported span of ``text_col`` replaced by ``mask``; overlapping spans are replaced together.
 
-    All rows and columns stay. Rows without a candidate pass through as they are.
+    All rows stay, repeated ones too, and all columns, whatever their names. Null and empty texts and rows without a candidate pass
+    through as they are, a text of any length whole. An empty table gives an empty result.
     """
-    columns = docs.columns
-    rows = _candidates(docs, text_col, columns)
-    found = rows.drop("__parts").join(_spans_by_row(rows, reach), "__row", "left")
+    some = candidate(F.col(f"`{text_col}`").cast("string"))
+    rows = cut(_with_parts(_numbered(docs.where(some), text_col), "__text"))
+    found = rows.drop("__parts").join(_spans_by_row(rows.select("__row", "__parts").where("__parts is not null"), reach), "__row", "left")
     # spans are sorted by start: one begins a new masked stretch where it starts beyond all ends before it
     merged = F.aggregate(
         "spans",
@@ -168,11 +182,12 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", reac
         lambda a, s: F.struct(
             F.when(
                 (s["first"] >= a["end"]) & ~((s["first"] == a["end"]) & (a["end"] > 0)),
-                F.concat(a["out"], F.array(F.col(text_col).substr((a["end"] + 1).cast("int"), (s["first"] - a["end"]).cast("int")), F.lit(mask))),
+                F.concat(a["out"], F.array(F.col("__text").substr((a["end"] + 1).cast("int"), (s["first"] - a["end"]).cast("int")), F.lit(mask))),
             ).otherwise(F.when(a["end"] == 0, F.array(F.lit(mask))).otherwise(a["out"])).alias("out"),
             F.greatest(a["end"], s["last"]).alias("end"),
         ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.col(text_col).substr((a["end"] + 1).cast("int"), F.length(text_col))),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.col("__text").substr((a["end"] + 1).cast("int"), F.length("__text"))),
     )
-    done = found.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(merged)).select(columns)
-    return done.union(docs.where(~F.coalesce(F.col(text_col).rlike(ANY), F.lit(False))).select(columns))
+    text = F.when(F.col("spans").isNull(), F.col("__text")).otherwise(merged)
+    done = found.select(*((text if c == text_col else F.col("__doc")[c]).alias(c) for c in docs.columns))
+    return done.union(docs.where(~some))

@@ -3,19 +3,21 @@
 Features are the distinct words (without marks around them), word pairs and pairs with one or two words between them, hashed. Every
 coordinate has its own rate, and the L1 term keeps most weights at exactly zero, so the model that scoring broadcasts is a short list of
 (bucket, weight), whose size is bounded by the number of buckets. A feature takes part from ``seen`` training texts of the whole sample
-on, as one that only a text or two hold says nothing of others. ``l1`` is meant for the root of a shard's number of texts.
+on, as one that only a text or two hold says nothing of others. Shards learn in parallel and their states (z, n) are mixed, see ``training.mixed_state``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Words, inner_hashes, mix, rows_of, words_of
-from .common import map_arrow, slices
-from .training import bounded_sample, fit_sparse_by_mixing, sigmoid
+from .common import column_of, slices
+from .training import bounded_sample, mixed_state, sigmoid
 
 BITS = 20
 _LETTER = np.zeros(256, bool)
@@ -61,51 +63,72 @@ def _frequent(sample: DataFrame, seen: int) -> np.ndarray:
     return np.packbits(often)
 
 
-def _fit(table: pa.Table, weights: np.ndarray, evidence: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float, frequent: np.ndarray):
-    """Online FTRL-proximal over the shard's rows, from the state that gives the common weights."""
-    n = evidence.astype(np.float64)
-    # the sum of n gradients without a meaning grows as the root of n; the bias isn't drawn to zero
-    l1 = np.append(np.full(1 << BITS, l1 * max(table.num_rows, 1) ** 0.5), 0.0)
-    z = -weights * ((beta + np.sqrt(n)) / alpha + l2) - np.sign(weights) * l1
+@dataclass(frozen=True)
+class Rule:
+    """The constants of FTRL-proximal. ``l1`` holds for the sums that a coordinate gathers, whatever the number of rows or shards."""
+
+    alpha: float = 3.0
+    beta: float = 1.0
+    l1: float = 5.0
+    l2: float = 1.0
+
+    def weights(self, z: np.ndarray, n: np.ndarray, l1: np.ndarray | float) -> np.ndarray:
+        """The weights that the state (z, n) stands for: the proximal step in closed form."""
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+
+    def update(self, z: np.ndarray, n: np.ndarray, f: np.ndarray, l1: np.ndarray, label: float) -> None:
+        """One row: the coordinates ``f`` are 1, all others 0. Moves z and n in place."""
+        zf, nf = z[f], n[f]
+        w = self.weights(zf, nf, l1)
+        g = float(sigmoid(w.sum())) - label
+        z[f] = zf + g - (np.sqrt(nf + g * g) - np.sqrt(nf)) / self.alpha * w
+        n[f] = nf + g * g
+
+
+def _over_shard(table: pa.Table, z: np.ndarray, n: np.ndarray, rule: Rule, epochs: int, frequent: np.ndarray) -> None:
+    """Online updates over the shard's rows, from the common state."""
     y = np.asarray(table["label"], float)
     often = np.unpackbits(frequent).astype(bool)
-    rows = [f[often[f]] for f in _features(table["text"].combine_chunks())]
     bias = np.array([1 << BITS])
+    rows = [np.concatenate([bias, f[often[f]]]) for f in _features(table["text"].combine_chunks())]
+    thresholds = [np.append(0.0, np.full(len(f) - 1, rule.l1)) for f in rows]  # the bias isn't drawn to zero
     for _ in range(epochs):
-        for f, label in zip(rows, y, strict=True):
-            f = np.concatenate([bias, f])
-            zf, nf, lf = z[f], n[f], l1[f]
-            wf = np.where(np.abs(zf) <= lf, 0.0, -(zf - np.sign(zf) * lf) / ((beta + np.sqrt(nf)) / alpha + l2))
-            g = sigmoid(wf.sum()) - label
-            if abs(g) < 1e-4:
-                continue
-            sigma = (np.sqrt(nf + g * g) - np.sqrt(nf)) / alpha
-            z[f] = zf + g - sigma * wf
-            n[f] = nf + g * g
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    return w, n
-
-
-def train(rows: DataFrame, label: str, text: str, key: Column, most: int = 20000, rounds: int = 3, epochs: int = 4, alpha: float = 1.5, beta: float = 1.0, l1: float = 0.3, l2: float = 1.0, seen: int = 3):
-    """Sparse weights (bucket, weight) fitted on about ``most`` of ``rows`` (those with a 0/1 label); the last bucket is the bias."""
+        for f, l1, label in zip(rows, thresholds, y, strict=True):
+            rule.update(z, n, f, l1, label)
+
+
+def train(rows: DataFrame, label: str, text: str, key: Column, most: int = 20000, rounds: int = 4, epochs: int = 3, rule: Rule = Rule(), seen: int = 3) -> tuple[np.ndarray, np.ndarray]:  # noqa: B008
+    """Sparse weights (bucket, weight) fitted on about ``most`` of ``rows`` (those with a 0/1 label); the last bucket is the bias.
+
+    The state of the learner, the sums z and the squared gradients n, goes on from round to round. A text with several labels counts
+    once for each; other labels and null are left out. Without any row there is no weight, and every score is 0.5.
+    """
     chosen = rows.where(F.col(label).isin(0, 1)).select(F.col(text).cast("string").alias("text"), F.col(label).cast("double").alias("label"), key.alias("key"))
     sample = bounded_sample(chosen, F.struct("key", "text"), most).drop("key")
     frequent = _frequent(sample, seen)
-    return fit_sparse_by_mixing(sample, lambda t, w, e: _fit(t, w, e, epochs, alpha, beta, l1, l2, frequent), (1 << BITS) + 1, rounds)
+    z, n = mixed_state(sample, lambda t, z, n: _over_shard(t, z, n, rule, epochs, frequent), (1 << BITS) + 1, rounds)
+    w = rule.weights(z, n, np.append(np.full(1 << BITS, rule.l1), 0.0)).astype(np.float32)
+    index = np.flatnonzero(w)
+    return index, w[index]
+
 
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with the column ``into``: the score, 0 to 1, of every row.
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and score (0 to 1) for every row. A null or empty text has the score of the bias alone."""
+    A null or empty text has the score of the bias alone. A text of any length is scored whole. Equal texts have equal scores; repeated
+    rows are kept. A column that is already named ``into`` is replaced, other columns stay as they are, whatever their names. An
+    empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     opened: list[np.ndarray] = []
 
-    def over(batch: pa.RecordBatch):
+    def over(batch: pa.RecordBatch) -> pa.Array:
         if not opened:
             dense = np.zeros((1 << BITS) + 1, np.float32)
             dense[held.value[0]] = held.value[1]
             opened.append(dense)
         dense, out = opened[0], np.empty(batch.num_rows)
-        for w in words_of(rows_of(batch, "__text")):
+        for w in words_of(rows_of(batch, "text")):
             keys = []
             for bucket, doc in _buckets(w):
                 hit = dense[bucket] != 0
@@ -113,8 +136,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
             key = np.unique(np.concatenate(keys))
             total = np.bincount(key >> BITS, dense[key & ((1 << BITS) - 1)], w.hi - w.lo)
             out[w.lo : w.hi] = sigmoid(dense[-1] + total)
-        yield pa.RecordBatch.from_arrays([*(rows_of(batch, c) for c in keep), pa.array(out)], names=[*keep, "score"])
+        return pa.array(out)
 
-    narrow = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    kinds = dict(narrow.dtypes)
-    return map_arrow(narrow, over, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    return docs.withColumn(into, column_of(docs.sparkSession, over, "double", text=F.col(text).cast("string")))

@@ -15,19 +15,21 @@ from .common import cut
 SHARDS = 8
 
 Fit = Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+Step = Callable[[pa.Table, np.ndarray, np.ndarray], None]
+
+
+def sharded(rows: DataFrame, key: Column, share: Column, shards: int = SHARDS) -> DataFrame:
+    """The ``share`` of the rows that a hash of ``key`` picks, put into shards by another. Adds ``shard`` and ``order``, the sequence of training."""
+    picked = rows.where(F.pmod(F.xxhash64(F.lit(5), key), F.lit(1 << 20)) < share * (1 << 20))
+    return cut(picked.withColumns({"order": F.xxhash64(F.lit(17), key), "shard": F.pmod(F.xxhash64(F.lit(29), key), F.lit(shards)).cast("int")}))
 
 
 def bounded_sample(rows: DataFrame, key: Column, most: int, shards: int = SHARDS) -> DataFrame:
-    """About ``most`` of the rows (all, if there are fewer), picked and put into shards by a hash of ``key``.
+    """About ``most`` of the rows (all, if there are fewer), in shards.
 
-    The share is ``most`` by the number of rows, so that no sort or limit is needed and every size is treated alike. Adds the
-    columns ``shard`` and ``order``; ``order`` fixes the sequence of training.
+    The share is ``most`` by the number of rows, so that no sort or limit is needed and every size is treated alike.
     """
-    total = rows.count()
-    share = min(1.0, most / max(total, 1))
-    ordered = rows.withColumn("order", F.xxhash64(F.lit(17), key))
-    kept = ordered if share == 1 else ordered.where(F.pmod(F.xxhash64(F.lit(5), key), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return cut(kept.withColumn("shard", F.pmod(F.xxhash64(F.lit(29), key), F.lit(shards)).cast("int")))
+    return sharded(rows, key, F.lit(min(1.0, most / max(rows.count(), 1))), shards)
 
 
 def _on_shard(fit: Fit, values: np.ndarray, evidence: np.ndarray) -> Callable[[pa.Table], pa.Table]:
@@ -61,43 +63,47 @@ def fit_by_mixing(sample: DataFrame, fit: Fit, start: np.ndarray, rounds: int) -
     return values, evidence
 
 
-def _on_shard_sparse(fit: Fit, size: int, held) -> Callable[[pa.Table], pa.Table]:
+def _on_shard_sparse(step: Step, size: int, held) -> Callable[[pa.Table], pa.Table]:
     def over(table: pa.Table) -> pa.Table:
-        index, v0, e0 = held.value
-        values, evidence = np.zeros(size, np.float32), np.zeros(size, np.float32)
-        values[index], evidence[index] = v0, e0
-        table = table.take(pc.sort_indices(table, [("order", "ascending")]))
-        v, e = fit(table, values.copy(), evidence.copy())
-        grown = np.maximum(e.astype(np.float32) - evidence, 0)
-        at = np.flatnonzero(grown)
+        index, *before = held.value
+        state = [np.zeros(size) for _ in before]
+        for whole, part in zip(state, before, strict=True):
+            whole[index] = part
+        old = [s.copy() for s in state]
+        step(table.take(pc.sort_indices(table, [("order", "ascending")])), *state)
+        moved = [new - was for new, was in zip(state, old, strict=True)]
+        at = np.flatnonzero(np.logical_or.reduce([m != 0 for m in moved]))
         shard = np.full(len(at), table["shard"][0].as_py(), np.int32)
-        return pa.table({"shard": shard, "at": at.astype(np.int32), "v": v[at].astype(np.float32), "grown": grown[at]})
+        return pa.table({"shard": shard, "at": at.astype(np.int32), "first": moved[0][at], "second": moved[1][at]})
 
     return over
 
 
-def fit_sparse_by_mixing(sample: DataFrame, fit: Fit, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``fit_by_mixing`` from zeros, for models of which a shard touches a small part: (index, value) of the values that aren't zero.
+def mixed_state(sample: DataFrame, step: Step, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two state arrays of an online learner, from zeros, after ``rounds`` over shards in parallel.
 
-    Shards emit only the places whose evidence grew, and Spark sums them, in the order of shards, so that the driver holds one
-    sparse model whatever the number of shards.
+    ``step(rows, first, second)`` moves the arrays in place. In each round every shard begins with the common state and emits only the
+    places that it moved and by how much; Spark takes the mean of a place over the shards that moved it. So the whole state goes on
+    from round to round, a place that one shard alone knows moves as that shard moved it, and the driver holds one sparse state
+    whatever the number of shards.
     """
     sc = sample.sparkSession.sparkContext
-    values, evidence = np.zeros(size, np.float32), np.zeros(size, np.float32)
-    shards = sample.select("shard").distinct().count()
-    for _ in range(rounds if shards else 0):
-        index = np.flatnonzero((values != 0) | (evidence != 0))
-        held = sc.broadcast((index, values[index], evidence[index]))
-        parts = sample.groupBy("shard").applyInArrow(_on_shard_sparse(fit, size, held), "shard int, at int, v float, grown float")
-        one = F.sort_array(F.collect_list(F.struct("shard", F.col("grown").cast("double").alias("low"), (F.col("v").cast("double") * F.col("grown")).alias("top"))))
-        total = lambda c: F.aggregate("one", F.lit(0.0), lambda x, y: x + y[c])
-        summed = parts.groupBy("at").agg(one.alias("one")).select("at", total("top").alias("top"), total("low").alias("low")).toArrow()
-        at, top, low = (np.asarray(summed[c]) for c in ("at", "top", "low"))
-        values[at] = top / low
-        evidence[at] += low / shards
+    state = [np.zeros(size), np.zeros(size)]
+    for _ in range(rounds):
+        index = np.flatnonzero((state[0] != 0) | (state[1] != 0))
+        held = sc.broadcast((index.astype(np.int32), *(s[index] for s in state)))
+        parts = sample.groupBy("shard").applyInArrow(_on_shard_sparse(step, size, held), "shard int, at int, first double, second double")
+        # in the order of shards, so that the sum of a run is that of another
+        each = F.sort_array(F.collect_list(F.struct("shard", "first", "second")))
+        mean = lambda c: F.aggregate("each", F.lit(0.0), lambda x, y: x + y[c]) / F.size("each")
+        moved = parts.groupBy("at").agg(each.alias("each")).select("at", mean("first").cast("float").alias("first"), mean("second").cast("float").alias("second")).toArrow()
         held.unpersist()
-    index = np.flatnonzero(values)
-    return index, values[index]
+        if not moved.num_rows:
+            break
+        at = np.asarray(moved["at"])
+        state[0][at] += np.asarray(moved["first"])
+        state[1][at] += np.asarray(moved["second"])
+    return state[0], state[1]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

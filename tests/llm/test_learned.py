@@ -13,7 +13,7 @@ from fieldtrace.llm import quality_fm as Q
 from fieldtrace.llm import toxicity_ftrl as X
 from fieldtrace.llm.bytetext import words_of
 from fieldtrace.llm.common import held_out
-from fieldtrace.llm.training import bounded_sample, fit_by_mixing, fit_sparse_by_mixing
+from fieldtrace.llm.training import bounded_sample, mixed_state
 
 VOICES = {"xx": "ba ke li mo nu".split(), "yy": "stri chto vren quag".split(), "zz": "aei oua eeo".split()}
 
@@ -83,7 +83,7 @@ def labelled(spark, rng, n, mark):
 
 
 def accuracy(scored, docs):
-    both = scored.join(docs.select("doc_id", "label"), "doc_id").where("doc_id >= 600").collect()
+    both = scored.select("doc_id", "score").join(docs.select("doc_id", "label"), "doc_id").where("doc_id >= 600").collect()
     return sum((r.score >= 0.5) == (r.label == 1) for r in both) / len(both)
 
 
@@ -112,23 +112,99 @@ def test_toxicity_counts_features_over_all_shards(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
     shards = bounded_sample(docs.select("text", "label", F.col("doc_id").alias("key")), F.struct("key", "text"), 20000).where("label = 1")
     assert docs.where("label = 1").count() == 6 and max(r["count"] for r in shards.groupBy("shard").count().collect()) < 3
-    model = X.train(docs, "label", "text", F.col("doc_id"), l1=0.01)
+    model = X.train(docs, "label", "text", F.col("doc_id"), rule=X.Rule(l1=0.01))
     out = {r.doc_id: r.score for r in X.score(docs, model).collect()}
     assert min(out[k] for k in out if k % 40 == 7) > max(out[k] for k in out if k % 40 != 7)
 
 
-def test_sparse_mixing_is_mixing(spark):
-    sample = bounded_sample(spark.range(300).select(F.col("id").alias("key"), (F.col("id") % 50).alias("x")), F.col("key"), 1000)
+def slow_ftrl(rows, rule, epochs, state=None):
+    """FTRL-proximal as it is written, with dictionaries: state[i] = [z, n]; coordinate None is the bias."""
+    state = {k: list(v) for k, v in (state or {}).items()}
+
+    def weight(i):
+        z, n = state.get(i, (0.0, 0.0))
+        l1 = 0.0 if i is None else rule.l1
+        return 0.0 if abs(z) <= l1 else -(z - (l1 if z > 0 else -l1)) / ((rule.beta + n**0.5) / rule.alpha + rule.l2)
+
+    for _ in range(epochs):
+        for features, label in rows:
+            w = {i: weight(i) for i in [None, *features]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i, wi in w.items():
+                z, n = state.get(i, (0.0, 0.0))
+                state[i] = [z + g - ((n + g * g) ** 0.5 - n**0.5) / rule.alpha * wi, n + g * g]
+    return state
+
+
+def test_ftrl_against_dictionaries(spark):
+    """One shard's updates, and two rounds over shards whose moves are averaged by the number of shards that moved a place."""
+    rng = random.Random(9)
+    vocabulary = [f"w{chr(97 + k)}" for k in range(25)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 6))) for _ in range(60)]
+    labels = [int("wd" in t.split() or rng.random() < 0.2) for t in texts]
+    rule, bias = X.Rule(alpha=0.7, beta=0.5, l1=0.05, l2=0.3), 1 << X.BITS
+    sample = bounded_sample(spark.createDataFrame(list(zip(range(60), texts, map(float, labels), strict=True)), "key long, text string, label double"), F.col("key"), 1000, shards=3)
+    frequent = np.packbits(np.ones(1 << X.BITS, bool))
+    z, n = mixed_state(sample, lambda t, z, n: X._over_shard(t, z, n, rule, 2, frequent), bias + 1, 2)
+    buckets = {t: f.tolist() for t, f in zip(texts, X._features(pa.array(texts)), strict=True)}
+    shards = {}
+    for r in sample.orderBy("order").collect():
+        shards.setdefault(r["shard"], []).append((buckets[r.text], r.label))
+    state = {}
+    for _ in range(2):
+        moved = {}
+        for rows in shards.values():
+            for i, (zi, ni) in slow_ftrl(rows, rule, 2, state).items():
+                z0, n0 = state.get(i, (0.0, 0.0))
+                if (zi, ni) != (z0, n0):
+                    moved.setdefault(i, []).append((zi - z0, ni - n0))
+        for i, m in moved.items():
+            z0, n0 = state.get(i, (0.0, 0.0))
+            state[i] = [z0 + sum(a for a, _ in m) / len(m), n0 + sum(b for _, b in m) / len(m)]
+    assert len(shards) == 3 and len(state) > 50
+    for i, (zi, ni) in state.items():
+        at = bias if i is None else i
+        assert z[at] == pytest.approx(zi, abs=1e-4) and n[at] == pytest.approx(ni, abs=1e-4)
+    assert set(np.flatnonzero(n)) == {bias if i is None else i for i in state}
+
+
+def clashing(docs):
+    """The table with further columns that have the names of what the operators add, or look like their own."""
+    names = ("score", "lang_pred", "n_switches", "__text", "found", "stated", "held_out")
+    return docs.select("*", *(F.lit(k).alias(name) for k, name in enumerate(names)))
+
+
+def test_scores_beside_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "some text", 1, "aa"), (1, "some text", 1, "aa"), (2, None, None, None), (None, "some text", 0, "bb"), (3, "", 2, "bb"), (3, "other words", 0, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int, lang string")
+    names, crf = C.train(docs, "lang", "text", F.col("doc_id"))
+    assert names == ["aa", "bb"]
+    toxic, fm = X.train(docs, "label", "text", F.col("doc_id")), Q.train(docs, "label", "text", None, F.col("doc_id"))
+    for out, column in ((C.predict(clashing(docs), names, crf), "lang_pred"), (X.score(clashing(docs), toxic), "score"), (Q.score(clashing(docs), fm), "score")):
+        assert sorted(out.columns) == sorted(clashing(docs).columns)
+        got = out.collect()
+        assert len(got) == len(rows) and len({r[column] for r in got if r.text == "some text"}) == 1
+        assert {(r.held_out, r["__text"], r.stated) for r in got} == {(6, 3, 5)}
+    assert Q.train(docs.where("false"), "label", "text", None, F.col("doc_id")).shape == fm.shape
+
+
+def test_rare_languages_are_kept(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(words(rng, "zz" if k % 200 == 7 else "xx", 40)), "zz" if k % 200 == 7 else "xx") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, model = C.train(docs, "lang", "text", F.col("doc_id"), most=100)
+    assert names == ["xx", "zz"]
+    out = C.predict(docs, names, model).where("lang = 'zz'").collect()
+    assert len(out) == 5 and {r.lang_pred for r in out} == {"zz"}
 
-    def fit(table, values, evidence):
-        for x in np.asarray(table["x"]):
-            evidence[x] += 1
-            values[x] += (x - values[x] - 3) / evidence[x]
-        return values, evidence
 
-    dense, _ = fit_by_mixing(sample, fit, np.zeros(60), 3)
-    index, values = fit_sparse_by_mixing(sample, fit, 60, 3)
-    assert list(index) == list(np.flatnonzero(dense)) and np.allclose(values, dense[index], rtol=1e-6)
+def test_ties_between_languages_go_to_the_first_name(spark):
+    rows = [(k, "same words here", lang) for k in range(8) for lang in ("bb", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names = ["aa", "bb"]
+    flat = np.zeros((1 << C.BITS) * 2 + 4, np.float32)
+    out = C.predict(docs, names, flat).collect()
+    assert {r.lang_pred for r in out} == {"aa"} and {round(r.score, 6) for r in out} == {0.5}
 
 
 def test_quality(spark):

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from fieldtrace.llm import secret_links
 
@@ -46,12 +48,23 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert secret_links.secrets(spark.read.parquet(str(tmp_path / "out3"))).where("n_assign > 0").count() == 0
 
 
-def test_rows_without_ids_and_extra_columns(spark, tmp_path):
-    text = "one two three four five six seven eight nine ten"
-    docs = spark.createDataFrame([(None, text, "a", "s", 1, "k"), (1, text, None, None, None, "k"), (2, text, "a", "s", 1, None)], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+def test_repeated_rows_rows_without_ids_and_extra_columns(spark, tmp_path):
+    text, other = "one two three four five six seven eight nine ten", "quite another text that has nothing at all of the first one"
+    rows = [(None, text, "a", "s", 1, "k"), (1, text, None, None, None, "k"), (1, text, None, None, None, "k"), (2, text, "a", "s", 1, None), (1, other, "a", "s", 1, "x")]
+    rows += [(None, other + " in it", "a", "s", 1, "k")] * 2 + [(None, None, "a", "s", 1, "k")] * 2 + [(9, "", "a", "s", 1, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string").withColumns({"__key0": F.lit(1), "score": F.lit(2), "carried": F.lit(3)})
     out = P.near_duplicates(spark, docs, "")
-    assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "None"]
+    assert out.columns == docs.columns
+    # a near copy of another row's text goes whatever id it has; of equal rows one stays, without an id too; texts without words stay
+    want = [(1, text), (1, other), (None, None), (None, None), (9, "")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert P.decontamination(spark, docs, str(tmp_path)).count() == 3
+    assert P.decontamination(spark, docs, str(tmp_path)).count() == len(rows)
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "benchmark.parquet"))
+    clean = P.decontamination(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(((i, t) for i, t, *_ in rows if t != text), key=str)
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert P.quality(spark, docs, str(tmp_path)).columns == docs.columns
+    assert P.secret_scan(spark, docs, "").columns == docs.columns
     assert P.secret_scan(spark, docs.where("false"), "").count() == 0
-    assert P.packing(spark, docs, "").count() == 3
+    assert P.packing(spark, docs, "").count() == len(rows)
