@@ -1,38 +1,62 @@
 """Documents to packed training sequences, in five stages. Each takes all that the one before it kept.
 
-Null and empty texts go through every stage as documents without words. A document without an id can't be told from others like it:
-near-duplicate removal and decontamination leave it as it is. Columns beside those of ``documents`` stay up to the last stage.
+Null and empty texts go through every stage as documents without words. Rows are judged one by one, by id and text together: of rows
+that are the same in both, near-duplicate removal keeps one (without an id, too), and a row goes if its own text is contaminated, whatever
+other rows have its id. Columns beside those of ``documents`` stay up to the last stage, whatever their names. An empty table goes through
+as it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldtrace.llm import binpack, latent_decontam, minhash_dedup, quality_fm, secret_links
-from fieldtrace.llm.common import cut, held_out, read
+from fieldtrace.llm.common import cut, free_name, held_out, read
 
-Stage = tuple[str, callable]
+Stage = tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. It is fitted on the labelled ones that its query learns from."""
     labelled = docs.select("doc_id", "text", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     model = quality_fm.train(labelled.where(~held_out(F.col("doc_id"), 3, 1)), "quality", "text", "n_chars", F.col("doc_id"))
-    scored = quality_fm.score(docs, model, stated="n_chars", keep=tuple(docs.columns))
-    return scored.where("score >= 0.5").select(docs.columns)
+    score = free_name(docs, "score")
+    return quality_fm.score(docs, model, stated="n_chars", into=score).where(F.col(score) >= 0.5).select(docs.columns)
+
+
+KEYS = ["__key0", "__key1"]
+
+
+def _row_key() -> Column:
+    """Two hashes that tell rows by id and text."""
+    return F.struct(*(F.xxhash64(F.lit(k), F.col("doc_id").isNull(), "doc_id", "text").alias(c) for k, c in enumerate(KEYS)))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The key of each row, and all its columns as one value, so that none of their names clashes."""
+    return docs.select(F.struct(*docs.columns).alias("__doc"), _row_key().alias("__key")).select("__doc", "__key.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest id."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates stays: that of the smallest id. Documents without words all stay."""
+    some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    worded = docs.where(some)
+    kept = minhash_dedup.near_duplicates(worded.select("doc_id", "text"), carry=_row_key()).where("kept").select("carried.*").distinct()
+    rows = _keyed(worded).join(kept.hint("merge"), KEYS, "left_semi")
+    # equal rows meet here, as the join has dealt them: the first of them stays
+    first = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*KEYS))
+    return rows.withColumn("__turn", first).where("__turn = 1").select("__doc.*").union(docs.where(~some))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    found = latent_decontam.contaminated(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = latent_decontam.contaminated(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"), carry=_row_key())
+    gone = found.where("contaminated").select("carried.*").distinct()
+    return _keyed(docs).join(gone, KEYS, "left_anti").select("__doc.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
