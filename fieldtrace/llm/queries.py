@@ -58,7 +58,8 @@ def op3_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = training_order.shards(read(spark, sf_dir, "documents"), ORDER_KEY)
+    docs = read(spark, sf_dir, "documents")
+    shards = training_order.shards(docs, ORDER_KEY, training_order.new_folder(docs))
     return training_order.records(shards).select("doc_id", "piece", "n_ids", "slot", "shard", "at", "ids_crc32")
 
 

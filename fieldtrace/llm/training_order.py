@@ -1,31 +1,34 @@
 """Token ids in training order: a keyed permutation gives every sequence a global slot, and shards hold the slots in order.
 
 A document's ids, with a separator after them, are cut into sequences of ``length`` ids; the last one is shorter and padded. All
-sequences are numbered 0..N-1 (running numbers inside a partition after the sums of the partitions before it), and a Feistel network
+sequences are numbered 0..N-1 by a hash of their id, piece and ids: they are dealt to ranges of the hash, sorted there, and numbered
+after the sums of the ranges before. So numbers depend on the documents alone, not on files, partitions or the cluster. A Feistel network
 over the smallest even number of bits that holds N permutes the numbers. Where it leaves 0..N-1 it is applied again until it is
-back (cycle-walking), which is a permutation of 0..N-1 again. So order needs no sort of random numbers, any slot can be worked out
-from the key, and every key gives another epoch.
+back (cycle-walking), which is a permutation of 0..N-1 again. Any slot can be worked out from the key, every key gives another epoch, and a
+shard that is lost can be made again.
 
 A shard holds ``rows`` neighbouring slots as one block of bytes with a fixed stride: slot s is at ``s % rows * stride`` of shard
-``s // rows``. Sequences go to the partition of their shard directly. A record is the document's id, the piece, the number of ids (little-endian
-64, 32 and 32 bits, then a null flag of 32 bits and 32 bits of padding) and ``length`` ids of 16 bits. A reader resumes from a slot by
-the shard's number, which Parquet's statistics prune, and one offset.
+``s // rows``. Sequences are dealt to ranges of shards, whose number grows as the root of the number of shards, and each range is written as
+a Parquet file in the order of slots. A record is the document's id (little-endian 64 bits), the piece, the number of ids (32 bits each),
+then a null flag of 32 bits and 32 bits of padding, and ``length`` ids of 16 bits. A reader resumes from a slot by
+the shard's first slot, which Parquet's statistics prune, and one offset.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytetext import mix, rows_of
-from .common import cut, map_arrow, slices
+from .common import map_arrow, shared_folder, slices, small_batches
 from .tokens import Tokens
 
 LENGTH = 512
@@ -33,7 +36,6 @@ ROWS = 2048
 PAD = 50256
 ROUNDS = 6
 HEAD = 24
-MOST_PARTS = 200_000
 
 
 def permuted(number: np.ndarray, count: int, key: int) -> np.ndarray:
@@ -61,26 +63,65 @@ def stride(length: int) -> int:
 
 
 def sequences(docs: DataFrame, id_col: str, text_col: str, length: int, end: int) -> DataFrame:
-    """(id, piece, n_ids, ids, part, rank) of every sequence; ``ids`` as unsigned 16-bit integers without padding."""
-    schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("n_ids", pa.int32()), ("ids", pa.binary()), ("part", pa.int32()), ("rank", pa.int64())])
+    """(id, piece, n_ids, ids) of every sequence; ``ids`` as unsigned 16-bit integers without padding."""
+    small_batches(docs.sparkSession)
+    schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("n_ids", pa.int32()), ("ids", pa.binary())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, rank = Tokens(), TaskContext.get().partitionId(), 0
+        tokens = Tokens()
         for batch in slices(batches, 1 << 20):
-            made: list[list] = [[] for _ in range(4)]
+            made: list[list] = [[] for _ in schema]
             for i, text in zip(rows_of(batch, "id").to_pylist(), rows_of(batch, "text").to_pylist(), strict=True):
-                ids = np.frombuffer(tokens.encode(text or "", end), "<u4").astype("<u2")
+                whole = np.frombuffer(tokens.encode(text or "", end), "<u4")
+                if int(whole.max(initial=0)) > 0xFFFF:
+                    raise ValueError("a token id needs more than the 16 bits of a record")
+                ids = whole.astype("<u2")
                 for k, a in enumerate(range(0, len(ids), length)):
                     piece = ids[a : a + length]
                     for column, value in zip(made, (i, k, len(piece), piece.tobytes()), strict=True):
                         column.append(value)
-            n = len(made[0])
-            columns = [*made, [part] * n, range(rank, rank + n)]
-            rank += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
+
+    # records have a number of 64 bits for the id: other kinds of id fail here rather than become null
+    rows = docs.select(F.col(id_col).try_cast("long").alias("id"), F.col(id_col).alias("given"), F.col(text_col).cast("string").alias("text"))
+    checked = F.when(F.col("given").isNotNull() & F.col("id").isNull(), F.raise_error(F.lit("an id isn't a number of 64 bits"))).otherwise(F.col("id"))
+    return rows.select(checked.cast("long").alias("id"), "text").mapInArrow(over, "id long, piece int, n_ids int, ids binary")
+
+
+def _ranked(made: DataFrame) -> DataFrame:
+    """Adds ``part``, the range of a hash of the sequence, and ``rank``, its place by that hash in the range. Equal sequences may swap places."""
+    parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = made.withColumn("hash", F.xxhash64("id", "piece", "ids"))
+    part = F.floor(F.shiftrightunsigned("hash", 32) * parts / F.lit(1 << 32)).cast("int")
+    dealt = hashed.withColumn("part", part).repartitionById(parts, "part").sortWithinPartitions("part", "hash", "id", "piece", "ids")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begun, seen = None, 0, 0
+        for batch in batches:
+            ranks = []
+            for p in rows_of(batch, "part").to_pylist():
+                if p != now:
+                    now, begun = p, seen
+                ranks.append(seen - begun)
+                seen += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranks, pa.int64())], names=[*batch.schema.names, "rank"])
+
+    return dealt.drop("hash").mapInArrow(over, "id long, piece int, n_ids int, ids binary, part int, rank long")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(over, "id long, piece int, n_ids int, ids binary, part int, rank long")
+
+#: Shuffle files of a step go when what it wrote is there; the session's own setting comes back afterwards.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def _slots(numbered: DataFrame, count: int, key: int) -> DataFrame:
@@ -91,22 +132,23 @@ def _slots(numbered: DataFrame, count: int, key: int) -> DataFrame:
     return map_arrow(numbered, over, ", ".join(f"{c} {t}" for c, t in numbered.dtypes) + ", slot long")
 
 
-def shards(docs: DataFrame, key: int, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, rows: int = ROWS, end: int = 2, pad: int = PAD) -> DataFrame:
-    """One row per shard: shard, first_slot, n, stride, data.
+def shards(docs: DataFrame, key: int, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, rows: int = ROWS, end: int = 2, pad: int = PAD) -> DataFrame:
+    """Writes the shards to ``path``/shards, beside what was numbered for them, and gives them back: shard, first_slot, n, stride, data.
 
-    A null text counts as empty and is a sequence of the separator alone. Repeated ids and rows are sequences of their own. Other
-    columns are ignored, whatever their names; an empty table gives no shard.
+    A null text counts as empty and is a sequence of the separator alone. Repeated ids and rows are sequences of their own. A text of
+    any length is cut into as many sequences as it takes. Other columns are ignored, whatever their names; an empty table gives no
+    shard. Ids are numbers of 64 bits, or text that is one; another id or a token id beyond 16 bits is an error.
     """
-    made = cut(sequences(docs, id_col, text_col, length, end))
-    # one row for each input partition
+    made = _written(_ranked(sequences(docs, id_col, text_col, length, end)), f"{path}/numbered")
+    # one row for each range of hashes, as many as there are shuffle partitions
     by_part = made.groupBy("part").agg(F.count("*").alias("n"))
     before = by_part.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    count = by_part.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # one small row for each partition of the input: broadcast unless there are very many, so the ids move once only
-    few = made.rdd.getNumPartitions() <= MOST_PARTS
-    numbered = made.join(F.broadcast(before) if few else before, "part").withColumn("number", F.col("rank") + F.col("before")).drop("part", "rank", "before")
-    placed = _slots(numbered, count, key).withColumn("shard", F.floor(F.col("slot") / rows).cast("int"))
-    held = placed.repartitionById(max(1, -(-count // rows)), "shard").sortWithinPartitions("slot")
+    count = made.count()
+    numbered = made.join(F.broadcast(before), "part").withColumn("number", F.col("rank") + F.col("before")).drop("part", "rank", "before")
+    n_shards = max(1, -(-count // rows))
+    each = -(-n_shards // tasks_for(n_shards))  # shards of a task
+    placed = _slots(numbered, count, key).withColumn("task", F.floor(F.col("slot") / (rows * each)).cast("int"))
+    held = placed.repartitionById(-(-n_shards // each), "task").sortWithinPartitions("slot")
     size = stride(length)
     schema = pa.schema([("shard", pa.int32()), ("first_slot", pa.int64()), ("n", pa.int64()), ("stride", pa.int32()), ("data", pa.binary())])
 
@@ -128,7 +170,18 @@ def shards(docs: DataFrame, key: int, id_col: str = "doc_id", text_col: str = "t
         if now is not None:
             yield full()
 
-    return held.select("id", "piece", "n_ids", "ids", "number", "slot").mapInArrow(blocks, "shard int, first_slot long, n long, stride int, data binary")
+    blocked = held.select("id", "piece", "n_ids", "ids", "number", "slot").mapInArrow(blocks, "shard int, first_slot long, n long, stride int, data binary")
+    return _written(blocked, f"{path}/shards")
+
+
+def tasks_for(n_shards: int) -> int:
+    """How many tasks write so many shards: four times the root, so that neither tasks nor what one of them holds grow in proportion."""
+    return min(n_shards, math.isqrt(16 * n_shards - 1) + 1) if n_shards else 0
+
+
+def new_folder(docs: DataFrame) -> str:
+    """A folder of its own below the one that the executors share."""
+    return f"{shared_folder(docs.sparkSession)}/training-order-{uuid.uuid4().hex}"
 
 
 def records(shard_rows: DataFrame, from_slot: int = 0, id_col: str = "doc_id") -> DataFrame:

@@ -17,14 +17,20 @@ def test_permutation(count):
         assert slots.tolist() != list(range(count))
 
 
-def test_shards_round_trip_and_resume(spark, tmp_path):
+def corpus():
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(["the", "and", "tion", "ing"], k=rng.choice([0, 3, 40, 200])))) for i in range(120)]
-    rows += [(None, "no id"), (7, None), (7, None), (8, rows[8][1])]
-    docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, slot int").repartition(4)
-    path = str(tmp_path / "shards")
-    T.shards(docs, 11, length=32, rows=16).write.parquet(path)
-    held = spark.read.parquet(path)
+    return rows + [(None, "no id"), (7, None), (7, None), (8, rows[8][1]), (500, "long text " * 20_000)]
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, 5, 6) for i, t in rows], "doc_id long, text string, slot int, part int")
+
+
+def test_shards_round_trip_and_resume(spark, tmp_path):
+    rows = corpus()
+    docs = table(spark, rows).repartition(4)
+    held = T.shards(docs, 11, str(tmp_path / "a"), length=32, rows=16)
     out = T.records(held).orderBy("slot").collect()
     assert [r.slot for r in out] == list(range(len(out)))
     assert all(r.shard == r.slot // 16 and r.at == r.slot % 16 * T.stride(32) for r in out)
@@ -35,6 +41,31 @@ def test_shards_round_trip_and_resume(spark, tmp_path):
         for k in range(-(-len(ids) // 32)):
             want[i, k, ids[32 * k : 32 * k + 32].tobytes()] += 1
     assert want == Counter((r.doc_id, r.piece, bytes(r.ids)) for r in out)
-    later = T.records(held, 37).orderBy("slot").collect()
+    later = T.records(spark.read.parquet(str(tmp_path / "a" / "shards")), 37).orderBy("slot").collect()
     assert [(r.slot, r.doc_id, r.piece) for r in later] == [(r.slot, r.doc_id, r.piece) for r in out[37:]]
-    assert T.shards(docs.where("false"), 1).count() == 0
+    assert T.shards(docs.where("false"), 1, str(tmp_path / "b")).count() == 0
+
+
+def test_slots_depend_on_the_documents_alone(spark, tmp_path):
+    rows, seen = corpus(), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for k, parts in enumerate((3, 5)):
+        random.Random(k).shuffle(rows)
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts * 2))
+        held = T.shards(table(spark, rows).repartition(parts), 5, str(tmp_path / str(k)), length=32, rows=16)
+        seen.append([(r.slot, r.doc_id, r.piece, bytes(r.ids)) for r in T.records(held).orderBy("slot").collect()])
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and len(seen[0]) > 400
+    other = T.records(T.shards(table(spark, rows), 6, str(tmp_path / "c"), length=32, rows=16)).orderBy("slot").collect()
+    assert [(r.slot, r.doc_id, r.piece, bytes(r.ids)) for r in other] != seen[0]
+
+
+def test_tasks_grow_slower_than_shards():
+    assert [T.tasks_for(n) for n in (0, 1, 4, 16, 400, 40_000, 75_000_000)] == [0, 1, 4, 16, 80, 800, 34_642]
+
+
+def test_ids_that_are_not_numbers_are_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([("12", "a text"), ("x", "another")], "doc_id string, text string")
+    assert [r.doc_id for r in T.records(T.shards(docs.where("doc_id = '12'"), 1, str(tmp_path / "a"))).collect()] == [12]
+    with pytest.raises(Exception, match="64 bits"):
+        T.shards(docs, 1, str(tmp_path / "b"))
