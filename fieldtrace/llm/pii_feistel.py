@@ -4,13 +4,14 @@ Found and validated: payment cards (issuer prefix and check digit), phone number
 addresses (octets), calendar dates (real days) and e-mail addresses. What fails its validation stays as it is. Each value is
 permuted within the set of valid values of its kind by a network whose round function is a keyed SHA-512:
 
- * cards and phones: the digits, as two halves of characters that are shifted by each other; a card's check digit is made anew;
- * e-mail: the local part, letters within letters of the same case and digits within digits; the domain stays;
- * social security numbers, addresses and dates: their number within the valid ones, as a pair (a, b) of a rectangular domain of
-   exactly that size, so the result is always valid and no value is walked through twice.
+ * cards: the digits, as two halves of characters that are shifted by each other; the check digit is made anew;
+ * e-mail: the local part, letters within letters and digits within digits, its case kept; the domain stays;
+ * phones, social security numbers, addresses and dates: their number within the valid ones, as a pair (a, b) of a rectangular domain
+   of exactly that size, so the result is always valid and no value is walked through twice. Phone numbers that nobody can have are
+   permuted among themselves, so they aren't left in clear.
 
 Separators and widths of the original stay. The permuted value depends on the key, the kind and the value alone, so equal values stay
-linked across documents and formats, and different values stay different. The text is rebuilt from gaps and matches of one pattern:
+linked across documents and formats, and different values stay different (a date as a day: ``05/06/2024`` may stand for one or the other day). The text is rebuilt from gaps and matches of one pattern:
 one pass, no shuffle.
 """
 
@@ -21,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}"
 DATE = r"(?<![\d./-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\d/-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -36,6 +39,9 @@ BLOCK = 32  # characters that one digest shifts
 DATE_SIDES = (170, 430)
 SSN_SIDES = (898 * 99, 9999)
 IP_SIDES = (65536, 65536)
+#: Phones with area code and exchange from 200 on, and all others of ten digits: pairs of the two codes by lines.
+PHONE_SIDES = (800 * 800, 10_000)
+FREE_PHONE_SIDES = (200 * 1000 + 800 * 200, 10_000)
 
 
 def _digits(x: Column) -> Column:
@@ -130,8 +136,30 @@ def _card(key: str, hit: Column) -> Column:
 
 
 def _phone(key: str, hit: Column) -> Column:
+    """Numbers that can be assigned (area code and exchange from 200 on) are permuted among those, the others among the others."""
     prefix = F.regexp_extract(hit, r"^(\+1[ .-]?)?", 1)
-    return F.concat(prefix, _let(hit.substr(F.length(prefix) + 1, F.length(hit)), lambda h: _let(_text_network(key, "phone", _digits(h)), lambda x: _filled(h, x))))
+    ten = lambda area, exchange, line: F.concat(*(F.lpad(x.cast("string"), n, "0") for x, n in ((area, 3), (exchange, 3), (line, 4))))
+
+    def assigned(area: Column, exchange: Column, line: Column) -> Column:
+        made = _pair_network(key, "phone", ((area - 200) * 800 + exchange - 200) * 10000 + line, PHONE_SIDES)
+        return _let(made, lambda v: ten(F.floor(v / 8_000_000) + 200, F.pmod(F.floor(v / 10000), F.lit(800)) + 200, F.pmod(v, F.lit(10000))))
+
+    def free(area: Column, exchange: Column, line: Column) -> Column:
+        pair = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+        made = _pair_network(key, "free phone", pair * 10000 + line, FREE_PHONE_SIDES)
+
+        def back(v: Column) -> Column:
+            p = F.floor(v / 10000)
+            low = p < 200_000
+            return ten(F.when(low, F.floor(p / 1000)).otherwise(F.floor((p - 200_000) / 200) + 200), F.when(low, F.pmod(p, F.lit(1000))).otherwise(F.pmod(p - 200_000, F.lit(200))), F.pmod(v, F.lit(10000)))
+
+        return _let(made, back)
+
+    def made(d: Column) -> Column:
+        parts = [d.substr(a, n).cast("bigint") for a, n in ((1, 3), (4, 3), (7, 4))]
+        return F.when((parts[0] >= 200) & (parts[1] >= 200), assigned(*parts)).otherwise(free(*parts))
+
+    return F.concat(prefix, _let(hit.substr(F.length(prefix) + 1, F.length(hit)), lambda h: _let(_let(_digits(h), made), lambda x: _filled(h, x))))
 
 
 def _ip(key: str, hit: Column) -> Column:
@@ -154,28 +182,35 @@ def _ssn(key: str, hit: Column) -> Column:
     return _let(_pair_network(key, "ssn", index, SSN_SIDES), back)
 
 
-DATE_FORMS = ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{4}/", "yyyy/MM/dd"), (r"^\d\d/", "MM/dd/yyyy"), (r"^\d\d\.", "dd.MM.yyyy"))
+#: Shapes of dates and how they are read, in turn. With slashes and the year behind, the month comes first if that is a day at all.
+DATE_FORMS = ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{4}/", "yyyy/MM/dd"), (r"^\d\d/", "MM/dd/yyyy"), (r"^\d\d/", "dd/MM/yyyy"), (r"^\d\d\.", "dd.MM.yyyy"))
+
+
+def _read(hit: Column, shape: str, form: str) -> Column:
+    return F.when(hit.rlike(shape), F.try_to_timestamp(hit, F.lit(form)).cast("date"))
 
 
 def _day(hit: Column) -> Column:
     """Days from 1900-01-01, or null if there is no such day."""
-    day = reduce(lambda otherwise, f: F.when(hit.rlike(f[0]), F.try_to_timestamp(hit, F.lit(f[1])).cast("date")).otherwise(otherwise), reversed(DATE_FORMS), F.lit(None).cast("date"))
-    return F.datediff(day, F.lit("1900-01-01").cast("date")).cast("bigint")
+    return F.datediff(F.coalesce(*(_read(hit, *f) for f in DATE_FORMS)), F.lit("1900-01-01").cast("date")).cast("bigint")
 
 
 def _date(key: str, hit: Column) -> Column:
+    """Another day in the form that the original was read in."""
+
     def back(v: Column) -> Column:
         day = F.date_add(F.lit("1900-01-01").cast("date"), v.cast("int"))
-        return reduce(lambda otherwise, f: F.when(hit.rlike(f[0]), F.date_format(day, f[1])).otherwise(otherwise), reversed(DATE_FORMS), hit)
+        return F.coalesce(*(F.when(_read(hit, *f).isNotNull(), F.date_format(day, f[1])) for f in DATE_FORMS))
 
     return _let(_pair_network(key, "date", _day(hit), DATE_SIDES), back)
 
 
 def _email(key: str, hit: Column) -> Column:
+    """The case of a letter isn't part of the value: the name is permuted in lower case and takes the case of the original, letter by letter."""
     local = F.substring_index(hit, "@", 1)
-    # the case of a letter isn't part of the value: the name is permuted in lower case and takes the case of the original
     made = _text_network(key, "email", F.lower(local))
-    return F.concat(F.when(local == F.upper(local), F.upper(made)).otherwise(made), hit.substr(F.length(local) + 1, F.length(hit)))
+    cased = F.array_join(F.zip_with(F.split(local, ""), F.split(made, ""), lambda a, b: F.when(F.ascii(a).between(65, 90), F.upper(b)).otherwise(b)), "")
+    return F.concat(F.when(local == F.lower(local), made).otherwise(cased), hit.substr(F.length(local) + 1, F.length(hit)))
 
 
 def kind_of(hit: Column) -> Column:
@@ -205,22 +240,23 @@ def pseudonym(key: str, hit: Column, kind: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``text_col`` rewritten, and a count ``n_<kind>`` of what was replaced for each kind.
 
-    Null stays null with counts of 0; empty texts stay empty. Every row is judged by itself. Existing columns named ``n_<kind>`` are
-    replaced. An empty table gives an empty result.
+    Null stays null with counts of 0; empty texts stay empty. Every row is judged by itself, a text of any length whole; repeated rows
+    give the same. Existing columns named ``n_<kind>`` are replaced, others stay whatever their names. An empty table gives an empty result.
     """
     text = F.col(text_col).cast("string")
     some = F.coalesce(text.rlike(ANY), F.lit(False))
     nothing = F.array().cast("array<string>")
+    gaps, hits, new = (free_name(docs, c) for c in ("gaps", "hits", "new"))
     rows = docs.withColumns({
-        "__gaps": F.when(some, F.split(text, ANY, -1)).otherwise(nothing),
-        "__hits": F.when(some, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda h: F.struct(h.alias("hit"), kind_of(h).alias("kind")))),
+        gaps: F.when(some, F.split(text, ANY, -1)).otherwise(nothing),
+        hits: F.when(some, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda h: F.struct(h.alias("hit"), kind_of(h).alias("kind")))),
     })
-    rows = rows.withColumn("__new", F.transform("__hits", lambda x: pseudonym(key, x["hit"], x["kind"])))
-    joined = F.array_join(F.flatten(F.zip_with("__gaps", "__new", lambda g, h: F.array(g, h))), "")
-    rows = rows.withColumn(text_col, F.when(F.col("__hits").isNull(), text).otherwise(joined))
+    rows = rows.withColumn(new, F.transform(hits, lambda x: pseudonym(key, x["hit"], x["kind"])))
+    joined = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, h: F.array(g, h))), "")
+    rows = rows.withColumn(text_col, F.when(F.col(hits).isNull(), text).otherwise(joined))
 
     def count(kind: str) -> Column:
-        return F.coalesce(F.size(F.filter("__hits", lambda x: x["kind"] == kind)), F.lit(0)).cast("long")
+        return F.coalesce(F.size(F.filter(hits, lambda x: x["kind"] == kind)), F.lit(0)).cast("long")
 
     counts = {f"n_{k}": count(k) for k in KINDS}
-    return rows.withColumns(counts).drop("__gaps", "__hits", "__new")
+    return rows.withColumns(counts).drop(gaps, hits, new)

@@ -1,4 +1,6 @@
 import datetime
+import hashlib
+import random
 import re
 
 from fieldtrace.llm import pii_feistel as P
@@ -71,3 +73,77 @@ def test_empty_table_clashing_columns_and_long_text(spark):
     out = P.pseudonymise(docs, "k").collect()[0]
     assert out.n_card == 1 and len(out.text) == 200_017 and out.text.startswith("x" * 200_000)
     assert P.pseudonymise(docs.where("false"), "k").count() == 0
+
+
+def digest(key, *parts):
+    return hashlib.sha512("|".join([key, *map(str, parts)]).encode()).hexdigest()
+
+
+def slow_pair(key, kind, value, sides):
+    x, y = divmod(value, sides[1])
+    for turn in range(P.ROUNDS):
+        noise = int(digest(key, kind, turn, y if turn % 2 == 0 else x)[:14], 16)
+        x, y = ((x + noise) % sides[0], y) if turn % 2 == 0 else (x, (y + noise) % sides[1])
+    return x * sides[1] + y
+
+
+def slow_text(key, kind, value):
+    half = len(value) // 2
+    pair = [value[:half], value[half:]]
+    for turn in range(P.ROUNDS):
+        own, other = pair[turn % 2], pair[1 - turn % 2]
+        out = ""
+        for i, c in enumerate(own):
+            noise = int(digest(key, kind, turn, i // P.BLOCK, len(own), other)[i % P.BLOCK * 4 :][:4], 16)
+            low, n = (48, 10) if c.isdigit() else (97, 26) if c.islower() else (0, 0)
+            out += chr(low + (ord(c) - low + noise) % n) if n else c
+        pair[turn % 2] = out
+    return "".join(pair)
+
+
+def test_networks_against_plain_python(spark):
+    """Whole values of every kind, made anew without Spark."""
+    rng = random.Random(4)
+    first = datetime.date(1900, 1, 1)
+    texts, want = [], []
+    for _ in range(60):
+        area, exchange, line = rng.randint(0, 999), rng.randint(0, 999), rng.randint(0, 9999)
+        texts.append(f"({area:03}) {exchange:03}-{line:04}")
+        if area >= 200 and exchange >= 200:
+            v = slow_pair("k", "phone", ((area - 200) * 800 + exchange - 200) * 10000 + line, P.PHONE_SIDES)
+            a, e = v // 8_000_000 + 200, v // 10000 % 800 + 200
+            assert a >= 200 and e >= 200
+        else:
+            p = area * 1000 + exchange if area < 200 else 200_000 + (area - 200) * 200 + exchange
+            v = slow_pair("k", "free phone", p * 10000 + line, P.FREE_PHONE_SIDES)
+            p = v // 10000
+            a, e = divmod(p, 1000) if p < 200_000 else (200 + (p - 200_000) // 200, (p - 200_000) % 200)
+            assert a < 200 or e < 200
+        want.append(f"({a:03}) {e:03}-{v % 10000:04}")
+        day = rng.randint(0, P.DATE_SIDES[0] * P.DATE_SIDES[1] - 1)
+        texts.append((first + datetime.timedelta(day)).isoformat())
+        want.append((first + datetime.timedelta(slow_pair("k", "date", day, P.DATE_SIDES))).isoformat())
+        octets = [rng.randint(0, 255) for _ in range(4)]
+        v = slow_pair("k", "ip", int.from_bytes(bytes(octets), "big"), P.IP_SIDES)
+        texts.append(".".join(map(str, octets)))
+        want.append(".".join(map(str, v.to_bytes(4, "big"))))
+        name = "".join(rng.choices("abcdefgh0123._", k=rng.randint(1, 9)))
+        mixed = "".join(c.upper() if rng.random() < 0.3 else c for c in name)
+        texts.append(f"{mixed}@x.org")
+        made = slow_text("k", "email", name)
+        want.append("".join(b.upper() if a.isupper() else b for a, b in zip(mixed, made, strict=True)) + "@x.org")
+    assert [r.text for r in run(spark, texts)] == want
+
+
+def test_day_first_dates_and_repeated_rows(spark):
+    out = run(spark, ["on 25/12/2024 and 12/25/2024, 2024-12-25", "on 25/12/2024 and 12/25/2024, 2024-12-25", "no 31/31/2024"])
+    assert out[0].text == out[1].text and out[0].n_date == 3 and out[2].n_date == 0 and out[2].text == "no 31/31/2024"
+    a, b, c = re.search(r"on (\S+) and (\S+), (\S+)", out[0].text).groups()
+    day = datetime.date.fromisoformat(c)
+    assert (a, b) == (day.strftime("%d/%m/%Y"), day.strftime("%m/%d/%Y")) and day != datetime.date(2024, 12, 25)
+
+
+def test_names_of_helper_columns_are_free(spark):
+    docs = spark.createDataFrame([(1, "a@b.org", 1, 2, 3)], "doc_id long, text string, gaps int, hits int, new int")
+    out = P.pseudonymise(docs, "k").collect()[0]
+    assert (out.gaps, out.hits, out.new, out.n_email) == (1, 2, 3, 1)
