@@ -7,18 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def upper_median(x: Column) -> Column:
-    """The upper of the two middle values."""
-    v = F.array_sort(F.collect_list(x))
-    return F.element_at(v, (F.floor(F.size(v) / 2) + 1).cast("int"))
-
-
-def rank_percentile(x: Column, share: float, low: float, high: float, least: int, default: float) -> Column:
-    """The value at rank ceil(share * n), held between bounds; ``default`` for fewer than ``least`` values."""
-    v = F.array_sort(F.collect_list(x))
-    n = F.size(v)
-    value = F.element_at(v, F.greatest(F.lit(1), F.ceil(n * share - 1e-9).cast("int")))
-    return F.when(n < least, F.lit(default)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), value)))
+def upper_median(x: str) -> Column:
+    """The upper of the two middle values of an expression, as a double. Counts of equal values are combined before the shuffle."""
+    return -F.expr(f"percentile_disc(0.5) within group (order by -({x}))")
+
+
+def rank_percentile(x: str, share: float, low: float, high: float, least: int, default: float) -> Column:
+    """The value at rank ceil(share * n) of an expression, held between bounds; ``default`` for fewer than ``least`` values."""
+    value = F.expr(f"percentile_disc({share}) within group (order by {x})")
+    return F.when(F.count(F.expr(x)) < least, F.lit(default)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def deviation(rows: DataFrame, keys: list[str], x: str, scale: float = 1.4826) -> DataFrame:

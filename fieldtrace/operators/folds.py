@@ -36,31 +36,50 @@ def smoothed_track(fixes: DataFrame, key: str = "device", accel: float = 0.6, ga
     def make(t: pa.Table) -> pa.Table:
         ms, lat, lon, acc = (t[c].to_numpy() for c in ("t_ms", "lat", "lon", "acc"))
         n, lat0, lon0 = len(ms), lat[0], lon[0]
-        z = np.stack([(lon - lon0) * _M * np.cos(np.radians(lat0)), (lat - lat0) * _M], 1)
-        x, p = np.array([z[0], [0.0, 0.0]]), np.diag([acc[0] ** 2, 400.0])
-        xs, ps, xp, pp, fs = np.empty((n, 2, 2)), np.empty((n, 2, 2)), np.empty((n, 2, 2)), np.empty((n, 2, 2)), np.empty((n, 2, 2))
-        out, missed = np.zeros(n, bool), 0
+        east, north = ((lon - lon0) * _M * np.cos(np.radians(lat0))).tolist(), ((lat - lat0) * _M).tolist()
+        gaps, noise = [0.0, *(np.diff(ms) / 1000).tolist()], (np.maximum(acc, 1.0) ** 2).tolist()
+        # plain numbers: position and speed of both axes, and the three numbers of the covariance that they share
+        x, y, u, v = east[0], north[0], 0.0, 0.0
+        a, b, c = float(acc[0]) ** 2, 0.0, 400.0
+        before, after, out, missed = [], [], [False] * n, 0
+        q3, q2, q1 = accel**2 / 3, accel**2 / 2, accel**2
         for k in range(n):
-            dt = (ms[k] - ms[k - 1]) / 1000 if k else 0.0
-            f = np.array([[1.0, dt], [0.0, 1.0]])
-            q = accel**2 * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
-            x, p = f @ x, f @ p @ f.T + q
-            xp[k], pp[k], fs[k] = x, p, f
-            r = max(acc[k], 1.0) ** 2
-            off = z[k] - x[0]
-            out[k] = (off @ off) / (p[0, 0] + r) > gate
-            missed = missed + 1 if out[k] else 0
+            d = gaps[k]
+            x, y = x + d * u, y + d * v
+            a, b, c = a + 2 * d * b + d * d * c + q3 * d**3, b + d * c + q2 * d * d, c + q1 * d
+            before.append((x, y, u, v, a, b, c))
+            r, ex, ey = noise[k], east[k] - x, north[k] - y
+            far = (ex * ex + ey * ey) / (a + r) > gate
+            missed = missed + 1 if far else 0
             if missed >= 3:
-                x, p, missed, out[k] = np.array([z[k], [0.0, 0.0]]), np.diag([r, 400.0]), 0, False
-            elif not out[k]:
-                g = p[:, 0] / (p[0, 0] + r)
-                x, p = x + np.outer(g, off), p - np.outer(g, p[0])
-            xs[k], ps[k] = x, p
+                x, y, u, v, a, b, c, missed, far = east[k], north[k], 0.0, 0.0, r, 0.0, 400.0, 0, False
+            elif not far:
+                g, h = a / (a + r), b / (a + r)
+                x, y, u, v = x + g * ex, y + g * ey, u + h * ex, v + h * ey
+                a, b, c = a - g * a, b - g * b, c - h * b
+            out[k] = far
+            after.append((x, y, u, v, a, b, c))
+        x, y, u, v, a, b, c = after[-1]
+        xs, ys, var = [x] * n, [y] * n, [a] * n
         for k in range(n - 2, -1, -1):
-            c = ps[k] @ fs[k + 1].T @ np.linalg.inv(pp[k + 1] + 1e-9 * np.eye(2))
-            xs[k] = xs[k] + c @ (xs[k + 1] - xp[k + 1])
-            ps[k] = ps[k] + c @ (ps[k + 1] - pp[k + 1]) @ c.T
-        return pa.table({key: t[key], "t_ms": t["t_ms"], "lat": lat0 + xs[:, 0, 1] / _M, "lon": lon0 + xs[:, 0, 0] / (_M * np.cos(np.radians(lat0))), "sd": np.sqrt(np.maximum(ps[:, 0, 0], 0)), "outlier": out})
+            d = gaps[k + 1]
+            x0, y0, u0, v0, a0, b0, c0 = after[k]
+            x1, y1, u1, v1, a1, b1, c1 = before[k + 1]
+            a1, c1 = a1 + 1e-9, c1 + 1e-9
+            det = a1 * c1 - b1 * b1
+            # gain = P F' / P1: rows (position, speed)
+            p0, p1 = a0 + d * b0, b0 + d * c0
+            g00, g01 = (p0 * c1 - b0 * b1) / det, (b0 * a1 - p0 * b1) / det
+            g10, g11 = (p1 * c1 - c0 * b1) / det, (c0 * a1 - p1 * b1) / det
+            ex, ey, eu, ev = x - x1, y - y1, u - u1, v - v1
+            da, db, dc = a - a1 + 1e-9, b - b1, c - c1 + 1e-9
+            x, y, u, v = x0 + g00 * ex + g01 * eu, y0 + g00 * ey + g01 * ev, u0 + g10 * ex + g11 * eu, v0 + g10 * ey + g11 * ev
+            a = a0 + g00 * (g00 * da + g01 * db) + g01 * (g00 * db + g01 * dc)
+            b = b0 + g00 * (g10 * da + g11 * db) + g01 * (g10 * db + g11 * dc)
+            c = c0 + g10 * (g10 * da + g11 * db) + g11 * (g10 * db + g11 * dc)
+            xs[k], ys[k], var[k] = x, y, a
+        cos = _M * np.cos(np.radians(lat0))
+        return pa.table({key: t[key], "t_ms": t["t_ms"], "lat": lat0 + np.array(ys) / _M, "lon": lon0 + np.array(xs) / cos, "sd": np.sqrt(np.maximum(var, 0)), "outlier": out})
 
     rows = fixes.select(key, "t_ms", "lat", "lon", F.col("acc").cast("double").alias("acc"))
     return _grouped(rows, [key], ["t_ms", "lat", "lon"], ("t_ms", gap_ms), make, f"`{key}` {dict(rows.dtypes)[key]}, t_ms long, lat double, lon double, sd double, outlier boolean")

@@ -11,21 +11,33 @@ from ..functions.geo import haversine
 WITHIN = "metres"
 
 
+#: Metres of a degree of latitude, a little low, so that a cell is never narrower than it is taken for.
+_DEGREE = 111_000.0
+
+
 def grid_join(points: DataFrame, assets: DataFrame, metres: float, per_degree: int = 1000, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Pairs of a point and an asset at most ``metres`` apart, with the distance as ``metres``.
 
-    A cell must be at least ``metres`` wide and high, so a pair is in the same or neighbouring cells. Assets go to nine cells, points to
-    one. The position columns of the assets come back as ``a_lat`` and ``a_lon``; other names of the two sides must differ.
+    Rows of cells are 1 / ``per_degree`` degrees high, or as high as ``metres`` if that is more. Inside a row, cells are as wide as ``metres`` at
+    the row's edge toward the pole, so a pair is in the same or neighbouring cells at any latitude; longitudes go round at 180 degrees.
+    Points go to one cell. Assets go to the cells of three rows that they may be met in, three or a few more in each. The position columns of
+    the assets come back as ``a_lat`` and ``a_lon``; other names of the two sides must differ.
     """
-    near = F.sequence(F.lit(-1), F.lit(1))
-    p = points.withColumns({"__y": F.floor(F.col(lat) * per_degree), "__x": F.floor(F.col(lon) * per_degree)})
-    a = (
-        assets.withColumnsRenamed({lat: "a_lat", lon: "a_lon"})
-        .withColumn("__dy", F.explode(near))
-        .withColumn("__dx", F.explode(near))
-        .withColumns({"__y": F.floor(F.col("a_lat") * per_degree) + F.col("__dy"), "__x": F.floor(F.col("a_lon") * per_degree) + F.col("__dx")})
-        .drop("__dx", "__dy")
-    )
+    high = max(1 / per_degree, metres / _DEGREE)
+    row = lambda y: F.floor((y + 90.0) / high)
+
+    def cells(y: Column) -> Column:
+        """How many cells a row has: whole ones of at least ``metres`` where the row is narrowest, one at the poles."""
+        edge = F.least(F.greatest(F.abs(y * high - 90.0), F.abs((y + 1) * high - 90.0)), F.lit(90.0))
+        return F.greatest(F.floor(F.least(360.0 * F.cos(F.radians(edge)) * _DEGREE / metres, F.lit(360.0 / high))), F.lit(1))
+
+    turn = lambda x: F.pmod(x + 180.0, F.lit(360.0))
+    p = points.withColumn("__y", row(F.col(lat)))
+    p = p.withColumn("__x", F.floor(turn(F.col(lon)) * cells(F.col("__y")) / 360.0))
+    a = assets.withColumnsRenamed({lat: "a_lat", lon: "a_lon"}).withColumn("__y", F.explode(F.sequence(row(F.col("a_lat")) - 1, row(F.col("a_lat")) + 1)))
+    many = cells(F.col("__y"))
+    at_x = F.floor(turn(F.col("a_lon")) * many / 360.0)
+    a = a.withColumn("__x", F.explode(F.array_distinct(F.transform(F.sequence(at_x - 1, at_x + 1), lambda x: F.pmod(x, many)))))
     d = haversine(F.col(lat), F.col(lon), F.col("a_lat"), F.col("a_lon"))
     return p.join(a, ["__y", "__x"]).withColumn(WITHIN, d).where(F.col(WITHIN) <= metres).drop("__y", "__x")
 
@@ -119,10 +131,17 @@ def interval_nearest(left: DataFrame, right: DataFrame, t: str, tolerance: int,
 
 
 def superset_join(wanted: DataFrame, offered: DataFrame, want_id: str, offer_id: str, tokens: str = "tokens") -> DataFrame:
-    """Pairs whose wanted tokens are all among the offered ones, with ``n`` tokens wanted and ``m`` offered. Empty sets match nothing."""
-    w = wanted.select(want_id, F.array_distinct(tokens).alias("__w")).select(want_id, F.size("__w").alias("n"), F.explode("__w").alias("token"))
-    o = offered.select(offer_id, F.array_distinct(tokens).alias("__o")).select(offer_id, F.size("__o").alias("m"), F.explode("__o").alias("token"))
-    return w.join(o, "token").groupBy(want_id, offer_id, "n", "m").agg(F.count("*").alias("__hits")).where("__hits = n").drop("__hits")
+    """Pairs whose wanted tokens are all among the offered ones, with ``n`` tokens wanted and ``m`` offered. Empty sets match nothing.
+
+    A wanted set is looked for by its rarest token only, so a frequent token brings no pairs together unless a set has no other.
+    """
+    w = wanted.select(want_id, F.array_distinct(tokens).alias("__w")).where(F.size("__w") > 0)
+    o = offered.select(offer_id, F.array_distinct(tokens).alias("__o"))
+    each = o.select(offer_id, "__o", F.explode("__o").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("__often"))
+    rarest = w.select(want_id, "__w", F.explode("__w").alias("token")).join(often, "token", "left").groupBy(want_id, "__w").agg(F.min(F.struct(F.coalesce("__often", F.lit(0)).alias("often"), "token"))["token"].alias("token"))
+    met = rarest.join(each, "token").where(F.size(F.array_except("__w", "__o")) == 0)
+    return met.select(want_id, offer_id, F.size("__w").alias("n"), F.size("__o").alias("m"))
 
 
 def unambiguous(pairs: DataFrame, key: str, score: str, ident: str) -> DataFrame:

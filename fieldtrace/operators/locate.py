@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,49 +15,83 @@ from ..functions.geo import local_xy
 DEGREE = 111_320.0
 
 
-def level_fit(samples: DataFrame, key: str, half_width: float = 600.0, cells: int = 16, rounds: int = 2, exponent: float = 2.7, sigma: float = 6.0, floor_m: float = 3.0, least: int = 3) -> DataFrame:
+#: Exponents of the path loss that a fit weighs against each other, and the normal prior of them (mean, deviation).
+EXPONENTS, EXPONENT_PRIOR = (2.1, 2.4, 2.7, 3.0, 3.3), (2.7, 0.4)
+
+
+def level_fit(samples: DataFrame, key: str, half_width: float = 1000.0, cells: int = 24, rounds: int = 4, sigma: float = 5.0, doubt: float = 4.0, floor_m: float = 3.0, least: int = 3) -> DataFrame:
     """(key, n, lat, lon, cxx, cxy, cyy, r95, p0): where a transmitter is, from levels ``dbm`` heard at lat, lon with accuracy acc.
 
-    A posterior on a grid of cells x cells squares around the strongest samples' centroid, then on a finer one around the mode. For each
-    square the unknown level at one metre is integrated out: with x = dbm + 10 n log10(d) the likelihood is that of the weighted
-    variance of x, which needs only sums, so squares times samples are combined before the shuffle. The last round gives the mean, the
-    covariance (with the squares' own size and the fix errors) and the radius of 95 %.
+    Samples are summed up by squares first (4 m near the strongest samples' centroid, wider ones far from it), so a busy transmitter is a
+    table of places and not of samples. Then each transmitter has a posterior on rings of places up to ``half_width``, and on finer grids
+    of cells x cells around its mean. The level at one metre, the exponent of the path loss and the spread of the levels are unknown: with
+    x = dbm + 10 n log10(d), level and spread are integrated out (the spread has a scaled inverse chi-squared prior of ``sigma`` with ``doubt`` degrees
+    of freedom), which leaves a power of the weighted variance of x; exponents are weighed by their prior. The last grid gives
+    the mean, the covariance and the radius of 95 %, with the places' own size and the fix errors.
     """
     s = samples.where("acc > 0 and acc <= 300")
     w = 1 / (1 + F.col("acc") * F.col("acc") / 400)
     strong = F.pow(F.lit(10.0), F.col("dbm") / 40) * w
     home = s.groupBy(key).agg(F.count("*").alias("n"), (F.sum(strong * F.col("lat")) / F.sum(strong)).alias("lat0"), (F.sum(strong * F.col("lon")) / F.sum(strong)).alias("lon0"), (F.sum(w * F.col("acc") * F.col("acc")) / F.sum(w) / F.count("*")).alias("fix_var"))
-    home = home.where(F.col("n") >= least).withColumns({"cx": F.lit(0.0), "cy": F.lit(0.0), "size": F.lit(2 * half_width / cells)})
-    around = F.sequence(F.lit(0), F.lit(cells - 1))
+    home = home.where(F.col("n") >= least)
+    x, y = local_xy(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
+    far = F.sqrt(x * x + y * y)
+    side = F.when(far < 500, 4.0).when(far < 3000, 20.0).otherwise(100.0)
+    placed = s.join(home, key).select(key, "n", "lat0", "lon0", "fix_var", x.alias("x"), y.alias("y"), side.alias("side"), F.col("dbm").cast("double").alias("dbm"), w.alias("w"))
+    squares = placed.groupBy(key, "n", "lat0", "lon0", "fix_var", "side", F.floor(F.col("x") / F.col("side")).alias("i"), F.floor(F.col("y") / F.col("side")).alias("j")).agg(
+        F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("y")).alias("sy"), F.sum(F.col("w") * F.col("dbm")).alias("sd"), F.sum(F.col("w") * F.col("dbm") * F.col("dbm")).alias("sdd")
+    )
+    kind = dict(samples.dtypes)[key]
+
+    def over(table: pa.Table) -> pa.Table:
+        sw, sx, sy, sd, sdd = (table[c].to_numpy() for c in ("sw", "sx", "sy", "sd", "sdd"))
+        n, lat0, lon0, fix_var = (table[c][0].as_py() for c in ("n", "lat0", "lon0", "fix_var"))
+        fit = _grid_fit(sx / sw, sy / sw, sd / sw, sw, float((sdd - sd * sd / sw).clip(0).sum()), half_width, cells, rounds, sigma, doubt, floor_m)
+        extra = fit["step"] ** 2 / 12 + fix_var
+        r95 = float(np.hypot(fit["r95"], 2.448 * np.sqrt(extra)))
+        row = {"n": n, "lat": lat0 + fit["y"] / DEGREE, "lon": lon0 + fit["x"] / (DEGREE * np.cos(np.radians(lat0))), "cxx": fit["xx"] + extra, "cxy": fit["xy"], "cyy": fit["yy"] + extra, "r95": r95, "p0": fit["p0"]}
+        return pa.table({key: table[key].slice(0, 1), **{c: [v] for c, v in row.items()}})
+
+    return squares.groupBy(key).applyInArrow(over, f"`{key}` {kind}, n long, lat double, lon double, cxx double, cxy double, cyy double, r95 double, p0 double")
+
+
+def _grid_fit(x: np.ndarray, y: np.ndarray, dbm: np.ndarray, w: np.ndarray, inside: float, half_width: float, cells: int, rounds: int, sigma: float, doubt: float, floor_m: float, reach: float = 100.0) -> dict:
+    """The posterior of one transmitter over a grid of places, from the means ``dbm`` at x, y with weights ``w`` and the variance ``inside`` of the squares.
+
+    Places are as likely as 1 / (1 + (r / reach)^2) at r metres from the strongest samples' centroid, before any level is seen.
+    """
+    cx = cy = 0.0
+    step, total = half_width / cells, w.sum()
     for k in range(rounds):
-        x, y = local_xy(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
-        place = s.join(home, key).select(key, "n", "lat0", "lon0", "fix_var", "cx", "cy", "size", x.alias("x"), y.alias("y"), "dbm", w.alias("w"))
-        grid = place.withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
-        gx = F.col("cx") + (F.col("i") - (cells - 1) / 2) * F.col("size")
-        gy = F.col("cy") + (F.col("j") - (cells - 1) / 2) * F.col("size")
-        d = F.sqrt((F.col("x") - gx) * (F.col("x") - gx) + (F.col("y") - gy) * (F.col("y") - gy) + floor_m * floor_m)
-        v = F.col("dbm") + 10 * exponent * F.log10(d)
-        sums = grid.groupBy(key, "n", "lat0", "lon0", "fix_var", "cx", "cy", "size", "i", "j").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * v).alias("sv"), F.sum(F.col("w") * v * v).alias("svv"))
-        loss = (F.col("svv") - F.col("sv") * F.col("sv") / F.col("sw")) / (2 * sigma * sigma)
-        sums = sums.select(key, "n", "lat0", "lon0", "fix_var", "size", gx.alias("gx"), gy.alias("gy"), loss.alias("loss"), (F.col("sv") / F.col("sw")).alias("p0"))
-        own = Window.partitionBy(key)
-        p = sums.withColumn("p", F.exp(F.min("loss").over(own) - F.col("loss")))
-        mean = lambda c: F.sum(F.col("p") * c) / F.sum("p")
-        g = p.groupBy(key, "n", "lat0", "lon0", "fix_var", "size").agg(
-            mean(F.col("gx")).alias("mx"), mean(F.col("gy")).alias("my"), mean(F.col("gx") * F.col("gx")).alias("xx"), mean(F.col("gx") * F.col("gy")).alias("xy"), mean(F.col("gy") * F.col("gy")).alias("yy"), F.max_by("gx", F.struct("p", "gx", "gy")).alias("bx"), F.max_by("gy", F.struct("p", "gx", "gy")).alias("by"), F.max_by("p0", F.struct("p", "gx", "gy")).alias("p0")
-        )
+        if k:
+            axis = (np.arange(cells) - (cells - 1) / 2) * step
+            gx, gy, area = np.repeat(cx + axis, cells), np.tile(cy + axis, cells), 0.0
+        else:  # rings that are the closer the nearer they are
+            ring, turn = np.repeat(np.geomspace(5.0, half_width, cells), cells), np.tile(np.arange(cells) * 2 * np.pi / cells, cells)
+            gx, gy, area = ring * np.cos(turn), ring * np.sin(turn), 2 * np.log(ring)
+        prior = area - np.log1p((gx**2 + gy**2) / reach**2)
+        score, level = np.empty((len(EXPONENTS), len(gx))), np.empty((len(EXPONENTS), len(gx)))
+        for a in range(0, len(gx), max(1, 2_000_000 // len(x))):
+            part = slice(a, a + max(1, 2_000_000 // len(x)))
+            loss = 5 * np.log10((x - gx[part, None]) ** 2 + (y - gy[part, None]) ** 2 + floor_m**2)
+            for e, exponent in enumerate(EXPONENTS):
+                v = dbm + exponent * loss
+                mean = v @ w / total
+                level[e, part] = mean
+                rest = ((v - mean[:, None]) ** 2) @ w + inside
+                score[e, part] = -(doubt + total - 1) / 2 * np.log(doubt * sigma**2 + rest) - ((exponent - EXPONENT_PRIOR[0]) / EXPONENT_PRIOR[1]) ** 2 / 2
+        score += prior
+        both = np.exp(score - score.max())
+        p = both.sum(0) / both.sum()
+        mx, my = float(p @ gx), float(p @ gy)
+        xx, xy, yy = float(p @ (gx - mx) ** 2), float(p @ ((gx - mx) * (gy - my))), float(p @ (gy - my) ** 2)
         if k + 1 < rounds:
-            spread = F.sqrt(F.greatest(F.col("xx") - F.col("mx") * F.col("mx"), F.col("yy") - F.col("my") * F.col("my"), F.lit(0.0)))
-            home = g.select(key, "n", "lat0", "lon0", "fix_var", F.col("mx").alias("cx"), F.col("my").alias("cy"), (F.least(F.col("size") * cells, 6 * F.greatest(spread, F.col("size"))) / cells).alias("size"))
-    extra = F.col("size") * F.col("size") / 12 + F.col("fix_var")
-    out = g.withColumns({"cxx": F.col("xx") - F.col("mx") * F.col("mx") + extra, "cxy": F.col("xy") - F.col("mx") * F.col("my"), "cyy": F.col("yy") - F.col("my") * F.col("my") + extra})
-    lat = F.col("lat0") + F.col("my") / DEGREE
-    lon = F.col("lon0") + F.col("mx") / (DEGREE * F.cos(F.radians("lat0")))
-    mid, dif = (F.col("cxx") + F.col("cyy")) / 2, (F.col("cxx") - F.col("cyy")) / 2
-    major = mid + F.sqrt(dif * dif + F.col("cxy") * F.col("cxy"))
-    # between one axis (1.96) and a circle (2.448), by the share of the minor axis
-    minor = F.greatest(2 * mid - major, F.lit(0.0))
-    return out.select(key, "n", lat.alias("lat"), lon.alias("lon"), "cxx", "cxy", "cyy", (F.sqrt(major) * (1.96 + 0.488 * F.sqrt(minor / major))).alias("r95"), "p0")
+            cx, cy = mx, my
+            step = max(8 * np.sqrt(max(xx, yy)), 12.0 if k else 40.0) / cells
+    far = np.hypot(gx - mx, gy - my)
+    order = np.argsort(far)
+    r95 = far[order][min(int(np.searchsorted(np.cumsum(p[order]), 0.95)), len(far) - 1)]
+    return {"x": mx, "y": my, "xx": xx, "xy": xy, "yy": yy, "step": step, "r95": float(r95), "p0": float((both * level).sum() / both.sum())}
 
 
 def range_fix(heard: DataFrame, keys: list[str], rounds: int = 6, huber: float = 2.0, least: int = 3, floor_acc: float = 15.0) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import cut
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
     """All rows of both; ``rules`` give the merged value of a column from ``old.<c>`` and ``new.<c>``, other columns take the new value if there is one."""
@@ -65,15 +67,27 @@ def bounded_queue(rows: DataFrame, order: str, size: str, most: int, keep: Colum
     return tagged.where("__keep").select(rows.columns).union(fits.select(rows.columns))
 
 
+def numbered(rows: DataFrame, key: str, name: str = "number") -> DataFrame:
+    """Adds running numbers from 0 in the order of ``key``: inside ranges of the key, after the sizes of the ranges before."""
+    dealt = cut(rows.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__size"))  # one row a range
+    before = sizes.select("__range", (F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    return dealt.withColumn("__own", own).join(before, "__range").withColumn(name, F.col("__before") + F.col("__own") - 1).drop("__range", "__own", "__before")
+
+
 def changed(old: DataFrame, new: DataFrame, key: str, columns: list[str], seq: str, next_seq: int) -> DataFrame:
-    """New values for the rows of ``old``; a row gets the next sequence number only if a value changes (null-safe)."""
+    """New values for the rows of ``old``; a row gets the next sequence number only if a value changes (null-safe).
+
+    Only the keys of rows that change are ordered and numbered.
+    """
     n = new.select(key, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__hit"))
     both = old.join(n, key, "left")
     differs = F.col("__hit").isNotNull() & ~F.struct(*columns).eqNullSafe(F.struct(*(F.col(f"__{c}").alias(c) for c in columns)))
-    rank = F.row_number().over(Window.partitionBy("__differs").orderBy(key))
-    both = both.withColumn("__differs", differs).withColumn("__rank", rank)
+    both = both.withColumn("__differs", differs)
+    both = both.join(numbered(both.where("__differs").select(key), key, "__number"), key, "left")
     values = {c: F.when(F.col("__differs"), F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}
-    return both.withColumns({seq: F.when(F.col("__differs"), F.lit(next_seq - 1) + F.col("__rank")).otherwise(F.col(seq)), **values}).select(old.columns)
+    return both.withColumns({seq: F.when(F.col("__differs"), F.lit(next_seq) + F.col("__number")).otherwise(F.col(seq)), **values}).select(old.columns)
 
 
 def resolved(rows: DataFrame, aliases: DataFrame, key: str) -> DataFrame:

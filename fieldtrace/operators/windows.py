@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.geo import haversine
+
 PARTS = 32
 
+
 def with_runs(rows: DataFrame, keys: list[str], order: list[str], breaks: Column, name: str = "run") -> DataFrame:
     """Adds the number of the run (from 0) of each row; a run begins where ``breaks`` holds. ``breaks`` may use ``F.lag`` over ``ordered``."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -92,6 +95,10 @@ def thinned(c: dict[str, np.ndarray], within_ms: int = 30_000, within_m: float =
     return kept
 
 
+#: After so long, no place on Earth is too far for the default speed of ``cleaned_path``: half a circumference at 250 km/h.
+ANYWHERE_MS = 289_000_000
+
+
 def cleaned_path(c: dict[str, np.ndarray], speed: float = 250 / 3.6, reprieve: int = 3) -> np.ndarray:
     """Drops fixes beyond ``speed`` from the last kept one, unless ``reprieve`` of them in a row agree with each other."""
     n = len(c["t_ms"])
@@ -141,16 +148,23 @@ def kept_within(within: int, closeness: str) -> Callable[[dict[str, np.ndarray]]
 
 
 def stay_points(rows: DataFrame, keys: list[str], metres_around: float = 150.0, least_ms: int = 600_000) -> DataFrame:
-    """Stays of a key: rows that remain within ``metres_around`` of their own running centroid for ``least_ms`` at least."""
+    """Stays of a key: rows that remain within ``metres_around`` of their own running centroid for ``least_ms`` at least.
+
+    The row before is never farther than that from the centroid that it is part of, so a step of more than twice as far always ends a stay:
+    keys are split there, and their parts are dealt to ``PARTS`` groups.
+    """
     kinds = dict(rows.dtypes)
+    w = Window.partitionBy(*keys).orderBy("t_ms", "lat", "lon")
+    far = haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")) > 2 * metres_around + 1
+    rows = with_runs(rows, keys, ["t_ms", "lat", "lon"], far, "__part").withColumn("__group", F.pmod(F.xxhash64("__part"), F.lit(PARTS)).cast("int"))
 
     def over(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("t_ms", "ascending"), ("lat", "ascending"), ("lon", "ascending")])
-        t, lat, lon = (table[x].to_numpy() for x in ("t_ms", "lat", "lon"))
+        table = table.sort_by([(c, "ascending") for c in ("__part", "t_ms", "lat", "lon")])
+        t, lat, lon, part = (table[x].to_numpy() for x in ("t_ms", "lat", "lon", "__part"))
         found, first, sums = [], 0, np.zeros(2)
         for k in range(len(t) + 1):
             count = k - first
-            if k < len(t) and (not count or metres(*(sums / count), lat[k], lon[k]) <= metres_around):
+            if k < len(t) and (not count or part[k] == part[k - 1] and metres(*(sums / count), lat[k], lon[k]) <= metres_around):
                 sums += lat[k], lon[k]
                 continue
             if count and t[k - 1] - t[first] >= least_ms:
@@ -161,4 +175,4 @@ def stay_points(rows: DataFrame, keys: list[str], metres_around: float = 150.0,
         cols = list(zip(*found, strict=True)) or [()] * 5
         return pa.table({**dict(zip(keys, (pa.array(x, table.schema.field(c).type) for c, x in zip(keys, own, strict=True)), strict=True)), "from_ms": pa.array(cols[0], pa.int64()), "to_ms": pa.array(cols[1], pa.int64()), "lat": pa.array(cols[2], pa.float64()), "lon": pa.array(cols[3], pa.float64()), "n": pa.array(cols[4], pa.int64())})
 
-    return rows.groupBy(*keys).applyInArrow(over, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", from_ms long, to_ms long, lat double, lon double, n long")
+    return rows.groupBy(*keys, "__group").applyInArrow(over, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", from_ms long, to_ms long, lat double, lon double, n long")

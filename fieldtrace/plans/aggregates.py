@@ -73,7 +73,7 @@ def a11_median(spark, d):
 
 @query(sql("observations", "select bssid, list_sort(list(dbm))[count(*) // 2 + 1] as mid from observations group by bssid"))
 def a12_upper_median(spark, d):
-    return observations(spark, d).groupBy("bssid").agg(A.upper_median(F.col("dbm")).alias("mid"))
+    return observations(spark, d).groupBy("bssid").agg(A.upper_median("dbm").cast("int").alias("mid"))
 
 
 @query(sql("passes", f"select camera_id, {at_sql('quantile_cont(distance_m, 0.9)', 6)} as q90 from passes group by camera_id"))
@@ -83,7 +83,7 @@ def a13_quantile_type7(spark, d):
 
 @query(sql("observations", "select bssid, case when count(*) < 3 then cast(9 as double) else greatest(cast(1 as double), least(cast(25 as double), list_sort(list(acc))[cast(ceil(count(*) * 0.68 - 1e-9) as bigint)])) end as q68 from observations group by bssid"))
 def a14_rank_percentile(spark, d):
-    return observations(spark, d).groupBy("bssid").agg(A.rank_percentile(F.col("acc"), 0.68, 1.0, 25.0, 3, 9.0).alias("q68"))
+    return observations(spark, d).groupBy("bssid").agg(A.rank_percentile("acc", 0.68, 1.0, 25.0, 3, 9.0).alias("q68"))
 
 
 @query(sql("observations", f", m as (select bssid, median(dbm) as mid from observations group by bssid) select o.bssid, mid as median, {at_sql('median(abs(dbm - mid)) * cast(1.4826 as double)', 6)} as mad6 from observations o join m on o.bssid = m.bssid group by o.bssid, mid"))
@@ -147,7 +147,7 @@ def a24_coverage_by_grade(spark, d):
 @query(
     sql(
         "passes",
-        f""", b as (select camera_id, cast((l * 7) % 360 as double) as deg from (select camera_id, row_number() over (partition by camera_id order by uid) as l from passes) where l <= 40),
+        f""", b as (select camera_id, cast((l * 7) % 360 as double) as deg from (select camera_id, row_number() over (partition by camera_id order by uid) as l from passes)),
         s as (select camera_id, deg, deg - lag(deg) over (partition by camera_id order by deg) as step from b)
         select camera_id, {at_sql('max(sqrt(c * c + s_ * s_))', 6)} as r6, {at_sql('greatest(max(coalesce(step, 0)), 360 - (max(deg) - min(deg)))', 3)} as gap3 from s join (select camera_id as k, avg(cos(radians(deg))) as c, avg(sin(radians(deg))) as s_ from b group by camera_id) on k = camera_id group by camera_id""",
     )
@@ -155,7 +155,7 @@ def a24_coverage_by_grade(spark, d):
 def a25_circular(spark, d):
     """Agreement of bearings, and the widest arc without one."""
     n = F.row_number().over(Window.partitionBy("camera_id").orderBy("uid"))
-    b = passes(spark, d).withColumn("l", n).where("l <= 40").select("camera_id", ((F.col("l") * 7) % 360).cast("double").alias("deg"))
+    b = passes(spark, d).withColumn("l", n).select("camera_id", ((F.col("l") * 7) % 360).cast("double").alias("deg"))
     return b.groupBy("camera_id").agg(at(A.resultant(F.col("deg")), 6).alias("r6")).join(A.largest_gap(b, ["camera_id"], "deg").select("camera_id", at(F.col("gap"), 3).alias("gap3")), "camera_id")
 
 

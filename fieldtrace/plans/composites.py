@@ -79,13 +79,13 @@ def t18_signatures(spark, d):
     return C.signatures(c, "c_custkey", F.substring("c_name", 1, 16), prefixes, patterns).select("c_custkey", "tier", "n_rules")
 
 
-@query(sql("passes", "select p.uid, case when exists (select 1 from supplier s where sha256(lower(p.plate)) = sha256(lower('p' || (s_suppkey * 7)))) then 'verified' else 'unverified' end as verdict from passes p where p.camera_id < 10"))
+@query(sql("passes", "select p.uid, case when exists (select 1 from supplier s where sha256(lower(p.plate)) = sha256(lower('p' || (s_suppkey * 7)))) then 'verified' else 'unverified' end as verdict from passes p"))
 def t20_hash_verification(spark, d):
     """Whether the full hash of a plate is that of a wanted one."""
     from ..functions.text import hashed
 
     wanted = read(spark, d, "supplier").select(hashed(F.concat(F.lit("P"), (F.col("s_suppkey") * 7).cast("string"))).alias("h")).distinct().withColumn("hit", F.lit(True))
-    p = passes(spark, d).where("camera_id < 10").select("uid", hashed(F.col("plate")).alias("h"))
+    p = passes(spark, d).select("uid", hashed(F.col("plate")).alias("h"))
     return p.join(wanted, "h", "left").select("uid", F.when(F.col("hit"), "verified").otherwise("unverified").alias("verdict"))
 
 
@@ -217,7 +217,7 @@ def x10_strongest(spark, d):
 def x12_far_prescreen(spark, d):
     """Transmitters far from the middle of a scan."""
     o = observations(spark, d).withColumn("k", F.floor(F.col("t_ms") / 86_400_000))
-    mid = o.groupBy("device", "k").agg(A.upper_median(F.col("lat")).alias("mlat"), A.upper_median(F.col("lon")).alias("mlon"))
+    mid = o.groupBy("device", "k").agg(A.upper_median("lat").alias("mlat"), A.upper_median("lon").alias("mlon"))
     far = geo.haversine(F.col("lat"), F.col("lon"), F.col("mlat"), F.col("mlon")) > 700 + F.col("acc")
     return o.join(mid, ["device", "k"]).groupBy("device", "k").agg(F.count("*").alias("n"), F.count_if(far).alias("n_far"))
 

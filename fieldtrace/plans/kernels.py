@@ -48,7 +48,7 @@ def t09_track_smoothing(spark, d):
 @query(
     sql(
         "passes",
-        """, p as (select camera_id, uid, t_ms, distance_m, row_number() over (partition by camera_id order by t_ms, uid) as k from passes where camera_id < 20),
+        """, p as (select camera_id, uid, t_ms, distance_m, row_number() over (partition by camera_id order by t_ms, uid) as k from passes),
         r as (select camera_id, k, t_ms as kt, distance_m as kd, uid as ku, 1 as g from p where k = 1
         union all select p.camera_id, p.k, case when p.t_ms - r.kt > 600000 or p.distance_m < r.kd then p.t_ms else r.kt end, case when p.t_ms - r.kt > 600000 or p.distance_m < r.kd then p.distance_m else r.kd end, case when p.t_ms - r.kt > 600000 or p.distance_m < r.kd then p.uid else r.ku end, r.g + case when p.t_ms - r.kt > 600000 then 1 else 0 end
         from r join p on p.camera_id = r.camera_id and p.k = r.k + 1)
@@ -57,7 +57,7 @@ def t09_track_smoothing(spark, d):
 )
 def t05_merged_passes(spark, d):
     """Passes within ten minutes of the closest one so far, as that one, with their number."""
-    return folds.merged_passes(passes(spark, d).where("camera_id < 20"), ["camera_id"]).select("camera_id", "uid", "n")
+    return folds.merged_passes(passes(spark, d), ["camera_id"]).select("camera_id", "uid", "n")
 
 
 @query(sql("observations", ", e as (select distinct a.bssid as a, b.bssid as b from observations a join observations b on a.device = b.device and abs(a.t_ms - b.t_ms) <= 900000 and a.bssid < b.bssid), u as (select a, b from e union select b, a from e), recursive_r as (select a as node, a as seen from u union select r.node, u.b from recursive_r r join u on r.seen = u.a) select node, min(seen) as component from recursive_r group by node").replace("with observations", "with recursive observations", 1))
@@ -103,12 +103,12 @@ def s44_opening_hours(spark, d):
     return p.select("id", hours.is_open("hours", (F.col("id") * 37) % 10080).alias("open"))
 
 
-@query("select c_custkey, case when c_nationkey % 3 = 0 then 'PA' when c_nationkey % 3 = 1 then 'NJ' end as state from customer where c_custkey < 500")
+@query("select c_custkey, case when c_nationkey % 3 = 0 then 'PA' when c_nationkey % 3 = 1 then 'NJ' end as state from customer")
 def s56_state_codes(spark, d):
     """Names of states as codes, by a map."""
     names = F.create_map(F.lit("PENNSYLVANIA"), F.lit("PA"), F.lit("NEW JERSEY"), F.lit("NJ"))
     n = F.col("c_nationkey") % 3
-    return read(spark, d, "customer").where("c_custkey < 500").select("c_custkey", F.try_element_at(names, F.upper(F.when(n == 0, "Pennsylvania").when(n == 1, "New Jersey").otherwise("Elsewhere"))).alias("state"))
+    return read(spark, d, "customer").select("c_custkey", F.try_element_at(names, F.upper(F.when(n == 0, "Pennsylvania").when(n == 1, "New Jersey").otherwise("Elsewhere"))).alias("state"))
 
 
 @query(sql("tracks", ", r as (select device, n, row_number() over (partition by device order by n) as k, acc > 20 as miss from tracks) select a.device, a.n from r a join r b on b.device = a.device and b.k = a.k - 1 where a.miss and b.miss"))
@@ -122,11 +122,11 @@ def x09_two_strikes(spark, d):
 @query()
 def t48_insecure_once_a_day(spark, d):
     """Insecure networks, each reported a day after its last report."""
-    o = observations(spark, d).where("event_id % 3 = 0").select("bssid", "t_ms", "event_id")
+    o = observations(spark, d).select("bssid", "t_ms", "event_id")
     return N.fold(o, ["bssid"], ["t_ms", "event_id"], N.throttled(86_400_000), restart=("t_ms", 86_400_000)).where("kept").select("bssid", "event_id")
 
 
-@query("select c_custkey, case when c_custkey % 2 = 0 then 'PA' end as state from customer where c_custkey < 100")
+@query("select c_custkey, case when c_custkey % 2 = 0 then 'PA' end as state from customer")
 def s31b_state_of_agency(spark, d):
     made = F.concat(F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, " PA").otherwise(" pa"))
-    return read(spark, d, "customer").where("c_custkey < 100").select("c_custkey", trailing_state(made, ("PA",)).alias("state"))
+    return read(spark, d, "customer").select("c_custkey", trailing_state(made, ("PA",)).alias("state"))

@@ -105,14 +105,14 @@ def w13_geojson(spark, d):
     return cams(spark, d).select("id", F.to_json(made).alias("feature"))
 
 
-@query(sql("tracks", """select device, '<trkseg>' || string_agg('<trkpt lat="' || cast(floor(lat * 100000) as bigint) || '" lon="' || cast(floor(lon * 100000) as bigint) || '"/>', '' order by n) || '</trkseg>' as gpx from tracks where n <= 50 group by device"""))
+@query(sql("tracks", """select device, n // 1000 as part, '<trkseg>' || string_agg('<trkpt lat="' || cast(floor(lat * 100000) as bigint) || '" lon="' || cast(floor(lon * 100000) as bigint) || '"/>', '' order by n) || '</trkseg>' as gpx from tracks group by device, n // 1000"""))
 def w14_gpx(spark, d):
-    """A track segment per device (whole hundred-thousandths of a degree here)."""
+    """Track segments of a device, a thousand points in each (whole hundred-thousandths of a degree here)."""
     from ..sources.views import tracks
 
     point = F.concat(F.lit('<trkpt lat="'), F.floor(F.col("lat") * 100000).cast("string"), F.lit('" lon="'), F.floor(F.col("lon") * 100000).cast("string"), F.lit('"/>'))
-    t = tracks(spark, d).where("n <= 50").groupBy("device").agg(F.sort_array(F.collect_list(F.struct("n", point.alias("p")))).alias("ps"))
-    return t.select("device", F.concat(F.lit("<trkseg>"), F.array_join(F.transform("ps", lambda x: x["p"]), ""), F.lit("</trkseg>")).alias("gpx"))
+    t = tracks(spark, d).groupBy("device", F.floor(F.col("n") / 1000).alias("part")).agg(F.sort_array(F.collect_list(F.struct("n", point.alias("p")))).alias("ps"))
+    return t.select("device", "part", F.concat(F.lit("<trkseg>"), F.array_join(F.transform("ps", lambda x: x["p"]), ""), F.lit("</trkseg>")).alias("gpx"))
 
 
 @query("select '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' as row from nation")

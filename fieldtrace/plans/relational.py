@@ -123,7 +123,7 @@ def f15_track_thinning(spark, d):
 @query()
 def f16_path_cleaning(spark, d):
     """Fixes over 250 km/h go, unless three in a row agree."""
-    return _kept(N.fold(tracks(spark, d), ["device"], ["t_ms"], N.cleaned_path))
+    return _kept(N.fold(tracks(spark, d), ["device"], ["t_ms"], N.cleaned_path, restart=("t_ms", N.ANYWHERE_MS)))
 
 
 @query(sql("cams", "select id from cams where dir >= 90"))

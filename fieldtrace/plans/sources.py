@@ -12,10 +12,19 @@ from .common import at, at_sql
 _E7 = "cast(floor(lat * 10000000) as bigint)"
 
 
+#: Rows that one document of a device holds at most.
+RUN = 1000
+
+
+def _run(column: str):
+    """What splits a key's rows into documents of bounded size."""
+    return [F.floor(F.col(column) / RUN).alias("__run")]
+
+
 def _records(spark, d):
-    """One document per device."""
+    """Documents of a device, a bounded run of rows in each."""
     p = F.struct(F.floor(F.col("lat") * 1e7).alias("latitudeE7"), F.floor(F.col("lon") * 1e7).alias("longitudeE7"), F.col("acc").alias("accuracy"), F.col("source"), F.col("t_ms").cast("string").alias("timestampMs"))
-    return fixes(spark, d).groupBy("device").agg(F.collect_list(p).alias("locations")).select(F.to_json(F.struct("locations")).alias("raw"))
+    return fixes(spark, d).groupBy("device", *_run("event_id")).agg(F.collect_list(p).alias("locations")).select(F.to_json(F.struct("locations")).alias("raw"))
 
 
 @query(sql("fixes", f"select cast(floor(cast({_E7} as double) / cast(10000000 as double) * 1000000 + 0.5) as bigint) as lat6, acc, source, t_ms from fixes"))
@@ -27,16 +36,16 @@ def r05_records(spark, d):
 def r04_timeline_scans(spark, d):
     """Scans of a timeline document, with addresses as numbers."""
     a = F.struct(F.struct(F.col("t_ms").cast("string").alias("deliveryTime"), F.array(F.struct(F.col("event_id").alias("mac"), F.col("dbm").alias("rawRssi"))).alias("devicesRecords")).alias("wifiScan"))
-    docs = observations(spark, d).where("event_id > 0").groupBy("device").agg(F.collect_list(a).alias("rawSignals")).select(F.to_json(F.struct("rawSignals")).alias("raw"))
+    docs = observations(spark, d).where("event_id > 0").groupBy("device", *_run("event_id")).agg(F.collect_list(a).alias("rawSignals")).select(F.to_json(F.struct("rawSignals")).alias("raw"))
     _, scans, _ = files.parse_timeline(docs)
     return scans.select("t_ms", F.conv(F.regexp_replace("bssid", ":", ""), 16, 10).cast("bigint").alias("n"), "dbm")
 
 
-@query(sql("tracks", f"select cast(floor(cast({_E7} as double) / cast(10000000 as double) * 1000000 + 0.5) as bigint) as lat6, t_ms from tracks where n <= 40 and t_ms * 1000 > 0"))
+@query(sql("tracks", f"select cast(floor(cast({_E7} as double) / cast(10000000 as double) * 1000000 + 0.5) as bigint) as lat6, t_ms from tracks"))
 def r06_semantic_history(spark, d):
     p = F.struct(F.floor(F.col("lat") * 1e7).alias("latE7"), F.floor(F.col("lon") * 1e7).alias("lngE7"), (F.col("t_ms") + 1_000_000_000_000).cast("string").alias("timestampMs"))
     seg = F.struct(F.struct(F.struct(F.collect_list(p).alias("points")).alias("simplifiedRawPath")).alias("activitySegment"))
-    docs = tracks(spark, d).where("n <= 40").groupBy("device").agg(F.array(seg).alias("timelineObjects")).select(F.to_json(F.struct("timelineObjects")).alias("raw"))
+    docs = tracks(spark, d).groupBy("device", *_run("n")).agg(F.array(seg).alias("timelineObjects")).select(F.to_json(F.struct("timelineObjects")).alias("raw"))
     _, points = files.parse_semantic(docs)
     return points.select(at(F.col("lat"), 6).alias("lat6"), (F.col("t_ms") - 1_000_000_000_000).alias("t_ms"))
 
@@ -53,21 +62,21 @@ def r07_survey_csv(spark, d):
     return out.select(F.conv(F.regexp_replace("bssid", ":", ""), 16, 10).cast("bigint").alias("n"), "dbm", "security")
 
 
-@query(sql("tracks", "select cast(floor(floor(lat * 100000) / 100000 * 100000 + 0.5) as bigint) as lat5, greatest(cast(5 as double), acc * 5) as acc, t_ms from tracks where n <= 30"))
+@query(sql("tracks", "select cast(floor(floor(lat * 100000) / 100000 * 100000 + 0.5) as bigint) as lat5, greatest(cast(5 as double), acc * 5) as acc, t_ms from tracks"))
 def r08_gpx(spark, d):
-    t = tracks(spark, d).where("n <= 30")
+    t = tracks(spark, d)
     num = lambda c: F.format_string("%.5f", F.floor(F.col(c) * 100000) / 100000)
     point = F.concat(F.lit('<trkpt lat="'), num("lat"), F.lit('" lon="'), num("lon"), F.lit('"><time>'), F.date_format(F.timestamp_millis(F.col("t_ms")), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</time><hdop>"), F.col("acc").cast("string"), F.lit("</hdop></trkpt>"))
-    docs = t.groupBy("device").agg(F.concat(F.lit("<gpx><trk><trkseg>"), F.array_join(F.collect_list(point), ""), F.lit('<trkpt lat="1" lon="2"></trkpt></trkseg></trk></gpx>')).alias("raw"))
+    docs = t.groupBy("device", *_run("n")).agg(F.concat(F.lit("<gpx><trk><trkseg>"), F.array_join(F.collect_list(point), ""), F.lit('<trkpt lat="1" lon="2"></trkpt></trkseg></trk></gpx>')).alias("raw"))
     return files.parse_gpx(docs).select(at(F.col("lat"), 5).alias("lat5"), "acc", "t_ms")
 
 
-@query(sql("tracks", "select cast(floor(floor(lat * 100000) / 100000 * 100000 + 0.5) as bigint) as lat5, t_ms from tracks where n <= 30"))
+@query(sql("tracks", "select cast(floor(floor(lat * 100000) / 100000 * 100000 + 0.5) as bigint) as lat5, t_ms from tracks"))
 def r09_kml(spark, d):
-    t = tracks(spark, d).where("n <= 30")
+    t = tracks(spark, d)
     num = lambda c: F.format_string("%.5f", F.floor(F.col(c) * 100000) / 100000)
     rows = F.sort_array(F.collect_list(F.struct("n", F.date_format(F.timestamp_millis(F.col("t_ms")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("w"), F.concat_ws(" ", num("lon"), num("lat"), F.lit("0")).alias("c"))))
-    g = t.groupBy("device").agg(rows.alias("r"))
+    g = t.groupBy("device", *_run("n")).agg(rows.alias("r"))
     made = F.concat(F.lit("<kml><Placemark><gx:Track>"), F.array_join(F.transform("r", lambda x: F.concat(F.lit("<when>"), x["w"], F.lit("</when>"))), ""), F.array_join(F.transform("r", lambda x: F.concat(F.lit("<gx:coord>"), x["c"], F.lit("</gx:coord>"))), ""), F.lit("</gx:Track></Placemark></kml>"))
     return files.parse_kml(g.select(made.alias("raw"))).select(at(F.col("lat"), 5).alias("lat5"), "t_ms")
 
@@ -76,14 +85,14 @@ def r09_kml(spark, d):
 def r11_camera_features(spark, d):
     """Features without an id are left out."""
     f = F.struct(F.lit("Feature").alias("type"), F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(F.when(F.col("dir") % 5 != 0, F.col("id")).alias("osmId"), F.lit("node").alias("osmType"), "operator").alias("properties"))
-    docs = cams(spark, d).groupBy((F.col("id") % 4).alias("k")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(f).alias("features"))).alias("raw"))
+    docs = cams(spark, d).groupBy(F.floor(F.col("id") / RUN).alias("k")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(f).alias("features"))).alias("raw"))
     return files.parse_cameras(docs).select("id", "operator", at(F.col("lat"), 6).alias("lat6"))
 
 
 @query(sql("cams", "select operator as name from cams where dir % 5 = 0"))
 def r12_unlisted_features(spark, d):
     f = F.struct(F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(F.when(F.col("dir") % 5 != 0, F.col("id").cast("string")).otherwise("").alias("osm_id"), F.col("operator").alias("name")).alias("properties"))
-    docs = cams(spark, d).groupBy((F.col("id") % 4).alias("k")).agg(F.to_json(F.struct(F.collect_list(f).alias("features"))).alias("raw"))
+    docs = cams(spark, d).groupBy(F.floor(F.col("id") / RUN).alias("k")).agg(F.to_json(F.struct(F.collect_list(f).alias("features"))).alias("raw"))
     return files.parse_unlisted_cameras(docs).select("name")
 
 
@@ -93,7 +102,7 @@ def r13_map_ways(spark, d):
     k = F.col("p_partkey")
     tags = F.map_filter(F.create_map(F.lit("highway"), F.when(k % 4 == 0, "primary").when(k % 4 == 1, "motorway_link").when(k % 4 == 2, "service").otherwise("footway"), F.lit("bridge"), F.when(k % 5 == 0, "yes"), F.lit("tunnel"), F.when(k % 5 == 1, "yes")), lambda _, v: v.isNotNull())
     e = F.struct(F.lit("way").alias("type"), k.alias("id"), tags.alias("tags"))
-    docs = read(spark, d, "part").groupBy((k % 8).alias("g")).agg(F.to_json(F.struct(F.collect_list(e).alias("elements"))).alias("raw"))
+    docs = read(spark, d, "part").groupBy(F.floor(k / RUN).alias("g")).agg(F.to_json(F.struct(F.collect_list(e).alias("elements"))).alias("raw"))
     return files.parse_ways(docs).select("id", "highway", "layer", "oneway")
 
 
@@ -114,7 +123,7 @@ def r17_format_detection(spark, d):
 def r18_scan_dump(spark, d):
     mac = F.lower(F.regexp_replace(F.lpad(F.hex("event_id"), 12, "0"), "(..)(?!$)", "$1:"))
     block = F.concat(F.lit("BSS "), mac, F.lit("(on wlan0)\n\tfreq: 2437\n\tsignal: "), F.col("dbm").cast("string"), F.lit(".00 dBm\n\tSSID: net\n"), F.when(F.col("event_id") % 2 == 0, "\tcapability: Privacy\n\tRSN:\t * Version: 1\n").otherwise(""))
-    docs = observations(spark, d).where("event_id > 0").groupBy("device").agg(F.array_join(F.collect_list(block), "").alias("raw"))
+    docs = observations(spark, d).where("event_id > 0").groupBy("device", *_run("event_id")).agg(F.array_join(F.collect_list(block), "").alias("raw"))
     return files.parse_scan_dump(docs).select(F.conv(F.regexp_replace("bssid", ":", ""), 16, 10).cast("bigint").alias("n"), "dbm", "security")
 
 

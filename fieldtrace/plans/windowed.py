@@ -136,7 +136,7 @@ def n14_merged_intervals(spark, d):
 @query(
     sql(
         "passes",
-        """, recursive p as (select camera_id, uid, t_ms, distance_m, row_number() over (partition by camera_id order by t_ms, uid) as k from passes where camera_id < 20),
+        """, recursive p as (select camera_id, uid, t_ms, distance_m, row_number() over (partition by camera_id order by t_ms, uid) as k from passes),
         r as (select camera_id, k, t_ms as kt, distance_m as kd, uid as ku, 1 as g from p where k = 1
         union all select p.camera_id, p.k, case when p.t_ms - r.kt > 600000 or p.distance_m < r.kd then p.t_ms else r.kt end, case when p.t_ms - r.kt > 600000 or p.distance_m < r.kd then p.distance_m else r.kd end, case when p.t_ms - r.kt > 600000 or p.distance_m < r.kd then p.uid else r.ku end, r.g + case when p.t_ms - r.kt > 600000 then 1 else 0 end
         from r join p on p.camera_id = r.camera_id and p.k = r.k + 1)
@@ -145,7 +145,7 @@ def n14_merged_intervals(spark, d):
 )
 def n15_events_within_ten_minutes(spark, d):
     """Events of an asset within ten minutes of the one kept are one event: the closest."""
-    p = passes(spark, d).where("camera_id < 20").select("camera_id", "uid", "t_ms", "distance_m")
+    p = passes(spark, d).select("camera_id", "uid", "t_ms", "distance_m")
     kept = N.fold(p, ["camera_id"], ["t_ms", "uid"], N.kept_within(600_000, "distance_m"), restart=("t_ms", 600_000))
     return kept.where("kept").select("camera_id", "uid")
 
@@ -153,14 +153,14 @@ def n15_events_within_ten_minutes(spark, d):
 @query(
     sql(
         "passes",
-        """, recursive p as (select camera_id, uid, t_ms, row_number() over (partition by camera_id order by t_ms, uid) as k from passes where camera_id < 20),
+        """, recursive p as (select camera_id, uid, t_ms, row_number() over (partition by camera_id order by t_ms, uid) as k from passes),
         r as (select camera_id, k, t_ms as kt, uid, true as kept from p where k = 1 union all select p.camera_id, p.k, case when p.t_ms - r.kt >= 86400000 then p.t_ms else r.kt end, p.uid, p.t_ms - r.kt >= 86400000 from r join p on p.camera_id = r.camera_id and p.k = r.k + 1)
         select camera_id, uid from r where kept""",
     ).replace("with passes", "with recursive passes", 1).replace(", recursive p as", ", p as")
 )
 def n16_once_a_day(spark, d):
     """An event is reported only a day after the last one that was."""
-    p = passes(spark, d).where("camera_id < 20").select("camera_id", "uid", "t_ms")
+    p = passes(spark, d).select("camera_id", "uid", "t_ms")
     return N.fold(p, ["camera_id"], ["t_ms", "uid"], N.throttled(86_400_000), restart=("t_ms", 86_400_000)).where("kept").select("camera_id", "uid")
 
 

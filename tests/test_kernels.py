@@ -18,6 +18,27 @@ def at(east, north, lat0=40.0, lon0=-75.0):
     return float(lat0 + north / M), float(lon0 + east / (M * math.cos(math.radians(lat0))))
 
 
+def test_level_fit_covers_the_truth(spark):
+    """A hundred transmitters inside or beside blocks that are walked round, with 4 dB of noise and several exponents: errors, radii and coverage."""
+    rng = np.random.default_rng(5)
+    rows, truth = [], {}
+    for k in range(100):
+        truth[f"a{k}"] = (x, y) = rng.uniform(-40, 40, 2)
+        wide, exponent = rng.uniform(60, 120), rng.choice([2.4, 2.7, 3.0])
+        for turn in np.arange(60) / 15:
+            along = (turn % 1) * 2 - 1
+            px, py = [(along, -1), (1, along), (-along, 1), (-1, -along)][int(turn)]
+            px, py = px * wide, py * wide * 0.6
+            d = max(3.0, math.hypot(px - x, py - y))
+            acc = rng.uniform(3, 8)
+            seen = at(px + rng.normal(0, acc / 2), py + rng.normal(0, acc / 2))
+            rows.append((f"a{k}", *seen, float(-40 - 10 * exponent * math.log10(d) + rng.normal(0, 4)), acc))
+    fit = locate.level_fit(spark.createDataFrame(rows, "bssid string, lat double, lon double, dbm double, acc double"), "bssid").collect()
+    miss = [windows.metres(r.lat, r.lon, *at(*truth[r.bssid])) for r in fit]
+    assert len(fit) == 100 and sum(m <= r.r95 for m, r in zip(miss, fit, strict=True)) >= 92
+    assert sorted(miss)[50] < 10.5 and sorted(r.r95 for r in fit)[50] < 23.1
+
+
 def test_level_fit_finds_transmitters(spark):
     rng = np.random.default_rng(1)
     rows, truth = [], {}
