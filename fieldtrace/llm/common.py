@@ -27,9 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that later jobs neither recompute it nor depend on an executor."""
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that later jobs neither recompute it nor depend on an executor.
+
+    A ``narrow`` table has a few numbers a row: it goes to an eighth of the shuffle partitions at most, as many small files cost more
+    than their rows.
+    """
     shared_folder(df.sparkSession)
+    if narrow:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     return df.checkpoint()
 
 
@@ -108,8 +114,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     loop ends; the driver sees one number a round. Hub nodes are no problem: minima are combined before the shuffle.
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    both = cut(both.union(both.select("v", "u")).distinct())
-    labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"))
+    both = cut(both.union(both.select("v", "u")).distinct(), narrow=True)
+    labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), narrow=True)
     while True:
         near = (
             both.join(labels.withColumnRenamed("node", "v"), "v")
@@ -120,11 +126,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         # also let the old label's node learn of the smaller one, which moves whole trees at once
         told = hooked.groupBy(F.col("label").alias("node")).agg(F.min("low").alias("told"))
         merged = hooked.join(told, "node", "left").select("node", "label", F.least("low", "told").alias("low"))
-        merged = cut(merged)
+        merged = cut(merged, narrow=True)
         jumped = merged.alias("a").join(
             merged.select(F.col("node").alias("low"), F.col("low").alias("jump")), "low", "left"
         ).select("node", "label", F.least("low", "jump").alias("new"))
-        jumped = cut(jumped)
+        jumped = cut(jumped, narrow=True)
         if jumped.where("new < label").limit(1).count() == 0:
             return jumped.select("node", F.col("new").alias("component"))
         labels = jumped.select("node", F.col("new").alias("label"))

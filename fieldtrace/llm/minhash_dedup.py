@@ -97,7 +97,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 500)
     the copies, so that the centre of a large group isn't one key of the join.
     """
     fans = pairs.groupBy("src").agg(F.count("*").alias("many")).where(F.col("many") > most).select("src", F.ceil(F.col("many") / most).cast("int").alias("fan"))
-    fans = if_small(cut(fans))
+    fans = if_small(cut(fans, narrow=True))
     turn = F.pmod(F.xxhash64("dst"), F.coalesce("fan", F.lit(1))).cast("int")
     dealt = pairs.join(fans, "src", "left").select("src", "dst", turn.alias("turn"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1))
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # step 2: codes that at least two classes have
     coded = classes.select("node", F.posexplode("codes").alias("pos", "code"))
-    shared = cut(coded.groupBy("code").agg(F.count("*").alias("many")).where("many > 1").select("code"))
+    shared = cut(coded.groupBy("code").agg(F.count("*").alias("many")).where("many > 1").select("code"), narrow=True)
     alive = coded.join(shared.hint("merge"), "code", "left_semi")
     halves = cut(
         alive.groupBy("node")
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         facts.drop("set").join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
     )
     more = _verified(cut(_cross_pairs(able, percent)), sets, percent)
-    edges = cut(links.union(more))
+    edges = cut(links.union(more), narrow=True)
     labels = components(edges)
 
     class_of = cut(
@@ -185,7 +185,7 @@ def _cross_pairs(able: DataFrame, percent: int, most: int = 200) -> DataFrame:
     taken at its least common codes only. Code, size and sketch bounds are part of the join condition.
     """
     coded = able.withColumn("code", F.explode("a"))
-    busy = if_small(cut(coded.groupBy("code").agg(F.count("*").alias("many")).where(F.col("many") > most).select("code", F.lit(True).alias("split"))))
+    busy = if_small(cut(coded.groupBy("code").agg(F.count("*").alias("many")).where(F.col("many") > most).select("code", F.lit(True).alias("split")), narrow=True))
     keyed = coded.join(busy, "code", "left").withColumn("second", F.explode(F.when(F.col("split"), F.col("b")).otherwise(F.array(F.lit(0).cast("long")))))
     side = lambda p: keyed.select(*(F.col(c).alias(f"{p}_{c}") for c in able.columns), "code", "second", F.col("split").alias(f"{p}_split"))
     left, right = side("x"), side("y")
