@@ -177,17 +177,35 @@ def _reach(shared: Column, n_x: Column, n_y: Column, percent: int) -> Column:
     return 100 * shared >= percent * (n_x + n_y - shared)
 
 
+def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys under which rows of different components meet, and how many rows each has."""
+    found = rows.groupBy(*keys).agg(F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return found.where("low < high").select(*keys, "many")
+
+
+def _buckets(able: DataFrame, most: int) -> DataFrame:
+    """(node, code, second): the buckets in which a class can meet one of another component.
+
+    A bucket is a code of the first half (``second`` is 0), or, where more than ``most`` classes have it, a pair of a code of either half, which is a
+    table key. A bucket within one component, as those of a large group of copies are, is dropped before any set or sketch is joined to it.
+    """
+    coded = able.select("node", "component", F.explode("a").alias("code"))
+    codes = cut(_mixed(coded, ["code"]), narrow=True)
+    rows = coded.join(codes.hint("merge"), "code")
+    few = rows.where(F.col("many") <= most).select("node", "code", F.lit(0).cast("long").alias("second"))
+    split = rows.where(F.col("many") > most).select("node", "component", "code").join(able.select("node", "b"), "node").select("node", "component", "code", F.explode("b").alias("second"))
+    pairs = cut(_mixed(split, ["code", "second"]).drop("many"), narrow=True)
+    return cut(few.union(split.join(pairs.hint("merge"), ["code", "second"], "left_semi").select("node", "code", "second")))
+
+
 def _cross_pairs(able: DataFrame, percent: int, most: int = 200) -> DataFrame:
     """Distinct pairs (src < dst) of different components with a common table and no bound against the threshold.
 
-    A common table is a common code in each half. One half's codes are the join key and the other half is a condition; a code that
-    more than ``most`` classes have is split by the codes of the other half, so that its buckets are those of the tables. A pair is
-    taken at its least common codes only. Code, size and sketch bounds are part of the join condition.
+    A common table is a common code in each half. One half's codes are the join key and the other half is a condition, but for a split
+    bucket, whose key has both. A pair is taken at its least common codes only. Code, size and sketch bounds are part of the join condition.
     """
-    coded = able.withColumn("code", F.explode("a"))
-    busy = if_small(cut(coded.groupBy("code").agg(F.count("*").alias("many")).where(F.col("many") > most).select("code", F.lit(True).alias("split")), narrow=True))
-    keyed = coded.join(busy, "code", "left").withColumn("second", F.explode(F.when(F.col("split"), F.col("b")).otherwise(F.array(F.lit(0).cast("long")))))
-    side = lambda p: keyed.select(*(F.col(c).alias(f"{p}_{c}") for c in able.columns), "code", "second", F.col("split").alias(f"{p}_split"))
+    keyed = _buckets(able, most).join(able.hint("merge"), "node")
+    side = lambda p: keyed.select(*(F.col(c).alias(f"{p}_{c}") for c in able.columns), "code", "second")
     left, right = side("x"), side("y")
     shared = F.least("x_most", "y_most")
     differ = sum((F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
@@ -200,8 +218,8 @@ def _cross_pairs(able: DataFrame, percent: int, most: int = 200) -> DataFrame:
         & (F.col("x_component") != F.col("y_component"))
         & _reach(shared, F.col("x_n"), F.col("y_n"), percent)
         & (differ <= limit)
-        & F.when(F.col("x_split"), first_of("b") == left["second"]).otherwise(F.arrays_overlap("x_b", "y_b"))
-        & (first_of("a") == left["code"])
+        & F.when(left["second"] != 0, first_of("b") == left["second"]).otherwise(F.arrays_overlap("x_b", "y_b"))
     )
     joined = left.join(right.hint("merge"), (left["code"] == right["code"]) & (left["second"] == right["second"]) & on)
-    return joined.select(F.col("x_node").alias("src"), F.col("y_node").alias("dst"))
+    # a code under which two components meet is kept for both, so the least common code of a pair is always among those that are joined
+    return joined.where(first_of("a") == left["code"]).select(F.col("x_node").alias("src"), F.col("y_node").alias("dst"))
