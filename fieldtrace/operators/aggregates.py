@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,3 +85,29 @@ def allan_deviation(rows: DataFrame, keys: list[str], order: str, x: str, octave
     three = at(0, "s0").join(at(1, "s1"), [*keys, "m", "k"]).join(at(2, "s2"), [*keys, "m", "k"])
     d = (F.col("s2") - 2 * F.col("s1") + F.col("s0")) / F.col("m")
     return three.groupBy(*keys, "m").agg(F.sqrt(F.sum(d * d) / (2 * F.count("*"))).alias("deviation"), F.count("*").alias("n"))
+
+
+def correlation_time(rows: DataFrame, keys: list[str], order: str, x: str, window: float = 5.0, least: int = 16) -> DataFrame:
+    """(keys, n, tau, converged): how many samples of a series hang together.
+
+    1 + 2 times the sum of the autocorrelations up to the first lag of ``window`` times the sum so far. Series that are shorter than ``least`` or
+    constant have no time. A key is one session, whose numbers (not its rows) are held at once.
+    """
+    kinds = dict(rows.dtypes)
+
+    def over(table: pa.Table) -> pa.Table:
+        v = table.sort_by(order)[x].to_numpy().astype(float)
+        n, tau, done = len(v), None, False
+        off = v - v.mean()
+        var = float(off @ off) / n
+        if n >= least and var > 1e-12:
+            tau = 1.0
+            for lag in range(1, n // 2):
+                tau += 2 * float(off[:-lag] @ off[lag:]) / n / var
+                if lag >= window * tau:
+                    done = True
+                    break
+            tau = max(tau, 1.0)
+        return pa.table({**{k: table[k].slice(0, 1) for k in keys}, "n": pa.array([n], pa.int64()), "tau": pa.array([tau], pa.float64()), "converged": pa.array([done])})
+
+    return rows.select(*keys, order, x).groupBy(*keys).applyInArrow(over, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n long, tau double, converged boolean")

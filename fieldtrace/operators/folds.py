@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
-from .windows import PARTS, gap_runs
+from .windows import PARTS, gap_runs, metres
 
 _M = 111_320.0
 
@@ -113,11 +117,124 @@ def averaged(values: DataFrame, key: str, order: str, x: str, most: int = 30) ->
     The weights are known from the places alone, so this is an aggregate and needs no fold: the first ``most`` values count alike, and each
     later one takes its share from all before it.
     """
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(key).orderBy(order)
     n = F.count("*").over(Window.partitionBy(key))
     k = F.row_number().over(w)
     keep = 1 - 1 / most
     weight = F.when(F.col("k") <= most, F.pow(F.lit(keep), F.greatest(F.col("n") - most, F.lit(0))) / F.least(F.col("n"), F.lit(most))).otherwise(F.pow(F.lit(keep), F.col("n") - F.col("k")) / most)
     return values.select(key, order, x, n.alias("n"), k.alias("k")).groupBy(key).agg(F.sum(weight * F.col(x)).alias("mean"))
+
+
+def streamed(rows: DataFrame, keys: list[str], order: list[str], begin, schema: str) -> DataFrame:
+    """An order-dependent fold whose state never ends: rows go by key to a task, sorted there, and pass through one at a time.
+
+    ``begin()`` gives (step, end) for a key: ``step(row)`` and ``end()`` give the rows that are ready. A key is sequential by its nature, but only its
+    state is held, whatever the number of its rows.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step, end = None, None, None
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if step is None or key != now:
+                    if end:
+                        made += end()
+                    now, (step, end) = key, begin()
+                made += step(row)
+            yield _rows(made)
+        if end:
+            yield _rows(end())
+
+    def _rows(made: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in made], schema=to_arrow_schema(kinds))
+
+    kinds = rows.sparkSession.createDataFrame([], schema).schema
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(over, schema)
+
+
+def _far(a: dict, b: dict) -> float:
+    return metres(a["lat"], a["lon"], b["lat"], b["lon"])
+
+
+def vantages(observed: DataFrame, key: str, order: str, least_m: float = 80.0) -> DataFrame:
+    """(key, place, lat, lon, acc, dbm, n): observations drawn to the first place nearer than ``least_m`` or both accuracies, which moves to the mean."""
+
+    def begin():
+        places: list[dict] = []
+
+        def step(o: dict) -> list[dict]:
+            for v in places:
+                if _far(v, o) < max(least_m, v["acc"] + o["acc"]):
+                    n = v["n"]
+                    v |= {c: (v[c] * n + o[c]) / (n + 1) for c in ("lat", "lon", "dbm")} | {"acc": min(v["acc"], o["acc"]), "n": n + 1}
+                    return []
+            places.append({key: o[key], "place": len(places), "lat": o["lat"], "lon": o["lon"], "acc": o["acc"], "dbm": float(o["dbm"]), "n": 1})
+            return []
+
+        return step, lambda: places
+
+    kind = dict(observed.dtypes)[key]
+    return streamed(observed.select(key, order, "lat", "lon", "acc", "dbm"), [key], [order], begin, f"{key} {kind}, place int, lat double, lon double, acc double, dbm double, n long")
+
+
+def sampled(observed: DataFrame, key: str, least_m: float = 12.0, later_ms: int = 600_000) -> DataFrame:
+    """(key, event_id) of the observations that stay: moved by half an error and ``least_m`` at least, or later, or heard by another device.
+
+    An observation of the same place with a better fix takes the place of the last one.
+    """
+
+    def begin():
+        held: list[dict] = []
+
+        def step(o: dict) -> list[dict]:
+            last = held[0] if held else None
+            if last is None or _far(last, o) >= max(least_m, 0.5 * max(last["acc"], o["acc"])) or o["device"] != last["device"] or o["t_ms"] - last["t_ms"] >= later_ms:
+                held[:] = [o]
+                return [last] if last else []
+            if o["acc"] < last["acc"]:
+                held[:] = [o]
+            return []
+
+        return step, lambda: held
+
+    kinds = dict(observed.dtypes)
+    rows = observed.select(key, "event_id", "device", "t_ms", "lat", "lon", "acc")
+    return streamed(rows, [key], ["t_ms", "event_id"], begin, f"{key} {kinds[key]}, event_id {kinds['event_id']}")
+
+
+def route_lines(fixes: DataFrame, key: str, gap_ms: int = 900_000, jump_m: float = 4000.0, apart_m: float = 20.0) -> DataFrame:
+    """(key, line, n) of the fixes that a route's lines are drawn by.
+
+    Left out: a single fix out by 30 m that is back within 18 m, more than 35 m/s and 200 m inside five minutes, and what is nearer than ``apart_m`` to
+    the last point (but for the last fix). A new line begins after a gap. Rows with an accuracy above 500 don't count.
+    """
+    w = Window.partitionBy(key).orderBy("n")
+    ahead = fixes.where("acc <= 500").select(key, "n", "t_ms", "lat", "lon", F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"))
+
+    def begin():
+        seen: dict = {"line": 0}
+
+        def step(o: dict) -> list[dict]:
+            v, last = seen.get("valid"), o["lat2"] is None
+            if v is not None:
+                if not last:
+                    nxt = {"lat": o["lat2"], "lon": o["lon2"]}
+                    if _far(v, o) > 30 and _far(o, nxt) > 30 and _far(v, nxt) < 18:
+                        return []
+                dt, far = abs(o["t_ms"] - v["t_ms"]) / 1000, _far(v, o)
+                if 0 < dt < 300 and far / dt > 35 and far > 200:
+                    return []
+                if dt > gap_ms / 1000 or far > jump_m:
+                    seen["line"] += 1
+                elif _far(seen["point"], o) < apart_m and not last:
+                    seen["valid"] = o
+                    return []
+            seen["valid"] = seen["point"] = o
+            return [{key: o[key], "line": seen["line"], "n": o["n"]}]
+
+        return step, list
+
+    return streamed(ahead, [key], ["n"], begin, f"{key} {dict(fixes.dtypes)[key]}, line int, n long")

@@ -111,9 +111,9 @@ def range_fix(heard: DataFrame, keys: list[str], rounds: int = 6, huber: float =
         r = (F.col("metres") - d) / F.col("sd")
         h = h.withColumns({"ux": dx / d, "uy": dy / d, "r": F.col("metres") - d, "w": F.when(F.abs(r) <= huber, 1.0).otherwise(huber / F.abs(r)) / (F.col("sd") * F.col("sd"))})
         w, ux, uy = F.col("w"), F.col("ux"), F.col("uy")
-        h = h.withColumns({"a": total(w * ux * ux) + 1e-6, "b": total(w * ux * uy), "c": total(w * uy * uy) + 1e-6, "g": total(w * ux * F.col("r")), "k": total(w * uy * F.col("r"))})
+        h = h.withColumns({"a": total(w * ux * ux) + 1e-6, "b": total(w * ux * uy), "c": total(w * uy * uy) + 1e-6, "gx": total(w * ux * F.col("r")), "gy": total(w * uy * F.col("r"))})
         det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
-        step_x, step_y = (F.col("c") * F.col("g") - F.col("b") * F.col("k")) / det, (F.col("a") * F.col("k") - F.col("b") * F.col("g")) / det
+        step_x, step_y = (F.col("c") * F.col("gx") - F.col("b") * F.col("gy")) / det, (F.col("a") * F.col("gy") - F.col("b") * F.col("gx")) / det
         scale = F.least(F.lit(1.0), 200 / F.greatest(F.sqrt(step_x * step_x + step_y * step_y), F.lit(1e-9)))
         h = h.withColumns({"px": F.col("px") + step_x * scale, "py": F.col("py") + step_y * scale})
     det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
@@ -122,6 +122,29 @@ def range_fix(heard: DataFrame, keys: list[str], rounds: int = 6, huber: float =
     return h.groupBy(*keys, "n").agg(F.first(lat).alias("lat"), F.first(lon).alias("lon"), F.first(acc).alias("acc"))
 
 
+def trilaterated(heard: DataFrame, prior: DataFrame, keys: list[str], rounds: int = 8) -> DataFrame:
+    """(keys, n, lat, lon, acc): least squares of ranges ``metres`` (error ``sd``) to anchors lat, lon, drawn to a prior p_lat, p_lon (error p_sd).
+
+    Gauss-Newton from the prior; all rounds are window sums over one partitioning. ``acc`` is the root of the covariance's trace.
+    """
+    own = Window.partitionBy(*keys)
+    total = lambda c: F.sum(c).over(own)
+    x, y = local_xy(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
+    h = heard.join(prior, keys).withColumns({"x": x, "y": y, "px": F.lit(0.0), "py": F.lit(0.0), "n": F.count("*").over(own), "w": 1 / (F.col("sd") * F.col("sd")), "w0": 1 / (F.col("p_sd") * F.col("p_sd"))})
+    w, w0 = F.col("w"), F.col("w0")
+    for _ in range(rounds):
+        dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
+        d = F.sqrt(dx * dx + dy * dy + 1e-6)
+        h = h.withColumns({"ux": dx / d, "uy": dy / d, "r": F.col("metres") - d})
+        ux, uy, r = F.col("ux"), F.col("uy"), F.col("r")
+        h = h.withColumns({"a": total(w * ux * ux) + w0, "b": total(w * ux * uy), "c": total(w * uy * uy) + w0, "gx": total(w * ux * r) - w0 * F.col("px"), "gy": total(w * uy * r) - w0 * F.col("py")})
+        det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
+        h = h.withColumns({"px": F.col("px") + (F.col("c") * F.col("gx") - F.col("b") * F.col("gy")) / det, "py": F.col("py") + (F.col("a") * F.col("gy") - F.col("b") * F.col("gx")) / det})
+    det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
+    lat, lon = F.col("p_lat") + F.col("py") / DEGREE, F.col("p_lon") + F.col("px") / (DEGREE * F.cos(F.radians("p_lat")))
+    return h.groupBy(*keys, "n").agg(F.first(lat).alias("lat"), F.first(lon).alias("lon"), F.first(F.sqrt((F.col("a") + F.col("c")) / det)).alias("acc"))
+
+
 def watched_way(assets: DataFrame, legs: DataFrame, metres: float = 40.0, axis: float = 35.0) -> DataFrame:
     """(id, way, metres) of the road leg that an asset watches: near enough, along its direction, by layer, then by distance.
 

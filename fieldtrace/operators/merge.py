@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import cut
+from .joins import grid_join
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -90,6 +91,46 @@ def changed(old: DataFrame, new: DataFrame, key: str, columns: list[str], seq: s
     return both.withColumns({seq: F.when(F.col("__differs"), F.lit(next_seq) + F.col("__number")).otherwise(F.col(seq)), **values}).select(old.columns)
 
 
+def merge_events(old: DataFrame, new: DataFrame, aliases: DataFrame, within_ms: int = 600_000) -> tuple[DataFrame, DataFrame]:
+    """(events, aliases) after a batch of new events (uid, camera_id, t_ms, source_rank, confidence, note) has been merged in.
+
+    A new event goes to the old one of the same uid, by way of ``aliases`` (uid, target), else to that of its camera that is nearest in time,
+    at most ``within_ms`` away (the earlier, then the smaller uid, of two as near). The better of those that meet, by rank of source and then
+    confidence (the old one, then the smaller uid, of equal ones), gives the measured columns; a note is kept where there is one. Events that
+    meet no old one are added; of those with the same uid the best. A uid that was merged away becomes an alias.
+    """
+    known = new.join(aliases.select("uid", F.col("target")), "uid", "left").withColumn("uid2", F.coalesce("target", "uid"))
+    same = known.join(old.select(F.col("uid").alias("uid2"), F.lit(True).alias("__same")), "uid2", "left")
+    direct = same.where("__same").select(F.col("uid2").alias("to"), "uid", "t_ms", "source_rank", "confidence", "note", "camera_id")
+    rest = same.where("__same is null").select("uid", "camera_id", "t_ms", "source_rank", "confidence", "note")
+    bucket = lambda c: F.floor(c / within_ms)
+    b = old.select("camera_id", F.col("uid").alias("__to"), F.col("t_ms").alias("__t")).withColumn("__bucket", F.explode(F.sequence(bucket(F.col("__t")) - 1, bucket(F.col("__t")) + 1)))
+    gap = F.abs(F.col("t_ms") - F.col("__t"))
+    met = rest.withColumn("__bucket", bucket(F.col("t_ms"))).join(b, ["camera_id", "__bucket"]).where(gap <= within_ms)
+    near = met.groupBy("uid", "camera_id", "t_ms", "source_rank", "confidence", "note").agg(F.min(F.struct(gap.alias("gap"), "__t", "__to"))["__to"].alias("to"))
+    names = ["to", "uid", "camera_id", "t_ms", "source_rank", "confidence", "note"]
+    taken = direct.select(names).unionByName(near.select(names))
+    free = rest.join(near.select("uid").distinct(), "uid", "left_anti").withColumn("to", F.col("uid"))
+    every = old.select(F.col("uid").alias("to"), *names[1:], F.lit(1).alias("__old")).unionByName(taken.unionByName(free.select(names)).withColumn("__old", F.lit(0)))
+    order = F.struct("source_rank", "confidence", "__old")
+    w = Window.partitionBy("to").orderBy(F.desc(order), "uid", "t_ms", "note")
+    kept = every.withColumn("__r", F.row_number().over(w)).withColumn("note", F.first("note", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("__r = 1")
+    gone = taken.where("uid <> to").select("uid", F.col("to").alias("target")).distinct()
+    return kept.select(F.col("to").alias("uid"), *names[2:]), aliases.select("uid", "target").unionByName(gone).dropDuplicates(["uid"])
+
+
+def one_of_each_place(rows: DataFrame, metres: float) -> DataFrame:
+    """Rows (id, key, lat, lon, score, phone) that have no better one of the same key within ``metres``: by score, then the smaller id.
+
+    A row that stays without a phone takes the least phone of those near it. Rows of a key meet by grid cells, not all with all.
+    """
+    others = rows.select(F.col("id").alias("o_id"), F.col("key").alias("o_key"), F.col("score").alias("o_score"), F.col("phone").alias("o_phone"), "lat", "lon")
+    near = grid_join(rows.select("id", "key", "score", "lat", "lon"), others, metres).where("key = o_key and id <> o_id")
+    better = (F.col("o_score") > F.col("score")) | ((F.col("o_score") == F.col("score")) & (F.col("o_id") < F.col("id")))
+    seen = near.groupBy("id").agg(F.bool_or(better).alias("__beaten"), F.min("o_phone").alias("__phone"))
+    return rows.join(seen, "id", "left").where("not coalesce(__beaten, false)").withColumn("phone", F.coalesce("phone", "__phone")).select(rows.columns)
+
+
 def resolved(rows: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     """``key`` replaced by what it was merged into."""
     a = aliases.select(F.col("uid").alias(key), "target")
