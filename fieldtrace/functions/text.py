@@ -54,6 +54,18 @@ def metric(m: Column) -> Column:
     return F.when(m < 1000, F.concat(F.floor(m).cast("string"), F.lit(" m"))).otherwise(F.concat((F.floor(m / 100 + 0.5) / 10).cast("decimal(12,1)").cast("string"), F.lit(" km")))
 
 
+def imperial(metres: Column) -> Column:
+    """A length in feet up to 100, in tens of feet up to a tenth of a mile, then in miles, with one decimal below ten."""
+    feet = metres * 3.28084
+    miles = feet / 5280.0
+    return (
+        F.when(feet < 100, F.concat(F.floor(feet).cast("string"), F.lit(" ft")))
+        .when(feet < 528, F.concat((F.floor(feet / 10) * 10).cast("string"), F.lit(" ft")))
+        .when(miles < 10, F.concat(F.format_string("%.1f", F.floor(miles * 10 + 0.5) / 10.0), F.lit(" mi")))
+        .otherwise(F.concat(F.floor(miles + 0.5).cast("string"), F.lit(" mi")))
+    )
+
+
 def drive_seconds(m: Column) -> Column:
     """A drive over 1.4 times the distance at 70 km/h, in whole five minutes, five at least."""
     return F.greatest(F.floor(m * 1.4 / (70 / 3.6) / 300 + 0.5) * 300, F.lit(300)).cast("bigint")

@@ -8,21 +8,21 @@ from pyspark.sql.window import Window
 
 
 def fingerprint_locate(heard: DataFrame, epochs: DataFrame, epoch_keys: list[str], sigma: float = 6.0, penalty: float = 2.0, common: int = 3, best: int = 7) -> DataFrame:
-    """(scan, lat, n): the place of a scan from the ``best`` epochs that share ``common`` transmitters at least.
+    """(scan, lat, lon, n): the place of a scan from the ``best`` epochs that share ``common`` transmitters at least.
 
-    ``heard`` has scan, bssid, dbm; ``epochs`` the keys, bssid, dbm and lat. An epoch's score is the negative half of its mean squared
+    ``heard`` has scan, bssid, dbm; ``epochs`` the keys, bssid, dbm, lat and lon. An epoch's score is the negative half of its mean squared
     difference by ``sigma``, less ``penalty`` for the share of the scan that it misses, plus half the log of what is shared.
     """
     size = heard.groupBy("scan").agg(F.count("*").alias("all"))
-    other = epochs.select(*epoch_keys, "bssid", F.col("dbm").alias("e_dbm"), "lat")
+    other = epochs.select(*epoch_keys, "bssid", F.col("dbm").alias("e_dbm"), "lat", "lon")
     d = F.col("dbm") - F.col("e_dbm")
-    met = heard.join(other, "bssid").groupBy("scan", *epoch_keys).agg(F.count("*").alias("n"), F.sum(d * d).alias("ss"), F.avg("lat").alias("lat")).where(F.col("n") >= common)
+    met = heard.join(other, "bssid").groupBy("scan", *epoch_keys).agg(F.count("*").alias("n"), F.sum(d * d).alias("ss"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon")).where(F.col("n") >= common)
     score = -0.5 * F.col("ss") / (sigma * sigma * F.col("n")) - penalty * (F.col("all") - F.col("n")) / F.col("all") + 0.5 * F.log("n")
     ranked = met.join(size, "scan").withColumn("score", score)
     x = F.row_number().over(Window.partitionBy("scan").orderBy(F.floor(F.col("score") * 1e9).desc(), *epoch_keys))
     top = ranked.withColumn("x", x).where(F.col("x") <= best)
     w = F.exp("score")
-    return top.groupBy("scan").agg((F.sum(w * F.col("lat")) / F.sum(w)).alias("lat"), F.count("*").alias("n"))
+    return top.groupBy("scan").agg((F.sum(w * F.col("lat")) / F.sum(w)).alias("lat"), (F.sum(w * F.col("lon")) / F.sum(w)).alias("lon"), F.count("*").alias("n"))
 
 
 def device_offsets(observations: DataFrame, host: str, least: int = 3) -> DataFrame:

@@ -31,19 +31,19 @@ def t06_pass_scores(spark, d):
 @query(
     sql(
         "observations",
-        f""", s as (select device, t_ms // 432000000 as k, bssid, max(dbm) as dbm, avg(lat) as lat from observations group by 1, 2, 3), h as (select * from s where device = 'dev1'), e as (select * from s where device <> 'dev1'),
+        f""", s as (select device, t_ms // 432000000 as k, bssid, max(dbm) as dbm, avg(lat) as lat, avg(lon) as lon from observations group by 1, 2, 3), h as (select * from s where device = 'dev1'), e as (select * from s where device <> 'dev1'),
         hs as (select k, count(*) as n from h group by k),
-        m as (select h.k as scan, e.device, e.k, count(*) as n, sum((h.dbm - e.dbm) * (h.dbm - e.dbm)) as ss, avg(e.lat) as lat from h join e on h.bssid = e.bssid group by 1, 2, 3 having count(*) >= 3),
+        m as (select h.k as scan, e.device, e.k, count(*) as n, sum((h.dbm - e.dbm) * (h.dbm - e.dbm)) as ss, avg(e.lat) as lat, avg(e.lon) as lon from h join e on h.bssid = e.bssid group by 1, 2, 3 having count(*) >= 3),
         sc as (select m.*, -0.5 * ss / (36 * m.n) - 2 * (hs.n - m.n) / cast(hs.n as double) + 0.5 * ln(m.n) as score from m join hs on hs.k = m.scan),
         r as (select *, row_number() over (partition by scan order by floor(score * 1e9) desc, device, k) as x from sc)
-        select scan, {at_sql('sum(exp(score) * lat) / sum(exp(score))', 6)} as lat6, count(*) as n from r where x <= 7 group by scan""",
+        select scan, {at_sql('sum(exp(score) * lat) / sum(exp(score))', 6)} as lat6, {at_sql('sum(exp(score) * lon) / sum(exp(score))', 6)} as lon6, count(*) as n from r where x <= 7 group by scan""",
     )
 )
 def t11_fingerprint_locate(spark, d):
     """A place from the seven most similar earlier scans, weighted by the exponential of their score."""
     k = F.floor(F.col("t_ms") / 432_000_000).alias("k")
-    s = observations(spark, d).groupBy("device", k, "bssid").agg(F.max("dbm").alias("dbm"), F.avg("lat").alias("lat"))
-    return C.fingerprint_locate(s.where("device = 'dev1'").select(F.col("k").alias("scan"), "bssid", "dbm"), s.where("device <> 'dev1'"), ["device", "k"], sigma=6.0, penalty=2.0).select("scan", at(F.col("lat"), 6).alias("lat6"), "n")
+    s = observations(spark, d).groupBy("device", k, "bssid").agg(F.max("dbm").alias("dbm"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    return C.fingerprint_locate(s.where("device = 'dev1'").select(F.col("k").alias("scan"), "bssid", "dbm"), s.where("device <> 'dev1'"), ["device", "k"], sigma=6.0, penalty=2.0).select("scan", at(F.col("lat"), 6).alias("lat6"), at(F.col("lon"), 6).alias("lon6"), "n")
 
 
 @query(sql("observations", f", m as (select bssid, device, median(dbm) as mid from observations group by 1, 2), h as (select * from m where device = 'dev0') select m.device, count(*) as n, {at_sql('median(m.mid - h.mid)', 6)} as offset6 from m join h on m.bssid = h.bssid where m.device <> 'dev0' group by m.device having count(*) >= 3"))

@@ -90,12 +90,31 @@ def t43_battery_curve(spark, d):
     return read(spark, d, "events").select("event_id", at(level.otherwise(100.0)).alias("level3"))
 
 
-@query(sql("passes", "select camera_id, case when bool_or(confidence >= 95 and t_ms > 1000000000000) then 'leaky' when bool_or(distance_m < 1) then 'reader' when count(*) > 600 then 'driving' else 'idle' end as mode from passes group by camera_id"))
+@query(
+    sql(
+        "passes tracks",
+        f""", r as (select camera_id, confidence, row_number() over (partition by camera_id order by t_ms desc, uid) as k from passes where t_ms >= (select max(t_ms) from passes) - 259200000),
+        seen as (select camera_id, bool_or(confidence >= 95) as leaky from r where k <= 200 group by camera_id),
+        m as (select device, t_ms, max(t_ms) over (partition by device) as now, t_ms - lag(t_ms) over w as dt, {hav_sql('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')} as m from tracks window w as (partition by device order by n)),
+        d as (select device, bool_or(coalesce(t_ms >= now - 1800000 and dt between 5000 and 600000 and m / (dt / cast(1000 as double)) * 3.6 > 20, false)) as driving from m group by device)
+        select c.id as camera_id, case when seen.leaky then 'leaky' when seen.camera_id is not null then 'reader' when coalesce(driving, false) then 'driving' else 'idle' end as mode
+        from (select s_suppkey as id from supplier) c left join seen on seen.camera_id = c.id left join d on device = 't' || (c.id % 40)""",
+    )
+)
 def x03_watcher_mode(spark, d):
-    """The mode that recent activity calls for."""
-    p, c = passes(spark, d), F.col
-    mode = F.when(F.bool_or((c("confidence") >= 95) & (c("t_ms") > 1_000_000_000_000)), "leaky").when(F.bool_or(c("distance_m") < 1), "reader").when(F.count("*") > 600, "driving").otherwise("idle")
-    return p.groupBy("camera_id").agg(mode.alias("mode"))
+    """The mode that recent activity calls for: a leaky pass or any pass in 72 hours (the latest 200), else driving within half an hour, else idle."""
+    p = passes(spark, d)
+    recent = p.crossJoin(F.broadcast(p.agg(F.max("t_ms").alias("now")))).where(F.col("t_ms") >= F.col("now") - 259_200_000)
+    k = F.row_number().over(Window.partitionBy("camera_id").orderBy(F.desc("t_ms"), "uid"))
+    seen = recent.withColumn("k", k).where("k <= 200").groupBy("camera_id").agg(F.bool_or(F.col("confidence") >= 95).alias("leaky"))
+    w = Window.partitionBy("device").orderBy("n")
+    t = tracks(spark, d).select("device", "t_ms", F.max("t_ms").over(Window.partitionBy("device")).alias("now"), (F.col("t_ms") - F.lag("t_ms").over(w)).alias("dt"), geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")).alias("m"))
+    fast = (F.col("t_ms") >= F.col("now") - 1_800_000) & F.col("dt").between(5_000, 600_000) & (F.col("m") / (F.col("dt") / 1000.0) * 3.6 > 20)
+    moving = t.groupBy("device").agg(F.bool_or(F.coalesce(fast, F.lit(False))).alias("driving"))
+    c = read(spark, d, "supplier").select(F.col("s_suppkey").alias("camera_id"), F.concat(F.lit("t"), (F.col("s_suppkey") % 40).cast("string")).alias("device"))
+    both = c.join(seen, "camera_id", "left").join(moving, "device", "left")
+    mode = F.when(F.col("leaky"), "leaky").when(F.col("leaky").isNotNull(), "reader").when(F.col("driving"), "driving").otherwise("idle")
+    return both.select("camera_id", mode.alias("mode"))
 
 
 @query("select '{\"k\":' || o_orderkey || ',\"total\":' || cast(floor(o_totalprice) as bigint) || ',\"status\":\"' || o_orderstatus || '\"}' as row from orders")

@@ -247,9 +247,9 @@ def s45_place_parts(spark, d):
     return read(spark, d, "customer").select("c_custkey", text.place_parts(made).alias("p")).select("c_custkey", "p.place", "p.city", "p.region")
 
 
-@query("select event_id, case when event_id < 1000 then event_id || ' m' else printf('%.1f', floor(event_id / cast(100 as double) + 0.5) / 10) || ' km' end as text from events")
+@query("select event_id, case when event_id < 1000 then event_id || ' m' else printf('%.1f', floor(event_id / cast(100 as double) + 0.5) / 10) || ' km' end as text, case when f < 100 then cast(floor(f) as bigint) || ' ft' when f < 528 then cast(floor(f / 10) as bigint) * 10 || ' ft' when f / 5280 < 10 then printf('%.1f', floor(f / 5280 * 10 + 0.5) / 10) || ' mi' else cast(floor(f / 5280 + 0.5) as bigint) || ' mi' end as miles from (select event_id, event_id * cast(3.28084 as double) as f from events)")
 def s46_units(spark, d):
-    return read(spark, d, "events").select("event_id", text.metric(F.col("event_id").cast("double")).alias("text"))
+    return read(spark, d, "events").select("event_id", text.metric(F.col("event_id").cast("double")).alias("text"), text.imperial(F.col("event_id").cast("double")).alias("miles"))
 
 
 @query(sql("cams", f"select id, {at_sql('(dir + 1) * (dir + 2) / cast(2 as double)', 3)} as area3 from cams"))

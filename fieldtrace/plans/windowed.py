@@ -47,13 +47,13 @@ def n03_gap_sessions(spark, d):
 @query(
     sql(
         "tracks",
-        f""", g as (select *, case when t_ms - lag(t_ms) over w > 300000 or {hav_sql('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')} > 800 then 1 else 0 end as new from tracks window w as (partition by device order by n)),
+        f""", g as (select *, case when t_ms - lag(t_ms) over w > 300000 or {hav_sql('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')} > 1500 then 1 else 0 end as new from tracks window w as (partition by device order by n)),
         r as (select *, sum(new) over (partition by device order by n) as run from g) select device, run, count(*) as n from r group by device, run""",
     )
 )
 def n04_runs_by_time_and_distance(spark, d):
     w = Window.partitionBy("device").orderBy("n")
-    far = geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")) > 800
+    far = geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")) > 1500
     late = F.col("t_ms") - F.lag("t_ms").over(w) > 300_000
     return N.with_runs(tracks(spark, d), ["device"], ["n"], far | late).groupBy("device", "run").agg(F.count("*").alias("n"))
 
