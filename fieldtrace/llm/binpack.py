@@ -9,7 +9,9 @@ shorter. Full pieces are sequences of their own. What is left has one of ``room
  * the search goes depth first by least waste. A branch is cut when its waste so far already makes it no better than the incumbent;
    the first incumbent is the best-fit decreasing solution of the same table.
 
-The search ends at the volume bound, or after ``nodes`` fillings with the incumbent. Then pieces are ranked within their length
+The search ends at the volume bound, or after ``nodes`` fillings with the incumbent, and looks at the ``width`` fullest fillings of a level; a result says
+by how many sequences it lies over the bound. Without a limit (None for both) a level takes every undominated filling, applied once, and the
+search runs until it has proved that no fewer sequences will do. Then pieces are ranked within their length
 and take the places that the plan has for it. Ranks come from running numbers inside each partition and sums of partition counts, so
 that a length of any frequency is spread over all tasks.
 """
@@ -19,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +94,21 @@ def _fillings(room: int, counts: dict[int, int], lengths: list[int], width: int,
         total -= 1
 
 
+def _all_fillings(room: int, counts: dict[int, int], lengths: list[int]) -> Iterator[Filling]:
+    """Every undominated filling of ``room``, larger pieces first."""
+
+    def grow(left: int, top: int, chosen: Filling) -> Iterator[Filling]:
+        if top < 0:
+            if not _dominated(chosen, left, counts, lengths):
+                yield chosen
+            return
+        n = lengths[top]
+        for c in range(min(counts[n], left // n), -1, -1):
+            yield from grow(left - c * n, top - 1, chosen + (n,) * c)
+
+    return grow(room, len(lengths) - 1, ())
+
+
 def _dominated(filling: Filling, left: int, counts: dict[int, int], lengths: list[int]) -> bool:
     if not left:
         return False
@@ -123,8 +141,22 @@ def _best_fit(counts: dict[int, int], room: int) -> list[tuple[Filling, int]]:
     return [(f, t) for _, f, t in open_ + closed]
 
 
-def plan(counts: dict[int, int], room: int = ROOM, nodes: int = 1200, width: int = 4) -> list[tuple[Filling, int]]:
+@dataclass
+class Packing:
+    """``plan``: (lengths, how many sequences). ``over`` the volume bound by so many sequences; ``proven`` that no fewer will do."""
+
+    plan: list[tuple[Filling, int]]
+    over: int
+    proven: bool
+
+
+def plan(counts: dict[int, int], room: int = ROOM, nodes: int | None = 1200, width: int | None = 4) -> list[tuple[Filling, int]]:
     """(lengths, how many sequences) that hold ``counts[n]`` pieces of each length ``n``."""
+    return search(counts, room, nodes, width).plan
+
+
+def search(counts: dict[int, int], room: int = ROOM, nodes: int | None = 1200, width: int | None = 4) -> Packing:
+    """The best packing that the search finds; the best there is if ``nodes`` and ``width`` are None."""
     counts = {n: int(c) for n, c in counts.items() if c}
     if any(not 0 < n <= room for n in counts):
         raise ValueError("every length must be from 1 to the room")
@@ -132,7 +164,7 @@ def plan(counts: dict[int, int], room: int = ROOM, nodes: int = 1200, width: int
     bound = -(-volume // room)
     best = _best_fit(counts, room)
     best_bins = sum(t for _, t in best)
-    left_nodes = nodes
+    left_nodes = float("inf") if nodes is None else nodes
     dived = False
 
     # depth first without recursion: each level keeps its remaining choices
@@ -151,7 +183,10 @@ def plan(counts: dict[int, int], room: int = ROOM, nodes: int = 1200, width: int
         own = {n: c for n, c in state.items() if c}
         first = max(own)
         own[first] -= 1
-        around = _fillings(room - first, own, sorted(n for n in own if own[n]), width, (best_bins - 1) * room - volume - waste)
+        lengths = sorted(n for n in own if own[n])
+        if width is None:
+            return ((first, *f) for f in _all_fillings(room - first, own, [n for n in lengths if n <= room - first]))
+        around = _fillings(room - first, own, lengths, width, (best_bins - 1) * room - volume - waste)
         return ((first, *f) for f in around)
 
     while True:
@@ -164,7 +199,7 @@ def plan(counts: dict[int, int], room: int = ROOM, nodes: int = 1200, width: int
             # sequences that the waste so far allows: all else is at least the volume
             descend = used == 0 or -(-(volume + waste) // room) < best_bins
         if best_bins <= bound or (dived and left_nodes <= 0) or left_nodes <= -4 * room:
-            return best
+            return Packing(best, best_bins - bound, best_bins <= bound)
         if descend:
             levels.append(choices())
         elif done:
@@ -177,9 +212,9 @@ def plan(counts: dict[int, int], room: int = ROOM, nodes: int = 1200, width: int
             if done:
                 undo()
         if not levels:
-            return best
+            return Packing(best, best_bins - bound, best_bins <= bound or (width is None and nodes is None))
         left_nodes -= 1
-        t = _times(filling[0], filling[1:], state)
+        t = 1 if width is None else _times(filling[0], filling[1:], state)
         for n in filling:
             state[n] -= t
         done.append((filling, t))
@@ -228,9 +263,11 @@ def _places(spark: SparkSession, made: list[tuple[Filling, int]], base: int) ->
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM, end: int = 2, nodes: int = 1200, ids: bool = False) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and the ids as bytes, if asked for).
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, over_bound (and the ids as bytes, if asked for).
+
+    ``over_bound`` is the same for all: by how many sequences the packing lies over the bound that the number of ids sets. At 0 no packing has fewer.
 
-    A null text counts as empty and is a piece of the separator alone. Repeated ids and rows are packed row by row. Other columns are
+    A null text counts as empty and is a piece of the separator alone. Repeated ids and rows are packed row by row, a text of any length by as many pieces as it takes. Other columns are
     ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -243,9 +280,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room:
     ranked = made.join(before, ["part", "length"]).withColumn("place", F.col("rank") + F.col("before"))
     whole = ranked.where(F.col("length") == room).withColumns({"sequence_id": F.col("place"), "offset": F.lit(0).cast("long")})
     # fewer than room lengths, and each filling of the plan but the last few uses one up: the places are bounded by the room alone
-    places = F.broadcast(_places(spark, plan(counts, room, nodes), full))
+    found = search(counts, room, nodes)
+    places = F.broadcast(_places(spark, found.plan, full))
     short = ranked.where(F.col("length") < room).join(places.withColumnRenamed("length", "of"), (F.col("length") == F.col("of")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
     turn = F.col("place") - F.col("low")
     short = short.withColumns({"sequence_id": F.col("first_sequence") + F.floor(turn / F.col("each")).cast("long"), "offset": F.col("at") + (turn % F.col("each")) * F.col("length")})
-    columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * ids]
+    columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.lit(found.over).cast("long").alias("over_bound"), *["ids"] * ids]
     return whole.select(columns).union(short.select(columns))

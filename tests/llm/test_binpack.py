@@ -110,3 +110,41 @@ def test_pack(spark):
         assert at <= 1024
     assert len(held) <= best_fit([r.length for r in out], 1024)
     assert binpack.pack(docs.where("false")).count() == 0
+
+
+def fewest(pieces, room):
+    """The least number of sequences, by trying every sequence for every piece."""
+    best = len(pieces)
+
+    def place(k, loads):
+        nonlocal best
+        if len(loads) >= best:
+            return
+        if k == len(pieces):
+            best = len(loads)
+            return
+        for j in range(len(loads)):
+            if loads[j] + pieces[k] <= room and loads[j] not in loads[:j]:
+                loads[j] += pieces[k]
+                place(k + 1, loads)
+                loads[j] -= pieces[k]
+        place(k + 1, [*loads, pieces[k]])
+
+    place(0, [])
+    return best
+
+
+def test_search_without_limits_is_exact():
+    rng = random.Random(11)
+    better = 0
+    for _ in range(120):
+        room = rng.randint(10, 30)
+        pieces = sorted((rng.randint(2, room) for _ in range(rng.randint(1, 10))), reverse=True)
+        counts = Counter(pieces)
+        found = binpack.search(counts, room, nodes=None, width=None)
+        assert found.proven and sum(t for _, t in found.plan) == fewest(pieces, room)
+        assert sum((Counter({n: c * t for n, c in Counter(f).items()}) for f, t in found.plan), Counter()) == counts
+        limited = binpack.search(counts, room)
+        assert sum(t for _, t in limited.plan) == -(-sum(pieces) // room) + limited.over
+        better += sum(t for _, t in limited.plan) > sum(t for _, t in found.plan)
+    assert better <= 2
