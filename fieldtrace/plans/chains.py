@@ -50,6 +50,14 @@ def t04_passes(spark, d):
     return p.select("device", "id", "pass", "start_ms", "end_ms", "c_ms", at(F.col("metres")).alias("mm"), at(F.col("dwell_ms"), 0).alias("dwell_ms"), "n_fixes", at(F.col("enter_m")).alias("enter_mm"), at(F.col("exit_m")).alias("exit_mm"))
 
 
+@query(sql("tracks cams", f"""{_NEAR_SQL}, w as (select device, max(t_ms) as now from tracks group by device) select p.device, id, pass, case when max(now) - max(t1) > 300000 then 'final' else 'open' end as state from p join w on w.device = p.device group by p.device, id, pass"""))
+def st03_finalised_passes(spark, d):
+    """Passes that no later fix can prolong any more, by the time of the device's newest fix."""
+    newest = tracks(spark, d).groupBy("device").agg(F.max("t_ms").alias("now"))
+    p = P.passes_of(_near(spark, d)).join(newest, "device")
+    return p.select("device", "id", "pass", F.when(F.col("now") - F.col("end_ms") > 300_000, "final").otherwise("open").alias("state"))
+
+
 @query()
 def t04b_views(spark, d):
     """The chance that an asset had the device in view at a pass, over the error of the fixes."""

@@ -52,14 +52,24 @@ def t19_beacon_signatures(spark, d):
     return C.signatures(b, "event_id", F.col("event_type"), prefixes, rules).select("event_id", "tier", "n_rules")
 
 
-@query(sql("tracks", f", l as (select device, n, lat, lon, lead(lat) over w as lat2, lead(lon) over w as lon2 from tracks window w as (partition by device order by n)), s as (select device, n, lat + (lat2 - lat) * k / cast(20 as double) as y, lon + (lon2 - lon) * k / cast(20 as double) as x from l cross join (select unnest(range(20)) as k) where lat2 is not null and n < 200) select device, count(*) as n_samples, count(*) filter (y > 40.0041234 and y < 40.0201234 and x > -74.9981234 and x < -74.9851234) as inside from s group by device"))
+@query(
+    sql(
+        "tracks",
+        f""", l as (select device, n, lat, lon, lead(lat) over w as lat2, lead(lon) over w as lon2 from tracks window w as (partition by device order by n)),
+        m as (select *, greatest(cast(1 as bigint), cast(ceil({hav_sql('lat', 'lon', 'lat2', 'lon2')} / 5) as bigint)) as many from l where lat2 is not null),
+        k as (select device, lat, lon, lat2, lon2, many, unnest(range(many)) as k from m),
+        s as (select device, lat + (lat2 - lat) * k / many as y, lon + (lon2 - lon) * k / many as x from k)
+        select device, count(*) as n_samples, count(*) filter (y > 40.0041234 and y < 40.0201234 and x > -74.9981234 and x < -74.9851234) as inside from s group by device""",
+    )
+)
 def t25_sampled_route_in_area(spark, d):
-    """A route sampled at twenty points a leg, and how many lie in an area to avoid."""
+    """A route sampled every five metres, and how many of the samples lie in an area to avoid."""
     ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-74.9981234, 40.0041234), (-74.9851234, 40.0041234), (-74.9851234, 40.0201234), (-74.9981234, 40.0201234), (-74.9981234, 40.0041234))))
     w = Window.partitionBy("device").orderBy("n")
-    legs = tracks(spark, d).withColumns({"lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w)}).where("lat2 is not null and n < 200")
-    s = legs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    y, x = F.col("lat") + (F.col("lat2") - F.col("lat")) * F.col("k") / 20.0, F.col("lon") + (F.col("lon2") - F.col("lon")) * F.col("k") / 20.0
+    legs = tracks(spark, d).withColumns({"lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w)}).where("lat2 is not null")
+    many = F.greatest(F.lit(1), F.ceil(geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) / 5))
+    s = legs.withColumn("many", many).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
+    y, x = F.col("lat") + (F.col("lat2") - F.col("lat")) * F.col("k") / F.col("many"), F.col("lon") + (F.col("lon2") - F.col("lon")) * F.col("k") / F.col("many")
     return s.groupBy("device").agg(F.count("*").alias("n_samples"), F.count_if(geo.in_ring(x, y, ring)).alias("inside"))
 
 
