@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when its result is there. The session's own setting comes back afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """A narrow table that has been written, hinted for a broadcast if it has no more than ``rows`` rows; beyond that, as it is."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import Words, inner_hashes, mix, rows_of, words_of
-from .common import column_of, slices
+from .common import column_of, shuffles_removed, slices
 from .training import bounded_sample, mixed_state, sigmoid
 
 BITS = 20
@@ -59,7 +59,8 @@ def _frequent(sample: DataFrame, seen: int) -> np.ndarray:
 
     counts = sample.select("text").mapInArrow(over, "bucket int, many int")
     often = np.zeros(1 << BITS, bool)
-    often[np.asarray(counts.groupBy("bucket").agg(F.sum("many").alias("many")).where(F.col("many") >= seen).select("bucket").toArrow()["bucket"])] = True
+    with shuffles_removed(sample.sparkSession):
+        often[np.asarray(counts.groupBy("bucket").agg(F.sum("many").alias("many")).where(F.col("many") >= seen).select("bucket").toArrow()["bucket"])] = True
     return np.packbits(often)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shuffles_removed
 
 SHARDS = 8
 
@@ -19,9 +19,25 @@ Step = Callable[[pa.Table, np.ndarray, np.ndarray], None]
 
 
 def sharded(rows: DataFrame, key: Column, share: Column, shards: int = SHARDS) -> DataFrame:
-    """The ``share`` of the rows that a hash of ``key`` picks, put into shards by another. Adds ``shard`` and ``order``, the sequence of training."""
+    """The ``share`` of the rows that a hash of ``key`` picks, put into shards by another. Adds ``shard`` and ``order``, the sequence of training.
+
+    It is written with a partition for each shard, so that no round of training shuffles it again.
+    """
     picked = rows.where(F.pmod(F.xxhash64(F.lit(5), key), F.lit(1 << 20)) < share * (1 << 20))
-    return cut(picked.withColumns({"order": F.xxhash64(F.lit(17), key), "shard": F.pmod(F.xxhash64(F.lit(29), key), F.lit(shards)).cast("int")}))
+    with shuffles_removed(rows.sparkSession):
+        return cut(picked.withColumns({"order": F.xxhash64(F.lit(17), key), "shard": F.pmod(F.xxhash64(F.lit(29), key), F.lit(shards)).cast("int")}).repartitionById(shards, "shard"))
+
+
+def on_shards(sample: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` of each shard's rows, which are one partition of a table that ``sharded`` has written. Empty shards give nothing."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from fn(table).combine_chunks().to_batches()
+
+    return sample.mapInArrow(over, schema)
 
 
 def bounded_sample(rows: DataFrame, key: Column, most: int, shards: int = SHARDS) -> DataFrame:
@@ -49,7 +65,7 @@ def fit_by_mixing(sample: DataFrame, fit: Fit, start: np.ndarray, rounds: int) -
     """
     values, evidence = start.astype(np.float32), np.zeros(len(start), np.float32)
     for _ in range(rounds):
-        parts = sample.groupBy("shard").applyInArrow(_on_shard(fit, values, evidence), "v binary, e binary").collect()
+        parts = on_shards(sample, _on_shard(fit, values, evidence), "v binary, e binary").collect()
         if not parts:
             break
         top, low = np.zeros(len(start)), np.zeros(len(start))
@@ -63,6 +79,19 @@ def fit_by_mixing(sample: DataFrame, fit: Fit, start: np.ndarray, rounds: int) -
     return values, evidence
 
 
+SLICES = 32
+
+
+def _packed(at: np.ndarray, *values: np.ndarray) -> bytes:
+    """Rising places as differences, then the numbers at them, of 32 bits each."""
+    return np.diff(at, prepend=0).astype("<i4").tobytes() + b"".join(v.astype("<f4").tobytes() for v in values)
+
+
+def _unpacked(block: bytes, fields: int) -> list[np.ndarray]:
+    n = len(block) // (4 * (fields + 1))
+    return [np.cumsum(np.frombuffer(block, "<i4", n)), *(np.frombuffer(block, "<f4", n, 4 * n * (k + 1)) for k in range(fields))]
+
+
 def _on_shard_sparse(step: Step, size: int, held) -> Callable[[pa.Table], pa.Table]:
     def over(table: pa.Table) -> pa.Table:
         index, *before = held.value
@@ -73,8 +102,27 @@ def _on_shard_sparse(step: Step, size: int, held) -> Callable[[pa.Table], pa.Tab
         step(table.take(pc.sort_indices(table, [("order", "ascending")])), *state)
         moved = [new - was for new, was in zip(state, old, strict=True)]
         at = np.flatnonzero(np.logical_or.reduce([m != 0 for m in moved]))
-        shard = np.full(len(at), table["shard"][0].as_py(), np.int32)
-        return pa.table({"shard": shard, "at": at.astype(np.int32), "first": moved[0][at], "second": moved[1][at]})
+        cuts = np.searchsorted(at, np.arange(SLICES + 1) * (-(-size // SLICES)))
+        blocks = [_packed(at[a:b], *(m[at[a:b]] for m in moved)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.table({"slice": pa.array(range(SLICES), pa.int32()), "shard": pa.array([table["shard"][0].as_py()] * SLICES, pa.int32()), "block": pa.array(blocks, pa.binary())})
+
+    return over
+
+
+def _mean_of_slice(size: int) -> Callable[[pa.Table], pa.Table]:
+    width = -(-size // SLICES)
+
+    def over(table: pa.Table) -> pa.Table:
+        base = table["slice"][0].as_py() * width
+        total, many = np.zeros((2, width)), np.zeros(width)
+        # in the order of shards, so that the sum of a run is that of another
+        for block in table.sort_by("shard")["block"].to_pylist():
+            at, first, second = _unpacked(block, 2)
+            total[0, at - base] += first
+            total[1, at - base] += second
+            many[at - base] += 1
+        at = np.flatnonzero(many)
+        return pa.table({"slice": table["slice"].slice(0, 1), "block": pa.array([_packed(at + base, *(total[:, at] / many[at]))], pa.binary())})
 
     return over
 
@@ -83,26 +131,25 @@ def mixed_state(sample: DataFrame, step: Step, size: int, rounds: int) -> tuple[
     """The two state arrays of an online learner, from zeros, after ``rounds`` over shards in parallel.
 
     ``step(rows, first, second)`` moves the arrays in place. In each round every shard begins with the common state and emits only the
-    places that it moved and by how much; Spark takes the mean of a place over the shards that moved it. So the whole state goes on
-    from round to round, a place that one shard alone knows moves as that shard moved it, and the driver holds one sparse state
-    whatever the number of shards.
+    places that it moved and by how much, in slices; a task for each slice takes the mean of a place over the shards that moved it. So
+    the whole state goes on from round to round, a place that one shard alone knows moves as that shard moved it, and the driver holds
+    one sparse state whatever the number of shards.
     """
     sc = sample.sparkSession.sparkContext
     state = [np.zeros(size), np.zeros(size)]
     for _ in range(rounds):
         index = np.flatnonzero((state[0] != 0) | (state[1] != 0))
-        held = sc.broadcast((index.astype(np.int32), *(s[index] for s in state)))
-        parts = sample.groupBy("shard").applyInArrow(_on_shard_sparse(step, size, held), "shard int, at int, first double, second double")
-        # in the order of shards, so that the sum of a run is that of another
-        each = F.sort_array(F.collect_list(F.struct("shard", "first", "second")))
-        mean = lambda c: F.aggregate("each", F.lit(0.0), lambda x, y: x + y[c]) / F.size("each")
-        moved = parts.groupBy("at").agg(each.alias("each")).select("at", mean("first").cast("float").alias("first"), mean("second").cast("float").alias("second")).toArrow()
+        held = sc.broadcast((index.astype(np.int32), *(s[index].astype(np.float32) for s in state)))
+        parts = on_shards(sample, _on_shard_sparse(step, size, held), "slice int, shard int, block binary")
+        with shuffles_removed(sample.sparkSession):
+            means = parts.groupBy("slice").applyInArrow(_mean_of_slice(size), "slice int, block binary").toArrow()
         held.unpersist()
-        if not moved.num_rows:
+        if not means.num_rows:
             break
-        at = np.asarray(moved["at"])
-        state[0][at] += np.asarray(moved["first"])
-        state[1][at] += np.asarray(moved["second"])
+        for block in means["block"]:
+            at, first, second = _unpacked(block.as_py(), 2)
+            state[0][at] += first
+            state[1][at] += second
     return state[0], state[1]
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytetext import mix, rows_of
-from .common import map_arrow, shared_folder, slices, small_batches
+from .common import map_arrow, shared_folder, shuffles_removed, slices, small_batches
 from .tokens import Tokens
 
 LENGTH = 512
@@ -109,19 +109,10 @@ def _ranked(made: DataFrame) -> DataFrame:
     return dealt.drop("hash").mapInArrow(over, "id long, piece int, n_ids int, ids binary, part int, rank long")
 
 
-#: Shuffle files of a step go when what it wrote is there; the session's own setting comes back afterwards.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def _written(df: DataFrame, path: str) -> DataFrame:
-    spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with shuffles_removed(df.sparkSession):
         df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _slots(numbered: DataFrame, count: int, key: int) -> DataFrame:
