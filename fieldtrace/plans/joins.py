@@ -161,16 +161,17 @@ def j12_nearest_in_time(spark, d):
     return J.nearest_in_time(scans, tracks(spark, d).select("device", "t_ms", "n"), ["device"], "t_ms", 60_000, ["n"]).where("r_n is not null").select("event_id", F.col("r_n").alias("n"))
 
 
-_TOKENS = """wanted as (select p_partkey as want, list_distinct(string_split(lower(p_name), ' ')) as tokens from part),
- offered as (select p_partkey as offer, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) as tokens from part),
+_TOKENS = """wanted as (select p_partkey as want, list_distinct(string_split(lower(p_name || ' k' || p_partkey % 25), ' ')) as tokens from part),
+ offered as (select p_partkey as offer, list_distinct(string_split(lower(p_name || ' ' || p_type || ' k' || p_partkey % 25), ' ')) as tokens from part),
  pairs as (select want, offer, len(w.tokens) as n, len(o.tokens) as m from wanted w join offered o on list_has_all(o.tokens, w.tokens))"""
 
 
 def _pairs(spark, d):
     p = read(spark, d, "part")
     words = lambda c: F.split(F.lower(c), " ")
-    wanted = p.select(F.col("p_partkey").alias("want"), words(F.col("p_name")).alias("tokens"))
-    offered = p.select(F.col("p_partkey").alias("offer"), words(F.concat_ws(" ", "p_name", "p_type")).alias("tokens"))
+    state = F.concat(F.lit("k"), (F.col("p_partkey") % 25).cast("string"))
+    wanted = p.select(F.col("p_partkey").alias("want"), words(F.concat_ws(" ", "p_name", state)).alias("tokens"))
+    offered = p.select(F.col("p_partkey").alias("offer"), words(F.concat_ws(" ", "p_name", "p_type", state)).alias("tokens"))
     return J.superset_join(wanted, offered, "want", "offer")
 
 
