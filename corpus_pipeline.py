@@ -1,8 +1,8 @@
 """Documents to packed training sequences, in five stages. Each takes all that the one before it kept.
 
 Null and empty texts go through every stage as documents without words. Rows are judged one by one, by id and text together: of rows
-that are the same in both, near-duplicate removal keeps one (without an id, too), and a row goes if its own text is contaminated, whatever
-other rows have its id. Columns beside those of ``documents`` stay up to the last stage, whatever their names. An empty table goes through
+that are the same in both, near-duplicate removal keeps one, and a row goes if its own text is contaminated, whatever other rows have its
+id. A row without an id goes as a copy of one that has an id, but isn't held against near copies. Columns beside those of ``documents`` stay up to the last stage, whatever their names. An empty table goes through
 as it is.
 """
 
