@@ -54,5 +54,14 @@ def _secrets() -> str:
     """
 
 
+TOP_K = """
+with v as (select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as p from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0),
+s as (select q.n, q.vec_id as query_id, c.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.p, c.p, true), lambda z: z[1] * z[2])), 0) as bigint) as score from v q join v c on q.n <> c.n where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by n order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_dedup": NEAR_DUPLICATES, "op7_secret_links": _secrets()}
+    return {"op6_minhash_dedup": NEAR_DUPLICATES, "op7_secret_links": _secrets(), "op11_bitsliced_topk": TOP_K}

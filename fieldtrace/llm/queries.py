@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, language_crf, latent_decontam, minhash_dedup, mpeg_audio, pii_feistel, quality_fm, secret_links, toxicity_ftrl, training_order
+from . import binpack, bitsliced_topk, language_crf, latent_decontam, minhash_dedup, mpeg_audio, pii_feistel, quality_fm, secret_links, toxicity_ftrl, training_order
 from .common import held_out, read
 from .oracles import oracle_sql  # noqa: F401  the registry's other half
 
@@ -76,5 +76,10 @@ def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_table(read(spark, sf_dir, "documents"))
 
 
+def op11_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return bitsliced_topk.search(bitsliced_topk.build(vectors), vectors, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
