@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import conversation_repair as R
 from . import secret_links as S
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,5 +64,42 @@ select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
 """
 
 
+def _repair() -> str:
+    """The damage with crc32 spelt out, the faults by windows, and one recursion over the rows of all conversations that keeps the repaired lines as well."""
+    steps = []
+    for state, row, after, cost, letters in R.moves():
+        inserted, at = [], state
+        for _ in letters[:-1]:
+            role = "a" if at == 2 else "u"
+            inserted.append(R.ROLES[role] + ":")
+            at = R.NEXT[at, role]
+        steps.append(f"({state}, '{row}', {after}, {cost}, '{letters}', {inserted}::varchar[], '{'assistant' if at == 2 else 'user'}')")
+    ends = []
+    for state, cost, letters in R.closing():
+        ends.append(f"({state}, {cost}, '{letters}', {['assistant:'] if letters == 'I' else ['user:', 'assistant:'] if letters else []}::varchar[])")
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+    with recursive k as (select *, cast(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as varchar) as key from conversations),
+    h as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(key, ''), lambda x: cast(ascii(x) as bigint))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 as kind from k),
+    d as (select conv_id, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(case kind when 3 then [0, 1] else [0] end) as copy from h where kind <> 0),
+    f as (select *, rtrim(text, {space}) as t, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as r, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as seen from d),
+    g as (select *, t = '' as blank, t <> '' and seen as duplicate, t <> '' and not seen and right(t, 1) not in ('.', '!', '?') as truncated, left(role, 1) as own, lag(left(role, 1)) over (partition by conv_id order by r) as before from f),
+    c as (select *, case when blank or duplicate then 'd' when own not in ('s', 'u', 'a') then case when truncated then 'O' else 'o' end when truncated then upper(own) else own end as code from g),
+    a as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated,
+      count(*) filter (before is not null and before || own not in ('su', 'ua', 'au')) as illegal from c group by conv_id),
+    m(state, row, next, cost, letters, inserted, other) as (values {", ".join(steps)}),
+    e(state, cost, letters, inserted) as (values {", ".join(ends)}),
+    w as (select conv_id, 0::bigint as i, 0 as state, 0 as cost, '' as audit, []::varchar[] as lines from a
+      union all select conv_id, i + 1, next, b.cost, b.audit, b.lines from (select w.conv_id, w.i, m.next, min({{'cost': w.cost + m.cost, 'audit': w.audit || m.letters, 'lines': list_concat(w.lines, m.inserted,
+        case right(m.letters, 1) when 'K' then [c.role || ':' || c.text] when 'R' then [m.other || ':' || c.text] else [] end)}}) as b
+        from w join c on c.conv_id is not distinct from w.conv_id and c.r = w.i + 1 join m on m.state = w.state and m.row = c.code group by w.conv_id, w.i, m.next)),
+    z as (select a.conv_id, min({{'cost': w.cost + e.cost, 'audit': w.audit || e.letters, 'lines': list_concat(w.lines, e.inserted)}}) as b from a join w on w.conv_id is not distinct from a.conv_id and w.i = a.n join e on e.state = w.state group by a.conv_id)
+    select o.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+      cast(coalesce(b.cost, 0) as bigint) as cost, coalesce(b.audit, '') as audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) as repaired_sha256
+    from (select distinct conv_id from conversations) o left join a on a.conv_id is not distinct from o.conv_id left join z on z.conv_id is not distinct from o.conv_id
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_dedup": NEAR_DUPLICATES, "op7_secret_links": _secrets(), "op11_bitsliced_topk": TOP_K}
+    return {"op6_minhash_dedup": NEAR_DUPLICATES, "op7_secret_links": _secrets(), "op11_bitsliced_topk": TOP_K, "op12_conversation_repair": _repair()}
