@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpack, bitsliced_topk, conversation_repair, language_crf, latent_decontam, minhash_dedup, mpeg_audio, pii_feistel, quality_fm, secret_links, toxicity_ftrl, training_order
+from . import binpack, bitsliced_topk, conversation_repair, language_crf, latent_decontam, minhash_dedup, mpeg_audio, pii_feistel, quality_fm, secret_links, token_alignment, toxicity_ftrl, training_order
 from .common import held_out, read
 from .oracles import oracle_sql  # noqa: F401  the registry's other half
 
@@ -86,5 +86,9 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(rows, gone)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
