@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldtrace.llm import binpack, latent_decontam, minhash_dedup, quality_fm, secret_links
 from fieldtrace.llm.common import cut, free_name, held_out, read
@@ -46,10 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     worded = docs.where(some)
     kept = minhash_dedup.near_duplicates(worded.select("doc_id", "text"), carry=_row_key()).where("kept").select("carried.*").distinct()
-    rows = _keyed(worded).join(kept.hint("merge"), KEYS, "left_semi")
-    # equal rows meet here, as the join has dealt them: the first of them stays
-    first = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*KEYS))
-    return rows.withColumn("__turn", first).where("__turn = 1").select("__doc.*").union(docs.where(~some))
+    # of equal rows each task keeps one before they are dealt out, so that no number of them meets in one place
+    once = _keyed(worded).groupBy(*KEYS).agg(F.first("__doc").alias("__doc"))
+    return once.join(kept.hint("merge"), KEYS, "left_semi").select("__doc.*").union(docs.where(~some))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,32 +121,23 @@ def held_out(id_col: Column, modulus: int, rest: int) -> Column:
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component) for every node of an undirected graph; the component is its smallest node.
+    """(node, component) for every node of an undirected graph; the component is its smallest node. ``edges`` is read once a round, so it should be written.
 
-    Rounds of minimum labels with pointer jumping. A label only ever becomes a smaller node of the same component, so the
-    loop ends; the driver sees one number a round. Hub nodes are no problem: minima are combined before the shuffle.
+    Rounds of minimum labels with pointer jumping, one written table each. A label only ever becomes a smaller node of the same
+    component, so the loop ends; the driver sees one number a round. Hub nodes are no problem: minima are combined before the shuffle.
     """
-    both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    both = cut(both.union(both.select("v", "u")).distinct(), narrow=True)
+    one_way = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
+    both = one_way.union(one_way.select("v", "u"))
     labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), narrow=True)
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "v"), "v")
-            .groupBy(F.col("u").alias("node"))
-            .agg(F.min("label").alias("seen"))
-        )
+        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("seen"))
         hooked = labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("low"))
-        # also let the old label's node learn of the smaller one, which moves whole trees at once
-        told = hooked.groupBy(F.col("label").alias("node")).agg(F.min("low").alias("told"))
-        merged = hooked.join(told, "node", "left").select("node", "label", F.least("low", "told").alias("low"))
-        merged = cut(merged, narrow=True)
-        jumped = merged.alias("a").join(
-            merged.select(F.col("node").alias("low"), F.col("low").alias("jump")), "low", "left"
-        ).select("node", "label", F.least("low", "jump").alias("new"))
-        jumped = cut(jumped, narrow=True)
-        if jumped.where("new < label").limit(1).count() == 0:
-            return jumped.select("node", F.col("new").alias("component"))
-        labels = jumped.select("node", F.col("new").alias("label"))
+        # what the nodes of a label have seen, and the label's own node, goes to all nodes of the label, which moves whole trees at once
+        told = hooked.select(F.col("label").alias("of"), "low").union(hooked.select("node", "low")).groupBy("of").agg(F.min("low").alias("told"))
+        moved = cut(hooked.join(told, F.col("label") == F.col("of")).select("node", "label", F.least("low", "told").alias("new")), narrow=True)
+        if moved.where("new < label").limit(1).count() == 0:
+            return moved.select("node", F.col("new").alias("component"))
+        labels = moved.select("node", F.col("new").alias("label"))
 
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:

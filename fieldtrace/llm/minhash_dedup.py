@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import mix, rows_of, shingle_sets
-from .common import components, cut, if_small, map_arrow
+from .common import components, cut, map_arrow
 
 SKETCH_WORDS = 8
 
@@ -97,7 +97,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 500)
     the copies, so that the centre of a large group isn't one key of the join.
     """
     fans = pairs.groupBy("src").agg(F.count("*").alias("many")).where(F.col("many") > most).select("src", F.ceil(F.col("many") / most).cast("int").alias("fan"))
-    fans = if_small(cut(fans, narrow=True))
     turn = F.pmod(F.xxhash64("dst"), F.coalesce("fan", F.lit(1))).cast("int")
     dealt = pairs.join(fans, "src", "left").select("src", "dst", turn.alias("turn"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1))
@@ -125,7 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # step 2: codes that at least two classes have
     coded = classes.select("node", F.posexplode("codes").alias("pos", "code"))
-    shared = cut(coded.groupBy("code").agg(F.count("*").alias("many")).where("many > 1").select("code"), narrow=True)
+    shared = coded.groupBy("code").agg(F.count("*").alias("many")).where("many > 1").select("code")
     alive = coded.join(shared.hint("merge"), "code", "left_semi")
     halves = cut(
         alive.groupBy("node")
@@ -135,39 +134,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # step 3: table keys, and one verified pair for each class
     keys = halves.select("node", F.explode("a").alias("code"), "b").select("node", F.explode(F.transform("b", lambda y: F.xxhash64("code", y))).alias("key"))
-    least = cut(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"))
+    least = cut(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), narrow=True)
     led = keys.join(least.hint("merge"), "key").where("node <> low")
     leads = cut(
         led.groupBy("node", "low").agg(F.count("*").alias("times"))
-        .groupBy("node").agg(F.min_by("low", F.struct(-F.col("times"), "low")).alias("low"))
+        .groupBy("node").agg(F.min_by("low", F.struct(-F.col("times"), "low")).alias("low")),
+        narrow=True,
     )
     stars = leads.select(F.col("node").alias("dst"), F.col("low").alias("src"))
     # all that share a table: a class that is the least of its buckets has no lead, and needn't be anyone's
     wanted = leads.select("node").union(least.select("low")).distinct()
     texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text"))
     sets = cut(full_sets(texts.join(wanted, "node", "left_semi"), shingle).where("n > 0"))
-    links = cut(_verified(stars, sets, percent))
+    links = cut(_verified(stars, sets, percent), narrow=True)
     first = components(links)
 
     # step 4: pairs of different components that share a table and can still reach the threshold
     member = halves.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     facts = member.join(sets, "node")
-    own = cut(
+    own = (
         facts.select("node", "component", F.explode("set").alias("shingle"))
         .groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low = high").select("shingle")
-    )
+    )
     alone = facts.select("node", F.explode("set").alias("shingle")).join(own.hint("merge"), "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("own"))
     able = cut(
         facts.drop("set").join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
     )
-    more = _verified(cut(_cross_pairs(able, percent)), sets, percent)
-    edges = cut(links.union(more), narrow=True)
-    labels = components(edges)
-
-    class_of = cut(
-        classes.select(*same, F.col("node").alias("rep")).join(labels, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("class_component"))
-    )
+    more = _verified(cut(_cross_pairs(able, percent), narrow=True), sets, percent)
+    # components that these links join: a graph whose nodes are the first components
+    of = lambda end: first.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+    ends = more.join(of("src"), "src", "left").join(of("dst"), "dst", "left").select(*(F.coalesce(f"{end}_component", end).alias(end) for end in ("src", "dst")))
+    joined = components(cut(ends.distinct(), narrow=True)).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+
+    member = classes.select(*same, "node").join(first, "node", "left").select(*same, F.coalesce("component", "node").alias("part"))
+    class_of = member.join(joined, "part", "left").select(*same, F.coalesce("whole", "part").alias("class_component"))
     result = rows_sig.drop("codes", *["carried"] * (carry is None)).join(class_of.hint("merge"), same, "left").withColumn("component_id", F.coalesce("class_component", "node"))
     kept = F.coalesce(F.col("node") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
     return result.select(F.col("node").alias(id_col), "n_shingles", "component_id", kept, *["carried"] * (carry is not None))
@@ -194,7 +195,7 @@ def _buckets(able: DataFrame, most: int) -> DataFrame:
     rows = coded.join(codes.hint("merge"), "code")
     few = rows.where(F.col("many") <= most).select("node", "code", F.lit(0).cast("long").alias("second"))
     split = rows.where(F.col("many") > most).select("node", "component", "code").join(able.select("node", "b"), "node").select("node", "component", "code", F.explode("b").alias("second"))
-    pairs = cut(_mixed(split, ["code", "second"]).drop("many"), narrow=True)
+    pairs = _mixed(split, ["code", "second"]).drop("many")
     return cut(few.union(split.join(pairs.hint("merge"), ["code", "second"], "left_semi").select("node", "code", "second")))
 
 
