@@ -28,6 +28,20 @@ def local_xy(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Colu
     return (lon - lon0) * 111_320.0 * F.cos(F.radians(lat0)), (lat - lat0) * 111_320.0
 
 
+#: Metres of a degree of a great circle on a sphere of the radius above.
+ARC = EARTH * math.pi / 180
+
+
+def frame_xy(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
+    """Metres east and north of a reference, on a sphere."""
+    return (lon - lon0) * ARC * F.cos(F.radians(lat0)), (lat - lat0) * ARC
+
+
+def plane_bearing(x: Column, y: Column) -> Column:
+    """The bearing of a point of a local frame from its origin, from 0 up to 360; null within half a metre."""
+    return F.when(F.sqrt(x * x + y * y) >= 0.5, F.pmod(F.degrees(F.atan2(x, y)) + 360.0, F.lit(360.0)))
+
+
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Initial bearing from 0 up to 360."""
     a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)

@@ -12,42 +12,70 @@ from ..operators import passes as P
 from ..operators import windows as N
 from ..sources.views import cams, passes, pois, read, sql, tracks
 from .catalog import query
-from .common import at, at_sql, hav_sql
+from .common import at, at_sql, bearing_sql, hav_sql
 
 
-def _xy_sql(lat: str, lon: str) -> tuple[str, str]:
-    return f"(({lon}) - c.lon) * cast(111320 as double) * cos(radians(c.lat))", f"(({lat}) - c.lat) * cast(111320 as double)"
+def _xy_sql(lat: str, lon: str, of: str = "c") -> tuple[str, str]:
+    return f"(({lon}) - {of}.lon) * cast({geo.ARC!r} as double) * cos(radians({of}.lat))", f"(({lat}) - {of}.lat) * cast({geo.ARC!r} as double)"
+
+
+def _plane_sql(x: str, y: str) -> str:
+    return f"case when sqrt(({x}) * ({x}) + ({y}) * ({y})) >= 0.5 then fmod(degrees(atan2({x}, {y})) + cast(360 as double), cast(360 as double)) end"
 
 
 _X0, _Y0 = _xy_sql("l.lat", "l.lon")
 _X1, _Y1 = _xy_sql("l.lat2", "l.lon2")
-#: Legs of tracks in the frames of the assets that they pass, with the pass of each.
-_NEAR_SQL = f""", raw as (select device, n, t_ms as t0, lat, lon, acc, lead(t_ms) over w as t1, lead(lat) over w as lat2, lead(lon) over w as lon2, lead(acc) over w as acc2 from tracks window w as (partition by device order by n)),
- l as (select * from raw where t1 >= t0 and t1 - t0 <= 300000 and {hav_sql('lat', 'lon', 'lat2', 'lon2')} <= 1500),
- f as (select l.device, c.id, l.n, l.t0, l.t1, {_X0} as x0, {_Y0} as y0, {_X1} as x1, {_Y1} as y1 from l, cams c),
+_OWN_X, _OWN_Y = _xy_sql("l.lat + u * (l.lat2 - l.lat)", "l.lon + u * (l.lon2 - l.lon)", "t")
+#: Legs of tracks in the frames of the assets that they pass, with the pass of each; a fix without a neighbour is a leg of its own.
+_NEAR_SQL = f""", raw as (select device, n, t_ms as t0, lat, lon, acc, lead(t_ms) over w as t1, lead(lat) over w as lat2, lead(lon) over w as lon2, lead(acc) over w as acc2, lead(n) over w as n2 from tracks window w as (partition by device order by t_ms, n)),
+ ok as (select *, coalesce(t1 - t0 <= 300000 and {hav_sql('lat', 'lon', 'lat2', 'lon2')} <= 1500, false) as goes from raw), held as (select *, coalesce(lag(goes) over (partition by device order by t0, n), false) as came from ok),
+ l as (select device, n, n2 as last, t0, t1, lat, lon, acc, lat2, lon2, acc2 from held where goes union all select device, n, n, t0, t0, lat, lon, acc, lat, lon, acc from held where not goes and not came),
+ f as (select l.device, c.id, c.lat as a_lat, c.lon as a_lon, l.n, l.last, l.t0, l.t1, l.lat, l.lon, l.lat2, l.lon2, l.acc, l.acc2, {_X0} as x0, {_Y0} as y0, {_X1} as x1, {_Y1} as y1 from l, cams c),
  g as (select *, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) as a, x0 * (x1 - x0) + y0 * (y1 - y0) as b from f),
  s as (select *, case when a > 0 then greatest(cast(0 as double), least(cast(1 as double), -b / a)) else cast(0 as double) end as u from g),
  d as (select *, sqrt((x0 + u * (x1 - x0)) * (x0 + u * (x1 - x0)) + (y0 + u * (y1 - y0)) * (y0 + u * (y1 - y0))) as m, sqrt(greatest(cast(0 as double), b * b - a * (x0 * x0 + y0 * y0 - 4225))) as root from s),
- k as (select *, case when n - lag(n) over (partition by device, id order by n) > 1 then 1 else 0 end as new,
+ k as (select *, case when n <> lag(last) over (partition by device, id order by n) then 1 else 0 end as new,
    (case when a > 0 then greatest(cast(0 as double), least(cast(1 as double), (-b + root) / a) - greatest(cast(0 as double), (-b - root) / a)) else cast(1 as double) end) * (t1 - t0) as inside from d where m <= 65),
  p as (select *, sum(new) over (partition by device, id order by n) as pass, sqrt(x0 * x0 + y0 * y0) as d0, sqrt(x1 * x1 + y1 * y1) as d1 from k)"""
 
+_PASSES_SQL = f"""{_NEAR_SQL}, q as (select *, row_number() over (partition by device, id, pass order by floor(m * 1e6 + 0.5), n) as r from p),
+ w as (select device, id, pass, min(t0) as start_ms, max(t1) as end_ms, min(m) as metres, sum(inside) as dwell, count(*) filter (d0 <= 65) + arg_max(case when d1 <= 65 and last > n then 1 else 0 end, n) as n_fixes, arg_min(d0, n) as enter, arg_max(d1, n) as gone from p group by device, id, pass),
+ c as (select w.*, a_lat, a_lon, q.t0 + cast(floor(u * (q.t1 - q.t0) + 0.5) as bigint) as c_ms, q.lat + u * (lat2 - q.lat) as c_lat, q.lon + u * (lon2 - q.lon) as c_lon, acc + u * (acc2 - acc) as c_acc,
+   case when q.t1 > q.t0 then {hav_sql('q.lat', 'q.lon', 'lat2', 'lon2')} / ((q.t1 - q.t0) / cast(1000 as double)) * 3.6 end as speed, case when {hav_sql('q.lat', 'q.lon', 'lat2', 'lon2')} >= 3 then {bearing_sql('q.lat', 'q.lon', 'lat2', 'lon2')} end as heading,
+   x0 + u * (x1 - x0) as cx, y0 + u * (y1 - y0) as cy, case when q.t1 > q.t0 then (x1 - x0) / ((q.t1 - q.t0) / cast(1000 as double)) else 0 end as vx, case when q.t1 > q.t0 then (y1 - y0) / ((q.t1 - q.t0) / cast(1000 as double)) else 0 end as vy
+   from w join q using (device, id, pass) where r = 1),
+ ask as (select device, id, pass, a_lat as lat, a_lon as lon, c_ms + side * 10000 as ms, side from c, (values (-1), (1)) v(side)),
+ own as (select t.device, t.id, t.pass, side, t.lat, t.lon, arg_min(struct_pack(x := {_OWN_X}, y := {_OWN_Y}), l.n) as o from ask t join (select *, 0 as z from l) l on l.device = t.device and l.last > l.n and l.t0 <= t.ms and l.t1 >= t.ms,
+   lateral (select case when l.t1 > l.t0 then (t.ms - l.t0) / cast(l.t1 - l.t0 as double) else cast(0 as double) end as u) group by t.device, t.id, t.pass, side, t.lat, t.lon),
+ z as (select c.*, coalesce({_plane_sql('cx', 'cy')}, 0) as approach, coalesce(f.o.x, cx - 10 * vx) as fx, coalesce(f.o.y, cy - 10 * vy) as fy, coalesce(r.o.x, cx + 10 * vx) as rx, coalesce(r.o.y, cy + 10 * vy) as ry
+   from c left join own f on f.device = c.device and f.id = c.id and f.pass = c.pass and f.side = -1 left join own r on r.device = c.device and r.id = c.id and r.pass = c.pass and r.side = 1)"""
+
+
+def _assets(spark, d):
+    """Every fourth asset has no direction, every fourth has two; every second one is of a make whose view is known."""
+    c = cams(spark, d)
+    dirs = F.when(F.col("id") % 4 == 0, F.array().cast("array<double>")).when(F.col("id") % 4 == 1, F.array(F.col("dir"), (F.col("dir") + 130) % 360).cast("array<double>")).otherwise(F.array("dir").cast("array<double>"))
+    wide = F.col("id") % 2 == 0
+    return c.select("id", "lat", "lon", dirs.alias("dirs"), *(F.when(wide, a).otherwise(b).alias(c) for c, a, b in (("half", 7.0, 12.5), ("least_m", 15.0, 5.0), ("most_m", 76.0, 35.0))))
+
 
 def _near(spark, d):
-    return P.with_pass(P.near_legs(P.legs(tracks(spark, d)), cams(spark, d)))
+    return P.with_pass(P.near_legs(P.legs(tracks(spark, d)), _assets(spark, d)))
 
 
 @query(
     sql(
         "tracks cams",
-        f"""{_NEAR_SQL} select device, id, pass, min(t0) as start_ms, max(t1) as end_ms, arg_min(t0 + cast(floor(u * (t1 - t0) + 0.5) as bigint), m) as c_ms, {at_sql('min(m)')} as mm, {at_sql('sum(inside)', 0)} as dwell_ms,
-        count(*) filter (d0 <= 65) + arg_max(case when d1 <= 65 then 1 else 0 end, n) as n_fixes, {at_sql('arg_min(d0, n)')} as enter_mm, {at_sql('arg_max(d1, n)')} as exit_mm from p group by device, id, pass""",
+        f"""{_PASSES_SQL} select device, id, pass, start_ms, end_ms, c_ms, {at_sql('metres')} as mm, {at_sql('dwell', 0)} as dwell_ms, n_fixes, {at_sql('enter')} as enter_mm, {at_sql('gone')} as exit_mm, {at_sql('c_lat', 7)} as lat7, {at_sql('c_lon', 7)} as lon7, {at_sql('c_acc')} as acc_mm,
+        {at_sql('speed', 2)} as speed2, {at_sql('heading', 2)} as heading2, {at_sql('approach', 2)} as approach2, {at_sql(f"coalesce({_plane_sql('fx', 'fy')}, approach)", 2)} as front2, {at_sql(f"coalesce({_plane_sql('rx', 'ry')}, approach)", 2)} as rear2 from z""",
     )
 )
 def t04_passes(spark, d):
-    """Runs of legs within 65 m of an asset: closest approach by projection, dwell by clipping with the circle, ends."""
-    p = P.passes_of(_near(spark, d))
-    return p.select("device", "id", "pass", "start_ms", "end_ms", "c_ms", at(F.col("metres")).alias("mm"), at(F.col("dwell_ms"), 0).alias("dwell_ms"), "n_fixes", at(F.col("enter_m")).alias("enter_mm"), at(F.col("exit_m")).alias("exit_mm"))
+    """Runs of legs within 65 m of an asset: closest approach by projection with speed, course and bearings, dwell by clipping with the circle, ends."""
+    own = P.legs(tracks(spark, d))
+    p = P.with_bearings(P.passes_of(_near(spark, d)), own)
+    numbers = {"mm": ("metres", 3), "dwell_ms": ("dwell_ms", 0), "enter_mm": ("enter_m", 3), "exit_mm": ("exit_m", 3), "lat7": ("c_lat", 7), "lon7": ("c_lon", 7), "acc_mm": ("c_acc", 3), "speed2": ("speed_kmh", 2), "heading2": ("heading", 2), "approach2": ("approach", 2), "front2": ("front", 2), "rear2": ("rear", 2)}
+    return p.select("device", "id", "pass", "start_ms", "end_ms", "c_ms", "n_fixes", *(at(F.col(c), k).alias(a) for a, (c, k) in numbers.items()))
 
 
 @query(sql("tracks cams", f"""{_NEAR_SQL}, w as (select device, max(t_ms) as now from tracks group by device) select p.device, id, pass, case when max(now) - max(t1) > 300000 then 'final' else 'open' end as state from p join w on w.device = p.device group by p.device, id, pass"""))
@@ -60,9 +88,9 @@ def st03_finalised_passes(spark, d):
 
 @query()
 def t04b_views(spark, d):
-    """The chance that an asset had the device in view at a pass, over the error of the fixes."""
+    """The chance that an asset, of any number of directions, had the device in view at a pass, over the error of the fixes."""
     v = P.views(_near(spark, d))
-    return v.select("device", "id", "pass", at(F.col("in_view_s"), 3).alias("ms"), "front", "rear", at(F.col("p_view"), 6).alias("view6"), at(F.col("p_read"), 6).alias("read6"))
+    return v.select("device", "id", "pass", at(F.col("in_view_s"), 3).alias("ms"), "front", "rear", "facing", "camera_dir", at(F.col("p_view"), 6).alias("view6"), at(F.col("p_read"), 6).alias("read6"))
 
 
 #: Old and new events from the passes: odd lines are old, the others come in, some with the uid of an old one.

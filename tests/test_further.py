@@ -32,64 +32,109 @@ def walk(rng, n, step=30.0, device="a"):
 TRACK = "device string, n long, t_ms long, lat double, lon double, acc double"
 
 
+ASSETS = "id long, lat double, lon double, dirs array<double>, half double, least_m double, most_m double"
+
+
 def test_views_against_sampling_every_shift(spark):
     rng = random.Random(1)
-    rows = walk(rng, 120)
-    cams = [(k, *at(rng.uniform(-150, 150), rng.uniform(-150, 150)), rng.randrange(360)) for k in range(12)]
-    near = passes.with_pass(passes.near_legs(passes.legs(spark.createDataFrame(rows, TRACK)), spark.createDataFrame(cams, "id long, lat double, lon double, dir int")))
+    rows = [r for r in walk(rng, 120) if r[1] % 40 != 20]
+    rows += [("b", 0, 5_000_000, *at(10, 20), 6.0), ("b", 1, 9_000_000, *at(-20, 5), -1.0)]
+    cams = [(k, *at(rng.uniform(-150, 150), rng.uniform(-150, 150)), [float(rng.randrange(360)) for _ in range(k % 3)], 30.0, 3.0, 60.0) for k in range(15)]
+    near = passes.with_pass(passes.near_legs(passes.legs(spark.createDataFrame(rows, TRACK)), spark.createDataFrame(cams, ASSETS)))
     legs = {}
     for r in near.collect():
-        legs.setdefault((r.id, r["pass"]), []).append(r)
-    got = {(r.id, r["pass"]): r for r in passes.views(near, 35.0, 3.0, 60.0).collect()}
-    assert set(got) == set(legs) and len(got) >= 10
+        legs.setdefault((r.device, r.id, r["pass"]), []).append(r)
+    found = {(r.device, r.id, r["pass"]): r for r in passes.passes_of(near).collect()}
+    got = {(r.device, r.id, r["pass"]): r for r in passes.views(near).collect()}
+    assert set(got) == set(legs) == set(found) and len(got) >= 10 and any(k[0] == "b" for k in got)
     nodes, weights = np.polynomial.hermite.hermgauss(7)
+    kinds = set()
     for key, own in legs.items():
-        direction, c_ms, sigma = own[0].dir, own[0].c_ms, max(1.0, (own[0].c_acc if own[0].c_acc > 0 else 8.0) / 1.515)
-        samples, front, rear = [], 0.0, 0.0
+        dirs, c_ms, c_acc = own[0].dirs, found[key].c_ms, found[key].c_acc
+        sigma, samples, front, rear, inside, ranged, seen = max(1.0, (c_acc if c_acc > 0 else 8.0) / 1.515), [], 0.0, 0.0, 0.0, 0.0, []
+        kinds.add(len(dirs))
 
-        def view(x, y, direction=direction):
+        def view(x, y, dirs=dirs):
             d = math.hypot(x, y)
-            off = abs((math.degrees(math.atan2(x, y)) - direction + 180) % 360 - 180)
-            return 3.0 <= d <= 60.0 and off <= 35.0
+            return [k for k in dirs if 3.0 <= d <= 60.0 and abs((math.degrees(math.atan2(x, y)) - k + 180) % 360 - 180) <= 33.0]
 
+        own.sort(key=lambda r: r.n)
         for r in own:
-            n = min(max(math.ceil(max((r.t1 - r.t0) / 1000 / 0.2, math.hypot(r.x1 - r.x0, r.y1 - r.y0))), 1), 2000)
+            n = max(math.ceil(max((r.t1 - r.t0) / 1000 / 0.2, math.hypot(r.x1 - r.x0, r.y1 - r.y0))), 1)
             for i in range(n):
                 u = (i + 0.5) / n
                 x, y = r.x0 + u * (r.x1 - r.x0), r.y0 + u * (r.y1 - r.y0)
                 samples.append((x, y))
+                dt = (r.t1 - r.t0) / 1000 / n
+                if math.hypot(x, y) <= 65:
+                    inside += dt
+                    ranged += dt * (3.0 <= math.hypot(x, y) <= 60.0)
                 if view(x, y):
-                    dt = (r.t1 - r.t0) / 1000 / n
+                    seen += view(x, y)
                     if r.t0 + u * (r.t1 - r.t0) < c_ms:
                         front += dt
                     else:
                         rear += dt
-        p = 0.0
-        for (a, wa), (b, wb) in itertools.product(zip(nodes, weights, strict=True), repeat=2):
-            ox, oy = math.sqrt(2) * sigma * a, math.sqrt(2) * sigma * b
-            if any(view(x + ox, y + oy) for x, y in samples):
-                p += wa * wb / math.pi
-        assert got[key].p_view == pytest.approx(min(p, 1.0), abs=1e-9) and got[key].in_view_s == pytest.approx(front + rear, abs=1e-6)
-        assert (got[key].front, got[key].rear) == (front > 0, rear > 0)
+        g = got[key]
+        if dirs:
+            p = 0.0
+            for (a, wa), (b, wb) in itertools.product(zip(nodes, weights, strict=True), repeat=2):
+                ox, oy = math.sqrt(2) * sigma * a, math.sqrt(2) * sigma * b
+                if any(view(x + ox, y + oy) for x, y in samples):
+                    p += wa * wb / math.pi
+            assert g.p_view == pytest.approx(min(p, 1.0), abs=1e-9) and g.in_view_s == pytest.approx(front + rear, abs=1e-6)
+            assert g.facing == bool(seen) and g.camera_dir == next((d for d in dirs if d in seen), dirs[0])
+            if key[0] == "b":
+                assert (g.front, g.rear) == (bool(seen), bool(seen))
+            else:
+                assert (g.front, g.rear) == (front > 0, rear > 0)
+        else:
+            share = ranged / inside if inside else float(3.0 <= found[key].enter_m <= 60.0)
+            assert g.p_view == pytest.approx(share / 2, abs=1e-9) and (g.facing, g.camera_dir, g.front, g.rear) == (-1, None, False, False)
+    assert kinds == {0, 1, 2}
 
 
 def test_passes_find_every_leg_that_comes_near(spark):
     """Legs up to 1.5 km long, held against all assets."""
     rng = random.Random(2)
     rows = walk(rng, 80, step=900.0)
-    cams = [(k, *at(rng.uniform(-4000, 4000), rng.uniform(-4000, 4000)), 0) for k in range(300)]
+    cams = [(k, *at(rng.uniform(-4000, 4000), rng.uniform(-4000, 4000)), [0.0]) for k in range(300)]
     legs = passes.legs(spark.createDataFrame(rows, TRACK))
-    got = {(r.n, r.id) for r in passes.near_legs(legs, spark.createDataFrame(cams, "id long, lat double, lon double, dir int")).collect()}
+    got = {(r.n, r.id) for r in passes.near_legs(legs, spark.createDataFrame(cams, "id long, lat double, lon double, dirs array<double>")).collect()}
     want = set()
     for r in legs.collect():
         for i, lat, lon, _ in cams:
-            k = 111_320 * math.cos(math.radians(lat))
-            ends = [((x - lon) * k, (y - lat) * 111_320) for y, x in ((r.lat, r.lon), (r.lat2, r.lon2))]
+            k = 111_194.93 * math.cos(math.radians(lat))
+            ends = [((x - lon) * k, (y - lat) * 111_194.93) for y, x in ((r.lat, r.lon), (r.lat2, r.lon2))]
             if min(math.hypot(ends[0][0] + u * (ends[1][0] - ends[0][0]), ends[0][1] + u * (ends[1][1] - ends[0][1])) for u in np.linspace(0, 1, 3001)) <= 65:
                 want.add((r.n, i))
     assert want <= got and len(got - want) <= 1 and len(want) > 5
 
 
+def test_legs_across_days_and_lone_fixes(spark):
+    """Legs are found in days, whatever the hour; a fix without a neighbour is a leg of its own, and breaks a run."""
+    day = 86_400_000
+    rows = [("a", k, day - 200_000 + k * 100_000, *at(k * 10, 0), 5.0) for k in range(5)] + [("a", 5, day + 2_000_000, *at(0, 0), 5.0), ("a", 6, day + 4_000_000, *at(0, 0), 5.0), ("a", 7, day + 4_001_000, *at(9_000, 0), 5.0), ("a", 8, day + 4_002_000, *at(9_001, 0), 5.0)]
+    got = sorted((r.n, r["last"], r.t1 - r.t0) for r in passes.legs(spark.createDataFrame(rows, TRACK)).collect())
+    assert got == [(0, 1, 100_000), (1, 2, 100_000), (2, 3, 100_000), (3, 4, 100_000), (5, 5, 0), (6, 6, 0), (7, 8, 1000)]
+    near = passes.with_pass(passes.near_legs(passes.legs(spark.createDataFrame(rows, TRACK)), spark.createDataFrame([(1, *at(0, 5), None)], "id long, lat double, lon double, dirs array<double>")))
+    found = sorted((r.start_ms, r.n_fixes, round(r.metres, 1)) for r in passes.passes_of(near).collect())
+    assert found == [(day - 200_000, 5, 5.0), (day + 2_000_000, 1, 5.0), (day + 4_000_000, 1, 5.0)]
+
+
+def test_course_speed_and_bearings_of_a_pass(spark):
+    """East at 20 m/s, 30 m north of the asset, a fix every ten seconds; the last pass has nothing after it, so its velocity tells."""
+    rows = [("a", k, k * 10_000, *at(k * 200 - 700, 30), 10.0) for k in range(8)] + [("b", 0, 0, *at(-200, 30), 10.0), ("b", 1, 10_000, *at(0, 30), 10.0)]
+    own = passes.legs(spark.createDataFrame(rows, TRACK))
+    near = passes.with_pass(passes.near_legs(own, spark.createDataFrame([(1, *at(0, 0), [90.0])], "id long, lat double, lon double, dirs array<double>")))
+    a, b = sorted(passes.with_bearings(passes.passes_of(near), own).collect(), key=lambda r: r.device)
+    assert (a.c_ms, b.c_ms) == (35_000, 10_000)
+    for r in (a, b):
+        assert r.speed_kmh == pytest.approx(72, rel=0.01) and r.heading == pytest.approx(90, abs=0.5) and r.metres == pytest.approx(30, abs=0.2) and r.c_acc == 10.0
+        assert r.approach == pytest.approx(0, abs=0.5) or r.approach == pytest.approx(360, abs=0.5)
+        assert r.front == pytest.approx(360 - math.degrees(math.atan2(200, 30)), abs=0.3) and r.rear == pytest.approx(math.degrees(math.atan2(200, 30)), abs=0.3)
+
+
 @pytest.mark.parametrize("lat", [0.0, 60.0, -78.0, 89.9])
 def test_grid_join_at_any_latitude_and_across_the_date_line(spark, lat):
     rng = random.Random(3)
