@@ -145,24 +145,5 @@ def trilaterated(heard: DataFrame, prior: DataFrame, keys: list[str], rounds: in
     return h.groupBy(*keys, "n").agg(F.first(lat).alias("lat"), F.first(lon).alias("lon"), F.first(F.sqrt((F.col("a") + F.col("c")) / det)).alias("acc"))
 
 
-def watched_way(assets: DataFrame, legs: DataFrame, metres: float = 40.0, axis: float = 35.0) -> DataFrame:
-    """(id, way, metres) of the road leg that an asset watches: near enough, along its direction, by layer, then by distance.
-
-    ``legs`` are straight parts of ways: way, layer, service, lat, lon, lat2, lon2; ``assets`` have id, lat, lon, dir. A service way counts
-    as ten metres farther.
-    """
-    from ..functions import geo
-    from .joins import grid_join
-
-    near = grid_join(legs, assets, 400.0, 200)
-    zero = F.lit(0.0)
-    ax, ay = geo.local_xy(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"))
-    bx, by = geo.local_xy(F.col("lat2"), F.col("lon2"), F.col("a_lat"), F.col("a_lon"))
-    along = geo.axial_angle(geo.bearing(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), F.col("dir"))
-    d = near.withColumn("metres", geo.segment_distance(zero, zero, ax, ay, bx, by)).where((F.col("metres") <= metres) & (along <= axis))
-    cost = F.col("metres") + F.when(F.col("service"), 10.0).otherwise(0.0)
-    return d.groupBy("id").agg(F.min(F.struct((-F.col("layer")).alias("layer"), cost.alias("cost"), "way", "metres")).alias("b")).select("id", "b.way", "b.metres")
-
-
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -30,15 +30,6 @@ def t03_self_location(spark, d):
     return locate.range_fix(h, ["scan"]).select("scan", "n", at(F.col("lat"), 5).alias("lat5"), at(F.col("acc"), 1).alias("acc1"))
 
 
-@query()
-def t07_watched_way(spark, d):
-    """The leg of a track that an asset watches."""
-    w = Window.partitionBy("device").orderBy("n")
-    legs = tracks(spark, d).withColumns({"lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w)}).where("lat2 is not null")
-    legs = legs.select(F.concat_ws(":", "device", F.col("n").cast("string")).alias("way"), (F.col("n") % 2).cast("int").alias("layer"), (F.col("n") % 3 == 0).alias("service"), "lat", "lon", "lat2", "lon2")
-    return locate.watched_way(cams(spark, d).select("id", "lat", "lon", "dir"), legs).select("id", "way", at(F.col("metres")).alias("mm"))
-
-
 @query()
 def t09_track_smoothing(spark, d):
     s = folds.smoothed_track(tracks(spark, d))

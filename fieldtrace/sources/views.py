@@ -60,9 +60,12 @@ def pois(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """device, n, t_ms, lat, lon, acc: plausible motion, a step of about 30 m every 20 s with a jump now and then."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("k"))
-    n = F.row_number().over(Window.partitionBy("k").orderBy("o_orderkey")).cast("long")
-    o = o.withColumn("n", n)
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("k"), F.floor(F.col("o_orderkey") / 100_000).alias("part"))
+    # a device's rows are numbered by ranges of the key, after the sizes of the ranges before
+    sizes = o.groupBy("k", "part").agg(F.count("*").alias("size"))
+    before = sizes.select("k", "part", (F.sum("size").over(Window.partitionBy("k").orderBy("part")) - F.col("size")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("k", "part").orderBy("o_orderkey"))
+    o = o.withColumn("own", own).join(before, ["k", "part"]).withColumn("n", (F.col("before") + F.col("own")).cast("long"))
     jump = F.when(F.col("o_orderkey") % 41 == 0, 900).otherwise(0)
     gap = F.floor(F.col("n") / 50) * 700_000
     return o.select(
@@ -75,6 +78,23 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """way, highway, layer, oneway, nodes, points: roads along the tracks, eight steps each, that share the nodes of their ends; and a oneway beside each of them."""
+    t = tracks(spark, sf_dir).select(F.substring("device", 2, 9).cast("long").alias("k"), "n", "lat", "lon")
+    part = F.floor(F.col("n") / 8)
+    t = t.withColumn("c", F.explode(F.when((F.col("n") % 8 == 0) & (F.col("n") > 0), F.array(part - 1, part)).otherwise(F.array(part)))).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    point = F.struct("n", "lat", (F.col("lon") + F.col("side") * F.lit(0.0002)).alias("lon"))
+    w = t.groupBy("k", "c", "side").agg(F.sort_array(F.collect_list(point)).alias("p")).where(F.size("p") >= 2)
+    return w.select(
+        ((F.col("k") * 1_000_000 + F.col("c")) * 2 + F.col("side")).alias("way"),
+        F.when(F.col("c") % 4 == 1, "service").otherwise("residential").alias("highway"),
+        F.when((F.col("side") == 0) & (F.col("c") % 5 == 0), 1).otherwise(0).alias("layer"),
+        F.when(F.col("side") == 1, -1).when(F.col("c") % 3 == 0, 1).otherwise(0).alias("oneway"),
+        F.transform("p", lambda x: F.col("k") * 10_000_000 + x["n"] * 2 + F.col("side")).alias("nodes"),
+        F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("points"),
+    )
+
+
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uid, camera_id, plate, t_ms, distance_m, confidence: events of an asset."""
     li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -105,6 +125,9 @@ SQL = {
   cast(40.0 as double) + cast(n * 25 + (o_orderkey * 7) % 13 + (case when o_orderkey % 41 = 0 then 900 else 0 end) as double) * cast(0.00001 as double) as lat,
   cast(-75.0 as double) + cast(n * 15 + (o_orderkey * 11) % 17 as double) * cast(0.00001 as double) as lon, cast(4 + o_orderkey % 23 as double) as acc
   from (select o_orderkey, o_custkey % 40 as k, row_number() over (partition by o_custkey % 40 order by o_orderkey) as n from orders))""",
+    "legs": """legs as (select * from (select (cast(substr(device, 2) as bigint) * 1000000 + n // 8) * 2 + side as way, case when (n // 8) % 4 = 1 then 'service' else 'residential' end as highway, case when side = 0 and (n // 8) % 5 = 0 then 1 else 0 end as layer,
+  case when side = 1 then -1 when (n // 8) % 3 = 0 then 1 else 0 end as oneway, n as k, lat, lon + side * cast(0.0002 as double) as lon, lead(lat) over w as lat2, lead(lon) over w + side * cast(0.0002 as double) as lon2
+  from tracks, (values (0), (1)) v(side) window w as (partition by device, side order by n)) where lat2 is not null and (lat <> lat2 or lon <> lon2))""",
     "passes": """passes as (select 'pass:' || cast(l_suppkey as varchar) || ':' || cast(epoch_us(l_shipdate) // 60000000 + l_partkey % 40 as varchar) || ':' || cast(l_orderkey as varchar) || ':' || cast(l_linenumber as varchar) as uid,
   l_suppkey as camera_id, 'P' || cast(o_custkey as varchar) as plate, epoch_us(l_shipdate) // 1000 + (l_partkey % 40) * 60000 as t_ms, cast(l_partkey % 65 as double) as distance_m,
   cast(l_quantity * 2 as integer) as confidence from lineitem join orders on l_orderkey = o_orderkey)""",
