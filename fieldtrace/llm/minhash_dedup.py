@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     alone = facts.select("node", F.explode("set").alias("shingle")).join(own.hint("merge"), "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("own"))
     able = cut(
-        facts.drop("set").join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+        # a class whose own shingles leave too few for the threshold, whatever it meets, is linked to no other component
+        facts.drop("set").join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).where(100 * F.col("most") >= percent * F.col("n"))
     )
     more = _verified(cut(_cross_pairs(able, percent), narrow=True), sets, percent)
     # components that these links join: a graph whose nodes are the first components
