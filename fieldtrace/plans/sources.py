@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import files
+from ..sources import files, json_arrays
 from ..sources.views import cams, fixes, observations, pois, read, sql, tracks
 from .catalog import query
 from .common import at, at_sql
@@ -135,3 +135,40 @@ def r21_node_packets(spark, d):
     places = spark.createDataFrame([(str(k), 40.0 + k, -75.0) for k in range(3)], "node string, lat double, lon double")
     out = files.parse_packets(e.select(F.to_json(made).alias("raw")), places)
     return out.select(F.col("node").cast("long").alias("node"), "time_ms", at(F.col("battery")).alias("level3"), "loc_source")
+
+
+def _huge(df, head: str, tail: str) -> str:
+    """Writes one document for each task: its head, the elements ``value`` with garbage between some of them, and its tail. Returns the folder."""
+    from ..streaming.live import folder
+
+    def document(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+        for batch in batches:
+            yield batch
+        yield pa.RecordBatch.from_arrays([pa.array([tail])], names=["value"])
+
+    home = folder(df.sparkSession)
+    df.mapInArrow(document, "value string").write.text(home)
+    return home
+
+
+@query("select event_id, event_type as kind, cast(user_id as bigint) as n from events")
+def r03_streamed_array(spark, d):
+    """Elements of a huge array: two orders of keys, texts that look like the array, an array of the same name inside, garbage between."""
+    e = read(spark, d, "events")
+    note, inner = F.lit('a "locations": [{ text'), F.array(F.struct(F.lit(-1).alias("event_id")))
+    one, other = F.struct("event_id", note.alias("note"), F.col("event_type").alias("kind"), inner.alias("locations"), F.col("user_id").alias("n")), F.struct(inner.alias("locations"), F.col("user_id").alias("n"), F.col("event_type").alias("kind"), note.alias("note"), "event_id")
+    value = F.concat(F.when(F.col("event_id") % 2 == 0, F.to_json(one)).otherwise(F.to_json(other)), F.when(F.col("event_id") % 5 == 0, ", garbage").otherwise(","))
+    home = _huge(e.select(value.alias("value")), '{"settings": {"locations": "none"}, "locations": [', '{}], "more": {"event_id": 1}}')
+    return json_arrays.elements(spark, home, "locations", "event_id long, kind string, n long").where("event_id is not null")
+
+
+@query(sql("cams", f"select id, operator, {at_sql('lat', 6)} as lat6, {at_sql('lon', 6)} as lon6 from cams"))
+def r10_streamed_features(spark, d):
+    """Features of a huge collection, one at a time."""
+    f = cams(spark, d).select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct("id", "operator").alias("properties"))).alias("value"))
+    home = _huge(f.select(F.concat("value", F.lit(" , ")).alias("value")), '{"type": "FeatureCollection", "features": [', "{}]}")
+    found = json_arrays.elements(spark, home, "features", "geometry struct<coordinates: array<double>>, properties struct<id: long, operator: string>").where("properties is not null")
+    return found.select("properties.id", "properties.operator", at(F.col("geometry.coordinates")[1], 6).alias("lat6"), at(F.col("geometry.coordinates")[0], 6).alias("lon6"))

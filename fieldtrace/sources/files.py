@@ -161,15 +161,3 @@ def parse_packets(rows: DataFrame, places: DataFrame, raw: str = "raw") -> DataF
     j = p.join(a, "node", "left")
     return j.select("kind", "node", text.mac(F.col("mac")).alias("mac"), "ssid", "rssi", "time_ms", level.alias("battery"), F.coalesce("lat", "a_lat").alias("lat"), F.coalesce("lon", "a_lon").alias("lon"), F.when(F.col("lat").isNotNull(), "packet").when(F.col("a_lat").isNotNull(), "anchor").alias("loc_source"))
 
-
-def elements(spark: SparkSession, path: str, begins: str, schema: str) -> DataFrame:
-    """The elements of the arrays of huge JSON files, wherever they are nested, one row each. ``begins`` is the text that follows the brace of
-    every element, such as ``"latitudeE7"`` or ``"type":"Feature"``, with the blanks that the files have.
-
-    A file is split where that text stands, so neither a file nor an array is ever one value: tasks read ranges of a file, and a row is an element with
-    what stands before the next one, which the parser ignores. What can't be parsed (what stands before the first element, or garbage)
-    gives no row. Elements whose keys come in another order, or that hold the text again inside, need the reader of whole documents.
-    """
-    parts = spark.read.text(path, lineSep=begins)
-    found = parts.select(F.from_json(F.concat(F.lit("{" + begins), "value"), schema).alias("e"))
-    return found.where(F.col("e").isNotNull() & (F.to_json("e") != "{}")).select("e.*")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from fieldtrace.functions import plates
 from fieldtrace.operators import aggregates, folds, joins, locate, merge, passes
 from fieldtrace.operators.windows import metres
-from fieldtrace.sources import files
 
 
 def at(east, north, lat=40.0, lon=-75.0):
@@ -263,18 +262,3 @@ def test_streamed_folds_take_a_busy_key_and_an_empty_table(spark):
     df = spark.createDataFrame([("b0", *r[1:]) if r[1] < 54 else r for r in rows], OBSERVED)
     assert folds.vantages(df, "bssid", "event_id").agg(F.sum("n")).first()[0] == 60
     assert folds.vantages(df.where("false"), "bssid", "event_id").count() == 0
-
-
-def test_elements_of_a_huge_array_in_ranges_of_the_file(spark, tmp_path):
-    rows = [{"latitudeE7": k, "longitudeE7": -k, "activity": [{"type": "é{}", "confidence": k % 100}], "timestampMs": str(k)} for k in range(3000)]
-    (tmp_path / "a.json").write_text('{"settings": {"x": [1, 2]}, "locations": [\n' + ",\n  ".join(json.dumps(r, indent=2 if k % 3 else None) for k, r in enumerate(rows)) + '\n], "more": {"latitude": 1}}')
-    (tmp_path / "b.json").write_text('{"locations": []}')
-    features = [json.dumps({"type": "Feature", "geometry": {"type": "Point", "coordinates": [k, 1.5]}, "properties": {"osmId": k}}) for k in range(50)]
-    (tmp_path / "c.geojson").write_text('{"features": [' + ", garbage ] ".join(features) + ', {"type" broken')
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
-    got = files.elements(spark, str(tmp_path / "*.json"), '"latitudeE7"', "latitudeE7 long, longitudeE7 long, activity array<struct<type: string, confidence: int>>, timestampMs string")
-    assert got.rdd.getNumPartitions() > 5
-    assert sorted((r.latitudeE7, r.longitudeE7, r.activity[0].confidence, r.timestampMs) for r in got.collect()) == [(k, -k, k % 100, str(k)) for k in range(3000)]
-    spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    found = files.elements(spark, str(tmp_path / "c.geojson"), '"type": "Feature"', "type string, geometry struct<coordinates: array<double>>, properties struct<osmId: long>")
-    assert sorted((r.properties.osmId, r.geometry.coordinates[0]) for r in found.collect()) == [(k, float(k)) for k in range(50)]
