@@ -93,7 +93,9 @@ def _ranked(made: DataFrame) -> DataFrame:
     parts = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = made.withColumn("hash", F.xxhash64("id", "piece", "ids"))
     part = F.floor(F.shiftrightunsigned("hash", 32) * parts / F.lit(1 << 32)).cast("int")
-    dealt = hashed.withColumn("part", part).repartitionById(parts, "part").sortWithinPartitions("part", "hash", "id", "piece", "ids")
+    # ranges are cut by the hash as an unsigned number, so rows are sorted by it as one: the order is the same whatever the number of ranges
+    hashed = hashed.withColumns({"part": part, "hash": F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))})
+    dealt = hashed.repartitionById(parts, "part").sortWithinPartitions("part", "hash", "id", "piece", "ids")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, begun, seen = None, 0, 0
