@@ -12,12 +12,12 @@ Bytes, not texts, are the interface; a stream is handled by itself, so memory is
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bytetext import rows_of
 from .common import map_arrow
@@ -66,6 +66,25 @@ def _head(bitrate: int) -> bytes:
     return b"\xff\xfa" + two + crc16(two + bytes(SIDE)).to_bytes(2, "big")
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The checksum of the first ``bits`` bits."""
+    c = crc16(data[: bits // 8])
+    for k in range(bits - bits % 8, bits):
+        top = (c >> 15) ^ (data[k // 8] >> (7 - k % 8) & 1)
+        c = ((c << 1) & 0xFFFF) ^ (0x8005 if top else 0)
+    return c
+
+
+#: Fixed values of layer II: bits of an allocation for runs of subbands (bits, subbands).
+ALLOCATIONS = {
+    "high": ((4, 11), (3, 12), (2, 7)),
+    "middle": ((4, 11), (3, 12), (2, 4)),
+    "low": ((4, 2), (3, 6)),
+    "low, 32 kHz": ((4, 2), (3, 10)),
+    "half rates": ((4, 4), (3, 7), (2, 19)),
+}
+
+
 _HEADS = [_head(k) for k in range(15)]
 
 
@@ -101,7 +120,7 @@ def store(payload: bytes) -> bytes:
 class Header:
     """The fields of four bytes that may be a frame header; ``size`` is 0 if they aren't one (free formats have no size)."""
 
-    __slots__ = ("layer", "mono", "one", "protected", "rate", "samples", "size", "version")
+    __slots__ = ("kbits", "layer", "mode", "mono", "one", "protected", "rate", "samples", "shared_from", "size", "version")
 
     def __init__(self, b: bytes, at: int):
         self.size = 0
@@ -113,13 +132,34 @@ class Header:
         self.version, self.layer, self.rate, self.one = version, layer, RATES[version][rate], version == 3
         self.protected, self.mono = not b[at + 1] & 1, b[at + 3] >> 6 == 3
         self.samples = SAMPLES[self.one, layer]
-        padding, bits = b[at + 2] >> 1 & 1, KBITS[self.one, layer][kbit] * 1000
+        self.kbits, self.mode, self.shared_from = KBITS[self.one, layer][kbit], b[at + 3] >> 6, 4 * ((b[at + 3] >> 4 & 3) + 1)
+        padding, bits = b[at + 2] >> 1 & 1, self.kbits * 1000
         self.size = (12 * bits // self.rate + padding) * 4 if layer == 1 else self.samples // 8 * bits // self.rate + padding
 
     @property
     def side(self) -> int:
         return 0 if self.layer != 3 else (17 if self.mono else 32) if self.one else (9 if self.mono else 17)
 
+    def protected_bits(self, body: bytes) -> int:
+        """How many bits of what follows the checksum it covers: allocations and, in layer II, the choices of scale factors; the side information in layer III."""
+        if self.layer == 3:
+            return 8 * self.side
+        channels = 1 if self.mono else 2
+        if self.layer == 1:
+            shared = self.shared_from if self.mode == 1 else 32
+            return 4 * (shared * channels + 32 - shared)
+        each = self.kbits // channels
+        kind = "half rates" if not self.one else ("low, 32 kHz" if self.rate == 32000 else "low") if each <= 48 else "middle" if each <= 80 or self.rate == 48000 else "high"
+        widths = [w for w, n in ALLOCATIONS[kind] for _ in range(n)]
+        shared = min(self.shared_from, len(widths)) if self.mode == 1 else len(widths)
+        value, at, chosen = int.from_bytes(body[:48], "big"), 0, 0
+        for k, w in enumerate(widths):
+            for _ in range(channels if k < shared else 1):
+                some = value >> (8 * len(body[:48]) - at - w) & ((1 << w) - 1) if at + w <= 8 * len(body[:48]) else 0
+                chosen += bool(some) * (1 if k < shared else channels)
+                at += w
+        return at + 2 * chosen
+
     def like(self, other: Header) -> bool:
         return self.size > 0 and (self.version, self.layer, self.rate) == (other.version, other.layer, other.rate)
 
@@ -166,9 +206,11 @@ def read(b: bytes, seek: int = SEEK) -> dict:
         if known is None:
             known = h
         body = at + 4 + 2 * h.protected
-        if h.protected and h.layer == 3:
+        if h.protected:
+            bits = 16 + h.protected_bits(b[body : at + h.size])
+            covered = b[at + 2 : at + 4] + b[body : body + (bits + 7) // 8 - 2]
             out["checked"] += 1
-            out["wrong"] += crc16(b[at + 2 : at + 4] + b[body : body + h.side]) != int.from_bytes(b[at + 4 : at + 6], "big")
+            out["wrong"] += 8 * len(covered) < bits or crc16_bits(covered, bits) != int.from_bytes(b[at + 4 : at + 6], "big")
         if not out["frames"] and not out["table"]:
             mark, vbri = body + h.side, at + 36
             if b[mark : mark + 4] in (b"Xing", b"Info"):
@@ -204,12 +246,14 @@ def payload_of(b: bytes, info: dict | None = None) -> bytes:
     return whole[: int(info["tags"].get("payload_bytes", len(whole)))]
 
 
-def feature(info: dict, first: int) -> str:
-    """One line of what ``read`` found: version and layer, frames, samples, duration, table, checksums, seek offsets."""
+def feature(info: dict) -> str:
+    """One line of what ``read`` found: version and layer, frames, samples, duration, table, checksums, and the number and the hash of all seek offsets."""
+    import hashlib
+
     return (
         f"mpeg{info['version']}-layer{info['layer']};rate={info['rate']};frames={len(info['frames'])};samples={info['samples']};us={info['micros']};"
         f"table={info['table']}:{info['table_frames']}:{info['table_bytes']};crc={info['checked'] - info['wrong']}/{info['checked']};skipped={info['skipped']};"
-        f"seek={','.join(map(str, info['seek'][:first]))}"
+        f"seek={len(info['seek'])}:{hashlib.sha256(','.join(map(str, info['seek'])).encode()).hexdigest()[:16]}"
     )
 
 
@@ -221,19 +265,7 @@ def encode_column(rows: DataFrame, payload: str = "payload", media: str = "media
         made = [None if p is None else store(p) for p in rows_of(batch, payload).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.large_binary())], names=[*batch.schema.names, media])
 
-    return rows.mapInArrow(_each(over), _ddl(schema, f"`{media}` binary"))
-
-
-def _each(fn):
-    """Batches in slices of bounded bytes, so that long streams don't meet in one list."""
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = max(1, int(batch.num_rows * (4 << 20) / max(batch.nbytes, 1)))
-            for k in range(0, batch.num_rows, step):
-                yield from fn(batch.slice(k, step))
-
-    return over
+    return map_arrow(rows, over, _ddl(schema, f"`{media}` binary"))
 
 
 def _ddl(schema, more: str) -> str:
@@ -243,8 +275,8 @@ def _ddl(schema, more: str) -> str:
 def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): every text as UTF-8, with zero bytes up to a positive multiple of 64, stored as a stream."""
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), raw.alias("payload"))
-    schema = "id long, n_bytes long, media binary"
+    rows = docs.select(F.col(id_col).alias("id"), raw.alias("payload"))
+    schema = f"id {dict(rows.dtypes)['id']}, n_bytes long, media binary"
 
     def over(batch: pa.RecordBatch):
         n, made = [], []
@@ -253,34 +285,34 @@ def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             made.append(store(p + bytes(-len(p) % 64 if p else 64)))
         yield pa.RecordBatch.from_arrays([rows_of(batch, "id"), pa.array(n, pa.int64()), pa.array(made, pa.large_binary())], names=["id", "n_bytes", "media"])
 
-    return rows.mapInArrow(_each(over), schema)
+    return map_arrow(rows, over, schema)
 
 
-def described(rows: DataFrame, first: int = 64) -> DataFrame:
+def described(rows: DataFrame) -> DataFrame:
     """What is read from the column ``media`` of ``streams``: digests, counts, duration, all seek offsets and the feature line."""
     import hashlib
     import zlib
 
-    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("duration_us", pa.int64()), ("seek_offsets", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", to_arrow_type(rows.schema["id"].dataType)), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("duration_us", pa.int64()), ("seek_offsets", pa.list_(pa.int64()))])
 
     def over(batch: pa.RecordBatch):
         made: list[list] = [[] for _ in schema]
         for i, n, b in zip(rows_of(batch, "id").to_pylist(), rows_of(batch, "n_bytes").to_pylist(), rows_of(batch, "media").to_pylist(), strict=True):
             info = read(b)
             p = payload_of(b, info)
-            row = (i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(b), hashlib.sha256(b).hexdigest(), feature(info, first), info["micros"], info["seek"])
+            row = (i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(b), hashlib.sha256(b).hexdigest(), feature(info), info["micros"], info["seek"])
             for column, value in zip(made, row, strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
 
-    kinds = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long, seek_offsets array<long>"
+    kinds = f"id {dict(rows.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long, seek_offsets array<long>"
     return map_arrow(rows, over, kinds)
 
 
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: what ``described`` gives, with the id's own name.
 
-    Null and empty texts have a payload of 64 zero bytes. Equal texts give equal values; repeated ids and rows are kept as they are.
+    Null and empty texts have a payload of 64 zero bytes. Equal texts give equal values; repeated ids and rows are kept as they are, and ids keep their type.
     Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     return described(streams(docs, id_col, text_col)).withColumnRenamed("id", id_col)
