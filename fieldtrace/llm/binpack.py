@@ -262,10 +262,12 @@ def _places(spark: SparkSession, made: list[tuple[Filling, int]], base: int) ->
     return spark.createDataFrame(rows, "length long, low long, high long, each long, first_sequence long, at long")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM, end: int = 2, nodes: int = 1200, ids: bool = False) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, over_bound (and the ids as bytes, if asked for).
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM, end: int = 2, nodes: int | None = 1200, width: int | None = 4, ids: bool = False) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, over_bound, proven (and the ids as bytes, if asked for).
 
-    ``over_bound`` is the same for all: by how many sequences the packing lies over the bound that the number of ids sets. At 0 no packing has fewer.
+    ``over_bound`` and ``proven`` are the same for all: by how many sequences the packing lies over the bound that the number of ids sets, and whether no packing has fewer.
+    The search takes ``nodes`` steps and tries ``width`` fillings around each largest piece at most; with None for both it is exact, whatever it takes. Pieces of
+    equal length are exchangeable: they are placed in the order of the input's partitions.
 
     A null text counts as empty and is a piece of the separator alone. Repeated ids and rows are packed row by row, a text of any length by as many pieces as it takes. Other columns are
     ignored, whatever their names; an empty table gives an empty result.
@@ -280,10 +282,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room:
     ranked = made.join(before, ["part", "length"]).withColumn("place", F.col("rank") + F.col("before"))
     whole = ranked.where(F.col("length") == room).withColumns({"sequence_id": F.col("place"), "offset": F.lit(0).cast("long")})
     # fewer than room lengths, and each filling of the plan but the last few uses one up: the places are bounded by the room alone
-    found = search(counts, room, nodes)
+    found = search(counts, room, nodes, width)
     places = F.broadcast(_places(spark, found.plan, full))
     short = ranked.where(F.col("length") < room).join(places.withColumnRenamed("length", "of"), (F.col("length") == F.col("of")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
     turn = F.col("place") - F.col("low")
     short = short.withColumns({"sequence_id": F.col("first_sequence") + F.floor(turn / F.col("each")).cast("long"), "offset": F.col("at") + (turn % F.col("each")) * F.col("length")})
-    columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.lit(found.over).cast("long").alias("over_bound"), *["ids"] * ids]
+    columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.lit(found.over).cast("long").alias("over_bound"), F.lit(found.proven).alias("proven"), *["ids"] * ids]
     return whole.select(columns).union(short.select(columns))

@@ -148,3 +148,42 @@ def test_search_without_limits_is_exact():
         assert sum(t for _, t in limited.plan) == -(-sum(pieces) // room) + limited.over
         better += sum(t for _, t in limited.plan) > sum(t for _, t in found.plan)
     assert better <= 2
+
+
+def test_pack_without_limits_is_exact(spark):
+    """Few lengths, no limits: the operator itself gives the fewest sequences, and says so; equal lengths and a very long text are no matter."""
+    rng = random.Random(12)
+    rows = [(k, " ".join(["the"] * rng.choice([4, 4, 5, 6]))) for k in range(11)] + [(99, "the " * 4000)]
+    made = binpack.pack(spark.createDataFrame(rows, "doc_id long, text string"), room=12, nodes=None, width=None).collect()
+    lengths = Counter(r.length for r in made if r.length < 12)
+    assert {r.proven for r in made} == {True}
+    assert len({r.sequence_id for r in made}) == sum(r.length == 12 for r in made) + fewest_around_the_largest(lengths, 12)
+
+
+def fewest_around_the_largest(counts, room):
+    """The least number of sequences, by trying all fillings around the largest piece."""
+    from functools import cache
+
+    @cache
+    def least(state):
+        state = dict(state)
+        if not state:
+            return 0
+        first = max(state)
+
+        def fillings(left, options):
+            yield ()
+            for k, n in enumerate(options):
+                if n <= left:
+                    for f in fillings(left - n, options[k:]):
+                        yield (n, *f)
+
+        best = 10**9
+        for f in set(fillings(room - first, tuple(state))):
+            own = Counter(state)
+            own.subtract((first, *f))
+            if min(own.values()) >= 0:
+                best = min(best, 1 + least(tuple(sorted((n, c) for n, c in own.items() if c))))
+        return best
+
+    return least(tuple(sorted(counts.items())))
