@@ -191,11 +191,11 @@ def _buckets(able: DataFrame, most: int) -> DataFrame:
     A bucket is a code of the first half (``second`` is 0), or, where more than ``most`` classes have it, a pair of a code of either half, which is a
     table key. A bucket within one component, as those of a large group of copies are, is dropped before any set or sketch is joined to it.
     """
-    coded = able.select("node", "component", F.explode("a").alias("code"))
+    coded = able.select("node", "component", "b", F.explode("a").alias("code"))
     codes = cut(_mixed(coded, ["code"]), narrow=True)
     rows = coded.join(codes.hint("merge"), "code")
     few = rows.where(F.col("many") <= most).select("node", "code", F.lit(0).cast("long").alias("second"))
-    split = rows.where(F.col("many") > most).select("node", "component", "code").join(able.select("node", "b"), "node").select("node", "component", "code", F.explode("b").alias("second"))
+    split = rows.where(F.col("many") > most).select("node", "component", "code", F.explode("b").alias("second"))
     pairs = _mixed(split, ["code", "second"]).drop("many")
     return cut(few.union(split.join(pairs.hint("merge"), ["code", "second"], "left_semi").select("node", "code", "second")))
 
