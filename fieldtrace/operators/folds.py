@@ -205,36 +205,45 @@ def sampled(observed: DataFrame, key: str, least_m: float = 12.0, later_ms: int
     return streamed(rows, [key], ["t_ms", "event_id"], begin, f"{key} {kinds[key]}, event_id {kinds['event_id']}")
 
 
+#: What a drawn route leaves out or breaks at. A spike goes out by so many metres and comes back to within so many; a jump is faster and farther than a vehicle.
+SPIKE_OUT_M, SPIKE_BACK_M, FASTEST_MPS, LEAP_M, LEAP_MS = 30.0, 18.0, 35.0, 200.0, 300_000
+
+
 def route_lines(fixes: DataFrame, key: str, gap_ms: int = 900_000, jump_m: float = 4000.0, apart_m: float = 20.0) -> DataFrame:
     """(key, line, n) of the fixes that a route's lines are drawn by.
 
-    Left out: a single fix out by 30 m that is back within 18 m, more than 35 m/s and 200 m inside five minutes, and what is nearer than ``apart_m`` to
-    the last point (but for the last fix). A new line begins after a gap. Rows with an accuracy above 500 don't count.
+    A gap of ``gap_ms`` or a distance of ``jump_m`` begins a new line. Left out are rows with an accuracy above 500, spikes of one fix, fixes that no vehicle reaches from the last
+    sound one, and fixes nearer than ``apart_m`` to the last point of their line, but for the key's last. What is sound is judged within the rows between two gaps, so
+    those are worked on by themselves; lines of a key are numbered in order.
     """
-    w = Window.partitionBy(key).orderBy("n")
-    ahead = fixes.where("acc <= 500").select(key, "n", "t_ms", "lat", "lon", F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"))
-
-    def begin():
-        seen: dict = {"line": 0}
-
-        def step(o: dict) -> list[dict]:
-            v, last = seen.get("valid"), o["lat2"] is None
-            if v is not None:
-                if not last:
-                    nxt = {"lat": o["lat2"], "lon": o["lon2"]}
-                    if _far(v, o) > 30 and _far(o, nxt) > 30 and _far(v, nxt) < 18:
-                        return []
-                dt, far = abs(o["t_ms"] - v["t_ms"]) / 1000, _far(v, o)
-                if 0 < dt < 300 and far / dt > 35 and far > 200:
-                    return []
-                if dt > gap_ms / 1000 or far > jump_m:
-                    seen["line"] += 1
-                elif _far(seen["point"], o) < apart_m and not last:
-                    seen["valid"] = o
-                    return []
-            seen["valid"] = seen["point"] = o
-            return [{key: o[key], "line": seen["line"], "n": o["n"]}]
 
-        return step, list
-
-    return streamed(ahead, [key], ["n"], begin, f"{key} {dict(fixes.dtypes)[key]}, line int, n long")
+    def drawn(t: pa.Table) -> pa.Table:
+        lat, lon, ms, final = (t[c].to_numpy() for c in ("lat", "lon", "t_ms", "final"))
+        far = lambda i, j: metres(lat[i], lon[i], lat[j], lon[j])
+        lines, kept = [], []
+        sound = point = 0
+        line = 0
+        for k in range(len(ms)):
+            if k:
+                spike = k + 1 < len(ms) and min(far(sound, k), far(k, k + 1)) > SPIKE_OUT_M and far(sound, k + 1) < SPIKE_BACK_M
+                leap = 0 < ms[k] - ms[sound] < LEAP_MS and far(sound, k) > max(LEAP_M, FASTEST_MPS * (ms[k] - ms[sound]) / 1000)
+                if spike or leap:
+                    continue
+                breaks = far(sound, k) > jump_m or ms[k] - ms[sound] > gap_ms
+                sound = k
+                if not breaks and far(point, k) < apart_m and not final[k]:
+                    continue
+                line += breaks
+            sound = point = k
+            kept.append(k)
+            lines.append(line)
+        return t.take(pa.array(kept, pa.int64())).select([key, "n", "t_ms"]).append_column("line", pa.array(lines, pa.int32()))
+
+    kinds = dict(fixes.dtypes)
+    rows = fixes.where("acc <= 500").select(key, "n", "t_ms", "lat", "lon", (F.lead("n").over(Window.partitionBy(key).orderBy("n")).isNull()).alias("final"))
+    parts = _grouped(rows, [key], ["n"], ("t_ms", gap_ms), drawn, f"`{key}` {kinds[key]}, n {kinds['n']}, t_ms long, line int")
+    # a line goes on as long as neither its number nor a gap changes it
+    w = Window.partitionBy(key).orderBy("n")
+    new = (F.col("line") != F.lag("line").over(w)) | (F.col("t_ms") - F.lag("t_ms").over(w) > gap_ms)
+    begins = parts.withColumn("__new", F.coalesce(new, F.lit(False)).cast("int"))
+    return begins.select(key, F.sum("__new").over(w).cast("int").alias("line"), "n")

@@ -15,8 +15,8 @@ WITHIN = "metres"
 _DEGREE = 111_000.0
 
 
-def grid_join(points: DataFrame, assets: DataFrame, metres: float, per_degree: int = 1000, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Pairs of a point and an asset at most ``metres`` apart, with the distance as ``metres``.
+def grid_join(points: DataFrame, assets: DataFrame, metres: float, per_degree: int = 1000, lat: str = "lat", lon: str = "lon", on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a point and an asset at most ``metres`` apart, and equal in the columns ``on``, with the distance as ``metres``.
 
     Rows of cells are 1 / ``per_degree`` degrees high, or as high as ``metres`` if that is more. Inside a row, cells are as wide as ``metres`` at
     the row's edge toward the pole, so a pair is in the same or neighbouring cells at any latitude; longitudes go round at 180 degrees.
@@ -39,7 +39,7 @@ def grid_join(points: DataFrame, assets: DataFrame, metres: float, per_degree: i
     at_x = F.floor(turn(F.col("a_lon")) * many / 360.0)
     a = a.withColumn("__x", F.explode(F.array_distinct(F.transform(F.sequence(at_x - 1, at_x + 1), lambda x: F.pmod(x, many)))))
     d = haversine(F.col(lat), F.col(lon), F.col("a_lat"), F.col("a_lon"))
-    return p.join(a, ["__y", "__x"]).withColumn(WITHIN, d).where(F.col(WITHIN) <= metres).drop("__y", "__x")
+    return p.join(a, ["__y", "__x", *on]).withColumn(WITHIN, d).where(F.col(WITHIN) <= metres).drop("__y", "__x")
 
 
 def _bucketed(left: DataFrame, right: DataFrame, keys: list[str], t: str, tolerance: int, reach: tuple[int, int], payload: list[str]) -> DataFrame:
@@ -113,20 +113,17 @@ def interpolated(left: DataFrame, fixes: DataFrame, keys: list[str], t: str, bot
     )
 
 
-def interval_nearest(left: DataFrame, right: DataFrame, t: str, tolerance: int, left_id: str, right_id: str, on: Column | None = None) -> DataFrame:
+def interval_nearest(left: DataFrame, right: DataFrame, t: str, tolerance: int, left_id: str, right_id: str) -> DataFrame:
     """Every left row that has a right row within ``tolerance`` in time (whatever the keys), with the nearest: least gap, then least id.
 
-    The right side's columns must have other names, but for ``t``, which comes as ``r_<t>``. The gap comes as ``gap``.
+    The right side's columns must have other names, but for ``t``, which comes as ``r_<t>``. The gap comes as ``gap``. Of right rows of one time only the least id can be the
+    nearest; then a row's neighbours before and after it are all that must be looked at, so no pairs are made.
     """
-    bucket = lambda c: F.floor(c / tolerance)
-    a = left.withColumn("__bucket", bucket(F.col(t)))
-    b = right.withColumnRenamed(t, f"r_{t}").withColumn("__bucket", F.explode(F.sequence(bucket(F.col(f"r_{t}")) - 1, bucket(F.col(f"r_{t}")) + 1)))
-    met = a.join(b, "__bucket").withColumn("gap", F.abs(F.col(t) - F.col(f"r_{t}"))).where(F.col("gap") <= tolerance)
-    if on is not None:
-        met = met.where(on)
-    names = [c for c in met.columns if c not in left.columns and c != "__bucket"]
-    # the best partner is an aggregate, so a busy bucket is combined before it moves
-    best = met.groupBy(*left.columns).agg(F.min(F.struct("gap", right_id, *[c for c in names if c not in ("gap", right_id)])).alias("__best"))
+    payload = [right_id, *[c for c in right.columns if c not in (t, right_id)]]
+    first = right.groupBy(t).agg(F.min(F.struct(*payload)).alias("__r")).select(t, "__r.*")
+    both = neighbours_join(left, first, [], t, tolerance, payload)
+    one = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.col(f"{side}.{t}") - F.col(t)).alias("gap"), *(F.col(f"{side}.{c}").alias(c) for c in payload), F.col(f"{side}.{t}").alias(f"r_{t}")))
+    best = both.withColumn("__best", F.least(one("before"), one("after"))).where("__best is not null")
     return best.select(*left.columns, "__best.*")
 
 

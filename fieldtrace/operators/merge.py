@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import cut
 from .joins import grid_join
+from .windows import gap_runs
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -91,32 +93,68 @@ def changed(old: DataFrame, new: DataFrame, key: str, columns: list[str], seq: s
     return both.withColumns({seq: F.when(F.col("__differs"), F.lit(next_seq) + F.col("__number")).otherwise(F.col(seq)), **values}).select(old.columns)
 
 
+def closed_aliases(aliases: DataFrame) -> DataFrame:
+    """(uid, target) with every target followed to its end. Each round doubles how far a uid sees; a circle of aliases keeps one of its uids."""
+    now = aliases.where("uid <> target").groupBy("uid").agg(F.min("target").alias("target"))
+    while True:
+        step = now.select(F.col("uid").alias("target"), F.col("target").alias("__next"))
+        after = cut(now.join(step, "target", "left").select("uid", "target", F.coalesce("__next", "target").alias("__far")))
+        if not after.where("__far <> target and __far <> uid").limit(1).count():
+            return after.select("uid", "target")
+        now = after.where("__far <> uid").select("uid", F.col("__far").alias("target"))
+
+
+def _better(source_rank: str, confidence: str) -> Column:
+    return F.struct(F.col(source_rank), F.col(confidence))
+
+
 def merge_events(old: DataFrame, new: DataFrame, aliases: DataFrame, within_ms: int = 600_000) -> tuple[DataFrame, DataFrame]:
-    """(events, aliases) after a batch of new events (uid, camera_id, t_ms, source_rank, confidence, note) has been merged in.
+    """(events, aliases) after new events (uid, camera_id, t_ms, source_rank, confidence, note) have come in one by one, in the order of time and uid.
+
+    An event first goes to the event of its uid, by way of ``aliases`` (uid, target). Else it goes to that of its camera that is nearest in time, at most ``within_ms`` away (the earlier, then
+    the smaller uid, of two as near), whether that was there before or came just now; else it is added. Where two meet, a better one, by rank of source and
+    then confidence, gives time, rank and confidence; a note is kept where there is one. A uid that was merged away becomes an alias.
 
-    A new event goes to the old one of the same uid, by way of ``aliases`` (uid, target), else to that of its camera that is nearest in time,
-    at most ``within_ms`` away (the earlier, then the smaller uid, of two as near). The better of those that meet, by rank of source and then
-    confidence (the old one, then the smaller uid, of equal ones), gives the measured columns; a note is kept where there is one. Events that
-    meet no old one are added; of those with the same uid the best. A uid that was merged away becomes an alias.
+    Events with a known uid are merged before the others. Only rows of a camera between gaps of more than ``within_ms`` can meet, so each such run is merged by itself, and
+    only runs of several rows with a new one are; a run's rows are a few numbers each.
     """
-    known = new.join(aliases.select("uid", F.col("target")), "uid", "left").withColumn("uid2", F.coalesce("target", "uid"))
-    same = known.join(old.select(F.col("uid").alias("uid2"), F.lit(True).alias("__same")), "uid2", "left")
-    direct = same.where("__same").select(F.col("uid2").alias("to"), "uid", "t_ms", "source_rank", "confidence", "note", "camera_id")
-    rest = same.where("__same is null").select("uid", "camera_id", "t_ms", "source_rank", "confidence", "note")
-    bucket = lambda c: F.floor(c / within_ms)
-    b = old.select("camera_id", F.col("uid").alias("__to"), F.col("t_ms").alias("__t")).withColumn("__bucket", F.explode(F.sequence(bucket(F.col("__t")) - 1, bucket(F.col("__t")) + 1)))
-    gap = F.abs(F.col("t_ms") - F.col("__t"))
-    met = rest.withColumn("__bucket", bucket(F.col("t_ms"))).join(b, ["camera_id", "__bucket"]).where(gap <= within_ms)
-    near = met.groupBy("uid", "camera_id", "t_ms", "source_rank", "confidence", "note").agg(F.min(F.struct(gap.alias("gap"), "__t", "__to"))["__to"].alias("to"))
-    names = ["to", "uid", "camera_id", "t_ms", "source_rank", "confidence", "note"]
-    taken = direct.select(names).unionByName(near.select(names))
-    free = rest.join(near.select("uid").distinct(), "uid", "left_anti").withColumn("to", F.col("uid"))
-    every = old.select(F.col("uid").alias("to"), *names[1:], F.lit(1).alias("__old")).unionByName(taken.unionByName(free.select(names)).withColumn("__old", F.lit(0)))
-    order = F.struct("source_rank", "confidence", "__old")
-    w = Window.partitionBy("to").orderBy(F.desc(order), "uid", "t_ms", "note")
-    kept = every.withColumn("__r", F.row_number().over(w)).withColumn("note", F.first("note", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("__r = 1")
-    gone = taken.where("uid <> to").select("uid", F.col("to").alias("target")).distinct()
-    return kept.select(F.col("to").alias("uid"), *names[2:]), aliases.select("uid", "target").unionByName(gone).dropDuplicates(["uid"])
+    names = ["uid", "camera_id", "t_ms", "source_rank", "confidence", "note"]
+    known = new.select(names).join(closed_aliases(aliases), "uid", "left").withColumn("to", F.coalesce("target", "uid"))
+    same = known.join(old.select(F.col("uid").alias("to"), F.lit(True).alias("__same")), "to", "left")
+    # events of a known uid: the best of all gives the numbers, the old one of equal ones, then the earlier
+    meet = old.select(F.col("uid").alias("to"), *names, F.lit(1).alias("__old")).unionByName(same.where("__same").select("to", *names).withColumn("__old", F.lit(0)))
+    w = Window.partitionBy("to").orderBy(F.desc(_better("source_rank", "confidence")), F.desc("__old"), "t_ms", "uid")
+    earlier = Window.partitionBy("to").orderBy(F.desc("__old"), "t_ms", "uid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = meet.withColumns({"__r": F.row_number().over(w), "note": F.first("note", ignorenulls=True).over(earlier), "camera_id": F.first("camera_id").over(earlier)}).where("__r = 1")
+    rows = best.select(F.col("to").alias("uid"), *names[1:], F.lit(True).alias("old"))
+    free = same.where("__same is null").select(*names, F.lit(False).alias("old"))
+    every = gap_runs(rows.unionByName(free), ["camera_id"], "t_ms", within_ms, "__run", tie="uid")
+    run = Window.partitionBy("camera_id", "__run")
+    every = cut(every.withColumn("__fold", (F.count("*").over(run) > 1) & F.bool_or(~F.col("old")).over(run)))
+    kinds = dict(every.dtypes)
+
+    def over(table: pa.Table) -> pa.Table:
+        there = [r for r in table.to_pylist() if r["old"]]
+        gone = []
+        for e in sorted((r for r in table.to_pylist() if not r["old"]), key=lambda r: (r["t_ms"], r["uid"], -r["source_rank"], -r["confidence"], r["note"] or "")):
+            same_uid = next((r for r in there if r["uid"] == e["uid"]), None)
+            near = [r for r in there if abs(r["t_ms"] - e["t_ms"]) <= within_ms]
+            to = same_uid or min(near, key=lambda r: (abs(r["t_ms"] - e["t_ms"]), r["t_ms"], r["uid"]), default=None)
+            if to is None:
+                there.append(e)
+                continue
+            if (e["source_rank"], e["confidence"]) > (to["source_rank"], to["confidence"]):
+                to |= {c: e[c] for c in ("t_ms", "source_rank", "confidence")}
+            to["note"] = to["note"] if to["note"] is not None else e["note"]
+            if to["uid"] != e["uid"]:
+                gone.append({**e, "target": to["uid"]})
+        made = [{**r, "target": None} for r in there] + gone
+        return pa.Table.from_pylist([{c: r[c] for c in (*names, "target")} for r in made], schema=pa.schema([*(table.schema.field(c) for c in names), pa.field("target", table.schema.field("uid").type)]))
+
+    folded = cut(every.where("__fold").drop("__fold").groupBy("camera_id", "__run").applyInArrow(over, ", ".join(f"{c} {kinds[c]}" for c in names) + f", target {kinds['uid']}"))
+    kept = every.where("not __fold").select(names).unionByName(folded.where("target is null").select(names))
+    gone = folded.where("target is not null").select("uid", "target").unionByName(same.where("__same and uid <> to").select("uid", F.col("to").alias("target")))
+    return kept, aliases.select("uid", "target").unionByName(gone).dropDuplicates(["uid"])
 
 
 def one_of_each_place(rows: DataFrame, metres: float) -> DataFrame:
@@ -124,8 +162,8 @@ def one_of_each_place(rows: DataFrame, metres: float) -> DataFrame:
 
     A row that stays without a phone takes the least phone of those near it. Rows of a key meet by grid cells, not all with all.
     """
-    others = rows.select(F.col("id").alias("o_id"), F.col("key").alias("o_key"), F.col("score").alias("o_score"), F.col("phone").alias("o_phone"), "lat", "lon")
-    near = grid_join(rows.select("id", "key", "score", "lat", "lon"), others, metres).where("key = o_key and id <> o_id")
+    others = rows.select(F.col("id").alias("o_id"), "key", F.col("score").alias("o_score"), F.col("phone").alias("o_phone"), "lat", "lon")
+    near = grid_join(rows.select("id", "key", "score", "lat", "lon"), others, metres, on=("key",)).where("id <> o_id")
     better = (F.col("o_score") > F.col("score")) | ((F.col("o_score") == F.col("score")) & (F.col("o_id") < F.col("id")))
     seen = near.groupBy("id").agg(F.bool_or(better).alias("__beaten"), F.min("o_phone").alias("__phone"))
     return rows.join(seen, "id", "left").where("not coalesce(__beaten, false)").withColumn("phone", F.coalesce("phone", "__phone")).select(rows.columns)

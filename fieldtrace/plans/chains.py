@@ -93,31 +93,29 @@ def t04b_views(spark, d):
     return v.select("device", "id", "pass", at(F.col("in_view_s"), 3).alias("ms"), "front", "rear", "facing", "camera_dir", at(F.col("p_view"), 6).alias("view6"), at(F.col("p_read"), 6).alias("read6"))
 
 
-#: Old and new events from the passes: odd lines are old, the others come in, some with the uid of an old one.
-_EVENTS_SQL = """, ev as (select uid, camera_id, t_ms, case when distance_m < 20 then 2 when distance_m < 40 then 1 else 0 end as source_rank, confidence, case when confidence % 3 = 0 then plate end as note, row_number() over (partition by camera_id order by t_ms, uid) as k from passes),
- o as (select * from ev where k % 3 = 1), i as (select * from ev where k % 3 = 2),
- near as (select i.uid, o.uid as target, row_number() over (partition by i.uid order by abs(i.t_ms - o.t_ms), o.t_ms, o.uid) as r from i join o on i.camera_id = o.camera_id and abs(i.t_ms - o.t_ms) <= 600000),
- al as (select uid, target from near where r = 1),
- al2 as (select coalesce(al.target, i.uid) as target, i.uid, i.camera_id, i.t_ms, i.source_rank, i.confidence, i.note, 0 as old from i left join al on al.uid = i.uid union all select uid, uid, camera_id, t_ms, source_rank, confidence, note, 1 from o),
- best as (select *, row_number() over w as r, first_value(note ignore nulls) over (partition by target order by source_rank desc, confidence desc, old desc, uid rows between unbounded preceding and unbounded following) as kept from al2 window w as (partition by target order by source_rank desc, confidence desc, old desc, uid))"""
-
-
 def _events(spark, d):
+    """Every third pass of an asset is old, the others come in; of those every fifth has the uid of a new one before it, by way of an alias of an alias."""
     p = passes(spark, d)
-    k = F.row_number().over(Window.partitionBy("camera_id").orderBy("t_ms", "uid"))
     rank = F.when(F.col("distance_m") < 20, 2).when(F.col("distance_m") < 40, 1).otherwise(0)
-    ev = p.select("uid", "camera_id", "t_ms", rank.alias("source_rank"), "confidence", F.when(F.col("confidence") % 3 == 0, F.col("plate")).alias("note"), k.alias("k"))
-    none = ev.select("uid", F.col("uid").alias("target")).limit(0)
-    return M.merge_events(ev.where("k % 3 = 1").drop("k"), ev.where("k % 3 = 2").drop("k"), none)
+    k = F.crc32("uid")
+    ev = p.select("uid", "camera_id", "t_ms", rank.alias("source_rank"), "confidence", F.when(F.col("confidence") % 3 == 0, F.col("plate")).alias("note"), (k % 3 == 0).alias("old"), (k % 15 == 1).alias("other"))
+    renamed = F.concat(F.lit("again:"), F.col("uid"))
+    old = ev.where("old").drop("old", "other")
+    # the first old event of each asset is known by two more names, one the alias of the other
+    first = old.groupBy("camera_id").agg(F.min(F.struct("t_ms", "uid"))["uid"].alias("uid"))
+    aliases = first.select(F.concat(F.lit("alias:"), F.col("camera_id").cast("string")).alias("uid"), F.col("uid").alias("target")).union(first.select(F.concat(F.lit("more:"), F.col("camera_id").cast("string")), F.concat(F.lit("alias:"), F.col("camera_id").cast("string"))))
+    one = ev.where("other").groupBy("camera_id").agg(F.min("uid").alias("uid"), F.lit(True).alias("named"))
+    new = ev.where("not old").join(one, ["camera_id", "uid"], "left").withColumn("uid", F.when(F.col("named"), F.concat(F.lit("more:"), F.col("camera_id").cast("string"))).when(F.col("other"), renamed).otherwise(F.col("uid")))
+    return M.merge_events(old, new.drop("old", "other", "named"), aliases)
 
 
-@query(sql("passes", f"{_EVENTS_SQL} select target as uid, camera_id, t_ms, source_rank, confidence, kept as note from best where r = 1"))
+@query()
 def w06_event_merge(spark, d):
-    """New events merged into those of the same asset within ten minutes; the better source gives the numbers."""
+    """New events merged one by one into those of the same asset within ten minutes, or of the same uid; the better source gives the numbers."""
     return _events(spark, d)[0]
 
 
-@query(sql("passes", f"{_EVENTS_SQL} select uid, target from al"))
+@query()
 def w06b_event_aliases(spark, d):
     """The uids that were merged away, and where they went."""
     return _events(spark, d)[1]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import plates
-from fieldtrace.operators import aggregates, folds, joins, locate, merge, passes
+from fieldtrace.operators import aggregates, folds, graph, joins, locate, merge, passes
 from fieldtrace.operators.windows import metres
 
 
@@ -242,6 +242,85 @@ def test_route_lines(spark):
     assert got == [("a", 0, 0), ("a", 0, 1), ("a", 0, 2), ("a", 0, 4), ("a", 0, 5), ("a", 0, 6), ("a", 0, 7), ("a", 1, 9), ("a", 1, 11), ("b", 0, 0)] or got == [("a", 0, 0), ("a", 0, 1), ("a", 0, 2), ("a", 0, 4), ("a", 0, 6), ("a", 0, 7), ("a", 1, 9), ("a", 1, 11), ("b", 0, 0)]
 
 
+def test_route_lines_of_a_busy_key_in_parts(spark):
+    """Lines are numbered over the parts between gaps, and no point of a line is near the one before it."""
+    rng = random.Random(14)
+    rows = [("a", k, k * 20_000 + (k // 30) * 2_000_000, *at(k * 12 + rng.uniform(-4, 4), rng.uniform(-4, 4)), 5.0) for k in range(300)]
+    got = {r.n: r.line for r in folds.route_lines(spark.createDataFrame(rows, TRACK), "device").collect()}
+    assert [got[k] for k in range(0, 300, 30)] == list(range(10)) and got[299] == 9
+    for line in range(10):
+        own = sorted(n for n, x in got.items() if x == line)
+        assert all(n // 30 == line for n in own) and all(metres(*rows[a][3:5], *rows[b][3:5]) >= 20 for a, b in itertools.pairwise(own[:-1]))
+
+
+def test_interval_nearest_against_all_pairs(spark):
+    rng = random.Random(15)
+    left = [(k, rng.choice([0, 100, rng.randrange(20_000)])) for k in range(300)]
+    right = [(k, rng.choice([0, 100, 101, rng.randrange(20_000)]), rng.random()) for k in range(300)]
+    got = {r.a: (r.gap, r.b, r.r_t, r.x) for r in joins.interval_nearest(spark.createDataFrame(left, "a long, t long"), spark.createDataFrame(right, "b long, t long, x double"), "t", 50, "a", "b").collect()}
+    want = {a: min((abs(t - u), b, u, x) for b, u, x in right) for a, t in left}
+    assert got == {a: w for a, w in want.items() if w[0] <= 50} and len(got) > 100
+
+
+EVENT = "uid string, camera_id long, t_ms long, source_rank int, confidence int, note string"
+
+
+def merged(old, new, aliases, within=600_000):
+    """One event after another into a plain list; those of a known uid first."""
+    there, known = [dict(zip(("uid", "camera_id", "t_ms", "source_rank", "confidence", "note"), r, strict=True)) for r in old], dict(aliases)
+    names = {r["uid"] for r in there}
+
+    def root(uid):
+        while uid not in names and uid in known:
+            uid = known[uid]
+        return uid
+
+    order = sorted(new, key=lambda r: (root(r[0]) not in names, r[2], r[0]))
+    for r in order:
+        e = dict(zip(("uid", "camera_id", "t_ms", "source_rank", "confidence", "note"), r, strict=True))
+        to = next((x for x in there if x["uid"] == root(e["uid"])), None)
+        near = [x for x in there if x["camera_id"] == e["camera_id"] and abs(x["t_ms"] - e["t_ms"]) <= within]
+        to = to or min(near, key=lambda x: (abs(x["t_ms"] - e["t_ms"]), x["t_ms"], x["uid"]), default=None)
+        if to is None:
+            there.append(e)
+            continue
+        if (e["source_rank"], e["confidence"]) > (to["source_rank"], to["confidence"]):
+            to |= {c: e[c] for c in ("t_ms", "source_rank", "confidence")}
+        to["note"] = to["note"] or e["note"]
+        if to["uid"] != e["uid"]:
+            known[e["uid"]] = to["uid"]
+    return sorted((tuple(x.values()) for x in there), key=str), known
+
+
+def test_event_merge_against_one_by_one(spark):
+    """Two new events a minute apart merge; chains of events, aliases of aliases, one camera with nine tenths of all."""
+    rng = random.Random(16)
+    event = lambda k, kind: (f"{kind}{k}", rng.choice([1] * 9 + [2]), rng.randrange(400) * 120_000, rng.randrange(3), rng.randrange(4), rng.choice([None, f"n{k}"]))
+    old, new = [event(k, "o") for k in range(60)], [event(k, "e") for k in range(90)]
+    new[3] = ("second", *new[3][1:])
+    new[4] = ("o7", *new[4][1:])
+    aliases = [("first", "o5"), ("second", "first")]
+    new += [("x1", 77, 1_000, 0, 1, None), ("x2", 77, 61_000, 1, 0, "better"), ("x3", 77, 5_000_000, 0, 0, None)]
+    kept, known = merge.merge_events(spark.createDataFrame(old, EVENT), spark.createDataFrame(new, EVENT), spark.createDataFrame(aliases, "uid string, target string"))
+    want, names = merged(old, new, aliases)
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == want
+    got = {r.uid: r.target for r in known.collect()}
+    assert {k: v for k, v in got.items() if k not in ("first", "second")} == {k: v for k, v in names.items() if k not in ("first", "second")}
+    assert ("x1", 77, 61_000, 1, 0, "better") in want and got["x2"] == "x1"
+
+
+def test_places_in_order_against_a_loop(spark):
+    rng = random.Random(17)
+    nodes = list(range(200))
+    pairs = [(a, b) for a in nodes for b in nodes if a < b and rng.random() < (0.9 if a == 0 and b % 3 else 0.02)]
+    kept = []
+    for n in nodes:
+        if not any((k, n) in set(pairs) for k in kept):
+            kept.append(n)
+    out = graph.first_come(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(pairs, "before long, after long")).collect()
+    assert sorted(r.node for r in out if r.kept) == kept and len(out) == 200
+
+
 def test_trilateration_finds_the_place_and_keeps_to_the_prior(spark):
     rng = random.Random(9)
     anchors = [(-80, 10), (70, 40), (10, -90), (40, 90)]
