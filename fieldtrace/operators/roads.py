@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from .graph import cut
 from .joins import grid_join
 from .passes import with_neighbours
 
@@ -160,17 +161,19 @@ def matched_passes(passes: DataFrame, fixes: DataFrame, ways: DataFrame, near: D
     independent samples. ``factor`` multiplies the chance of a read. ``status`` tells passes without roads near or without a watched way, whose factor is 1.
     """
     keys = [key, "id", "pass"]
+    # each of these is read several times below
+    passes, near, watched = cut(passes), cut(near), cut(watched)
     w = watched.where("way is not null").select("id", F.col("way").alias("watched"), F.col("layer").alias("w_layer"), F.col("oneway").alias("w_oneway"))
-    s = _samples(passes, fixes, key).join(w, "id").withColumnsRenamed({"lat": "s_lat", "lon": "s_lon"})
+    s = cut(_samples(passes, fixes, key).join(w, "id").withColumnsRenamed({"lat": "s_lat", "lon": "s_lon"}))
     legs = near.select("id", "way", "layer", "oneway", "k", "lat", "lon", "lat2", "lon2")
     facts = _closest_facts(s, legs, keys)
     sigma = F.greatest(F.lit(4.0), F.when(F.col("acc") > 0, F.col("acc")).otherwise(8.0) / 1.515)
-    s = s.join(facts.select(*keys, "opposite"), keys).withColumn("sigma", sigma)
+    s = cut(s.join(facts.select(*keys, "opposite"), keys).withColumn("sigma", sigma))
     on = _on_leg(F.col("s_lat"), F.col("s_lon"))
     one = [*keys, "sample", "way"]
     carried = ["watched", "w_layer", "opposite", "layer", "oneway", "closest", "win", "n", "sigma", "heading"]
     rows = s.join(legs, "id").groupBy(*one, *carried).agg(F.min(F.struct(on["metres"].alias("metres"), "k", on["bearing"].alias("bearing"), on["at_lat"].alias("at_lat"), on["at_lon"].alias("at_lon"))).alias("on"))
-    rows = rows.where((F.col("on.metres") <= F.greatest(F.lit(60.0), 3 * F.col("sigma") + 10)) | (F.col("way") == F.col("watched")))
+    rows = cut(rows.where((F.col("on.metres") <= F.greatest(F.lit(60.0), 3 * F.col("sigma") + 10)) | (F.col("way") == F.col("watched"))))
     # how far the matched point of another way is from the axis of the watched one
     axis = legs.select("id", F.col("way").alias("watched"), "lat", "lon", "lat2", "lon2")
     away = rows.where("way <> watched").select(*one, "watched", "on").join(axis, ["id", "watched"])
