@@ -1,7 +1,6 @@
 """Operators without SQL of equal rows, against plain Python over small tables."""
 
 import itertools
-import json
 import math
 import random
 
