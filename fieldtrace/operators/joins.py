@@ -15,14 +15,8 @@ WITHIN = "metres"
 _DEGREE = 111_000.0
 
 
-def grid_join(points: DataFrame, assets: DataFrame, metres: float, per_degree: int = 1000, lat: str = "lat", lon: str = "lon", on: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of a point and an asset at most ``metres`` apart, and equal in the columns ``on``, with the distance as ``metres``.
-
-    Rows of cells are 1 / ``per_degree`` degrees high, or as high as ``metres`` if that is more. Inside a row, cells are as wide as ``metres`` at
-    the row's edge toward the pole, so a pair is in the same or neighbouring cells at any latitude; longitudes go round at 180 degrees.
-    Points go to one cell. Assets go to the cells of three rows that they may be met in, three or a few more in each. The position columns of
-    the assets come back as ``a_lat`` and ``a_lon``; other names of the two sides must differ.
-    """
+def _grid(metres: float, per_degree: int, lat: str, lon: str):
+    """Two functions for ``grid_join``: one gives points their cell (__y, __x), one gives assets, as a_lat and a_lon, the cells that they may be met in."""
     high = max(1 / per_degree, metres / _DEGREE)
     row = lambda y: F.floor((y + 90.0) / high)
 
@@ -32,14 +26,42 @@ def grid_join(points: DataFrame, assets: DataFrame, metres: float, per_degree: i
         return F.greatest(F.floor(F.least(360.0 * F.cos(F.radians(edge)) * _DEGREE / metres, F.lit(360.0 / high))), F.lit(1))
 
     turn = lambda x: F.pmod(x + 180.0, F.lit(360.0))
-    p = points.withColumn("__y", row(F.col(lat)))
-    p = p.withColumn("__x", F.floor(turn(F.col(lon)) * cells(F.col("__y")) / 360.0))
-    a = assets.withColumnsRenamed({lat: "a_lat", lon: "a_lon"}).withColumn("__y", F.explode(F.sequence(row(F.col("a_lat")) - 1, row(F.col("a_lat")) + 1)))
-    many = cells(F.col("__y"))
-    at_x = F.floor(turn(F.col("a_lon")) * many / 360.0)
-    a = a.withColumn("__x", F.explode(F.array_distinct(F.transform(F.sequence(at_x - 1, at_x + 1), lambda x: F.pmod(x, many)))))
+
+    def of_points(points: DataFrame) -> DataFrame:
+        p = points.withColumn("__y", row(F.col(lat)))
+        return p.withColumn("__x", F.floor(turn(F.col(lon)) * cells(F.col("__y")) / 360.0))
+
+    def of_assets(assets: DataFrame) -> DataFrame:
+        a = assets.withColumnsRenamed({lat: "a_lat", lon: "a_lon"}).withColumn("__y", F.explode(F.sequence(row(F.col("a_lat")) - 1, row(F.col("a_lat")) + 1)))
+        many = cells(F.col("__y"))
+        at_x = F.floor(turn(F.col("a_lon")) * many / 360.0)
+        return a.withColumn("__x", F.explode(F.array_distinct(F.transform(F.sequence(at_x - 1, at_x + 1), lambda x: F.pmod(x, many)))))
+
+    return of_points, of_assets
+
+
+def grid_join(points: DataFrame, assets: DataFrame, metres: float, per_degree: int = 1000, lat: str = "lat", lon: str = "lon", on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a point and an asset at most ``metres`` apart, and equal in the columns ``on``, with the distance as ``metres``.
+
+    Rows of cells are 1 / ``per_degree`` degrees high, or as high as ``metres`` if that is more. Inside a row, cells are as wide as ``metres`` at
+    the row's edge toward the pole, so a pair is in the same or neighbouring cells at any latitude; longitudes go round at 180 degrees.
+    Points go to one cell. Assets go to the cells of three rows that they may be met in, three or a few more in each. The position columns of
+    the assets come back as ``a_lat`` and ``a_lon``; other names of the two sides must differ.
+    """
+    of_points, of_assets = _grid(metres, per_degree, lat, lon)
     d = haversine(F.col(lat), F.col(lon), F.col("a_lat"), F.col("a_lon"))
-    return p.join(a, ["__y", "__x", *on]).withColumn(WITHIN, d).where(F.col(WITHIN) <= metres).drop("__y", "__x")
+    return of_points(points).join(of_assets(assets), ["__y", "__x", *on]).withColumn(WITHIN, d).where(F.col(WITHIN) <= metres).drop("__y", "__x")
+
+
+def with_near(points: DataFrame, assets: DataFrame, metres: float, into: str = "near") -> DataFrame:
+    """Every point once, with the assets at most ``metres`` away as an array of (id, lat, lon); null or empty without any.
+
+    The assets of a cell are gathered first, as many as stand within some two widths of ``metres``; so ``points`` may be a stream, and each row of it stays one row.
+    """
+    of_points, of_assets = _grid(metres, 1000, "lat", "lon")
+    held = of_assets(assets.select("id", "lat", "lon")).groupBy("__y", "__x").agg(F.collect_list(F.struct("id", F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"))).alias(into))
+    near = F.filter(into, lambda a: haversine(F.col("lat"), F.col("lon"), a["lat"], a["lon"]) <= metres)
+    return of_points(points).join(held, ["__y", "__x"], "left").withColumn(into, near).drop("__y", "__x")
 
 
 def _bucketed(left: DataFrame, right: DataFrame, keys: list[str], t: str, tolerance: int, reach: tuple[int, int], payload: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo
 from .joins import grid_join
+from .windows import merged_intervals
 
 #: Points and weights of the Gauss-Hermite quadrature of seven points.
 NODES, WEIGHTS = np.polynomial.hermite.hermgauss(7)
@@ -255,3 +256,33 @@ def chance(bits: Column) -> Column:
     """The weight of the shifts whose bits are set."""
     weight = F.array(*(F.lit(float(a * b / np.pi)) for a in WEIGHTS for b in WEIGHTS))
     return F.aggregate(F.sequence(F.lit(0), F.lit(48)), F.lit(0.0), lambda s, i: s + F.when(F.getbit(bits, i) == 1, F.element_at(weight, i + 1)).otherwise(0.0))
+
+
+def changed_ranges(changed: DataFrame, key: str = "device", around_ms: int = 1_800_000) -> DataFrame:
+    """(key, low, high): the times of changed fixes (key, t_ms) with ``around_ms`` on either side, merged where they meet.
+
+    Times are brought together by quarters of ``around_ms`` before they are sorted, so a key's bulk of new fixes isn't one window.
+    """
+    part = F.floor(F.col("t_ms") / (around_ms // 4))
+    spans = changed.groupBy(key, part.alias("__part")).agg((F.min("t_ms") - around_ms).alias("low"), (F.max("t_ms") + around_ms).alias("high"))
+    return merged_intervals(spans, [key], "low", "high").select(key, "low", "high")
+
+
+def backfilled(old: DataFrame, fixes: DataFrame, changed: DataFrame, assets: DataFrame, key: str = "device", around_ms: int = 1_800_000, radius: float = 65.0) -> DataFrame:
+    """Passes after some fixes have come late: those of ``old`` (key, id, start_ms, end_ms, c_ms, metres, dwell_ms) outside the changed times, and those inside detected again.
+
+    ``fixes`` are all there are now, ``changed`` (key, t_ms) those that ``old`` doesn't know. A changed range owns the passes whose closest approach is in it, from its low end up to, but
+    not with, its high one; fixes are read as far again on either side. Only what was read is detected: days that nothing changed in are left alone. With passes shorter than
+    ``around_ms`` the result is that of a whole detection.
+    """
+    day = lambda c: F.floor(c / _DAY)
+    ranges = changed_ranges(changed, key, around_ms)
+
+    def within(rows: DataFrame, at: str, more: int, how: str) -> DataFrame:
+        low, high = F.col("low") - more, F.col("high") + more
+        days = ranges.select(F.col(key).alias("__key"), low.alias("__low"), high.alias("__high"), F.explode(F.sequence(day(low), day(high))).alias("__day"))
+        return rows.join(days, (F.col(key) == F.col("__key")) & (day(F.col(at)) == F.col("__day")) & (F.col(at) >= F.col("__low")) & (F.col(at) < F.col("__high")), how)
+
+    columns = [key, "id", "start_ms", "end_ms", "c_ms", "metres", "dwell_ms"]
+    again = passes_of(with_pass(near_legs(legs(within(fixes, "t_ms", around_ms, "left_semi"), key), assets, radius, key), key), radius, key)
+    return within(old.select(columns), "c_ms", 0, "left_anti").union(within(again.select(columns), "c_ms", 0, "left_semi"))
