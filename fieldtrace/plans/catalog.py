@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("joins", "relational", "aggregates", "windowed", "scalars", "merges", "composites", "sources", "kernels", "streams", "more", "chains", "further", "roads", "places", "receivers")
+MODULES = ("joins", "relational", "aggregates", "windowed", "scalars", "merges", "composites", "sources", "kernels", "streams", "more", "chains", "further", "roads", "places", "receivers", "rules")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
