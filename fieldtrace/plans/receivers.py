@@ -12,11 +12,11 @@ from .common import at
 
 @query()
 def x13_scan_location(spark, d):
-    """Where each device is hour by hour, from the transmitters that it hears and their places, one in nine of which is wrong by far."""
-    o = observations(spark, d).groupBy("device", F.floor(F.col("t_ms") / 3_600_000).alias("hour"), "bssid").agg(F.max("dbm").alias("dbm"))
+    """Where each device is day by day, from the transmitters that it hears and their places, one in nine of which is wrong by far."""
+    o = observations(spark, d).groupBy("device", F.floor(F.col("t_ms") / 86_400_000).alias("day"), "bssid").agg(F.max("dbm").alias("dbm"))
     k = F.substring("bssid", 3, 9).cast("long")
     place = {"lat": _place(40.0, k, 7919, 10007) + F.when(k % 9 == 0, 0.05).otherwise(0.0), "lon": _place(-75.0, k, 104729, 10009), "acc": (5 + k % 30).cast("double"), "mhz": F.when(k % 3 == 0, 5180).when(k % 7 == 0, 6105).otherwise(2437), "weight": (1 + k % 4) / 4}
-    h = o.select(F.concat_ws(":", "device", "hour").alias("scan"), F.col("bssid").alias("id"), "dbm", *(v.alias(c) for c, v in place.items()))
+    h = o.select(F.concat_ws(":", "device", "day").alias("scan"), F.col("bssid").alias("id"), "dbm", *(v.alias(c) for c, v in place.items()))
     r = receiver.self_locations(h, "scan")
     return r.select("scan", at(F.col("lat"), 6).alias("lat6"), at(F.col("lon"), 6).alias("lon6"), *(at(F.col(c), 2).alias(f"{c}2") for c in ("acc", "r95", "rms")), "used", "rejected", "integrity", F.array_join("excluded", ",").alias("excluded"))
 
