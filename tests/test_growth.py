@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from fieldtrace.operators import joins
+from fieldtrace.operators import joins, merge
+from fieldtrace.operators.windows import metres
 
 
 def test_token_sets_meet_once_whatever_their_rows(spark):
@@ -29,3 +31,60 @@ def test_only_best_superset_against_all_pairs(spark):
     schema = "long, tokens array<string>"
     got = joins.only_best_superset(spark.createDataFrame(w, f"w {schema}"), spark.createDataFrame(o, f"o {schema}"), "w", "o").collect()
     assert {tuple(r) for r in got} == want and want and len(got) == len(want)
+
+
+def _world(rng, n, lat=(40.0, 40.01), lon=(-75.0, -74.99)):
+    return [(k, rng.uniform(*lat), rng.uniform(*lon)) for k in range(n)]
+
+
+def _tables(spark, a, b):
+    return spark.createDataFrame(a, "p long, lat double, lon double"), spark.createDataFrame(b, "q long, lat double, lon double")
+
+
+@pytest.mark.parametrize("lat, lon", [((40.0, 40.01), (-75.0, -74.99)), ((-0.005, 0.005), (179.995, 180.005)), ((89.99, 90.0), (-180.0, 180.0)), ((70.0, 70.01), (10.0, 10.03))])
+@pytest.mark.parametrize("k, most, beyond", [(1, 101.0, None), (5, 600.0, 150.0)])
+def test_nearest_against_all_pairs(spark, monkeypatch, lat, lon, k, most, beyond):
+    rng = random.Random(k)
+    a, b = _world(rng, 400, lat, lon), _world(rng, 40, lat, lon)
+    wrap = lambda rows: [(i, y, x - 360 if x > 180 else x) for i, y, x in rows]
+    a, b = wrap(a), wrap(b)
+    points, assets = _tables(spark, a, b)
+    monkeypatch.setattr(joins, "_density", lambda *_: 0.05)  # too much, so that it takes several rounds
+    got = {(r.q, r.r): r.p for r in joins.nearest(points, assets, "q", k, most, [F.col("__mm"), F.col("p")], beyond).collect()}
+    want = {}
+    for q, v, u in b:
+        far = sorted((int(m * 1000 + 0.5), p) for p, y, x in a if (m := metres(y, x, v, u)) <= most and m > (beyond or -1))
+        want |= {(q, r + 1): p for r, (_, p) in enumerate(far[:k])}
+    assert got == want and want
+
+
+def test_nearest_meets_few_pairs_in_a_crowd(spark):
+    rng = random.Random(2)
+    points, assets = _tables(spark, _world(rng, 20_000), _world(rng, 5))
+    cells = joins._ring_cells(assets.withColumnsRenamed({"lat": "a_lat", "lon": "a_lon"}), 10.0, 160.0, 150.0)
+    of_points, _ = joins._grid(10.0, 1_000_000_000, "lat", "lon")
+    assert of_points(points).join(cells, ["__y", "__x"]).count() < 10_000
+    assert joins.nearest(points, assets, "q", 20, 600.0, [F.col("__mm"), F.col("p")], 150.0).count() == 100
+
+
+@pytest.mark.parametrize("radius", [30.0, 200.0])
+def test_reached_against_all_pairs(spark, radius):
+    rng = random.Random(7)
+    a, b = _world(rng, 300), _world(rng, 60)
+    points, assets = _tables(spark, a, b)
+    got = joins.reached(points.withColumn("g", F.col("p") % 4), assets, radius, "g", "q").collect()
+    want = {(p % 4, q) for p, y, x in a for q, v, u in b if metres(y, x, v, u) <= radius}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_places_of_one_key_meet_the_best_of_their_cell_first(spark):
+    rng = random.Random(5)
+    rows = [(i, "k" if i % 3 else "m", y, x, rng.choice([None, 1, 2, 3]), f"p{i}" if i % 4 == 0 else None) for i, y, x in _world(rng, 300)]
+    df = spark.createDataFrame(rows, "id long, key string, lat double, lon double, score int, phone string")
+    got = {r.id: r.phone for r in merge.one_of_each_place(df, 200.0).collect()}
+    want = {}
+    for i, key, y, x, s, phone in rows:
+        near = [r for r in rows if r[0] != i and r[1] == key and metres(y, x, r[2], r[3]) <= 200]
+        if not any(s is not None and r[4] is not None and (r[4] > s or (r[4] == s and r[0] < i)) for r in near):
+            want[i] = phone or min((r[5] for r in near if r[5]), default=None)
+    assert got == want and len(want) < 200
