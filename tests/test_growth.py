@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.operators import joins, merge
 from fieldtrace.operators.windows import metres
+from fieldtrace.streaming import tracking
 
 
 def test_token_sets_meet_once_whatever_their_rows(spark):
@@ -88,3 +89,25 @@ def test_places_of_one_key_meet_the_best_of_their_cell_first(spark):
         if not any(s is not None and r[4] is not None and (r[4] > s or (r[4] == s and r[0] < i)) for r in near):
             want[i] = phone or min((r[5] for r in near if r[5]), default=None)
     assert got == want and len(want) < 200
+
+
+class _Map:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {"getValue": self.held.get, "containsKey": self.held.__contains__, "updateValue": self.held.__setitem__, "removeKey": self.held.pop, "keys": lambda: list(self.held)}[name]
+
+
+def test_waiting_rows_cost_calls_by_spans_and_one_timer():
+    waiting = _Map()
+    new = {ms: [(ms * 2, "a")] for ms in range(0, 3_000_000, 1000)}
+    assert tracking.put_by(waiting, new) == 0 and tracking.put_by(waiting, {5: [(1, "b")]}) == 5
+    got = list(tracking.taken_until(waiting, 1_499_000))
+    assert got == [(ms, [(ms * 2, "a")]) if ms != 5 else (5, [(1, "b")]) for ms in sorted([5, *range(0, 1_500_000, 1000)])]
+    assert tracking.first_waiting(waiting) == 1_500_000
+    assert list(tracking.taken_until(waiting, 3_000_000)) == [(ms, [(ms * 2, "a")]) for ms in range(1_500_000, 3_000_000, 1000)]
+    assert tracking.first_waiting(waiting) is None and waiting.calls < 60
