@@ -106,11 +106,12 @@ def n10_time_range_frame(spark, d):
     return tracks(spark, d).select("device", "n", F.count("*").over(Window.partitionBy("device").orderBy("t_ms").rangeBetween(-30_000, 30_000)).alias("around"))
 
 
-@query(sql("tracks", f", l as (select device, n, coalesce({hav_sql('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')}, 0) as m from tracks window w as (partition by device order by n)) select device, n, {at_sql('sum(m) over (partition by device order by n)', 1)} as total_dm from l"))
+@query(sql("tracks", f", l as (select device, n, coalesce({hav_sql('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')}, 0) as m from tracks window w as (partition by device order by n)) select device, n, cast((sum({at_sql('m', 9)}) over (partition by device order by n) + 50000000) // 100000000 as bigint) as total_dm from l"))
 def n11_cumulative_distance(spark, d):
+    """The way of a device so far. Its steps are whole nanometres, so that the sum doesn't depend on the order in which an engine adds."""
     w = Window.partitionBy("device").orderBy("n")
     legs = tracks(spark, d).withColumn("m", F.coalesce(geo.haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")), F.lit(0.0)))
-    return legs.select("device", "n", at(F.sum("m").over(w), 1).alias("total_dm"))
+    return legs.withColumn("__step", at(F.col("m"), 9)).withColumn("__nm", F.sum("__step").over(w)).select("device", "n", F.expr("(__nm + 50000000) div 100000000").alias("total_dm"))
 
 
 @query(sql("tracks", ", f as (select device, n, acc > 12 as inside from tracks), r as (select device, n, inside, n - row_number() over (partition by device, inside order by n) as run from f) select device, min(n) as first_n, max(n) as last_n from r where inside group by device, run"))

@@ -6,8 +6,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from fieldtrace.functions import plates
 from fieldtrace.operators import joins, merge
 from fieldtrace.operators.windows import metres
+from fieldtrace.plans import catalog
 from fieldtrace.streaming import tracking
 
 
@@ -111,3 +113,18 @@ def test_waiting_rows_cost_calls_by_spans_and_one_timer():
     assert tracking.first_waiting(waiting) == 1_500_000
     assert list(tracking.taken_until(waiting, 3_000_000)) == [(ms, [(ms * 2, "a")]) for ms in range(1_500_000, 3_000_000, 1000)]
     assert tracking.first_waiting(waiting) is None and waiting.calls < 60
+
+
+def test_cumulative_distance_adds_whole_numbers(spark):
+    plan = catalog.queries()["n11_cumulative_distance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "sum(__step" in plan and "bigint" in catalog.oracle_sql()["n11_cumulative_distance"].split("sum(")[1].split(" over")[0]
+    steps = catalog.queries()["n11_cumulative_distance"](spark, "/root/testdata/sf0.001")
+    assert dict(steps.dtypes)["total_dm"] == "bigint"
+
+
+def test_hotlist_reads_only_texts_that_may_be_wanted(spark):
+    reads = spark.range(3000).select(F.col("id").cast("string").alias("uid"), F.concat(F.lit("P"), F.col("id").cast("string")).alias("plate"), F.lit(0.6).alias("sure"))
+    wanted = spark.createDataFrame([("P1O", None), ("P77", None)], "wanted string, expires_ms long")
+    assert {r.plate for r in plates.may_be(reads, wanted, "plate", "wanted").collect()} == {"P10", "P77"}
+    got = {(r.uid, r.wanted, r.kind) for r in plates.hotlist(reads, wanted, spark.createDataFrame([("P5",)], "own string"), "uid", "plate", F.col("sure"), F.lit(1)).collect()}
+    assert got == {("10", "P1O", "possible"), ("77", "P77", "exact")}
