@@ -83,6 +83,8 @@ def k07_best_strings(spark, d):
     k = F.col("p_partkey")
     slot = lambda j: F.array(*(F.struct(F.lit("ABC"[c]).alias("char"), (((k * (7 + j) + c * 31) % 97 + 1) / 98.0).alias("p")) for c in range(3)))
     rows = read(spark, d, "part").select("p_partkey", F.array(*map(slot, range(5))).alias("slots"))
+    # the strings cost much more than the bytes that a file is split by
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
     return rows.select("p_partkey", F.array_join(F.transform(plates.likeliest("slots", 16), lambda x: x["text"]), ",").alias("best"))
 
 
