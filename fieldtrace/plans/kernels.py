@@ -54,11 +54,8 @@ def t05_merged_passes(spark, d):
 @query(sql("observations", ", e as (select distinct a.bssid as a, b.bssid as b from observations a join observations b on a.device = b.device and abs(a.t_ms - b.t_ms) <= 900000 and a.bssid < b.bssid), u as (select a, b from e union select b, a from e), recursive_r as (select a as node, a as seen from u union select r.node, u.b from recursive_r r join u on r.seen = u.a) select node, min(seen) as component from recursive_r group by node").replace("with observations", "with recursive observations", 1))
 def t15_transmitter_groups(spark, d):
     """Transmitters that are heard together, as connected components."""
-    o = observations(spark, d).select("device", "t_ms", "bssid")
-    bucket = F.floor(F.col("t_ms") / 900_000)
-    a = o.select("device", F.col("t_ms").alias("t"), F.col("bssid").alias("a"), bucket.alias("k"))
-    b = o.select("device", "t_ms", F.col("bssid").alias("b"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("k"))
-    links = a.join(b, ["device", "k"]).where("a < b and abs(t - t_ms) <= 900000").select("a", "b").distinct()
+    # what is heard next is all that a row must be linked to: whatever two rows have between them hangs together too
+    links = N.heard_next(observations(spark, d).select("device", "t_ms", "bssid"), ["device"], "t_ms", "bssid", 900_000)
     return graph.components(links, "a", "b")
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtrace.functions import plates
+from fieldtrace.functions import fusion, plates
 from fieldtrace.operators import folds, joins, merge, windows
 from fieldtrace.operators.windows import metres
 from fieldtrace.plans import catalog
@@ -158,3 +158,48 @@ def test_short_parts_share_a_call_and_long_ones_stay_whole(spark, size):
         assert {(r.camera_id, r.uid) for r in got.where("kept").collect()} == kept
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_names_heard_next_hang_together_like_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [(f"d{rng.randint(0, 2)}", rng.randint(0, 200_000) * 1000, f"n{rng.randint(0, 60)}") for _ in range(250)]
+    got = windows.heard_next(spark.createDataFrame(rows, "device string, t_ms long, bssid string"), ["device"], "t_ms", "bssid", 900_000).collect()
+    pairs = {tuple(sorted((x[2], y[2]))) for x in rows for y in rows if x[0] == y[0] and abs(x[1] - y[1]) <= 900_000 and x[2] != y[2]}
+
+    def parts(links):
+        low = {n: n for p in links for n in p}
+        while True:
+            after = {n: min([low[n], *(low[m] for p in links if n in p for m in p)]) for n in low}
+            if after == low:
+                return low
+            low = after
+
+    assert {tuple(r) for r in got} <= pairs and parts({tuple(r) for r in got}) == parts(pairs) and len(got) < len(pairs)
+    crowd = spark.range(3000).select(F.lit("d").alias("device"), F.lit(5).cast("long").alias("t_ms"), F.concat(F.lit("n"), "id").alias("bssid"))
+    assert windows.heard_next(crowd, ["device"], "t_ms", "bssid", 900_000).count() == 2999
+
+
+def test_strings_are_dealt_out_whatever_the_file(spark):
+    plan = catalog.queries()["k07_best_strings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
+
+
+def test_plate_tracks_share_a_call(spark):
+    slots = F.array(F.array(F.struct(F.lit("A").alias("char"), F.lit(0.9).alias("p"))))
+    reads = spark.range(600).select((F.col("id") % 200).alias("k"), "id", F.lit("A").alias("text"), slots.alias("slots"), F.lit(0.5).alias("q"), F.lit(0.9).alias("conf"))
+    made = fusion.fused_tracks(reads, ["k"], ["id"])
+    assert "FlatMapGroupsInArrow" not in made._jdf.queryExecution().toString()
+    assert sorted((r.k, r.text, r.frames) for r in made.collect()) == [(k, "A", 3) for k in range(200)]
+    rng = random.Random(6)
+    for _ in range(5000):
+        a, b = ("".join(rng.choices("AB01", k=rng.randint(0, 8))) for _ in range(2))
+        assert fusion.alike(a, b) == (plates.similarity(a, b) >= fusion.ALIKE_FROM)
+
+
+def test_runs_of_events_share_a_call(spark):
+    schema = "uid string, camera_id long, t_ms long, source_rank int, confidence int, note string"
+    old = spark.createDataFrame([(f"o{k}", k, 0, 1, 50, None) for k in range(300)], schema)
+    new = spark.createDataFrame([(f"n{k}", k, 1000, 2, 60, "x") for k in range(300)], schema)
+    events, aliases = merge.merge_events(old, new, spark.createDataFrame([], "uid string, target string"))
+    assert sorted(events.collect()) == sorted((f"o{k}", k, 1000, 2, 60, "x") for k in range(300))
+    assert sorted(map(tuple, aliases.collect())) == sorted((f"n{k}", f"o{k}") for k in range(300))
