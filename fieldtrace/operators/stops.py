@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .folds import _far, _grouped, streamed
+from .folds import _far, _grouped, farther, streamed
 from .graph import first_come
 from .joins import grid_join
 from .windows import metres
@@ -53,7 +53,7 @@ def place_sightings(seen: DataFrame, key: str = "bssid", keep: int = 24) -> Data
 
         def step(o: dict) -> list[dict]:
             acc = o["acc"] if o["acc"] and o["acc"] > 0 else 50_000.0
-            there = next((p for p in places if _far(p, o) <= max(p["acc"], acc)), None)
+            there = next((p for p in places if not farther(p, o, limit := max(p["acc"], acc)) and _far(p, o) <= limit), None)
             if there is None:
                 places.append({key: o[key], "lat": o["lat"], "lon": o["lon"], "acc": acc, "t_ms": o["t_ms"]})
                 del places[:-keep]

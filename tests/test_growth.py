@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,23 @@ def test_runs_of_events_share_a_call(spark):
     events, aliases = merge.merge_events(old, new, spark.createDataFrame([], "uid string, target string"))
     assert sorted(events.collect()) == sorted((f"o{k}", k, 1000, 2, 60, "x") for k in range(300))
     assert sorted(map(tuple, aliases.collect())) == sorted((f"n{k}", f"o{k}") for k in range(300))
+
+
+def test_metres_of_folds_are_plain_numbers(monkeypatch):
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b, c, d = rng.uniform(-90, 90), rng.uniform(-180, 180), rng.uniform(-90, 90), rng.uniform(-180, 180)
+        p, q = (np.array([np.cos(np.radians(y)) * np.cos(np.radians(x)), np.cos(np.radians(y)) * np.sin(np.radians(x)), np.sin(np.radians(y))]) for y, x in ((a, b), (c, d)))
+        assert metres(a, b, c, d) == pytest.approx(2 * 6_371_000.0 * np.arcsin(min(1.0, np.linalg.norm(p - q) / 2)), abs=0.01)
+    # a numpy function of one number costs some ten times as much
+    monkeypatch.setattr(windows, "np", None)
+    assert metres(40.0, -75.0, 40.0, -75.0) == 0.0
+
+
+def test_latitudes_tell_only_what_is_too_far():
+    rng = random.Random(10)
+    for _ in range(3000):
+        a, b = ({"lat": 40 + rng.uniform(-0.01, 0.01), "lon": rng.uniform(-0.01, 0.01)} for _ in range(2))
+        limit = rng.choice([0.0, 80.0, 400.0, metres(a["lat"], a["lon"], b["lat"], b["lon"])])
+        assert not (folds.farther(a, b, limit) and metres(a["lat"], a["lon"], b["lat"], b["lon"]) <= limit)
+    assert folds.farther({"lat": 1.0}, {"lat": 1.01}, 1000.0)
