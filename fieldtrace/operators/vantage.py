@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .joins import grid_join
+from .graph import cut
+from .joins import _grid, grid_join
 from .roads import asset_legs
 
 #: Ways that a walker may use beside roads, and those that count as made for walking; ways that no car takes.
@@ -19,8 +20,8 @@ ROADS = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified"
 STEP_M, LEAST_M, MOST_M, PREFERRED_M, APART_M, SPOTS = 5.0, 20.0, 60.0, (25.0, 45.0), 10.0, 3
 #: Rings that are tried where no way has a spot, and degrees between the spots of a ring.
 RINGS_M, RING_DEG = (30.0, 40.0, 50.0), 15
-#: An asset is taken to see so many degrees and metres more than its view says, and all of its pole's surroundings.
-WIDER_DEG, FARTHER, FARTHER_M, POLE_M = 15.0, 1.5, 10.0, 15.0
+#: An asset is taken to see so many degrees and metres more than its view says, and all of its pole's surroundings; nothing is seen from farther than the last number.
+WIDER_DEG, FARTHER, FARTHER_M, POLE_M, FARTHEST_M = 15.0, 1.5, 10.0, 15.0, 125.0
 
 
 def _accepted(highway: Column, walking: bool) -> Column:
@@ -40,12 +41,22 @@ def side_score(bearing: Column, dirs: Column) -> Column:
 
 
 def _unseen(spots: DataFrame, watchers: DataFrame) -> DataFrame:
-    """Spots that are in nobody's view: that of ``watchers`` with dirs, half and most_m, taken wider, and the surroundings of their poles."""
-    reach = 125.0
-    w = watchers.select(F.col("id").alias("w_id"), F.col("dirs").alias("w_dirs"), F.col("half").alias("w_half"), F.least(F.col("most_m") * FARTHER + FARTHER_M, F.lit(reach)).alias("w_m"), "lat", "lon")
-    met = grid_join(spots, w, reach).withColumn("__off", geo.bearing(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon")))
-    seen = (F.col("metres") <= POLE_M) | ((F.col("metres") <= F.col("w_m")) & F.exists("w_dirs", lambda d: geo.angle_between(F.col("__off"), d) <= F.col("w_half") + WIDER_DEG))
-    return spots.join(met.where(seen).select("id", "lat", "lon").distinct(), ["id", "lat", "lon"], "left_anti")
+    """Spots that are in nobody's view: that of ``watchers`` with dirs, half and most_m, taken wider, and the surroundings of their poles.
+
+    Where many assets stand, most spots are near a pole: one pole of each small cell settles those in the cell, then all poles near what is left, and only what is near none of them meets the views.
+    """
+    w = watchers.select(F.col("id").alias("w_id"), F.col("dirs").alias("w_dirs"), F.col("half").alias("w_half"), F.least(F.col("most_m") * FARTHER + FARTHER_M, F.lit(FARTHEST_M)).alias("w_m"), "lat", "lon")
+    keys = ["id", "lat", "lon"]
+    poles = w.select("w_id", "lat", "lon")
+    fine, _ = _grid(POLE_M * 0.6, 1_000_000_000, "lat", "lon")
+    one = fine(poles).groupBy("__y", "__x").agg(F.min(F.struct("lat", "lon")).alias("__pole"))
+    far = F.coalesce(geo.haversine(F.col("lat"), F.col("lon"), F.col("__pole.lat"), F.col("__pole.lon")) > POLE_M, F.lit(True))
+    left = cut(fine(spots).join(one, ["__y", "__x"], "left").where(far).select(spots.columns))
+    left = cut(left.join(grid_join(left.select(keys), poles, POLE_M, per_degree=1_000_000).select(keys).distinct(), keys, "left_anti"))
+    reach = w.agg(F.max("w_m")).first()[0] or POLE_M
+    met = grid_join(left.select(keys), w, reach, per_degree=1_000_000).withColumn("__off", geo.bearing(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon")))
+    seen = (F.col("metres") <= F.col("w_m")) & F.exists("w_dirs", lambda d: geo.angle_between(F.col("__off"), d) <= F.col("w_half") + WIDER_DEG)
+    return left.join(met.where(seen).select(keys).distinct(), keys, "left_anti")
 
 
 def _judged(spots: DataFrame, assets: DataFrame) -> DataFrame:
@@ -68,14 +79,23 @@ def vantage_spots(assets: DataFrame, ways: DataFrame, walking: bool = True) -> D
     """
     legs = asset_legs(assets, ways, near_m=MOST_M, kept_m=MOST_M).where(_accepted(F.col("highway"), walking))
     many = F.greatest(F.lit(1), F.ceil(geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) / STEP_M)).cast("int")
-    along = legs.withColumn("__many", many).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__many"))))
+    # only the part of a leg that is near enough is cut into spots: in the asset's frame a leg is straight, but for the poles
+    own = legs.join(assets.select("id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")), "id").withColumn("__many", many)
+    (ax, ay), (bx, by) = (geo.frame_xy(F.col(y), F.col(x), F.col("t_lat"), F.col("t_lon")) for y, x in (("lat", "lon"), ("lat2", "lon2")))
+    dx, dy = bx - ax, by - ay
+    length = F.sqrt(dx * dx + dy * dy)
+    own = own.withColumns({"__u": -(ax * dx + ay * dy) / (length * length), "__r": (MOST_M + 1) / length})
+    part = lambda u: F.greatest(F.lit(0), F.least(F.col("__many"), u)).cast("int")
+    low, high = part(F.floor((F.col("__u") - F.col("__r")) * F.col("__many"))), part(F.ceil((F.col("__u") + F.col("__r")) * F.col("__many")))
+    whole_leg = (F.abs(F.col("t_lat")) > 89.0) | F.col("__u").isNull()
+    along = own.withColumn("__k", F.explode(F.sequence(F.when(whole_leg, 0).otherwise(low), F.when(whole_leg, F.col("__many")).otherwise(high))))
     share = F.col("__k") / F.col("__many")
     spots = along.select("id", (F.col("lat") + share * (F.col("lat2") - F.col("lat"))).alias("lat"), (F.col("lon") + share * (F.col("lon2") - F.col("lon"))).alias("lon"), "highway")
-    on_ways = _unseen(_judged(spots, assets), assets)
+    on_ways = cut(_judged(_unseen(spots, assets), assets))
     ring = F.explode(F.array(*(F.struct(F.lit(r * math.cos(math.radians(t)) / geo.ARC).alias("n"), F.lit(r * math.sin(math.radians(t)) / geo.ARC).alias("e")) for r in RINGS_M for t in range(0, 360, RING_DEG))))
     bare = assets.join(on_ways.select("id").distinct(), "id", "left_anti").withColumn("__r", ring)
     around = bare.select("id", (F.col("lat") + F.col("__r.n")).alias("lat"), (F.col("lon") + F.col("__r.e") / F.cos(F.radians("lat"))).alias("lon"), F.lit("ground").alias("highway"))
-    every = on_ways.unionByName(_unseen(_judged(around, assets), assets))
+    every = on_ways.unionByName(_judged(_unseen(around, assets), assets))
     whole = lambda c: F.floor(c * 1000 + 0.5)
     one = F.struct(whole(F.col("score")).alias("rank"), whole(F.col("far")).alias("mm"), "lat", "lon", "highway", "far", "side", "score", "look")
     ranked = every.groupBy("id").agg(F.array_sort(F.collect_set(one)).alias("all"))

@@ -1,5 +1,6 @@
 """Steps whose work must follow the rows, not their pairs."""
 
+import math
 import random
 from collections import Counter
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import fusion, plates
-from fieldtrace.operators import folds, joins, merge, windows
+from fieldtrace.operators import folds, joins, merge, vantage, windows
 from fieldtrace.operators.windows import metres
 from fieldtrace.plans import catalog
 from fieldtrace.streaming import tracking
@@ -224,3 +225,41 @@ def test_latitudes_tell_only_what_is_too_far():
         limit = rng.choice([0.0, 80.0, 400.0, metres(a["lat"], a["lon"], b["lat"], b["lon"])])
         assert not (folds.farther(a, b, limit) and metres(a["lat"], a["lon"], b["lat"], b["lon"]) <= limit)
     assert folds.farther({"lat": 1.0}, {"lat": 1.01}, 1000.0)
+
+
+def _joined(monkeypatch, module):
+    """Radius, points and pairs of every grid join that ``module`` makes from now on."""
+    seen, real = [], joins.grid_join
+
+    def counted(points, assets, metres, **more):
+        out = real(points, assets, metres, **more)
+        seen.append((metres, points.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(module, "grid_join", counted)
+    return seen
+
+
+def test_spots_near_poles_meet_no_views(spark, monkeypatch):
+    rng = random.Random(4)
+    poles = [(k, rng.uniform(40.0, 40.002), rng.uniform(-75.0, -74.998), [float(rng.randrange(360))], 12.5, 35.0) for k in range(600)]
+    watchers = spark.createDataFrame(poles, "id long, lat double, lon double, dirs array<double>, half double, most_m double")
+    spots = [(k % 600, rng.uniform(39.999, 40.003), rng.uniform(-75.001, -74.997)) for k in range(800)]
+    seen = _joined(monkeypatch, vantage)
+    got = {tuple(r) for r in vantage._unseen(spark.createDataFrame(spots, "id long, lat double, lon double"), watchers).collect()}
+
+    def hidden(y, x):
+        for _, v, u, dirs, half, most in poles:
+            far = metres(y, x, v, u)
+            if far <= vantage.POLE_M:
+                return False
+            if far <= min(most * vantage.FARTHER + vantage.FARTHER_M, vantage.FARTHEST_M):
+                a, b, d = math.radians(v), math.radians(y), math.radians(x - u)
+                off = math.degrees(math.atan2(math.sin(d) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a) * math.cos(b) * math.cos(d)))
+                if any(abs((off - t + 180) % 360 - 180) <= half + vantage.WIDER_DEG for t in dirs):
+                    return False
+        return True
+
+    want = {s for s in spots if hidden(*s[1:])}
+    assert got == want and want
+    assert sum(pairs for _, _, pairs in seen) < 12_000  # all views would be some 30,000 pairs
