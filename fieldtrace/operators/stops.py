@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .folds import _far, _grouped, farther, streamed
-from .graph import first_come
-from .joins import grid_join
+from .graph import cut
+from .joins import _grid, grid_join
 from .windows import metres
 
 #: A coarse fix doesn't replace a precise one so soon.
@@ -67,12 +67,28 @@ def place_sightings(seen: DataFrame, key: str = "bssid", keep: int = 24) -> Data
 
 
 def reference_anchors(anchors: DataFrame, metres_apart: float = 100.0) -> DataFrame:
-    """(id, kept): which reference anchors (id, placed_ms, lat, lon) stay: the newest of those within ``metres_apart`` of each other, then the next that is clear of all that stay."""
-    a = anchors.select("id", "placed_ms", "lat", "lon")
-    other = a.select(F.col("id").alias("o_id"), F.col("placed_ms").alias("o_ms"), "lat", "lon")
-    newer = (F.col("placed_ms") > F.col("o_ms")) | ((F.col("placed_ms") == F.col("o_ms")) & (F.col("id") < F.col("o_id")))
-    conflicts = grid_join(a, other, metres_apart).where(newer).select(F.col("id").alias("before"), F.col("o_id").alias("after"))
-    return first_come(a, conflicts, "id")
+    """(id, kept): which reference anchors (id, placed_ms, lat, lon) stay: the newest of those within ``metres_apart`` of each other, then the next that is clear of all that stay.
+
+    In each round the newest open anchor of each cell is looked at; it stays if no newer open one is near it, and then all near it go. So the anchors that are looked at are few where many
+    stand, no pairs of all anchors are made, and the newest open anchor of all is always decided. Anchors without a time or place stay and count for no other.
+    """
+    every = anchors.select("id", "placed_ms", "lat", "lon")
+    known = F.col("id").isNotNull() & F.col("placed_ms").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    open_ = cut(every.where(known))
+    of_points, _ = _grid(metres_apart, 1_000_000, "lat", "lon")
+    order = F.struct((-F.col("placed_ms")).alias("ms"), "id")
+    decided = every.where(~known).select("id", F.lit(True).alias("kept"))
+    while not open_.isEmpty():
+        tops = of_points(open_).groupBy("__y", "__x").agg(F.min_by(F.struct("id", "placed_ms", "lat", "lon"), order).alias("t"))
+        tops = cut(tops.select(F.col("t.id").alias("t_id"), F.col("t.placed_ms").alias("t_ms"), "t.lat", "t.lon"))
+        newer = (F.col("placed_ms") > F.col("t_ms")) | ((F.col("placed_ms") == F.col("t_ms")) & (F.col("id") < F.col("t_id")))
+        waits = grid_join(open_, tops, metres_apart, per_degree=1_000_000).where(newer).select("t_id").distinct()
+        stay = cut(tops.join(waits, "t_id", "left_anti").select("t_id", "lat", "lon"))
+        near = grid_join(open_, stay, metres_apart, per_degree=1_000_000).select("id", F.lit(False).alias("kept"))
+        gone = cut(near.union(stay.select("t_id", F.lit(True))).groupBy("id").agg(F.max("kept").alias("kept")))
+        decided = decided.union(gone)
+        open_ = cut(open_.join(gone, "id", "left_anti"))
+    return decided
 
 
 def still_fixes(fixes: DataFrame, key: str = "device", around_m: float = 32.0) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import fusion, plates
-from fieldtrace.operators import folds, joins, merge, vantage, windows
+from fieldtrace.operators import folds, joins, merge, stops, vantage, windows
 from fieldtrace.operators.windows import metres
 from fieldtrace.plans import catalog
 from fieldtrace.streaming import tracking
@@ -263,3 +263,19 @@ def test_spots_near_poles_meet_no_views(spark, monkeypatch):
     want = {s for s in spots if hidden(*s[1:])}
     assert got == want and want
     assert sum(pairs for _, _, pairs in seen) < 12_000  # all views would be some 30,000 pairs
+
+
+def test_anchors_meet_no_pairs_in_a_crowd(spark, monkeypatch):
+    rng = random.Random(6)
+    a = [(k, k * 7919 % 101, y, x) for k, y, x in _world(rng, 1500, (40.0, 40.003), (-75.0, -74.997))]
+    seen = _joined(monkeypatch, stops)
+    got = {r.id: r.kept for r in stops.reference_anchors(spark.createDataFrame([*a, (-1, None, 40.0, -75.0)], "id long, placed_ms long, lat double, lon double")).collect()}
+    stay = []
+    for k, _, y, x in sorted(a, key=lambda r: (-r[1], r[0])):
+        if all(metres(y, x, v, u) > 100.0 for v, u in stay):
+            stay.append((y, x))
+            assert got[k]
+        else:
+            assert not got[k]
+    assert got[-1] and len(got) == 1501
+    assert sum(pairs for _, _, pairs in seen) < 60_000  # all pairs are some 440,000
