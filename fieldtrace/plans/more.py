@@ -149,8 +149,9 @@ def x24_classification_propagation(spark, d):
     """The type of an asset caps the confidence of its passes; only changed rows get a new number."""
     p = passes(spark, d).select(F.col("uid").alias("k"), "camera_id", F.col("confidence").alias("conf"), F.lit(0).cast("long").alias("seq"))
     c = cams(spark, d).select(F.col("id").alias("camera_id"), (F.col("dir") % 5 == 0).alias("reader"))
-    new = p.join(c, "camera_id").select("k", F.when(F.col("reader"), F.col("conf")).otherwise(F.least(F.lit(40), "conf")).alias("conf"))
-    out = M.changed(p, new, "k", ["conf"], "seq", 1)
+    # passes carry their asset's type along, so none is looked up again by its key
+    typed = p.join(c, "camera_id").select("k", "conf", "seq", "reader")
+    out = M.changed_in_place(typed, "k", {"conf": F.when(F.col("reader"), F.col("conf")).otherwise(F.least(F.lit(40), "conf"))}, "seq", 1)
     return out.agg(F.count("*").alias("n"), F.sum("conf").alias("total"), F.count_if(F.col("seq") > 0).alias("changed"))
 
 

@@ -279,3 +279,12 @@ def test_anchors_meet_no_pairs_in_a_crowd(spark, monkeypatch):
             assert not got[k]
     assert got[-1] and len(got) == 1501
     assert sum(pairs for _, _, pairs in seen) < 60_000  # all pairs are some 440,000
+
+
+def test_changed_in_place_numbers_as_changed_does(spark):
+    old = spark.range(500).select(F.col("id").alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("v"), (-F.col("id")).alias("seq"))
+    new = F.when(F.col("k") % 3 == 0, F.lit(2).cast("long")).otherwise(F.col("v"))
+    want = merge.changed(old, old.select("k", new.alias("v")), "k", ["v"], "seq", 100)
+    got = merge.changed_in_place(old, "k", {"v": new}, "seq", 100)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()), key=tuple)
+    assert "Join" not in got.where("seq < 100").select("k")._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
