@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo, radio
 from ..operators import aggregates as A
+from ..operators import blocks as B
 from ..operators import composites as C
 from ..operators import joins as J
 from ..sources.views import cams, fixes, observations, passes, pois, read, sql, tracks
@@ -166,9 +167,8 @@ def x01_source_rank(spark, d):
 @query(sql("pois cams", f", near as (select c.id, p.id as poi, p.size, {at_sql(hav_sql('c.lat', 'c.lon', 'p.lat', 'p.lon'))} as mm from cams c join pois p on abs(c.lat - p.lat) < 0.001 and abs(c.lon - p.lon) < 0.001) select id, poi, size, mm from (select *, row_number() over (partition by id order by size desc, mm, poi) as r from near where mm <= 60000) where r = 1"))
 def x02_best_evidence(spark, d):
     """The evidence of the highest tier within 60 m, the nearest of equals."""
-    near = J.grid_join(cams(spark, d).select("id", "lat", "lon"), pois(spark, d).select(F.col("id").alias("poi"), "size", "lat", "lon"), 60.5).withColumn("mm", at(F.col("metres"))).where("mm <= 60000")
-    best = F.min(F.struct((-F.col("size")).alias("s"), "mm", "poi"))
-    return near.groupBy("id").agg(best.alias("b")).select("id", "b.poi", (-F.col("b.s")).alias("size"), "b.mm")
+    best = B.best_near(pois(spark, d).select(F.col("id").alias("poi"), "size", "lat", "lon"), cams(spark, d), 60.0, "size", "poi", "id")
+    return best.select("id", "poi", "size", F.col("__mm").alias("mm"))
 
 
 @query(sql("cams", f", k as (select id, dir % 3 as land, {at_sql(hav_sql('lat', 'lon', 'cast(40.01 as double)', 'cast(-74.99 as double)'))} as mm from cams) select l as land, coalesce((select id from k where land = l order by mm, id limit 1), (select id from k order by mm, id limit 1)) as id from (select unnest([0, 1, 2, 7]) as l)"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import fusion, plates
-from fieldtrace.operators import folds, joins, merge, stops, vantage, windows
+from fieldtrace.operators import blocks, folds, joins, merge, stops, vantage, windows
 from fieldtrace.operators.windows import metres
 from fieldtrace.plans import catalog
 from fieldtrace.streaming import tracking
@@ -288,3 +288,25 @@ def test_changed_in_place_numbers_as_changed_does(spark):
     got = merge.changed_in_place(old, "k", {"v": new}, "seq", 100)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()), key=tuple)
     assert "Join" not in got.where("seq < 100").select("k")._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+
+
+@pytest.mark.parametrize("lat, lon", [((40.0, 40.003), (-75.0, -74.997)), ((-0.002, 0.002), (179.998, 180.002)), ((89.999, 90.0), (-180.0, 180.0))])
+def test_folds_of_blocks_against_all_pairs(spark, monkeypatch, lat, lon):
+    monkeypatch.setattr(blocks, "BLOCK", 37)  # several blocks a cell
+    rng = random.Random(9)
+    wrap = lambda rows: [(i, y, x - 360 if x > 180 else x) for i, y, x in rows]
+    a, b = wrap(_world(rng, 400, lat, lon)), wrap(_world(rng, 50, lat, lon))
+    points, assets = _tables(spark, a, b)
+    far = {q: [(metres(y, x, v, u), p) for p, y, x in a] for q, v, u in b}
+    got = {r.q: (r.n, r.closest) for r in blocks.counted(points, assets, 65.0, "p", "q").collect()}
+    want = {q: (sum(m <= 65 for m, _ in f), min(f)[0]) for q, f in far.items() if min(f)[0] <= 65}
+    assert got.keys() == want.keys() and want
+    assert all(got[q][0] == want[q][0] and abs(got[q][1] - want[q][1]) < 1e-6 for q in want)
+    best = {tuple(r) for r in blocks.best_near(points.withColumn("size", F.col("p") % 3), assets, 60.0, "size", "p", "q").collect()}
+    want = set()
+    for q, f in far.items():
+        ranked = sorted((-(p % 3), int(m * 1000 + 0.5), p) for m, p in f if int(m * 1000 + 0.5) <= 60_000)
+        want |= {(q, -s, mm, p) for s, mm, p in ranked[:1]}
+    assert best == want
+    pairs = {(r.p, r.q) for r in joins.grid_join(points, assets, 65.0).select("p", "q").collect()}
+    assert pairs == {(p, q) for q, f in far.items() for m, p in f if m <= 65}
