@@ -6,7 +6,9 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .tracking import with_state_store
@@ -56,6 +58,41 @@ class Site:
             self.neighbours = {b: self.neighbours[b] for b in kept}
 
 
+def _take(heard: dict[str, tuple[float, bool]], bssid: str, dbm: float, placed: bool) -> None:
+    """A scan holds each transmitter once, at its highest level."""
+    level, was = heard.get(bssid, (dbm, False))
+    heard[bssid] = (max(level, dbm), was or placed)
+
+
+#: Rows that are brought together at a time, and the most that are held of what they make.
+_AT_ONCE, _HELD = 200_000, 100_000
+
+
+def strongest(scans: DataFrame) -> DataFrame:
+    """``scans`` with few rows for each transmitter of a scan: the highest level, and whether any row was placed. A stream stays one; each task brings together what it reads."""
+    keys = ["ts", "site", "scan_ms", "bssid"]
+    rows = scans.select(*keys, F.col("dbm").cast("double").alias("dbm"), F.coalesce("placed", F.lit(False)).alias("placed"))
+    names = rows.columns
+
+    def together(tables: list[pa.Table]) -> pa.Table:
+        one = pa.concat_tables(tables).group_by(keys).aggregate([("dbm", "max"), ("placed", "any")])
+        return pa.table([one[{"dbm": "dbm_max", "placed": "placed_any"}.get(c, c)] for c in names], schema=tables[0].schema)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new: list[pa.Table] = []
+        held: list[pa.Table] = []
+        for b in batches:
+            new.append(pa.Table.from_batches([b]))
+            if sum(t.num_rows for t in new) >= _AT_ONCE:
+                held, new = [together(held + new)], []
+                if held[0].num_rows >= _HELD:
+                    yield from held.pop().to_batches()
+        if held or new:
+            yield from together(held + new).to_batches()
+
+    return rows.mapInArrow(over, rows.schema)
+
+
 _JUDGED = Row("site", "scan_ms", "on", "changed", "expected", "common", "rms", "scans")
 
 
@@ -72,11 +109,14 @@ class SiteLock(StatefulProcessor):
         done, new = (tuple(self.rest.get())[3] if self.rest.exists() else -1), {}
         for r in rows:
             if r.scan_ms > done:
-                new.setdefault(r.scan_ms, []).append((r.bssid, float(r.dbm), bool(r.placed)))
+                _take(new.setdefault(r.scan_ms, {}), r.bssid, float(r.dbm), bool(r.placed))
         for ms, heard in new.items():
-            held = [tuple(h) for h in self.waiting.getValue((ms,))[0]] if self.waiting.containsKey((ms,)) else []
-            self.waiting.updateValue((ms,), (held + heard,))
-            self.handle.registerTimer(ms)
+            if self.waiting.containsKey((ms,)):
+                for h in self.waiting.getValue((ms,))[0]:
+                    _take(heard, *h)
+            else:
+                self.handle.registerTimer(ms)
+            self.waiting.updateValue((ms,), ([(b, *v) for b, v in heard.items()],))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -114,7 +154,8 @@ def site_lock(scans: DataFrame, late: str = "10 minutes") -> DataFrame:
 
     ``scans`` have ts (event time), site, scan_ms (the same in ms), bssid, dbm and placed (true where the site was set shortly before or a precise fix is near it). The first five scans
     at a site are learned; then it takes half of the expected neighbours at about their levels to be on site, and two scans in a row that don't match to leave it.
+    Rows of a transmitter in one scan are brought together before they are dealt out and in the state, so the work by site follows scans and transmitters.
     """
     kind = dict(scans.dtypes)["site"]
-    rows = with_state_store(scans).withWatermark("ts", late).groupBy("site")
+    rows = strongest(with_state_store(scans)).withWatermark("ts", late).groupBy("site")
     return rows.transformWithState(SiteLock(), f"site {kind}, scan_ms long, on boolean, changed boolean, expected long, common long, rms double, scans long", "Append", "EventTime")

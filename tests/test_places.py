@@ -256,3 +256,11 @@ def test_site_lock_over_batches(spark, tmp_path):
 
 def test_fits_feed_the_calibration(spark):
     assert "cxx" in locate.level_fit(spark.createDataFrame([], "bssid string, lat double, lon double, dbm double, acc double"), "bssid").columns
+
+
+def test_scans_are_brought_together_before_the_state(spark):
+    """A thousand rows of a transmitter in a scan come as one for each task, at the highest level and placed if any was."""
+    rows = spark.range(0, 4000, 1, 1).selectExpr("timestamp_millis(id % 2) as ts", "1L as site", "id % 2 as scan_ms", "concat('n', id % 4) as bssid", "-90.0D + id % 30 as dbm", "id = 7 as placed")
+    got = {(r.scan_ms, r.bssid, r.dbm, r.placed) for r in site.strongest(rows).collect()}
+    assert got == {tuple(r) for r in rows.groupBy("scan_ms", "bssid").agg({"dbm": "max"}).join(rows.groupBy("scan_ms", "bssid").agg({"placed": "max"}), ["scan_ms", "bssid"]).collect()}
+    assert site.strongest(rows).count() == 4
