@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import passes as P
 from ..operators import roads as R
+from ..operators.graph import cut
 from ..sources.views import cams, sql, tracks, ways
 from .catalog import query
 from .common import at, at_sql
@@ -54,6 +55,6 @@ def t08_matched_passes(spark, d):
     """What road each pass was on, by least-cost paths over the ways near it, and by how much that lowers the chance of a read."""
     assets, fixes, roads = _assets(spark, d), tracks(spark, d), ways(spark, d)
     found = P.passes_of(P.with_pass(P.near_legs(P.legs(fixes), assets)))
-    near = R.asset_legs(assets, roads)
+    near = cut(R.asset_legs(assets, roads))
     m = R.matched_passes(found, fixes, roads, near, R.watched_ways(assets, near))
     return m.select("device", "id", "pass", "status", "verdict", at(F.col("p_watched"), 6).alias("p6"), at(F.col("factor"), 6).alias("factor6"), "watched", "matched", at(F.col("offset_m")).alias("off_mm"), at(F.col("track_offset_m")).alias("track_mm"), "layers", "opposite", "n_samples", "n_candidates")

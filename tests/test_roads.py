@@ -115,3 +115,14 @@ def test_path_costs_against_all_paths(seed):
     assert got[0] == pytest.approx(with_it[0]) and got[1] == pytest.approx(without[0])
     assert way[got[2]] == best[1] and sample[got[2]] == closest
     assert (got[3] == -1) == (without[1] is None) and (got[3] == -1 or way[got[3]] == without[1])
+
+
+def test_samples_by_ways_are_no_table(spark, monkeypatch):
+    """Forty ways within reach of all samples of a pass: what is written are passes, samples and facts, never a row for a sample and a way."""
+    written = []
+    cut = roads.cut
+    monkeypatch.setattr(roads, "cut", lambda df: (made := cut(df), written.append(made.count()))[0])
+    ways = [road(1001 + k, -400, 0.25 * k, 400, 0.25 * k, 100 * (k + 1), parts=2) for k in range(40)]
+    got = matched(spark, at(0, -4), ways, drive("on", -300, 0, 300, 0))["on"]
+    assert got.status == "ok" and got.n_candidates == 40 and got.n_samples > 10
+    assert max(written) < 40 * got.n_samples
