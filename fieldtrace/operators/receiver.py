@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
-from statistics import median
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .folds import streamed
-
 #: Metres of a degree, shadowing in dB, the exponent of the loss, levels at a metre from 5,925 MHz, from 4,900 MHz and below, and the farthest range.
 DEGREE, SIGMA_DB, EXPONENT, LEVELS, FARTHEST_M = 111_320.0, 6.0, 2.4, (-48.0, -46.0, -40.0), 1500.0
 #: Residuals beyond so many deviations count linearly; a place is far at so many metres or so many times the median from the start; the least accuracy; the normal quantile of 99 %.
@@ -220,37 +218,64 @@ def paced(ticks: DataFrame, key: str) -> DataFrame:
 
     ``ticks``: key, t_ms, metres (null: no estimate), moving, peer_moving, dbm (array of levels heard in the tick, or null). While the distance holds within half a metre or a fifth, nothing moves and the
     median level of the last ten seconds stays within 6 dB, for two minutes, a burst is due each half a minute, else at each tick. A key's ticks pass through one
-    task in order, with ten seconds of levels as state; ticks of one time go by their distance.
+    task in order, with ten seconds of levels as state, kept in order so that their median needs no sort; ticks of one time go by their distance, then by the other columns.
     """
 
-    def begin():
+    kind = dict(ticks.dtypes)[key]
+    schema = ticks.sparkSession.createDataFrame([], f"{key} {kind}, t_ms long, burst boolean, slow boolean, reason string").schema
+    arrow = to_arrow_schema(schema)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, begun = None, False
         since = distance = level = burst = None
-        heard: deque[tuple[int, int]] = deque()
-
-        def step(r: dict) -> list[dict]:
-            nonlocal since, distance, level, burst
-            now = r["t_ms"]
-            heard.extend((now, v) for v in r["dbm"] or [])
-            while heard and now - heard[0][0] > LEVEL_MS:
-                heard.popleft()
-            own = float(median(v for _, v in heard)) if len(heard) >= LEVEL_LEAST else None
-            moved = {
-                "moving": r["moving"],
-                "peer moving": r["peer_moving"],
-                "no estimate": r["metres"] is None,
-                "distance": None not in (distance, r["metres"]) and abs(r["metres"] - distance) > max(HOLD_M, HOLD_SHARE * distance),
-                "level": None not in (level, own) and abs(own - level) > JUMP_DB,
-            }
-            reason = next((k for k, v in moved.items() if v), None)
-            if reason:
-                since, distance, level = (None if r["metres"] is None else now), r["metres"], own
-            else:
-                since, distance, level = (now if since is None else since), (r["metres"] if since is None else distance), (own if level is None else level)
-            slow = since is not None and now - since >= STEADY_MS
-            due = not slow or burst is None or now - burst >= SLOW_MS
-            burst = now if due else burst
-            return [{key: r[key], "t_ms": now, "burst": due, "slow": slow, "reason": reason}]
-
-        return step, lambda: []
-
-    return streamed(ticks.select(key, "t_ms", "metres", "moving", "peer_moving", "dbm"), [key], ["t_ms", "metres"], begin, f"{key} {dict(ticks.dtypes)[key]}, t_ms long, burst boolean, slow boolean, reason string")
+        heard: deque[tuple[int, list]] = deque()
+        held: list[int] = []  # the levels of ``heard`` in order
+        for b in batches:
+            keys, times, ranges, moves, peers, levels = (b.column(c).to_pylist() for c in columns)
+            bursts, paces, reasons = [], [], []
+            for k, now, metres, moving, peer, new in zip(keys, times, ranges, moves, peers, levels, strict=True):
+                if k != session or not begun:
+                    session, begun = k, True
+                    since = distance = level = burst = None
+                    heard.clear()
+                    held.clear()
+                if new:
+                    heard.append((now, new))
+                    for v in new:
+                        insort(held, v)
+                while heard and now - heard[0][0] > LEVEL_MS:
+                    for v in heard.popleft()[1]:
+                        del held[bisect_left(held, v)]
+                n = len(held)
+                own = (held[n // 2] + held[(n - 1) // 2]) / 2 if n >= LEVEL_LEAST else None
+                if moving:
+                    reason = "moving"
+                elif peer:
+                    reason = "peer moving"
+                elif metres is None:
+                    reason = "no estimate"
+                elif distance is not None and abs(metres - distance) > max(HOLD_M, HOLD_SHARE * distance):
+                    reason = "distance"
+                elif level is not None and own is not None and abs(own - level) > JUMP_DB:
+                    reason = "level"
+                else:
+                    reason = None
+                if reason:
+                    since, distance, level = (None if metres is None else now), metres, own
+                else:
+                    if since is None:
+                        since, distance = now, metres
+                    if level is None:
+                        level = own
+                slow = since is not None and now - since >= STEADY_MS
+                due = not slow or burst is None or now - burst >= SLOW_MS
+                if due:
+                    burst = now
+                bursts.append(due)
+                paces.append(slow)
+                reasons.append(reason)
+            out = [b.column(key), b.column("t_ms"), pa.array(bursts, pa.bool_()), pa.array(paces, pa.bool_()), pa.array(reasons, pa.string())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    columns = [key, "t_ms", "metres", "moving", "peer_moving", "dbm"]
+    return ticks.select(columns).repartition(key).sortWithinPartitions(*columns).mapInArrow(over, schema)
