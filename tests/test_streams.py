@@ -4,6 +4,7 @@ import os
 import random
 import time
 
+from fieldtrace.operators.windows import metres
 from fieldtrace.streaming import live
 
 DAY = 86_400_000
@@ -79,3 +80,25 @@ def test_nudged_positions_over_batches(spark, tmp_path):
         last = max((r for r in out if r.bssid == b), key=lambda r: r.n)
         assert last.n == n and abs(last.lat - y) < 1e-12 and abs(last.lon - x) < 1e-12 and abs(last["var"] - v) < 1e-6
     assert sum(n for *_, n in want.values()) == 89
+
+
+def test_live_passes_hold_a_row_for_each_stay(spark, tmp_path):
+    """Six hundred fixes beside three assets come to the state as stays, across 180 degrees and at a pole too; the result is that of all pairs."""
+    rng = random.Random(4)
+    cams = [(1, 40.0, 180.0), (2, 40.0002, -179.9999), (3, 89.9999, 10.0)]
+    near = lambda: rng.choice([(40.0 + rng.uniform(-8e-4, 8e-4), rng.choice([180.0, -180.0]) + 0.0), (89.9998, rng.uniform(-180, 180))])
+    rows = [(k * 60 + (k // 200) * 10_000, "d", *near()) for k in range(600)] + [(100_000, "d", 0.0, 0.0)]
+    stream = fed(spark, tmp_path, "s long, device string, lat double, lon double", [rows]).selectExpr("timestamp_seconds(s) as ts", "device", "lat", "lon")
+    passes = live.live_passes(stream, spark.createDataFrame(cams, "id long, lat double, lon double"), leave="2 hours")
+    got = sorted((r.id, r.from_ts.timestamp(), r.n, round(r.closest, 4)) for r in live.drained(passes).collect())
+    want = []
+    for i, lat, lon in cams:
+        at = [(s, m) for s, _, y, x in rows if (m := metres(y, x, lat, lon)) <= 65]
+        for part in range(3):
+            own = [(s, m) for s, m in at if part * 22_000 <= s < (part + 1) * 22_000]
+            want.append((i, float(own[0][0]), len(own), round(min(m for _, m in own), 4)))
+    assert got == sorted(want) and sum(w[2] for w in want) > 600
+    near_rows = spark.createDataFrame([("d", list(range(500)), [40.0] * 500, [10.0] * 500, 499, [(1, 40.0, 10.0)])], "device string, us array<long>, lat array<double>, lon array<double>, top long, near array<struct<id: long, lat: double, lon: double>>")
+    out = "device string, id long, from_us long, to_us long, closest double, n long"
+    stays = near_rows.mapInArrow(live._stays(65.0, 1000, live.to_arrow_schema(spark.createDataFrame([], out).schema)), out).where("id is not null")
+    assert [tuple(r) for r in stays.collect()] == [("d", 1, 0, 499, 0.0, 500)]
