@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import rows_of, words_of
 from .common import column_of
-from .training import bounded_sample, fit_by_mixing, sigmoid
+from .training import all_rows, fit_by_mixing, sigmoid
 
 BUCKETS = 1 << 14
 STATISTICS = 16
@@ -119,17 +119,17 @@ def _fit(table: pa.Table, model: np.ndarray, evidence: np.ndarray, epochs: int,
     return model, grown
 
 
-def train(rows: DataFrame, label: str, text: str, stated: str | None, key: Column, most: int = 16000, rounds: int = 3, epochs: int = 3) -> np.ndarray:
-    """Fits on about ``most`` of ``rows`` (those with a 0/1 label; other labels and null are left out).
+def train(rows: DataFrame, label: str, text: str, stated: str | None, key: Column, rounds: int = 3, epochs: int = 3) -> np.ndarray:
+    """Fits on all of ``rows`` that have a 0/1 label; other labels and null are left out.
 
     A text with several labels counts once for each. Null texts are learned from as empty ones. Without any row, every score is about 0.5.
     """
     chosen = rows.where(F.col(label).isin(0, 1)).select(
         F.col(text).cast("string").alias("text"), F.col(label).cast("double").alias("label"), (F.col(stated).cast("double") if stated else F.lit(None).cast("double")).alias("stated"), key.alias("key")
     )
-    sample = bounded_sample(chosen, F.struct("key", "text"), most).drop("key")
+    shards = all_rows(chosen, F.struct("key", "text")).drop("key")
     start = np.concatenate([np.zeros(SIZE + 1), np.random.default_rng(11).normal(0, 0.02, SIZE * RANK)])
-    model, _ = fit_by_mixing(sample, lambda t, m, e: _fit(t, m, e, epochs), start, rounds)
+    model, _ = fit_by_mixing(shards, lambda t, m, e: _fit(t, m, e, epochs), start, rounds)
     return model
 
 

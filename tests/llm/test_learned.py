@@ -13,7 +13,7 @@ from fieldtrace.llm import quality_fm as Q
 from fieldtrace.llm import toxicity_ftrl as X
 from fieldtrace.llm.bytetext import words_of
 from fieldtrace.llm.common import held_out
-from fieldtrace.llm.training import bounded_sample, mixed_state
+from fieldtrace.llm.training import bounded_sample, fit_by_mixing, mixed_state, sharded
 
 VOICES = {"xx": "ba ke li mo nu".split(), "yy": "stri chto vren quag".split(), "zz": "aei oua eeo".split()}
 
@@ -247,3 +247,25 @@ def test_words_against_plain_python():
                 assert seen.setdefault(a, b) == b
                 known += 1
     assert len(set(seen.values())) == len(seen) and known > 1000
+
+
+def test_quality_learns_from_every_row(spark, monkeypatch):
+    """More labelled rows than a bounded sample of 16,000 took; the shards stay bounded."""
+    seen = []
+    monkeypatch.setattr(Q, "fit_by_mixing", lambda shards, fit, start, rounds: seen.append({r["shard"]: r["count"] for r in shards.groupBy("shard").count().collect()}) or (start, None))
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"), (F.col("id") % 2).alias("label"))
+    Q.train(rows, "label", "text", None, F.col("doc_id"))
+    assert sum(seen[0].values()) == 20_000 and len(seen[0]) >= 10 and max(seen[0].values()) < 3_000
+
+
+def test_mixing_of_many_shards(spark):
+    """Averages by evidence over more shards than one task sums, against plain sums."""
+    shards = 150
+    rows = spark.range(600).select(F.col("id").alias("key"), F.col("id").cast("string").alias("text"))
+    sample = sharded(rows, F.col("key"), F.lit(1.0), shards)
+    fit = lambda t, v, e: (v + t.num_rows, e + np.arange(len(v)) % 3 * t["shard"][0].as_py())
+    values, evidence = fit_by_mixing(sample, fit, np.zeros(100), 2)
+    sizes = {r["shard"]: r["count"] for r in sample.groupBy("shard").count().collect()}
+    mean = sum(k * n for k, n in sizes.items()) / sum(sizes)
+    assert values == pytest.approx(np.where(np.arange(100) % 3, 2 * mean, 0.0), rel=1e-5)
+    assert evidence == pytest.approx(np.arange(100) % 3 * 2 * sum(sizes) / len(sizes), rel=1e-5)
