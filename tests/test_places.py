@@ -5,7 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from fieldtrace.functions.geo import haversine
+from fieldtrace.operators import joins as J
 from fieldtrace.operators import locate, ranging, stops, vantage
 from fieldtrace.operators.windows import metres
 from fieldtrace.streaming import live, site
@@ -264,3 +267,21 @@ def test_scans_are_brought_together_before_the_state(spark):
     got = {(r.scan_ms, r.bssid, r.dbm, r.placed) for r in site.strongest(rows).collect()}
     assert got == {tuple(r) for r in rows.groupBy("scan_ms", "bssid").agg({"dbm": "max"}).join(rows.groupBy("scan_ms", "bssid").agg({"placed": "max"}), ["scan_ms", "bssid"]).collect()}
     assert site.strongest(rows).count() == 4
+
+
+def test_thin_ring_has_few_cells(spark, monkeypatch):
+    """The nearest points beyond a radius that is many times their spacing: all as by brute force, from cells that hold some tens of points each."""
+    points = spark.range(40_000).select(F.col("id").alias("event_id"), (40.0 + (F.col("id") % 200 - 100) * 0.00001).alias("lat"), (-75.0 + (F.floor(F.col("id") / 200) - 100) * 0.000012).alias("lon"))
+    asset, cells, ring = spark.createDataFrame([(1, 40.0, -75.0)], "id long, lat double, lon double"), [], J._ring_cells
+
+    def counted(*args):
+        made = ring(*args)
+        cells.append(made.count())
+        return made
+
+    monkeypatch.setattr(J, "_ring_cells", counted)
+    got = {(r.event_id, r.r) for r in J.nearest(points, asset, "id", 5, 100.0, [F.col("__mm"), F.col("event_id")], beyond=60.0).select("event_id", "r").collect()}
+    far = points.withColumn("m", haversine(F.col("lat"), F.col("lon"), F.lit(40.0), F.lit(-75.0))).where("m > 60").withColumn("mm", F.floor(F.col("m") * 1000 + 0.5))
+    want = {(r.event_id, k + 1) for k, r in enumerate(far.orderBy("mm", "event_id").limit(5).collect())}
+    assert got == want
+    assert cells[0] < 100
