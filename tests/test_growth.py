@@ -310,3 +310,9 @@ def test_folds_of_blocks_against_all_pairs(spark, monkeypatch, lat, lon):
     assert best == want
     pairs = {(r.p, r.q) for r in joins.grid_join(points, assets, 65.0).select("p", "q").collect()}
     assert pairs == {(p, q) for q, f in far.items() for m, p in f if m <= 65}
+
+
+def test_passes_of_one_uid_are_flagged_once_each(spark):
+    """At sf0.1 some passes share their uid: as in its SQL, each comes out once, and none is looked up by it."""
+    d = "/root/testdata/sf0.1"
+    assert catalog.queries()["t21_leaky_flags"](spark, d).count() == spark.read.parquet(f"{d}/lineitem.parquet").count()
